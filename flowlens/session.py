@@ -20,6 +20,7 @@ ENGINE_CONF = {
     "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -42,7 +43,7 @@ def build_session(master: str = "local[8]", app: str = "flowlens", shuffle_parti
 def apply_engine_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable part of ENGINE_CONF to an existing session."""
     for k, v in ENGINE_CONF.items():
-        if k == "spark.ui.enabled":
+        if k.startswith("spark.ui."):
             continue
         try:
             spark.conf.set(k, v)
