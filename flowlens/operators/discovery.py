@@ -186,8 +186,8 @@ def noise_audit(sigs: DataFrame, opts: Options) -> DataFrame:
 
 def normalize(sigs: DataFrame, opts: Options) -> DataFrame:
     """B8 on the distinct signatures: resource_path = normalized endpoint, sample_path = endpoint."""
-    return sigs.withColumn("resource_path", T.normalize_path("endpoint", opts)) \
-               .withColumn("sample_path", F.col("endpoint"))
+    return sigs.select("*", T.normalize_path("endpoint", opts).alias("resource_path"),
+                       F.col("endpoint").alias("sample_path"))
 
 
 def dedup(sigs: DataFrame) -> DataFrame:
@@ -322,9 +322,8 @@ def traffic_origin() -> Column:
 
 
 def with_service_identity(df: DataFrame) -> DataFrame:
-    return (df.withColumn("service_key", service_key())
-              .withColumn("service_type", service_type())
-              .withColumn("traffic_origin", traffic_origin()))
+    return df.select("*", service_key().alias("service_key"), service_type().alias("service_type"),
+                     traffic_origin().alias("traffic_origin"))
 
 
 # ------------------------------------------------------------------------------------ B22
@@ -368,9 +367,8 @@ def batch_records(valid: DataFrame) -> DataFrame:
     Hits add; first-write columns come from the first row (by fusion rank), overwrite columns from
     the last, coalesce columns from the last non-NULL. Blank source columns read as NULL (1.3).
     """
-    v = valid
-    for c in NULL_WHEN_BLANK:
-        v = v.withColumn(c, T.nullif_blank(F.col(c)))
+    v = valid.select(*[T.nullif_blank(F.col(c)).alias(c) if c in NULL_WHEN_BLANK else F.col(c)
+                       for c in valid.columns])
     first = F.min(F.struct(F.col("rank"), *[F.col(c) for c in KEEP_COLS])).alias("f")
     last = F.max(F.struct(F.col("rank"), *[F.col(c) for c in OVERWRITE_COLS])).alias("l")
     coal = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col("rank"), F.col(c).alias("v"))))["v"].alias(c)

@@ -237,3 +237,110 @@ FROM fused_raw""", ["fused_raw"])
                  ["fused"])
         self.add("fused_valid", "SELECT * EXCLUDE (reject_reason) FROM fused_reason WHERE reject_reason IS NULL",
                  ["fused_reason"])
+        self._define_state()
+        self._define_managed()
+        self._define_comparison()
+
+    # ------------------------------------------------------------------ discovered state
+    def _define_state(self):
+        from ..operators.discovery import COALESCE_COLS, DISCOVERED_COLS, KEEP_COLS, NULL_WHEN_BLANK, OVERWRITE_COLS
+
+        def v(c):
+            return f"nullif({c}, '')" if c in NULL_WHEN_BLANK else c
+        keep = ", ".join(f"'{c}': {v(c)}" for c in KEEP_COLS)
+        over = ", ".join(f"'{c}': {v(c)}" for c in OVERWRITE_COLS)
+        coal = ",\n  ".join(
+            f"arg_max({{'v': {v(c)}}}, rk) FILTER (WHERE {v(c)} IS NOT NULL).v AS {c}" for c in COALESCE_COLS)
+        cols = ", ".join(
+            (f"f.{c}" if c in KEEP_COLS else f"l.{c}" if c in OVERWRITE_COLS else c) + f" AS {c}"
+            for c in DISCOVERED_COLS)
+        # one cycle's records per discovered key; `fused_src` is the fused row set of that cycle
+        self.batch_sql = f"""
+SELECT {cols} FROM (
+SELECT service_key, http_method, resource_path,
+  arg_min({{{keep}}}, rk) AS f, arg_max({{{over}}}, rk) AS l,
+  {coal},
+  CAST(sum(hit_count) AS BIGINT) AS hit_count, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at
+FROM (SELECT *, (r_neg_hits, r_m, r_e, r_p, r_a) AS rk FROM fused_src) x
+GROUP BY ALL) y"""
+        self.add("discovered", self.batch_sql.replace("fused_src", "fused_valid"), ["fused_valid"])
+
+    # ------------------------------------------------------------------------- managed (A4, A5)
+    def _define_managed(self):
+        o = self.opts
+        self.add("managed_src", fx.MANAGED_SRC_SQL_DUCK)
+        scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+        tparse = "timezone('UTC', strptime(last_updated, '%Y-%m-%dT%H:%M:%S.%g%z'))"
+        types = f"AND api_type IN {in_list(o.include_api_types)}" if o.include_api_types else ""
+        self.add("m_pub", f"SELECT * FROM managed_src WHERE lifecycle_status = 'PUBLISHED' {types}", ["managed_src"])
+        self.add("m_apis", f"""
+SELECT DISTINCT apim_api_id, api_name, api_version, context, api_type, lifecycle_status, 'admin' AS provider,
+  'http' AS endpoint_type, endpoint_url,
+  regexp_extract(endpoint_url, '{scheme}([^/:]*)', 1) AS endpoint_hostname,
+  CASE WHEN regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) <> ''
+       THEN CAST(regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) AS INTEGER)
+       WHEN starts_with(lower(endpoint_url), 'https:') THEN 443 ELSE 80 END AS endpoint_port,
+  {trim_suffix_sql(f"regexp_extract(endpoint_url, '{scheme}[^/]*([^?#]*)', 1)")} AS endpoint_basepath,
+  {tparse} AS apim_last_updated_at, {tparse} AS apim_created_at
+FROM m_pub""", ["m_pub"])
+        self.add("m_ops", f"""
+SELECT apim_api_id, http_method, raw_target, normalized_target,
+  {match_path_sql('endpoint_basepath', 'normalized_target')} AS match_path
+FROM (
+  SELECT s.apim_api_id, upper(s.verb) AS http_method, s.target AS raw_target,
+    {normalize_target_sql('s.target')} AS normalized_target, a.endpoint_basepath
+  FROM m_pub s JOIN m_apis a ON s.apim_api_id = a.apim_api_id
+  WHERE upper(s.verb) NOT IN ('', 'OPTIONS', 'HEAD')) x""", ["m_pub", "m_apis"])
+
+    # ------------------------------------------------------------------ comparison
+    def _define_comparison(self):
+        self.add("op_pick", """
+SELECT http_method, match_path AS resource_path, apim_api_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY http_method, match_path ORDER BY apim_api_id DESC, raw_target DESC) AS rn
+  FROM m_ops) x WHERE rn = 1""", ["m_ops"])
+        self.add("cands", """
+SELECT d.service_key, d.http_method, d.resource_path, coalesce(d.request_domain, '') AS request_domain,
+  coalesce(d.host_ip, '') AS host_ip, d.server_port, d.hit_count, p.apim_api_id
+FROM discovered d LEFT JOIN op_pick p ON d.http_method = p.http_method AND d.resource_path = p.resource_path""",
+                 ["discovered", "op_pick"])
+        self.add("coll", """
+SELECT http_method, resource_path, apim_api_id, count(DISTINCT service_key) AS n_services
+FROM cands WHERE apim_api_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT service_key) > 1""", ["cands"])
+        self.add("scores", """
+SELECT k.http_method, k.resource_path, k.apim_api_id, k.service_key, CAST(count(d.service_key) AS BIGINT) AS score
+FROM (SELECT DISTINCT c.http_method, c.resource_path, c.apim_api_id, c.service_key
+      FROM cands c JOIN coll USING (http_method, resource_path, apim_api_id)) k
+JOIN m_ops o ON o.apim_api_id = k.apim_api_id
+LEFT JOIN cands d ON d.service_key = k.service_key AND d.http_method = o.http_method AND d.resource_path = o.match_path
+GROUP BY ALL""", ["cands", "coll", "m_ops"])
+        self.add("sk_domain", """
+SELECT service_key, arg_min(request_domain, (http_method, resource_path)) FILTER (WHERE request_domain <> '') AS domain
+FROM cands GROUP BY ALL""", ["cands"])
+        self.add("resolved", f"""
+SELECT http_method, resource_path, apim_api_id,
+  CASE WHEN count(*) = 1 THEN min(service_key) ELSE min(service_key) FILTER (WHERE host_match) END AS winner,
+  CASE WHEN count(*) = 1 THEN 'SCORE' WHEN bool_or(host_match) THEN 'HOST' ELSE 'AMBIGUOUS' END AS resolution,
+  list_sort(list(service_key)) AS tied_keys, max(score) AS best_score
+FROM (
+  SELECT s.*, {strip_port_sql("coalesce(dm.domain, '')", keep_leading=False)} = coalesce(a.endpoint_hostname, '') AS host_match
+  FROM (SELECT *, max(score) OVER (PARTITION BY http_method, resource_path, apim_api_id) AS best FROM scores) s
+  LEFT JOIN sk_domain dm ON dm.service_key = s.service_key
+  LEFT JOIN m_apis a ON a.apim_api_id = s.apim_api_id
+  WHERE s.score = s.best) t
+GROUP BY ALL""", ["scores", "sk_domain", "m_apis"])
+        self.add("losers", """
+SELECT c.* FROM cands c JOIN resolved r ON c.http_method = r.http_method AND c.resource_path = r.resource_path
+WHERE r.winner IS NOT NULL AND c.service_key <> r.winner""", ["cands", "resolved"])
+        self.add("classified", """
+SELECT c.service_key, c.http_method, c.resource_path, c.request_domain, c.host_ip, c.server_port, c.hit_count,
+  CASE WHEN m.managed_api_id IS NOT NULL THEN 'DRIFT' ELSE 'SHADOW' END AS classification,
+  CASE WHEN c.lost THEN 'LOW' ELSE 'HIGH' END AS confidence, m.managed_api_id
+FROM (SELECT c.*, l.service_key IS NOT NULL AS lost FROM cands c
+      LEFT JOIN losers l ON c.service_key = l.service_key AND c.http_method = l.http_method
+                        AND c.resource_path = l.resource_path) c
+LEFT JOIN (SELECT service_key, arg_min(apim_api_id, (http_method, resource_path)) AS managed_api_id
+           FROM (SELECT c.* FROM cands c WHERE c.apim_api_id IS NOT NULL
+                 AND NOT EXISTS (SELECT 1 FROM losers l WHERE l.service_key = c.service_key
+                                 AND l.http_method = c.http_method AND l.resource_path = c.resource_path)) r
+           GROUP BY ALL) m ON m.service_key = c.service_key
+WHERE c.apim_api_id IS NULL OR c.lost""", ["cands", "losers"])

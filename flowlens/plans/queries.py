@@ -211,3 +211,121 @@ def q_width_rejects(spark, sf_dir):
     """Column-width check of every fused row (NULL reason = row fits)."""
     fused = discovery(spark, sf_dir)["fused"]
     return fused.select(*D.DEDUP_KEY, "service_key", D.width_reason(columns=set(fused.columns)).alias("reject_reason"))
+
+
+# ----------------------------------------------------------------------------- managed queries
+
+from ..operators import comparison as C  # noqa: E402
+from ..operators import managed as M  # noqa: E402
+from ..sources import apim as A  # noqa: E402
+from . import scenarios as S  # noqa: E402
+
+
+@query("published_apis", "SELECT DISTINCT apim_api_id, api_name, api_type FROM m_pub", ["m_pub"])
+def q_published(spark, sf_dir):
+    """A4: published APIs of the included types."""
+    return A.published(S.details(spark, sf_dir), OPTS.include_api_types) \
+        .select(F.col("id").alias("apim_api_id"), F.col("name").alias("api_name"), F.col("type").alias("api_type"))
+
+
+@query("managed_apis", "SELECT * FROM m_apis", ["m_apis"])
+def q_managed_apis(spark, sf_dir):
+    """A5 + B12, B13, B15: API rows from nested detail JSON (endpoint config, URL parse, times)."""
+    return S.managed_current(spark, sf_dir, OPTS)[0]
+
+
+@query("managed_ops", "SELECT * FROM m_ops", ["m_ops"])
+def q_managed_ops(spark, sf_dir):
+    """A5 + B9-B11, B14: operation rows with normalized target and match path."""
+    return S.managed_current(spark, sf_dir, OPTS)[1]
+
+
+@query("active_ops", "SELECT apim_api_id, http_method, raw_target, match_path FROM m_ops", ["m_ops"])
+def q_active_ops(spark, sf_dir):
+    """Active operations of active APIs after one sync."""
+    api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
+    return M.active_ops(op_state, api_state).select("apim_api_id", "http_method", "raw_target", "match_path")
+
+
+# -------------------------------------------------------------------------- comparison queries
+
+_DISC_OUT = D.DISCOVERED_COLS
+
+
+@query("discovered", "SELECT * FROM discovered", ["discovered"])
+def q_discovered(spark, sf_dir):
+    """E1 + E1b: discovered state after one cycle over the whole flow log (records pre-aggregated)."""
+    return S.discovered(spark, sf_dir, OPTS).select(*_DISC_OUT)
+
+
+@query("match_candidates", "SELECT * FROM cands", ["cands"])
+def q_match(spark, sf_dir):
+    """Discovered LEFT JOIN registered operations on (method, path)."""
+    return S.comparison(spark, sf_dir, OPTS)["candidates"]
+
+
+@query("collisions", "SELECT * FROM coll", ["coll"])
+def q_collisions(spark, sf_dir):
+    """Matched operations seen from more than one service."""
+    return S.comparison(spark, sf_dir, OPTS)["collisions"]
+
+
+@query("affinity_scores", "SELECT * FROM scores", ["scores"])
+def q_affinity(spark, sf_dir):
+    """C6 + J7: affinity score per (collision, service key)."""
+    spark_parts = S.comparison(spark, sf_dir, OPTS)
+    api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
+    return C.affinity(spark_parts["candidates"], spark_parts["collisions"], M.active_ops(op_state, api_state))
+
+
+@query("service_domains", "SELECT * FROM sk_domain", ["sk_domain"])
+def q_service_domains(spark, sf_dir):
+    """First non-blank request domain per service key."""
+    return C.service_domain(S.comparison(spark, sf_dir, OPTS)["candidates"])
+
+
+@query("collision_resolution",
+       "SELECT http_method, resource_path, apim_api_id, winner, resolution, array_to_string(tied_keys, ',') AS tied_keys, "
+       "best_score FROM resolved", ["resolved"])
+def q_resolution(spark, sf_dir):
+    """C7 + J13: winner per collision (score, then endpoint-host tie-break, else ambiguous)."""
+    r = S.comparison(spark, sf_dir, OPTS)["resolved"]
+    return r.withColumn("tied_keys", F.array_join("tied_keys", ","))
+
+
+@query("losers", "SELECT * FROM losers", ["losers"])
+def q_losers(spark, sf_dir):
+    """Candidates at resolved collisions other than the winner."""
+    return S.comparison(spark, sf_dir, OPTS)["losers"]
+
+
+@query("unmanaged_report",
+       "SELECT service_key, http_method, resource_path, classification, confidence, managed_api_id FROM classified",
+       ["classified"])
+def q_unmanaged_report(spark, sf_dir):
+    """Flagship: discovery + managed sync + comparison -> SHADOW / DRIFT findings with confidence."""
+    return S.comparison(spark, sf_dir, OPTS)["classified"].select(
+        "service_key", "http_method", "resource_path", "classification", "confidence", "managed_api_id")
+
+
+@query("collision_audit",
+       "SELECT c.service_key, c.http_method, c.resource_path, c.apim_api_id, array_to_string(r.tied_keys, ',') AS tied_keys "
+       "FROM cands c JOIN resolved r ON c.http_method = r.http_method AND c.resource_path = r.resource_path "
+       "WHERE r.resolution = 'AMBIGUOUS'", ["cands", "resolved"])
+def q_collision_audit(spark, sf_dir):
+    """C11: candidates at ambiguous collisions (they stay managed, X4)."""
+    parts = S.comparison(spark, sf_dir, OPTS)
+    return C.collision_audit(parts["candidates"], parts["resolved"]).withColumn("tied_keys",
+                                                                                F.array_join("tied_keys", ","))
+
+
+@query("comparison_metrics",
+       "SELECT (SELECT count(*) FROM cands WHERE apim_api_id IS NOT NULL) AS managed, "
+       "(SELECT count(*) FROM cands WHERE apim_api_id IS NULL) AS unmatched, "
+       "(SELECT count(*) FROM classified) AS unmanaged, "
+       "(SELECT count(*) FROM classified WHERE classification = 'SHADOW') AS shadow, "
+       "(SELECT count(*) FROM classified WHERE classification = 'DRIFT') AS drift", ["cands", "classified"])
+def q_comparison_metrics(spark, sf_dir):
+    """C18 (comparison): managed / unmatched / unmanaged / shadow / drift counts."""
+    parts = S.comparison(spark, sf_dir, OPTS)
+    return C.phase_metrics(parts["candidates"], parts["classified"])
