@@ -8,6 +8,8 @@ check each other. Strings here are DuckDB SQL: no backslash escapes in literals,
 
 from __future__ import annotations
 
+import re
+
 from ..config import DEFAULT, DISCOVERED_WIDTHS, Options
 from ..sources import fixtures as fx
 
@@ -97,6 +99,15 @@ class Oracle:
     def add(self, name: str, sql: str, deps=()):
         self.ctes[name] = (sql, tuple(deps))
 
+    def clone(self, names, sfx: str, mapping: dict):
+        """Copy a chain of CTEs under a suffix, re-pointing its inputs (mapping: old -> new name)."""
+        rename = {n: f"{n}_{sfx}" for n in names}
+        rename.update(mapping)
+        rx = re.compile(r"\b(" + "|".join(map(re.escape, sorted(rename, key=len, reverse=True))) + r")\b")
+        for n in names:
+            sql, deps = self.ctes[n]
+            self.add(rename[n], rx.sub(lambda m: rename[m.group(1)], sql), [rename.get(d, d) for d in deps])
+
     def sql(self, final: str, needs) -> str:
         order: list[str] = []
 
@@ -240,6 +251,7 @@ FROM fused_raw""", ["fused_raw"])
         self._define_state()
         self._define_managed()
         self._define_comparison()
+        self._define_cycles()
 
     # ------------------------------------------------------------------ discovered state
     def _define_state(self):
@@ -269,20 +281,9 @@ GROUP BY ALL) y"""
     def _define_managed(self):
         o = self.opts
         self.add("managed_src", fx.MANAGED_SRC_SQL_DUCK)
-        scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
-        tparse = "timezone('UTC', strptime(last_updated, '%Y-%m-%dT%H:%M:%S.%g%z'))"
         types = f"AND api_type IN {in_list(o.include_api_types)}" if o.include_api_types else ""
         self.add("m_pub", f"SELECT * FROM managed_src WHERE lifecycle_status = 'PUBLISHED' {types}", ["managed_src"])
-        self.add("m_apis", f"""
-SELECT DISTINCT apim_api_id, api_name, api_version, context, api_type, lifecycle_status, 'admin' AS provider,
-  'http' AS endpoint_type, endpoint_url,
-  regexp_extract(endpoint_url, '{scheme}([^/:]*)', 1) AS endpoint_hostname,
-  CASE WHEN regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) <> ''
-       THEN CAST(regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) AS INTEGER)
-       WHEN starts_with(lower(endpoint_url), 'https:') THEN 443 ELSE 80 END AS endpoint_port,
-  {trim_suffix_sql(f"regexp_extract(endpoint_url, '{scheme}[^/]*([^?#]*)', 1)")} AS endpoint_basepath,
-  {tparse} AS apim_last_updated_at, {tparse} AS apim_created_at
-FROM m_pub""", ["m_pub"])
+        self.add("m_apis", self.apis_sql("m_pub"), ["m_pub"])
         self.add("m_ops", f"""
 SELECT apim_api_id, http_method, raw_target, normalized_target,
   {match_path_sql('endpoint_basepath', 'normalized_target')} AS match_path
@@ -292,6 +293,20 @@ FROM (
   FROM m_pub s JOIN m_apis a ON s.apim_api_id = a.apim_api_id
   WHERE upper(s.verb) NOT IN ('', 'OPTIONS', 'HEAD')) x""", ["m_pub", "m_apis"])
 
+    def apis_sql(self, src: str) -> str:
+        scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+        tparse = "timezone('UTC', strptime(last_updated, '%Y-%m-%dT%H:%M:%S.%g%z'))"
+        return f"""
+SELECT DISTINCT apim_api_id, api_name, api_version, context, api_type, lifecycle_status, 'admin' AS provider,
+  'http' AS endpoint_type, endpoint_url,
+  regexp_extract(endpoint_url, '{scheme}([^/:]*)', 1) AS endpoint_hostname,
+  CASE WHEN regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) <> ''
+       THEN CAST(regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) AS INTEGER)
+       WHEN starts_with(lower(endpoint_url), 'https:') THEN 443 ELSE 80 END AS endpoint_port,
+  {trim_suffix_sql(f"regexp_extract(endpoint_url, '{scheme}[^/]*([^?#]*)', 1)")} AS endpoint_basepath,
+  {tparse} AS apim_last_updated_at, {tparse} AS apim_created_at
+FROM {src}"""
+
     # ------------------------------------------------------------------ comparison
     def _define_comparison(self):
         self.add("op_pick", """
@@ -344,3 +359,79 @@ LEFT JOIN (SELECT service_key, arg_min(apim_api_id, (http_method, resource_path)
                                  AND l.http_method = c.http_method AND l.resource_path = c.resource_path)) r
            GROUP BY ALL) m ON m.service_key = c.service_key
 WHERE c.apim_api_id IS NULL OR c.lost""", ["cands", "losers"])
+
+    # ------------------------------------------------------- two cycles: discovery, comparison, E7-E9
+    DISCOVERY_CHAIN = ("sp_filtered", "sigs", "sigs_reason", "kept", "normalized", "deduped", "fusion_match",
+                       "fusion_attach", "fused_raw", "fused", "fused_reason", "fused_valid", "discovered")
+    COMPARISON_CHAIN = ("op_pick", "cands", "coll", "scores", "sk_domain", "resolved", "losers", "classified")
+
+    def _define_cycles(self):
+        from ..operators.discovery import COALESCE_COLS, DISCOVERED_COLS, DISCOVERED_KEY, OVERWRITE_COLS
+        split, as_of = q(fx.STATE_SPLIT), q(fx.AS_OF)
+        self.add("flows_w1", f"SELECT * FROM flows WHERE start_time < TIMESTAMP {split}", ["flows"])
+        self.add("flows_w2", f"SELECT * FROM flows WHERE start_time >= TIMESTAMP {split}", ["flows"])
+        self.clone(self.DISCOVERY_CHAIN, "w1", {"flows": "flows_w1"})
+        self.clone(self.DISCOVERY_CHAIN, "w2", {"flows": "flows_w2"})
+        on = " AND ".join(f"o.{k} = n.{k}" for k in DISCOVERED_KEY)
+
+        def rule(c):
+            if c in DISCOVERED_KEY:
+                return f"coalesce(o.{c}, n.{c})"
+            if c in OVERWRITE_COLS or c == "last_seen_at":
+                return f"CASE WHEN n.http_method IS NOT NULL THEN n.{c} ELSE o.{c} END"
+            if c in COALESCE_COLS:
+                return f"CASE WHEN n.http_method IS NOT NULL THEN coalesce(n.{c}, o.{c}) ELSE o.{c} END"
+            if c == "hit_count":
+                return "coalesce(o.hit_count, 0) + coalesce(n.hit_count, 0)"
+            return f"CASE WHEN o.http_method IS NOT NULL THEN o.{c} ELSE n.{c} END"
+        self.add("discovered_m", "SELECT " + ", ".join(f"{rule(c)} AS {c}" for c in DISCOVERED_COLS)
+                 + f" FROM discovered_w1 o FULL OUTER JOIN discovered_w2 n ON {on}", ["discovered_w1", "discovered_w2"])
+        self.clone(self.COMPARISON_CHAIN, "w1", {"discovered": "discovered_w1"})
+        self.clone(self.COMPARISON_CHAIN, "m", {"discovered": "discovered_m"})
+        self.add("u0", "SELECT CAST(NULL AS VARCHAR) AS service_key, CAST(NULL AS VARCHAR) AS http_method, "
+                 "CAST(NULL AS VARCHAR) AS resource_path, CAST(NULL AS VARCHAR) AS managed_api_id, "
+                 "CAST(NULL AS VARCHAR) AS classification, CAST(NULL AS VARCHAR) AS confidence, "
+                 "CAST(NULL AS VARCHAR) AS status, CAST(NULL AS TIMESTAMP) AS first_detected_at, "
+                 "CAST(NULL AS TIMESTAMP) AS last_confirmed_at, CAST(NULL AS TIMESTAMP) AS resolved_at, "
+                 "CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at WHERE 1 = 0")
+        self.cycle("u1", "u0", "classified_w1", "discovered_w1", fx.STATE_SPLIT)
+        self.cycle("u2", "u1", "classified_m", "discovered_m", fx.AS_OF)
+
+    def cycle(self, name, prev, classified, disc, as_of):
+        ts = f"TIMESTAMP {q(as_of)}"
+        after = self.opts.stale_after
+        on = " AND ".join(f"o.{k} = n.{k}" for k in ("service_key", "http_method", "resource_path"))
+        reopen = ("(o.classification <> n.classification OR o.managed_api_id IS DISTINCT FROM n.managed_api_id "
+                  "OR o.status IN ('RESOLVED', 'STALE'))")
+        self.add(f"{name}_e7", f"""
+SELECT coalesce(o.service_key, n.service_key) AS service_key, coalesce(o.http_method, n.http_method) AS http_method,
+  coalesce(o.resource_path, n.resource_path) AS resource_path,
+  CASE WHEN n.service_key IS NOT NULL THEN n.managed_api_id ELSE o.managed_api_id END AS managed_api_id,
+  CASE WHEN n.service_key IS NOT NULL THEN n.classification ELSE o.classification END AS classification,
+  CASE WHEN n.service_key IS NOT NULL THEN n.confidence ELSE o.confidence END AS confidence,
+  CASE WHEN o.service_key IS NULL THEN 'DETECTED' WHEN n.service_key IS NULL THEN o.status
+       WHEN {reopen} THEN 'DETECTED' ELSE o.status END AS status,
+  CASE WHEN o.service_key IS NULL THEN {ts} ELSE o.first_detected_at END AS first_detected_at,
+  CASE WHEN n.service_key IS NOT NULL THEN {ts} ELSE o.last_confirmed_at END AS last_confirmed_at,
+  CASE WHEN o.service_key IS NULL THEN NULL WHEN n.service_key IS NULL THEN o.resolved_at
+       WHEN {reopen} THEN NULL ELSE o.resolved_at END AS resolved_at,
+  CASE WHEN o.service_key IS NULL THEN {ts} ELSE o.created_at END AS created_at,
+  o.updated_at, o.status AS prev_status
+FROM {prev} o FULL OUTER JOIN {classified} n ON {on}""", [prev, classified])
+        self.add(f"{name}_e8", f"""
+SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'RESOLVED' ELSE status END AS status,
+                                CASE WHEN hit THEN {ts} ELSE resolved_at END AS resolved_at)
+FROM (SELECT *, status NOT IN ('DISMISSED', 'RESOLVED', 'STALE') AND last_confirmed_at < {ts}
+        AND EXISTS (SELECT 1 FROM {disc}) AS hit FROM {name}_e7) x""", [f"{name}_e7", disc])
+        self.add(f"{name}_e9", f"""
+SELECT * EXCLUDE (hit, d_last) REPLACE (CASE WHEN hit THEN 'STALE' ELSE status END AS status,
+                                        CASE WHEN hit THEN {ts} ELSE resolved_at END AS resolved_at)
+FROM (SELECT u.*, d.last_seen_at AS d_last,
+        coalesce(u.status NOT IN ('DISMISSED', 'RESOLVED', 'STALE')
+                 AND d.last_seen_at < {ts} - INTERVAL '{after}', false) AS hit
+      FROM {name}_e8 u LEFT JOIN {disc} d ON u.service_key = d.service_key AND u.http_method = d.http_method
+       AND u.resource_path = d.resource_path) x""", [f"{name}_e8", disc])
+        self.add(name, f"""
+SELECT * EXCLUDE (prev_status) REPLACE (
+  CASE WHEN prev_status IS NULL OR prev_status <> status THEN {ts} ELSE updated_at END AS updated_at)
+FROM {name}_e9""", [f"{name}_e9"])

@@ -329,3 +329,77 @@ def q_comparison_metrics(spark, sf_dir):
     """C18 (comparison): managed / unmatched / unmanaged / shadow / drift counts."""
     parts = S.comparison(spark, sf_dir, OPTS)
     return C.phase_metrics(parts["candidates"], parts["classified"])
+
+
+# ------------------------------------------------------------------------- lifecycle queries
+
+from ..operators import lifecycle as L  # noqa: E402
+
+_U_OUT = ["service_key", "http_method", "resource_path", "managed_api_id", "classification", "confidence", "status",
+          "first_detected_at", "last_confirmed_at", "resolved_at", "updated_at"]
+_U_SQL = ", ".join(_U_OUT)
+
+
+@query("discovered_merge", "SELECT * FROM discovered_m", ["discovered_m"])
+def q_discovered_merge(spark, sf_dir):
+    """Second-cycle batch merged into the first cycle's discovered state (add / overwrite / coalesce / keep)."""
+    return S.lifecycle(spark, sf_dir, OPTS)["d2"].select(*D.DISCOVERED_COLS)
+
+
+@query("unmanaged_merge", f"SELECT {_U_SQL} FROM u2_e7", ["u2_e7"])
+def q_unmanaged_merge(spark, sf_dir):
+    """Second-cycle findings merged into the first cycle's unmanaged state (status machine)."""
+    return S.lifecycle(spark, sf_dir, OPTS)["e7"].select(*_U_OUT)
+
+
+@query("mark_resolved", f"SELECT {_U_SQL} FROM u2_e8", ["u2_e8"])
+def q_mark_resolved(spark, sf_dir):
+    """Findings not confirmed in the cycle become RESOLVED."""
+    return S.lifecycle(spark, sf_dir, OPTS)["e8"].select(*_U_OUT)
+
+
+@query("mark_stale", f"SELECT {_U_SQL} FROM u2", ["u2"])
+def q_mark_stale(spark, sf_dir):
+    """E9 + J12: findings whose discovered row was last seen over 7 days ago become STALE (full cycle)."""
+    return S.lifecycle(spark, sf_dir, OPTS)["u2"].select(*_U_OUT)
+
+
+@query("count_by_class",
+       "SELECT classification, count(*) AS findings FROM u2 WHERE status NOT IN ('RESOLVED', 'STALE') GROUP BY ALL",
+       ["u2"])
+def q_count_by_class(spark, sf_dir):
+    """Findings per classification, excluding RESOLVED and STALE."""
+    return L.count_by_class(S.lifecycle(spark, sf_dir, OPTS)["u2"])
+
+
+@query("detected_groups",
+       "SELECT DISTINCT service_key, classification, managed_api_id FROM u2 WHERE status = 'DETECTED'", ["u2"])
+def q_detected_groups(spark, sf_dir):
+    """Service groups with at least one DETECTED finding."""
+    return L.detected_groups(S.lifecycle(spark, sf_dir, OPTS)["u2"])
+
+
+RETENTION_AS_OF_DISCOVERED = "2024-02-20 00:00:00"
+RETENTION_AS_OF_UNMANAGED = "2024-04-20 00:00:00"
+
+
+@query("retention_discovered",
+       "SELECT service_key, http_method, resource_path, last_seen_at FROM discovered_m d WHERE NOT ("
+       f"d.last_seen_at < TIMESTAMP '{RETENTION_AS_OF_DISCOVERED}' - INTERVAL '{OPTS.retention_discovered}' "
+       "AND NOT EXISTS (SELECT 1 FROM u2 u WHERE u.service_key = d.service_key AND u.http_method = d.http_method "
+       "AND u.resource_path = d.resource_path AND u.status NOT IN ('RESOLVED', 'STALE', 'DISMISSED')))",
+       ["discovered_m", "u2"])
+def q_retention_discovered(spark, sf_dir):
+    """E14 + J11: discovered rows kept by the 30-day retention (as of 2024-02-20)."""
+    lc = S.lifecycle(spark, sf_dir, OPTS)
+    return L.purge_discovered(lc["d2"], lc["u2"], RETENTION_AS_OF_DISCOVERED, OPTS.retention_discovered) \
+        .select("service_key", "http_method", "resource_path", "last_seen_at")
+
+
+@query("retention_unmanaged",
+       f"SELECT {_U_SQL} FROM u2 WHERE NOT (status IN ('RESOLVED', 'STALE', 'DISMISSED') AND updated_at < "
+       f"TIMESTAMP '{RETENTION_AS_OF_UNMANAGED}' - INTERVAL '{OPTS.retention_unmanaged}')", ["u2"])
+def q_retention_unmanaged(spark, sf_dir):
+    """Findings kept by the 90-day retention of terminal statuses (as of 2024-04-20)."""
+    return L.purge_unmanaged(S.lifecycle(spark, sf_dir, OPTS)["u2"], RETENTION_AS_OF_UNMANAGED,
+                             OPTS.retention_unmanaged).select(*_U_OUT)

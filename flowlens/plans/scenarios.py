@@ -80,3 +80,31 @@ def comparison(spark, sf_dir, opts: Options) -> dict[str, DataFrame]:
     ops = M.active_ops(op_state, api_state)
     live = api_state.where(F.col("deleted_at").isNull())
     return C.compare(discovered(spark, sf_dir, opts), ops, live)
+
+
+# ----------------------------------------------------------------------- two cycles
+
+def discovery_cycles(spark, sf_dir, opts: Options):
+    """Cycle 1 = flows before the split (as of the split), cycle 2 = the rest merged into it."""
+    f = flows(spark, sf_dir)
+    d1 = materialize(D.discovered_from_flows(f, opts, SPLIT, end=SPLIT), "discovered_c1")
+    parts2 = D.discover_batch(f, opts, start=SPLIT)
+    d2 = materialize(D.merge_discovered(d1, D.batch_records(parts2["valid"]), AS_OF), "discovered_c2")
+    return d1, d2
+
+
+def lifecycle(spark, sf_dir, opts: Options) -> dict[str, DataFrame]:
+    from ..operators import lifecycle as L
+    d1, d2 = discovery_cycles(spark, sf_dir, opts)
+    api_state, op_state = managed_state(spark, sf_dir, opts)
+    ops = M.active_ops(op_state, api_state)
+    live = api_state.where(F.col("deleted_at").isNull())
+    c1 = C.compare(d1, ops, live)["classified"]
+    u1 = materialize(L.comparison_cycle(None, c1, d1, SPLIT, opts.stale_after), "unmanaged_c1")
+    c2 = materialize(C.compare(d2, ops, live)["classified"], "classified_c2")
+    e7 = L.merge_unmanaged(u1, c2, AS_OF)
+    e8 = L.mark_resolved(e7, AS_OF, ~d2.select("service_key").exists())
+    e9 = L.mark_stale(e8, d2, opts.stale_after, AS_OF)
+    u2 = materialize(L.finish_cycle(e9, AS_OF), "unmanaged_c2")
+    return {"d1": d1, "d2": d2, "u1": u1, "e7": e7, "e8": e8, "u2": u2, "api_state": api_state,
+            "op_state": op_state}
