@@ -252,6 +252,8 @@ FROM fused_raw""", ["fused_raw"])
         self._define_managed()
         self._define_comparison()
         self._define_cycles()
+        self._define_specs()
+        self._define_catalog()
 
     # ------------------------------------------------------------------ discovered state
     def _define_state(self):
@@ -435,3 +437,169 @@ FROM (SELECT u.*, d.last_seen_at AS d_last,
 SELECT * EXCLUDE (prev_status) REPLACE (
   CASE WHEN prev_status IS NULL OR prev_status <> status THEN {ts} ELSE updated_at END AS updated_at)
 FROM {name}_e9""", [f"{name}_e9"])
+
+    # ------------------------------------------------------------------------ specs (J8, C17, F*)
+    def _define_specs(self):
+        from ..operators.specs import META_COLS
+        term = "('DISMISSED', 'RESOLVED', 'STALE')"
+        key_on = "u.service_key = d.service_key AND u.http_method = d.http_method AND u.resource_path = d.resource_path"
+        grp_on = ("g.service_key = u.service_key AND g.classification = u.classification "
+                  "AND g.managed_api_id IS NOT DISTINCT FROM u.managed_api_id")
+        ints = {"server_port", "response_code", "latency_us", "hit_count"}
+
+        def meta(c):
+            if c in ("first_seen_at", "last_seen_at"):
+                return f"d.{c}"
+            if c in ints:
+                return f"coalesce(d.{c}, 0) AS {c}"
+            if c == "is_tls":
+                return "coalesce(d.is_tls, false) AS is_tls"
+            return f"coalesce(d.{c}, '') AS {c}"
+        self.add("sp_groups", "SELECT DISTINCT service_key, classification, managed_api_id FROM u2 WHERE status = 'DETECTED'",
+                 ["u2"])
+        self.add("sp_input", f"""
+SELECT u.managed_api_id, u.service_key, u.http_method, u.resource_path, u.classification, u.confidence,
+  {', '.join(meta(c) for c in META_COLS)},
+  coalesce(a.api_name, '') AS parent_api_name, coalesce(a.api_version, '') AS parent_api_version
+FROM u2 u JOIN discovered_m d ON {key_on}
+LEFT JOIN m_apis a ON a.apim_api_id = u.managed_api_id
+WHERE u.status NOT IN {term} AND EXISTS (SELECT 1 FROM sp_groups g WHERE {grp_on})""",
+                 ["u2", "discovered_m", "m_apis", "sp_groups"])
+        self.add("sp_stats", """
+SELECT service_key, classification, managed_api_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at,
+  CAST(sum(hit_count) AS BIGINT) AS total_hit_count, count(*) AS total_operations,
+  bool_or(is_tls) AS has_tls, bool_and(is_tls) AS all_tls
+FROM sp_input GROUP BY ALL""", ["sp_input"])
+        dom = strip_port_sql("request_domain", keep_leading=False)
+        self.add("sp_head", f"""
+SELECT r.*, s.has_tls, s.all_tls,
+  CASE WHEN r.classification = 'DRIFT' AND r.parent_api_name <> '' THEN r.parent_api_name || '-Drift'
+       ELSE replace(replace(r.service_key, '/', '-'), ':', '-') END AS title,
+  CASE WHEN s.has_tls AND NOT s.all_tls THEN 'https://' || r.hostname || ',http://' || r.hostname
+       WHEN s.has_tls THEN 'https://' || r.hostname ELSE 'http://' || r.hostname END AS servers
+FROM (
+  SELECT *,
+    CASE WHEN k8s_service <> '' AND k8s_namespace <> '' THEN k8s_service || '.' || k8s_namespace
+         WHEN k8s_service <> '' THEN k8s_service
+         WHEN request_domain <> '' AND contains({dom}, '.') AND regexp_matches({dom}, '[A-Za-z]')
+              AND {dom} NOT IN ('localhost', '0.0.0.0') THEN {dom}
+         WHEN request_domain <> '' AND {dom} NOT IN ('', '127.0.0.1', '0.0.0.0') THEN {dom}
+         WHEN host_ip NOT IN ('', '127.0.0.1', '0.0.0.0') THEN host_ip
+         WHEN service_ip NOT IN ('', '127.0.0.1', '0.0.0.0') THEN service_ip
+         ELSE 'unknown-host' END AS hostname
+  FROM (SELECT *, row_number() OVER (PARTITION BY service_key, classification, managed_api_id
+                                     ORDER BY resource_path, http_method) AS rn FROM sp_input) x
+  WHERE rn = 1) r
+JOIN sp_stats s ON s.service_key = r.service_key AND s.classification = r.classification
+ AND s.managed_api_id IS NOT DISTINCT FROM r.managed_api_id""", ["sp_input", "sp_stats"])
+        opid = ("regexp_replace(regexp_replace(replace(replace(replace(lower(http_method) || '-' || resource_path, "
+                "'/', '-'), '{', ''), '}', ''), '^-+|-+$', '', 'g'), '-{2,}', '-', 'g')")
+        self.add("sp_opids", f"SELECT *, {opid} AS operation_id FROM sp_input", ["sp_input"])
+        segs = "string_split(trim(resource_path, '/'), '/')"
+        nth = f"len(list_filter(list_slice({segs}, 1, i), lambda y: y = '{{id}}'))"
+        names = f"list_transform({segs}, lambda s, i: CASE WHEN s = '{{id}}' THEN CASE WHEN {nth} = 1 THEN 'id' ELSE 'id' || CAST({nth} AS VARCHAR) END END)"
+        self.add("sp_paths_all", f"""
+SELECT *, '/' || array_to_string(list_transform({names}, lambda n, i: coalesce('{{' || n || '}}', {segs}[i])), '/') AS oas_path,
+  array_to_string(list_filter({names}, lambda n: n IS NOT NULL), ',') AS params
+FROM sp_opids""", ["sp_opids"])
+        self.add("sp_paths", """
+SELECT * EXCLUDE (keep_path) FROM (
+  SELECT *, max(resource_path) OVER (PARTITION BY service_key, classification, managed_api_id, oas_path) AS keep_path
+  FROM sp_paths_all) x WHERE resource_path = keep_path""", ["sp_paths_all"])
+        self.add("sp_rejects", """
+SELECT service_key, classification, managed_api_id, count(*) AS operations, count(DISTINCT operation_id) AS distinct_ids
+FROM sp_paths GROUP BY ALL HAVING count(*) <> count(DISTINCT operation_id)""", ["sp_paths"])
+        self.add("sp_good", """
+SELECT * FROM sp_groups g WHERE NOT EXISTS (SELECT 1 FROM sp_rejects r WHERE r.service_key = g.service_key
+  AND r.classification = g.classification AND r.managed_api_id IS NOT DISTINCT FROM g.managed_api_id)""",
+                 ["sp_groups", "sp_rejects"])
+        ts = f"TIMESTAMP {q(fx.AS_OF)}"
+        self.add("u3", f"""
+SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'SPEC_GENERATED' ELSE status END AS status,
+  CASE WHEN hit THEN {ts} ELSE spec_generated_at END AS spec_generated_at,
+  CASE WHEN hit THEN {ts} ELSE updated_at END AS updated_at)
+FROM (SELECT u.*, CAST(NULL AS TIMESTAMP) AS spec_generated_at,
+        u.status NOT IN {term} AND EXISTS (SELECT 1 FROM sp_good g WHERE g.service_key = u.service_key
+          AND g.classification = u.classification
+          AND (g.managed_api_id IS NULL OR g.managed_api_id = u.managed_api_id)) AS hit
+      FROM u2 u) x""", ["u2", "sp_good"])
+
+    # ------------------------------------------------------------------- catalog (C13, G*, E11/12)
+    def _define_catalog(self):
+        from ..operators.catalog import DRIFT_NOTE, SHADOW_NOTE
+        from .scenarios import PUSH_AS_OF
+        o = self.opts
+        term = "('DISMISSED', 'RESOLVED', 'STALE')"
+        self.add("catalog_src", fx.CATALOG_SRC_SQL)
+        self.add("u3s", """
+SELECT * REPLACE (CASE WHEN classification = 'DRIFT'
+  THEN 'cat-' || lpad(CAST((length(service_key) * 2) % 50 AS VARCHAR), 3, '0') END AS catalog_service_id)
+FROM (SELECT *, CAST(NULL AS VARCHAR) AS catalog_service_id FROM u3) x""", ["u3"])
+        version = f"strftime(TIMESTAMP {q(PUSH_AS_OF)}, '%Y.%m.%d')"
+        self.add("pp_groups", f"""
+SELECT DISTINCT ON (service_key, classification, managed_api_id) service_key, classification, managed_api_id,
+  catalog_service_id
+FROM u3s WHERE status = 'SPEC_GENERATED'
+ORDER BY service_key, classification, managed_api_id, catalog_service_id NULLS LAST, resource_path, http_method""",
+                 ["u3s"])
+        keep = ["TRUE"]
+        if not o.push_shadow:
+            keep.append("g.classification <> 'SHADOW'")
+        if not o.push_drift:
+            keep.append("g.classification <> 'DRIFT'")
+        note = (f"CASE WHEN g.classification = 'SHADOW' THEN printf({q(SHADOW_NOTE)}, g.service_key) "
+                f"ELSE printf({q(DRIFT_NOTE)}, g.service_key) END")
+        base = ("CASE WHEN g.catalog_service_id IS NULL THEN 'CREATE' WHEN c.id IS NOT NULL THEN 'UPDATE' "
+                f"WHEN {str(bool(o.re_push_deleted)).upper()} THEN 'CREATE' ELSE 'SKIP' END")
+        self.add("pp_plan", f"""
+SELECT *,
+  CASE WHEN is_update AND (t_name IS DISTINCT FROM catalog_name OR t_version IS DISTINCT FROM catalog_version) THEN 'REPLACE'
+       WHEN is_update THEN 'UPDATE' ELSE base END AS action
+FROM (
+  SELECT g.service_key, g.classification, g.managed_api_id, g.catalog_service_id, h.catalog_name,
+    {version} AS catalog_version,
+    CASE WHEN h.has_tls THEN 'https://' ELSE 'http://' END || h.hostname AS service_url,
+    {q(f"[{o.owner_tag}:{o.hostname}] ")} || {note} AS description,
+    {base} AS base,
+    CASE WHEN {base} = 'UPDATE' THEN c.id WHEN {base} = 'CREATE' AND n.id IS NOT NULL THEN n.id END AS target_id,
+    CASE WHEN {base} = 'UPDATE' THEN c.name WHEN {base} = 'CREATE' AND n.id IS NOT NULL THEN n.name END AS t_name,
+    CASE WHEN {base} = 'UPDATE' THEN c.version WHEN {base} = 'CREATE' AND n.id IS NOT NULL THEN n.version END AS t_version,
+    {base} = 'UPDATE' OR ({base} = 'CREATE' AND n.id IS NOT NULL) AS is_update
+  FROM pp_groups g
+  JOIN (SELECT service_key, classification, managed_api_id, has_tls, hostname,
+          CASE WHEN classification = 'DRIFT' AND parent_api_name <> '' THEN parent_api_name || '-Drift'
+               ELSE replace(replace(service_key, '/', '-'), ':', '-') END AS catalog_name FROM sp_head) h
+    ON h.service_key = g.service_key AND h.classification = g.classification
+   AND h.managed_api_id IS NOT DISTINCT FROM g.managed_api_id
+  LEFT JOIN catalog_src c ON c.id = g.catalog_service_id
+  LEFT JOIN (SELECT name, min(id) AS id, arg_min(version, id) AS version FROM catalog_src GROUP BY name) n
+    ON n.name = h.catalog_name
+  WHERE {' AND '.join(keep)}) x""", ["pp_groups", "sp_head", "catalog_src"])
+        pts = f"TIMESTAMP {q(PUSH_AS_OF)}"
+        self.add("pp_results", """
+SELECT service_key, classification, managed_api_id, action, catalog_version,
+  CASE WHEN action = 'UPDATE' THEN target_id WHEN action = 'SKIP' THEN catalog_service_id
+       ELSE 'new:' || catalog_name || ':' || catalog_version END AS catalog_service_id
+FROM pp_plan""", ["pp_plan"])
+        self.add("u4", f"""
+SELECT * EXCLUDE (act, cid, cver, pushed, skipped) REPLACE (
+  CASE WHEN pushed OR skipped THEN 'PUSHED' ELSE status END AS status,
+  CASE WHEN pushed THEN cid ELSE catalog_service_id END AS catalog_service_id,
+  CASE WHEN pushed THEN cver ELSE catalog_version END AS catalog_version,
+  CASE WHEN pushed THEN {pts} ELSE pushed_at END AS pushed_at)
+FROM (
+  SELECT u.*, CAST(NULL AS VARCHAR) AS catalog_version, CAST(NULL AS TIMESTAMP) AS pushed_at,
+    r.action AS act, r.catalog_service_id AS cid, r.catalog_version AS cver,
+    coalesce(r.action IN ('CREATE', 'UPDATE', 'REPLACE') AND u.status NOT IN {term}, false) AS pushed,
+    coalesce(r.action = 'SKIP' AND u.status = 'SPEC_GENERATED', false) AS skipped
+  FROM u3s u LEFT JOIN pp_results r ON r.service_key = u.service_key AND r.classification = u.classification
+   AND (r.managed_api_id IS NULL OR u.managed_api_id = r.managed_api_id)) x""", ["u3s", "pp_results"])
+        owner = f"regexp_extract(description, {q('^[[]' + o.owner_tag + ':(.+?)[]]')}, 1)"
+        self.add("rec", f"""
+SELECT id, name, version, owner,
+  CASE WHEN tracked THEN 'ours' WHEN owner = {q(o.hostname)} THEN 'ours' WHEN owner <> '' THEN 'other'
+       ELSE 'unowned' END AS ownership,
+  {str(bool(o.cleanup_unowned)).upper()} AND NOT tracked AND owner = '' AS "delete"
+FROM (SELECT c.id, c.name, c.version, {owner} AS owner,
+        EXISTS (SELECT 1 FROM u4 t WHERE t.catalog_service_id = c.id) AS tracked FROM catalog_src c) x""",
+                 ["catalog_src", "u4"])

@@ -403,3 +403,138 @@ def q_retention_unmanaged(spark, sf_dir):
     """Findings kept by the 90-day retention of terminal statuses (as of 2024-04-20)."""
     return L.purge_unmanaged(S.lifecycle(spark, sf_dir, OPTS)["u2"], RETENTION_AS_OF_UNMANAGED,
                              OPTS.retention_unmanaged).select(*_U_OUT)
+
+
+# ------------------------------------------------------------------------------ spec queries
+
+from ..operators import catalog as CAT  # noqa: E402
+from ..operators import specs as SP  # noqa: E402
+
+_G = "service_key, classification, managed_api_id"
+
+
+@query("spec_input", "SELECT * FROM sp_input", ["sp_input"])
+def q_spec_input(spark, sf_dir):
+    """Active findings of DETECTED groups joined with discovered and registered rows, blanks defaulted."""
+    return S.specs(spark, sf_dir, OPTS)["input"]
+
+
+@query("group_stats",
+       f"SELECT {_G}, first_seen_at, last_seen_at, total_hit_count, total_operations, has_tls, all_tls FROM sp_stats",
+       ["sp_stats"])
+def q_group_stats(spark, sf_dir):
+    """C17: per-group first/last seen, hits, operation count (and TLS flags for F4)."""
+    return S.specs(spark, sf_dir, OPTS)["stats"].withColumnRenamed("g_first_seen_at", "first_seen_at") \
+        .withColumnRenamed("g_last_seen_at", "last_seen_at")
+
+
+@query("group_rep", f"SELECT {_G}, resource_path, http_method, parent_api_name FROM sp_head", ["sp_head"])
+def q_group_rep(spark, sf_dir):
+    """Representative operation per group (first by path, method)."""
+    return S.specs(spark, sf_dir, OPTS)["rep"].select(*L.GROUP, "resource_path", "http_method", "parent_api_name")
+
+
+@query("spec_hosts", f"SELECT {_G}, hostname FROM sp_head", ["sp_head"])
+def q_spec_hosts(spark, sf_dir):
+    """server host name per group."""
+    return S.specs(spark, sf_dir, OPTS)["rep"].select(*L.GROUP, "hostname")
+
+
+@query("spec_titles", f"SELECT {_G}, title FROM sp_head", ["sp_head"])
+def q_spec_titles(spark, sf_dir):
+    """document title per group."""
+    return S.specs(spark, sf_dir, OPTS)["rep"].select(*L.GROUP, SP.spec_title(None).alias("title"))
+
+
+@query("spec_servers", f"SELECT {_G}, servers FROM sp_head", ["sp_head"])
+def q_spec_servers(spark, sf_dir):
+    """server URLs per group (https if any TLS op, then http if any plain op)."""
+    rep = S.specs(spark, sf_dir, OPTS)["rep"]
+    return rep.select(*L.GROUP, F.array_join(F.transform(SP.spec_servers(OPTS), lambda s: s["url"]), ",")
+                      .alias("servers"))
+
+
+@query("spec_paths_flat", f"SELECT {_G}, oas_path, http_method, operation_id, params FROM sp_paths", ["sp_paths"])
+def q_spec_paths(spark, sf_dir):
+    """F6 + F9 + X14: OpenAPI path template, parameters and operation per group (collapsed paths)."""
+    p = S.specs(spark, sf_dir, OPTS)["paths"]
+    return p.select(*L.GROUP, "oas_path", "http_method", "operation_id", F.array_join("params", ",").alias("params"))
+
+
+@query("operation_ids", f"SELECT {_G}, http_method, resource_path, operation_id FROM sp_opids", ["sp_opids"])
+def q_operation_ids(spark, sf_dir):
+    """operation id of every finding in a spec group."""
+    inp = S.specs(spark, sf_dir, OPTS)["input"]
+    return inp.select(*L.GROUP, "http_method", "resource_path",
+                      T_operation_id("http_method", "resource_path").alias("operation_id"))
+
+
+@query("spec_rejects", f"SELECT {_G}, operations, distinct_ids FROM sp_rejects", ["sp_rejects"])
+def q_spec_rejects(spark, sf_dir):
+    """groups rejected for a duplicate operationId (they stay DETECTED)."""
+    return S.specs(spark, sf_dir, OPTS)["rejects"]
+
+
+@query("spec_documents")
+def q_spec_documents(spark, sf_dir):
+    """F3 + F8 + F10: whole OpenAPI documents per valid group (JSON text; rows-only check)."""
+    return S.specs(spark, sf_dir, OPTS)["documents"]
+
+
+@query("apply_specs", "SELECT service_key, http_method, resource_path, status, spec_generated_at, updated_at FROM u3",
+       ["u3"])
+def q_apply_specs(spark, sf_dir):
+    """All active rows of a valid group get the document and SPEC_GENERATED."""
+    return S.specs(spark, sf_dir, OPTS)["u3"].select("service_key", "http_method", "resource_path", "status",
+                                                    "spec_generated_at", "updated_at")
+
+
+# ---------------------------------------------------------------------------- catalog queries
+
+@query("push_groups", f"SELECT {_G}, catalog_service_id FROM pp_groups", ["pp_groups"])
+def q_push_groups(spark, sf_dir):
+    """One row per SPEC_GENERATED group, its catalog id NULLS LAST."""
+    return S.push(spark, sf_dir, OPTS)["groups"].drop("openapi_spec")
+
+
+@query("push_plan",
+       f"SELECT {_G}, catalog_service_id, action, target_id, catalog_name, catalog_version, service_url, description "
+       "FROM pp_plan", ["pp_plan"])
+def q_push_plan(spark, sf_dir):
+    """B24 + J15 + G1-G6: catalog action per pushable group (CREATE / UPDATE / REPLACE / SKIP)."""
+    return S.push(spark, sf_dir, OPTS)["plan"].drop("openapi_spec")
+
+
+@query("push_results",
+       "SELECT service_key, http_method, resource_path, status, catalog_service_id, catalog_version, pushed_at FROM u4",
+       ["u4"])
+def q_push_results(spark, sf_dir):
+    """E11 + E12: planned pushes applied to the findings (PUSHED, catalog id and version)."""
+    return S.push(spark, sf_dir, OPTS)["u4"].select("service_key", "http_method", "resource_path", "status",
+                                                   "catalog_service_id", "catalog_version", "pushed_at")
+
+
+@query("tracked_ids", "SELECT DISTINCT catalog_service_id FROM u4 WHERE catalog_service_id IS NOT NULL", ["u4"])
+def q_tracked_ids(spark, sf_dir):
+    """C14: catalog ids the findings refer to."""
+    return L.tracked_ids(S.push(spark, sf_dir, OPTS)["u4"])
+
+
+@query("reconcile", "SELECT * FROM rec", ["rec"])
+def q_reconcile(spark, sf_dir):
+    """J14 + G7 + G8: ownership class of every catalog entry (tracked ids from the findings)."""
+    u4 = S.push(spark, sf_dir, OPTS)["u4"]
+    return CAT.reconcile(fx.catalog_src(spark, sf_dir), L.tracked_ids(u4), OPTS)
+
+
+@query("reconcile_metrics",
+       "SELECT count(*) FILTER (WHERE ownership = 'ours') AS ours, count(*) FILTER (WHERE ownership = 'other') AS other, "
+       "count(*) FILTER (WHERE ownership = 'unowned') AS unowned, count(*) FILTER (WHERE \"delete\") AS deleted FROM rec",
+       ["rec"])
+def q_reconcile_metrics(spark, sf_dir):
+    """C18 (reconciliation): ours / other / unowned / deleted."""
+    u4 = S.push(spark, sf_dir, OPTS)["u4"]
+    return CAT.reconcile_metrics(CAT.reconcile(fx.catalog_src(spark, sf_dir), L.tracked_ids(u4), OPTS))
+
+
+from ..functions.text import operation_id as T_operation_id  # noqa: E402
