@@ -254,6 +254,7 @@ FROM fused_raw""", ["fused_raw"])
         self._define_cycles()
         self._define_specs()
         self._define_catalog()
+        self._define_managed_sync()
 
     # ------------------------------------------------------------------ discovered state
     def _define_state(self):
@@ -603,3 +604,42 @@ SELECT id, name, version, owner,
 FROM (SELECT c.id, c.name, c.version, {owner} AS owner,
         EXISTS (SELECT 1 FROM u4 t WHERE t.catalog_service_id = c.id) AS tracked FROM catalog_src c) x""",
                  ["catalog_src", "u4"])
+
+    # ---------------------------------------------------------- managed two syncs
+    def _define_managed_sync(self):
+        n = "CAST(substr(apim_api_id, 5, 3) AS INTEGER)"
+        prev, now = f"TIMESTAMP {q(fx.STATE_SPLIT)}", f"TIMESTAMP {q(fx.AS_OF)}"
+        self.add("prev_src", f"""
+SELECT * REPLACE (CASE WHEN {n} % 3 = 2 THEN '2023-12-31T00:00:00.000+0000' ELSE last_updated END AS last_updated)
+FROM managed_src WHERE {n} % 3 <> 0""", ["managed_src"])
+        self.add("prev_apis", self.apis_sql("prev_src"), ["prev_src"])
+        self.add("prev_ops", f"""
+SELECT apim_api_id, http_method, raw_target, {match_path_sql('endpoint_basepath', 'normalized_target')} AS match_path
+FROM (SELECT s.apim_api_id, upper(s.verb) AS http_method, s.target AS raw_target,
+        {normalize_target_sql('s.target')} AS normalized_target, a.endpoint_basepath
+      FROM prev_src s JOIN prev_apis a ON s.apim_api_id = a.apim_api_id
+      WHERE upper(s.verb) NOT IN ('', 'OPTIONS', 'HEAD')) x""", ["prev_src", "prev_apis"])
+        self.add("sync", """
+SELECT a.apim_api_id, a.api_name, a.api_type, a.apim_last_updated_at,
+  CASE WHEN p.apim_api_id IS NULL THEN 'created' WHEN a.apim_last_updated_at = p.apim_last_updated_at THEN 'unchanged'
+       ELSE 'updated' END AS sync_class
+FROM m_apis a LEFT JOIN prev_apis p ON a.apim_api_id = p.apim_api_id""", ["m_apis", "prev_apis"])
+        changed = "s.sync_class IN ('created', 'updated')"
+        self.add("mm_apis", f"""
+SELECT coalesce(s.apim_api_id, p.apim_api_id) AS apim_api_id,
+  CASE WHEN {changed} THEN s.api_name ELSE p.api_name END AS api_name,
+  CASE WHEN p.apim_api_id IS NOT NULL THEN p.api_type ELSE s.api_type END AS api_type,
+  CASE WHEN {changed} THEN s.apim_last_updated_at ELSE p.apim_last_updated_at END AS apim_last_updated_at,
+  CASE WHEN s.apim_api_id IS NULL AND EXISTS (SELECT 1 FROM m_apis) THEN {now} END AS deleted_at,
+  CASE WHEN s.apim_api_id IS NOT NULL THEN {now} ELSE {prev} END AS last_synced_at,
+  CASE WHEN p.apim_api_id IS NOT NULL THEN {prev} ELSE {now} END AS created_at,
+  CASE WHEN {changed} OR s.apim_api_id IS NULL THEN {now} ELSE {prev} END AS updated_at
+FROM sync s FULL OUTER JOIN prev_apis p ON s.apim_api_id = p.apim_api_id""", ["sync", "prev_apis", "m_apis"])
+        self.add("mm_ops", f"""
+SELECT o.apim_api_id, o.http_method, o.raw_target, o.match_path, CAST(NULL AS TIMESTAMP) AS deleted_at
+FROM m_ops o JOIN sync s ON s.apim_api_id = o.apim_api_id WHERE s.sync_class <> 'unchanged'
+UNION ALL
+SELECT o.apim_api_id, o.http_method, o.raw_target, o.match_path,
+  CASE WHEN s.apim_api_id IS NULL THEN {now} END AS deleted_at
+FROM prev_ops o LEFT JOIN sync s ON s.apim_api_id = o.apim_api_id
+WHERE s.apim_api_id IS NULL OR s.sync_class = 'unchanged'""", ["m_ops", "sync", "prev_ops"])

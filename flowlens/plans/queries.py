@@ -538,3 +538,66 @@ def q_reconcile_metrics(spark, sf_dir):
 
 
 from ..functions.text import operation_id as T_operation_id  # noqa: E402
+
+
+# ------------------------------------------------------------------------ managed sync queries
+
+PURGE_AS_OF = "2024-05-15 00:00:00"
+_MM_OUT = ["apim_api_id", "api_name", "api_type", "apim_last_updated_at", "deleted_at", "last_synced_at",
+           "created_at", "updated_at"]
+
+
+@query("sync_classes", "SELECT apim_api_id, sync_class FROM sync", ["sync"])
+def q_sync_classes(spark, sf_dir):
+    """Created / updated / unchanged against the previous sync (timestamp change detection)."""
+    return S.managed_two_syncs(spark, sf_dir, OPTS)["classified"].select("apim_api_id", "sync_class")
+
+
+@query("deleted_apis",
+       "SELECT apim_api_id FROM prev_apis WHERE apim_api_id NOT IN (SELECT apim_api_id FROM m_apis)",
+       ["prev_apis", "m_apis"])
+def q_deleted_apis(spark, sf_dir):
+    """Stored active APIs missing from the current (non-empty) published list."""
+    ms = S.managed_two_syncs(spark, sf_dir, OPTS)
+    return M.detect_deleted(ms["prev_api"], ms["classified"]).select("apim_api_id")
+
+
+@query("managed_merge", "SELECT " + ", ".join(_MM_OUT) + " FROM mm_apis", ["mm_apis"])
+def q_managed_merge(spark, sf_dir):
+    """E2 + E4 + E5: API state after the second sync (upsert, touch unchanged, soft delete)."""
+    return S.managed_two_syncs(spark, sf_dir, OPTS)["api_state"].select(*_MM_OUT)
+
+
+@query("managed_ops_merge", "SELECT * FROM mm_ops", ["mm_ops"])
+def q_managed_ops_merge(spark, sf_dir):
+    """E3 + E5: operations replaced for changed APIs, cascaded soft delete for deleted ones."""
+    return S.managed_two_syncs(spark, sf_dir, OPTS)["op_state"].select(
+        "apim_api_id", "http_method", "raw_target", "match_path", "deleted_at")
+
+
+@query("count_active",
+       "SELECT (SELECT count(*) FROM mm_apis WHERE deleted_at IS NULL) AS active_apis, "
+       "(SELECT count(*) FROM mm_ops WHERE deleted_at IS NULL) AS active_operations", ["mm_apis", "mm_ops"])
+def q_count_active(spark, sf_dir):
+    """Active APIs and operations after the second sync."""
+    ms = S.managed_two_syncs(spark, sf_dir, OPTS)
+    return M.count_active(ms["api_state"], ms["op_state"])
+
+
+@query("purge_managed",
+       "SELECT apim_api_id, deleted_at FROM mm_apis WHERE NOT (deleted_at IS NOT NULL AND deleted_at < "
+       f"TIMESTAMP '{PURGE_AS_OF}' - INTERVAL '{OPTS.retention_managed}')", ["mm_apis"])
+def q_purge_managed(spark, sf_dir):
+    """APIs kept by the 90-day retention of soft-deleted rows (as of 2024-05-15)."""
+    ms = S.managed_two_syncs(spark, sf_dir, OPTS)
+    return M.purge_managed(ms["api_state"], PURGE_AS_OF, OPTS.retention_managed).select("apim_api_id", "deleted_at")
+
+
+@query("purge_ops",
+       "SELECT apim_api_id, http_method, raw_target, deleted_at FROM mm_ops WHERE NOT (deleted_at IS NOT NULL AND "
+       f"deleted_at < TIMESTAMP '{PURGE_AS_OF}' - INTERVAL '{OPTS.retention_managed}')", ["mm_ops"])
+def q_purge_ops(spark, sf_dir):
+    """Operations kept by the 90-day retention of soft-deleted rows (as of 2024-05-15)."""
+    ms = S.managed_two_syncs(spark, sf_dir, OPTS)
+    return M.purge_ops(ms["op_state"], PURGE_AS_OF, OPTS.retention_managed) \
+        .select("apim_api_id", "http_method", "raw_target", "deleted_at")
