@@ -102,20 +102,28 @@ def traffic_filter(flows: DataFrame, opts: Options, start=None, end=None) -> Dat
 
 # --------------------------------------------------------------------------------- C1, C2, C4
 
-def signatures(filtered: DataFrame) -> DataFrame:
+def signatures(filtered: DataFrame, cycle: str | None = None) -> DataFrame:
     """C1 (+A3b, B2): group by method, endpoint, port, agent; count; one coherent sample row.
 
     The sample is the earliest row by (start_time, flow_id), taken inside the same aggregate as the
-    count (partial aggregation on the map side; no second pass over the flows).
+    count (partial aggregation on the map side; no second pass over the flows). With ``cycle`` (an
+    interval such as '5 minutes') the aggregate is also per tumbling event-time window, which is
+    what a streaming run emits once the watermark passes the window end.
     """
     sample = F.struct("start_time", "flow_id", "request_resource", "request_domain", "is_tls",
                       "l7_protocol_str", "version", "response_code", "response_duration")
-    g = (filtered
-         .groupBy(F.col("request_type").alias("http_method"), "endpoint", "server_port", "agent_id")
+    keys = [F.col("request_type").alias("http_method"), "endpoint", "server_port", "agent_id"]
+    if cycle is not None:
+        # windows (and stream watermarks) are defined on TIMESTAMP; the session time zone is UTC
+        ev = F.col("event_time") if "event_time" in filtered.columns else F.col("start_time").cast("timestamp")
+        keys = [F.window(ev, cycle).alias("win")] + keys
+    g = (filtered.groupBy(*keys)
          .agg(F.count(F.lit(1)).alias("hit_count"), F.min(sample).alias("s"),
               F.max("start_time").alias("last_seen_at")))
+    lead = ([F.col("win.start").cast("timestamp_ntz").alias("cycle"),
+             F.col("win.end").cast("timestamp_ntz").alias("cycle_end")] if cycle is not None else [])
     out = g.select(
-        *SIG_KEY, "hit_count",
+        *lead, *SIG_KEY, "hit_count",
         F.coalesce(T.nullif_blank(F.col("s.request_resource")), F.col("endpoint")).alias("sample_url"),
         epoch_second("s.start_time").alias("sample_second"),
         T.nz(F.col("s.request_domain")).alias("request_domain"),
@@ -198,17 +206,18 @@ def dedup(sigs: DataFrame) -> DataFrame:
     """
     rep = F.struct((-F.col("hit_count")).alias("neg_hits"), F.col("endpoint"), "sample_url", "sample_second",
                    "request_domain", "is_tls", "protocol", "http_version", "response_code", "latency_us")
-    g = sigs.groupBy(*DEDUP_KEY).agg(
+    cyc = ["cycle"] if "cycle" in sigs.columns else []
+    g = sigs.groupBy(*cyc, *DEDUP_KEY).agg(
         F.sum("hit_count").cast("bigint").alias("hit_count"), F.min(rep).alias("r"),
         F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
     return g.select(
-        *DEDUP_KEY, "hit_count",
+        *cyc, *DEDUP_KEY, "hit_count",
         F.col("r.endpoint").alias("sample_path"), F.col("r.sample_url").alias("sample_url"),
         F.col("r.sample_second").alias("sample_second"), F.col("r.request_domain").alias("request_domain"),
         F.col("r.is_tls").alias("is_tls"), F.col("r.protocol").alias("protocol"),
         F.col("r.http_version").alias("http_version"), F.col("r.response_code").alias("response_code"),
         F.col("r.latency_us").alias("latency_us"), "first_seen_at", "last_seen_at",
-        F.struct(F.col("r.neg_hits").alias("neg_hits"), F.col("http_method").alias("m"),
+        F.struct(*[F.col(c) for c in cyc], F.col("r.neg_hits").alias("neg_hits"), F.col("http_method").alias("m"),
                  F.col("r.endpoint").alias("e"), F.col("server_port").alias("p"),
                  F.col("agent_id").alias("a")).alias("rank"))
 
@@ -232,10 +241,11 @@ def fuse(sigs: DataFrame, flows: DataFrame, opts: Options) -> DataFrame:
     if opts.fusion_tolerance_ms >= 1000:
         raise ValueError("tolerance of a second or more needs the bucketed interval join")
     # Only allow-listed sample URLs are looked up at all
+    keys = (["cycle"] if "cycle" in sigs.columns else []) + DEDUP_KEY
     cand = (sigs.where(T.is_enrichable("sample_url"))
             .select(F.col("sample_url").alias("url"), F.col("http_method").alias("method"),
                     F.col("sample_second").alias("sec"),
-                    F.struct("rank", *[F.col(k).alias(f"k_{k}") for k in DEDUP_KEY]).alias("w")))
+                    F.struct("rank", *[F.col(k).alias(f"k_{k}") for k in keys]).alias("w")))
     pick_exact = cand.where(F.col("sec").isNotNull()).groupBy("url", "method", "sec").agg(F.min("w").alias("w1"))
     pick_untimed = cand.where(F.col("sec").isNull()).groupBy("url", "method").agg(F.min("w").alias("w2"))
     pick_any = cand.groupBy("url", "method").agg(F.min("w").alias("w3"))
@@ -264,7 +274,7 @@ def fuse(sigs: DataFrame, flows: DataFrame, opts: Options) -> DataFrame:
                                            ("ip4_1", "service_ip")]])))
     cp_src = dict(zip(CP_COLS, ["ip4_0", "process_kname_0", "pod_0", "pod_ns_0", "pod_service_0",
                                 "pod_cluster_0", "chost_0"]))
-    att = matched.groupBy(*[F.col("w").getField(f"k_{k}").alias(k) for k in DEDUP_KEY]).agg(
+    att = matched.groupBy(*[F.col("w").getField(f"k_{k}").alias(k) for k in keys]).agg(
         sp_last.alias("sp"),
         _first(sp & (T.nz(F.col("request_domain")) != ""), F.col("request_domain")).alias("sp_domain"),
         _first(s & (T.nz(F.col("ip4_0")) != ""), F.col("ip4_0")).alias("source_ip"),
@@ -272,7 +282,7 @@ def fuse(sigs: DataFrame, flows: DataFrame, opts: Options) -> DataFrame:
         _first(s, F.coalesce(F.col("is_internet_0"), F.lit(False))).alias("is_external"),
         *[_first(cp & (T.nz(F.col(src)) != ""), F.col(src)).alias(dst) for dst, src in cp_src.items()])
 
-    j = sigs.join(att, DEDUP_KEY, "left")
+    j = sigs.join(att, keys, "left")
     out = j.select(
         *[c for c in sigs.columns if c != "request_domain"],
         F.when(T.blank(F.col("request_domain")), T.nz(F.col("sp_domain")))
@@ -348,10 +358,14 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ------------------------------------------------------------------------------- pipeline
 
-def discover_batch(flows: DataFrame, opts: Options, start=None, end=None) -> dict[str, DataFrame]:
-    """A1 -> B1 -> C1 -> C2 -> B7b -> B8 -> C3 -> J1-J4 -> B16-B18 -> B22, as lazy DataFrames."""
+def discover_batch(flows: DataFrame, opts: Options, start=None, end=None,
+                   cycle: str | None = None) -> dict[str, DataFrame]:
+    """A1 -> B1 -> C1 -> C2 -> B7b -> B8 -> C3 -> J1-J4 -> B16-B18 -> B22, as lazy DataFrames.
+
+    ``cycle`` replays the range as tumbling cycles of that length (batch twin of the stream).
+    """
     windowed = time_window(flows, start, end)
-    sigs = signatures(traffic_filter(windowed, opts))
+    sigs = signatures(traffic_filter(windowed, opts), cycle)
     top = top_signatures(sigs, opts.max_signatures)
     kept = drop_noise(top, opts)
     deduped = dedup(normalize(kept, opts))
@@ -361,6 +375,15 @@ def discover_batch(flows: DataFrame, opts: Options, start=None, end=None) -> dic
             "valid": good, "rejects": rejects}
 
 
+def after_signatures(sigs: DataFrame, flows: DataFrame, opts: Options) -> dict[str, DataFrame]:
+    """C2 -> B7b -> B8 -> C3 -> J1-J4 -> B22 on already aggregated signatures (stream side)."""
+    kept = drop_noise(top_signatures(sigs, opts.max_signatures), opts)
+    deduped = dedup(normalize(kept, opts))
+    fused = fuse(deduped, flows, opts)
+    good, rejects = split_valid(fused)
+    return {"kept": kept, "deduped": deduped, "fused": fused, "valid": good, "rejects": rejects}
+
+
 def batch_records(valid: DataFrame) -> DataFrame:
     """Fused rows sharing a discovered key in one cycle become one record.
 

@@ -255,6 +255,18 @@ FROM fused_raw""", ["fused_raw"])
         self._define_specs()
         self._define_catalog()
         self._define_managed_sync()
+        self.add("result_src", fx.RESULT_SRC_SQL)
+        cell = "json_extract(body, '$.values[' || row_idx || '][' || (list_position(cols, {name}) - 1) || ']')"
+        rt, hits = cell.format(name="'request_type'"), cell.format(name="'hits'")
+        self.add("result_rows", f"""
+SELECT event_id, row_idx,
+  CASE WHEN json_type({rt}) = 'VARCHAR' THEN json_extract_string({rt}, '$')
+       WHEN {rt} IS NULL OR json_type({rt}) = 'NULL' THEN '' ELSE CAST({rt} AS VARCHAR) END AS request_type,
+  CASE WHEN json_type({hits}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(trunc(CAST({hits} AS DOUBLE)) AS BIGINT)
+       ELSE 0 END AS hits
+FROM (SELECT event_id, body, CAST(json_extract(body, '$.columns') AS VARCHAR[]) AS cols,
+        unnest(range(CAST(json_array_length(body, '$.values') AS BIGINT))) AS row_idx
+      FROM result_src) x""", ["result_src"])
 
     # ------------------------------------------------------------------ discovered state
     def _define_state(self):

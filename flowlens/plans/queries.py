@@ -601,3 +601,16 @@ def q_purge_ops(spark, sf_dir):
     ms = S.managed_two_syncs(spark, sf_dir, OPTS)
     return M.purge_ops(ms["op_state"], PURGE_AS_OF, OPTS.retention_managed) \
         .select("apim_api_id", "http_method", "raw_target", "deleted_at")
+
+
+# --------------------------------------------------------------------------- result sets (A2/A3)
+
+from ..sources import results as R  # noqa: E402
+
+
+@query("result_set_flatten", "SELECT * FROM result_rows", ["result_rows"])
+def q_result_flatten(spark, sf_dir):
+    """A2 + A3: column-oriented result bodies -> rows -> lenient typed columns (short rows: absent = 0 / '')."""
+    flat = R.flatten_result(fx.result_src(spark, sf_dir), "body", keep=["event_id"])
+    return R.coerce(flat, {"request_type": "string", "hits": "long"}).select("event_id", F.col("row_idx").cast("bigint"),
+                                                                            "request_type", "hits")

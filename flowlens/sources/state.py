@@ -1,0 +1,113 @@
+"""Keyed state tables on plain parquet (A7): versioned writes, a commit log, idempotent batches.
+
+Layout under ``path``:
+    data/version=<n>/...     full table of version n (written by one Spark job)
+    log/                     one parquet row per committed version: (version, batch_id, rows)
+A version is visible only after its log row exists, so a job that dies while writing data leaves
+no visible trace. A merge never reads and overwrites the same directory. Replaying a batch id that
+is already in the log changes nothing (foreachBatch may re-deliver a batch after a failure).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class StateTable:
+    def __init__(self, spark: SparkSession, path: str, keys, schema: str | None = None):
+        self.spark, self.path, self.keys, self.schema = spark, path.rstrip("/"), list(keys), schema
+
+    # ----------------------------------------------------------------------------- log access
+    def _log(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/log")
+        except Exception:  # no version committed yet
+            return None
+
+    def head(self) -> tuple[int, set]:
+        """(latest committed version, batch ids already applied); (0, {}) for a new table.
+
+        The log holds one tiny row per version, so reading it to the driver is metadata only.
+        """
+        log = self._log()
+        if log is None:
+            return 0, set()
+        rows = log.select("version", "batch_id").collect()
+        return (max(r["version"] for r in rows) if rows else 0), {r["batch_id"] for r in rows if r["batch_id"] is not None}
+
+    def read(self) -> DataFrame | None:
+        """Rows of the latest committed version (partition-pruned scan), or None when empty."""
+        version, _ = self.head()
+        if version == 0:
+            return None
+        return (self.spark.read.parquet(f"{self.path}/data").where(F.col("version") == version).drop("version"))
+
+    def read_or_empty(self) -> DataFrame:
+        df = self.read()
+        if df is None:
+            if self.schema is None:
+                raise ValueError("empty state table without a schema")
+            return self.spark.createDataFrame([], self.schema)
+        return df
+
+    # ------------------------------------------------------------------------------- writes
+    def commit(self, df: DataFrame, batch_id: str | None = None) -> int:
+        """Write df as the next version; returns the version (or the current one for a replay)."""
+        version, applied = self.head()
+        if batch_id is not None and str(batch_id) in applied:
+            return version
+        nxt = version + 1
+        (df.withColumn("version", F.lit(nxt)).write.mode("append").partitionBy("version")
+           .parquet(f"{self.path}/data"))
+        rows = self.spark.read.parquet(f"{self.path}/data").where(F.col("version") == nxt).count()
+        (self.spark.createDataFrame([(nxt, None if batch_id is None else str(batch_id), rows)],
+                                    "version int, batch_id string, rows long")
+         .coalesce(1).write.mode("append").parquet(f"{self.path}/log"))
+        return nxt
+
+    def merge(self, batch: DataFrame, rule: Callable[[DataFrame | None, DataFrame], DataFrame],
+              batch_id: str | None = None) -> int:
+        """New version = rule(current, batch); e.g. rule = merge_discovered with as_of bound."""
+        _, applied = self.head()
+        if batch_id is not None and str(batch_id) in applied:
+            return self.head()[0]
+        return self.commit(rule(self.read(), batch), batch_id)
+
+    def purge(self, keep: Callable[[DataFrame], DataFrame], batch_id: str | None = None) -> int:
+        """Retention: new version with the rows ``keep`` returns."""
+        cur = self.read()
+        return self.head()[0] if cur is None else self.commit(keep(cur), batch_id)
+
+
+class Watermark:
+    """Pipeline watermark (E6): (pipeline, last_watermark_end, records) in a state table."""
+
+    SCHEMA = "pipeline string, last_watermark_end timestamp_ntz, records long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = StateTable(spark, path, ["pipeline"], self.SCHEMA)
+
+    def get(self) -> DataFrame:
+        return self.table.read_or_empty()
+
+    def advance(self, pipeline: str, end, records: DataFrame | int, batch_id: str | None = None) -> int:
+        """Insert or set the end; the record counter adds (hits for discovery, APIs for managed)."""
+        spark = self.table.spark
+        if isinstance(records, int):
+            records = spark.createDataFrame([(records,)], "n long")
+        upd = records.select(F.lit(pipeline).alias("pipeline"), F.lit(str(end)).cast("timestamp_ntz").alias("end"),
+                             F.col(records.columns[0]).cast("long").alias("n"))
+        return self.table.merge(upd, lambda cur, b: advance_watermark(cur, b), batch_id)
+
+
+def advance_watermark(state: DataFrame | None, upd: DataFrame) -> DataFrame:
+    """E6 as a join: (pipeline, end, n) rows set the end and add n to the running count."""
+    if state is None:
+        return upd.select("pipeline", F.col("end").alias("last_watermark_end"), F.col("n").alias("records"))
+    j = state.join(upd, "pipeline", "full_outer")
+    return j.select("pipeline",
+                    F.coalesce(F.col("end"), F.col("last_watermark_end")).alias("last_watermark_end"),
+                    (F.coalesce(F.col("records"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0))).alias("records"))
