@@ -119,6 +119,8 @@ class Oracle:
             order.append(n)
         for n in needs:
             visit(n)
+        if not order:
+            return final
         body = ",\n".join(f"{n} AS (\n{self.ctes[n][0]}\n)" for n in order)
         return f"WITH {body}\n{final}"
 

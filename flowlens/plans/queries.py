@@ -614,3 +614,86 @@ def q_result_flatten(spark, sf_dir):
     flat = R.flatten_result(fx.result_src(spark, sf_dir), "body", keep=["event_id"])
     return R.coerce(flat, {"request_type": "string", "hits": "long"}).select("event_id", F.col("row_idx").cast("bigint"),
                                                                             "request_type", "hits")
+
+
+# ------------------------------------------------------------------------- streaming
+
+from ..sources.state import advance_watermark  # noqa: E402
+from ..streaming import stream as ST  # noqa: E402
+
+_SPLIT, _AS_OF = fx.STATE_SPLIT, fx.AS_OF
+FRESH_CHECK_AT = "2024-01-15 00:20:00"
+
+
+def _wm_update(spark, pipeline, end, hits_df):
+    return hits_df.select(F.lit(pipeline).alias("pipeline"), F.lit(end).cast("timestamp_ntz").alias("end"),
+                          F.col(hits_df.columns[0]).cast("long").alias("n"))
+
+
+def _watermarks(spark, sf_dir):
+    f = flows(spark, sf_dir)
+    h1 = D.total_hits(D.discover_batch(f, OPTS, end=_SPLIT)["deduped"])
+    h2 = D.total_hits(D.discover_batch(f, OPTS, start=_SPLIT)["deduped"])
+    w1 = advance_watermark(None, _wm_update(spark, ST.DISCOVERY, _SPLIT, h1))
+    apis, _ = S.managed_current(spark, sf_dir, OPTS)
+    synced = apis.agg(F.count(F.lit(1)).alias("n"))
+    w2 = advance_watermark(w1, _wm_update(spark, ST.DISCOVERY, _AS_OF, h2))
+    w2 = advance_watermark(w2, _wm_update(spark, ST.MANAGED, _SPLIT, synced))
+    return w1, w2
+
+
+_PIPES = f"(VALUES ('{ST.DISCOVERY}'), ('{ST.MANAGED}')) p(pipeline)"
+_NOW = f"TIMESTAMP '{_AS_OF}'"
+_FIRST = f"{_NOW} - INTERVAL '{OPTS.poll_interval}' - INTERVAL '{OPTS.safety_lag}'"
+
+
+@query("next_window",
+       f"SELECT p.pipeline, date_trunc('second', coalesce(w.last_watermark_end, {_FIRST})) AS window_start, "
+       f"date_trunc('second', {_NOW} - INTERVAL '{OPTS.safety_lag}') AS window_end, "
+       f"{_NOW} - INTERVAL '{OPTS.safety_lag}' > coalesce(w.last_watermark_end, {_FIRST}) AS runnable "
+       f"FROM {_PIPES} LEFT JOIN (SELECT '{ST.DISCOVERY}' AS pipeline, TIMESTAMP '{_SPLIT}' AS last_watermark_end) w "
+       "ON w.pipeline = p.pipeline", [])
+def q_next_window(spark, sf_dir):
+    """Next incremental window per pipeline from the watermark state after the first cycle."""
+    w1, _ = _watermarks(spark, sf_dir)
+    pipes = spark.createDataFrame([(ST.DISCOVERY,), (ST.MANAGED,)], "pipeline string")
+    return ST.next_window(w1, pipes, _AS_OF, OPTS)
+
+
+@query("watermark_state",
+       f"SELECT '{ST.DISCOVERY}' AS pipeline, {_NOW} AS last_watermark_end, "
+       "CAST((SELECT sum(hit_count) FROM deduped_w1) + (SELECT sum(hit_count) FROM deduped_w2) AS BIGINT) AS records "
+       f"UNION ALL SELECT '{ST.MANAGED}', TIMESTAMP '{_SPLIT}', (SELECT count(*) FROM m_apis)",
+       ["deduped_w1", "deduped_w2", "m_apis"])
+def q_watermark_state(spark, sf_dir):
+    """Watermark end set and record counter added per cycle (hits for discovery, APIs for managed)."""
+    return _watermarks(spark, sf_dir)[1]
+
+
+@query("is_fresh",
+       f"SELECT TIMESTAMP '{FRESH_CHECK_AT}' AS as_of, TIMESTAMP '{_SPLIT}' > TIMESTAMP '{FRESH_CHECK_AT}' - "
+       f"{OPTS.managed_fresh_factor} * INTERVAL '{OPTS.managed_sync_interval}' AS fresh "
+       f"UNION ALL SELECT {_NOW}, TIMESTAMP '{_SPLIT}' > {_NOW} - {OPTS.managed_fresh_factor} * "
+       f"INTERVAL '{OPTS.managed_sync_interval}'", [])
+def q_is_fresh(spark, sf_dir):
+    """Comparison gate on the managed sync's age (3 x its interval)."""
+    _, w2 = _watermarks(spark, sf_dir)
+    a = ST.is_fresh(w2, FRESH_CHECK_AT, OPTS).select(F.lit(FRESH_CHECK_AT).cast("timestamp_ntz").alias("as_of"), "fresh")
+    b = ST.is_fresh(w2, _AS_OF, OPTS).select(F.lit(_AS_OF).cast("timestamp_ntz").alias("as_of"), "fresh")
+    return a.unionByName(b)
+
+
+@query("stream_discovered")
+def q_stream_discovered(spark, sf_dir):
+    """The flow log as a file stream (one folder per day), 5-minute windows with a 2-minute
+    watermark, foreachBatch merge into the discovered state table; result = final state (rows-only)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlens-stream/{uuid.uuid4().hex}"
+    src = flows(spark, sf_dir).withColumn("day", F.to_date("start_time"))
+    src.repartition("day").write.partitionBy("day").parquet(f"{base}/flows")
+    schema = spark.read.parquet(f"{base}/flows").schema
+    q = ST.discover_stream(spark, f"{base}/flows", schema, f"{base}/state", f"{base}/checkpoint", OPTS, max_files=10)
+    q.awaitTermination()
+    from ..sources.state import StateTable
+    return StateTable(spark, f"{base}/state/discovered", D.DISCOVERED_KEY).read().select(*D.DISCOVERED_COLS)
