@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DISCOVERED_WIDTHS, Options
 from ..functions import text as T
+from ..session import materialize
 
 SIG_KEY = ["http_method", "endpoint", "server_port", "agent_id"]
 DEDUP_KEY = ["http_method", "resource_path", "server_port", "agent_id"]
@@ -254,11 +255,12 @@ def fuse(sigs: DataFrame, flows: DataFrame, opts: Options) -> DataFrame:
            .select("flow_id", "start_time", "observation_point",
                    F.col("request_resource").alias("url"), F.col("request_type").alias("method"),
                    epoch_second("start_time").alias("sec"), *FUSION_SIDE_COLUMNS))
-    timed = (obs.where(F.col("sec").isNotNull())
+    # branch filters on the raw column so they reach the scan (row groups without NULL times are skipped)
+    timed = (obs.where(F.col("start_time").isNotNull())
              .join(pick_exact, ["url", "method", "sec"], "left")
              .join(pick_untimed, ["url", "method"], "left")
              .withColumn("w", F.least("w1", "w2")).drop("w1", "w2"))
-    untimed = (obs.where(F.col("sec").isNull()).join(pick_any, ["url", "method"], "inner")
+    untimed = (obs.where(F.col("start_time").isNull()).join(pick_any, ["url", "method"], "inner")
                .withColumnRenamed("w3", "w"))
     matched = timed.unionByName(untimed).where(F.col("w").isNotNull())
 
@@ -368,7 +370,9 @@ def discover_batch(flows: DataFrame, opts: Options, start=None, end=None,
     sigs = signatures(traffic_filter(windowed, opts), cycle)
     top = top_signatures(sigs, opts.max_signatures)
     kept = drop_noise(top, opts)
-    deduped = dedup(normalize(kept, opts))
+    # the cycle's signature set is read by four branches of the fusion plan; writing it once keeps
+    # the flow log to a single aggregation pass instead of one per branch
+    deduped = materialize(dedup(normalize(kept, opts)), "signatures")
     fused = fuse(deduped, windowed, opts)
     good, rejects = split_valid(fused)
     return {"signatures": sigs, "top": top, "kept": kept, "deduped": deduped, "fused": fused,
@@ -378,7 +382,7 @@ def discover_batch(flows: DataFrame, opts: Options, start=None, end=None,
 def after_signatures(sigs: DataFrame, flows: DataFrame, opts: Options) -> dict[str, DataFrame]:
     """C2 -> B7b -> B8 -> C3 -> J1-J4 -> B22 on already aggregated signatures (stream side)."""
     kept = drop_noise(top_signatures(sigs, opts.max_signatures), opts)
-    deduped = dedup(normalize(kept, opts))
+    deduped = materialize(dedup(normalize(kept, opts)), "signatures")
     fused = fuse(deduped, flows, opts)
     good, rejects = split_valid(fused)
     return {"kept": kept, "deduped": deduped, "fused": fused, "valid": good, "rejects": rejects}

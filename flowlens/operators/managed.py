@@ -83,6 +83,14 @@ def merge_managed(api_state: DataFrame | None, op_state: DataFrame | None, apis:
     ts = F.lit(str(as_of)).cast("timestamp_ntz")
     rejects = duplicate_op_apis(ops)
     changed = apis.where(F.col("sync_class") != "unchanged").join(rejects, "apim_api_id", "left_anti")
+    if api_state is None and op_state is None:
+        # first sync into an empty store: every API is an insert, nothing to touch or delete
+        none = F.lit(None).cast("timestamp_ntz")
+        merged = changed.select(*API_COLS, none.alias("deleted_at"), ts.alias("last_synced_at"),
+                                ts.alias("created_at"), ts.alias("updated_at"))
+        new_ops = ops.join(changed.select("apim_api_id"), "apim_api_id", "left_semi") \
+            .select(*OP_COLS, none.alias("deleted_at"))
+        return merged, new_ops, rejects
     if api_state is None:
         api_state = apis.sparkSession.createDataFrame([], empty_api_state_schema())
     if op_state is None:
