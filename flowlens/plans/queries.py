@@ -697,3 +697,10 @@ def q_stream_discovered(spark, sf_dir):
     q.awaitTermination()
     from ..sources.state import StateTable
     return StateTable(spark, f"{base}/state/discovered", D.DISCOVERED_KEY).read().select(*D.DISCOVERED_COLS)
+
+
+@query("sync_metrics", "SELECT sync_class, count(*) AS apis FROM sync GROUP BY ALL", ["sync"])
+def q_sync_metrics(spark, sf_dir):
+    """C18 (managed sync): created / updated / unchanged counts of the second sync."""
+    return S.managed_two_syncs(spark, sf_dir, OPTS)["classified"].groupBy("sync_class") \
+        .agg(F.count(F.lit(1)).alias("apis"))

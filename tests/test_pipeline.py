@@ -133,3 +133,14 @@ def test_stream_equals_batch(spark):
     norm = lambda df: sorted(tuple(str(x) for x in r) for r in df.collect())
     assert norm(stream) == norm(batch)
     assert len(norm(stream)) > 0
+
+
+def test_push_plan_sink(spark):
+    """One JSON record per group, partitioned by action."""
+    from flowlens.operators import catalog as CAT
+    plan = S.push(spark, SF_SMALL, DEFAULT)["plan"]
+    d = tempfile.mkdtemp(prefix="flowlens-push-", dir="/tmp")
+    CAT.write_push_plan(plan, f"{d}/plan")
+    back = spark.read.json(f"{d}/plan")
+    assert back.count() == plan.count()
+    assert set(back.columns) >= {"action", "metadata", "definition"}
