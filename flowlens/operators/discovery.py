@@ -413,11 +413,17 @@ def merge_discovered(state: DataFrame | None, batch: DataFrame, as_of) -> DataFr
     """Discovered upsert. Hits add; overwrite / coalesce(new, old) / keep-first per column.
 
     ``batch`` is the output of batch_records. Seen times are event times of the cycle's rows.
+    The state is split by the cycle's keys (semi / anti join against the small key set, which AQE
+    broadcasts once its size is measured): only touched rows meet the batch in the outer join, the
+    untouched state is carried over without a shuffle.
     """
     ts = F.lit(str(as_of)).cast("timestamp_ntz")
     if state is None:
         return batch.withColumn("created_at", ts).withColumn("updated_at", ts)
-    o, n = state.alias("o"), batch.alias("n")
+    keys = batch.select(*DISCOVERED_KEY)
+    untouched = state.join(keys, DISCOVERED_KEY, "left_anti")
+    touched = state.join(keys, DISCOVERED_KEY, "left_semi")
+    o, n = touched.alias("o"), batch.alias("n")
     j = o.join(n, DISCOVERED_KEY, "full_outer")
     has_o = F.col("o.http_method").isNotNull()
     has_n = F.col("n.http_method").isNotNull()
@@ -436,7 +442,8 @@ def merge_discovered(state: DataFrame | None, batch: DataFrame, as_of) -> DataFr
     cols = [F.col(k) for k in DISCOVERED_KEY] + [pick(c).alias(c) for c in DISCOVERED_COLS if c not in DISCOVERED_KEY]
     cols.append(F.when(has_o, F.col("o.created_at")).otherwise(ts).alias("created_at"))
     cols.append(F.when(has_n, ts).otherwise(F.col("o.updated_at")).alias("updated_at"))
-    return j.select(*cols)
+    merged = j.select(*cols)
+    return untouched.select(*merged.columns).unionByName(merged)
 
 
 def discovered_from_flows(flows: DataFrame, opts: Options, as_of, start=None, end=None,
