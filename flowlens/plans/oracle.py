@@ -413,6 +413,12 @@ WHERE c.apim_api_id IS NULL OR c.lost""", ["cands", "losers"])
                  "CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at WHERE 1 = 0")
         self.cycle("u1", "u0", "classified_w1", "discovered_w1", fx.STATE_SPLIT)
         self.cycle("u2", "u1", "classified_m", "discovered_m", fx.AS_OF)
+        from .scenarios import DISMISS_AT
+        self.add("u1d", f"""
+SELECT * REPLACE (CASE WHEN confidence = 'LOW' THEN 'DISMISSED' ELSE status END AS status,
+                  CASE WHEN confidence = 'LOW' THEN TIMESTAMP {q(DISMISS_AT)} ELSE updated_at END AS updated_at)
+FROM u1""", ["u1"])
+        self.cycle("u2d", "u1d", "classified_m", "discovered_m", fx.AS_OF)
 
     def cycle(self, name, prev, classified, disc, as_of):
         ts = f"TIMESTAMP {q(as_of)}"

@@ -704,3 +704,9 @@ def q_sync_metrics(spark, sf_dir):
     """C18 (managed sync): created / updated / unchanged counts of the second sync."""
     return S.managed_two_syncs(spark, sf_dir, OPTS)["classified"].groupBy("sync_class") \
         .agg(F.count(F.lit(1)).alias("apis"))
+
+
+@query("dismissed_cycle", f"SELECT {_U_SQL} FROM u2d", ["u2d"])
+def q_dismissed_cycle(spark, sf_dir):
+    """Dismissed findings are terminal for E8/E9 and reopen only on a classification or API change."""
+    return S.dismissed_cycle(spark, sf_dir, OPTS).select(*_U_OUT)

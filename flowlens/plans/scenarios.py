@@ -125,10 +125,22 @@ def lifecycle(spark, sf_dir, opts: Options) -> dict[str, DataFrame]:
     e8 = L.mark_resolved(e7, AS_OF, ~d2.select("service_key").exists())
     e9 = L.mark_stale(e8, d2, opts.stale_after, AS_OF)
     u2 = materialize(L.finish_cycle(e9, AS_OF), "unmanaged_c2")
-    return {"d1": d1, "d2": d2, "u1": u1, "e7": e7, "e8": e8, "u2": u2, "api_state": api_state,
+    return {"d1": d1, "d2": d2, "u1": u1, "c2": c2, "e7": e7, "e8": e8, "u2": u2, "api_state": api_state,
             "op_state": op_state}
 
 
+DISMISS_AT = "2024-01-15 01:00:00"
+
+
+def dismissed_cycle(spark, sf_dir, opts: Options) -> DataFrame:
+    """After cycle 1 an operator dismisses every LOW-confidence finding; cycle 2 then runs."""
+    from ..operators import lifecycle as L
+    lc = lifecycle(spark, sf_dir, opts)
+    u1 = lc["u1"]
+    dis = L.dismiss(u1, u1.where(F.col("confidence") == "LOW").select(*L.KEY), DISMISS_AT)
+    return L.comparison_cycle(dis, lc["c2"], lc["d2"], AS_OF, opts.stale_after)
+
+
 # --------------------------------------------------------------------------- specs and catalog
 
 PUSH_AS_OF = "2024-01-30 12:00:00"
