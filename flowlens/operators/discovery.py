@@ -144,8 +144,18 @@ def signature_order() -> list[Column]:
 
 
 def top_signatures(sigs: DataFrame, k: int | None) -> DataFrame:
-    """The k most-hit signatures (TakeOrderedAndProject); k=None keeps all."""
-    return sigs if k is None else sigs.orderBy(*signature_order()).limit(k)
+    """The k most-hit signatures (TakeOrderedAndProject); k=None keeps all.
+
+    With a ``cycle`` column the cap applies per cycle: a row_number filter that Spark plans as a
+    window group limit, so each task keeps only its local top k before the shuffle.
+    """
+    if k is None:
+        return sigs
+    if "cycle" in sigs.columns:
+        from pyspark.sql import Window
+        w = Window.partitionBy("cycle").orderBy(*signature_order())
+        return sigs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    return sigs.orderBy(*signature_order()).limit(k)
 
 
 def total_hits(sigs: DataFrame) -> DataFrame:

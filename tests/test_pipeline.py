@@ -144,3 +144,13 @@ def test_push_plan_sink(spark):
     back = spark.read.json(f"{d}/plan")
     assert back.count() == plan.count()
     assert set(back.columns) >= {"action", "metadata", "definition"}
+
+
+def test_top_signatures_per_cycle(spark):
+    """C2 with cycles: the cap applies inside each cycle, ties broken by the signature key."""
+    rows = [("2024-01-01 00:00:00", "GET", "/a", 80, 1, 5), ("2024-01-01 00:00:00", "GET", "/b", 80, 1, 5),
+            ("2024-01-01 00:00:00", "GET", "/c", 80, 1, 9), ("2024-01-01 00:05:00", "GET", "/d", 80, 1, 1)]
+    df = spark.createDataFrame(rows, "cycle string, http_method string, endpoint string, server_port long, "
+                                     "agent_id long, hit_count long")
+    got = sorted((r["cycle"], r["endpoint"]) for r in D.top_signatures(df, 2).collect())
+    assert got == [("2024-01-01 00:00:00", "/a"), ("2024-01-01 00:00:00", "/c"), ("2024-01-01 00:05:00", "/d")]
