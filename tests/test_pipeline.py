@@ -154,3 +154,24 @@ def test_top_signatures_per_cycle(spark):
                                      "agent_id long, hit_count long")
     got = sorted((r["cycle"], r["endpoint"]) for r in D.top_signatures(df, 2).collect())
     assert got == [("2024-01-01 00:00:00", "/a"), ("2024-01-01 00:00:00", "/c"), ("2024-01-01 00:05:00", "/d")]
+
+
+def test_stream_drops_rows_behind_the_watermark(spark):
+    """S3: rows that arrive after their window closed are never read again (bounded lateness)."""
+    from flowlens.streaming import stream as ST
+    d = tempfile.mkdtemp(prefix="flowlens-late-", dir="/tmp")
+    flows = fx.flows(spark, SF_SMALL).withColumn("day", F.to_date("start_time"))
+    flows.repartition("day").write.partitionBy("day").parquet(f"{d}/flows")
+    schema = spark.read.parquet(f"{d}/flows").schema
+    run = lambda: ST.discover_stream(spark, f"{d}/flows", schema, f"{d}/state", f"{d}/ckpt", DEFAULT,
+                                     max_files=40).awaitTermination()
+    run()
+    late = (flows.where((F.col("observation_point") == "s-p") & (F.col("day") == F.to_date(F.lit("2024-01-02"))))
+            .withColumn("endpoint", F.lit("/late/1")).withColumn("request_resource", F.lit("/late/1"))
+            .withColumn("flow_id", F.col("flow_id") + F.lit(10 ** 9)))
+    assert late.count() > 0
+    late.write.mode("append").partitionBy("day").parquet(f"{d}/flows")
+    run()
+    state = StateTable(spark, f"{d}/state/discovered", D.DISCOVERED_KEY).read()
+    assert state.where(F.col("resource_path").startswith("/late/")).count() == 0
+    assert state.count() > 0
