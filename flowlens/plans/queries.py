@@ -710,3 +710,83 @@ def q_sync_metrics(spark, sf_dir):
 def q_dismissed_cycle(spark, sf_dir):
     """Dismissed findings are terminal for E8/E9 and reopen only on a classification or API change."""
     return S.dismissed_cycle(spark, sf_dir, OPTS).select(*_U_OUT)
+
+
+_META_FIELDS = ["service_key", "service_type", "classification", "first_seen_at", "last_seen_at", "process_name",
+                "parent_api_name", "parent_api_version", "k8s_namespace", "k8s_service", "k8s_workload", "k8s_pod",
+                "vm_hostname", "host_ip", "service_ip", "traffic_origin"]
+
+
+def _meta_oracle() -> str:
+    stype = "CASE WHEN h.service_type = '' THEN 'UNKNOWN' ELSE h.service_type END"
+    k8s = [f"CASE WHEN {stype} = 'KUBERNETES' THEN nullif(h.{c}, '') END AS {c}"
+           for c in ("k8s_namespace", "k8s_service", "k8s_workload", "k8s_pod")]
+    return (f"SELECT h.service_key AS group_key, h.classification AS group_class, h.managed_api_id AS group_api, "
+            f"'{OPENAPI_VERSION}' AS openapi, h.title, strftime(TIMESTAMP '{_AS_OF}', '%Y.%m.%d') AS version, "
+            "CASE WHEN h.has_tls THEN 'https://' ELSE 'http://' END || h.hostname AS server0, "
+            f"h.service_key, {stype} AS service_type, h.classification, "
+            "strftime(s.first_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at, "
+            "strftime(s.last_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS last_seen_at, "
+            "s.total_hit_count, s.total_operations, nullif(h.process_name, '') AS process_name, "
+            "CASE WHEN h.classification = 'DRIFT' THEN nullif(h.parent_api_name, '') END AS parent_api_name, "
+            "CASE WHEN h.classification = 'DRIFT' THEN nullif(h.parent_api_version, '') END AS parent_api_version, "
+            + ", ".join(k8s) + ", "
+            f"CASE WHEN {stype} = 'LEGACY' THEN nullif(h.vm_hostname, '') END AS vm_hostname, "
+            "nullif(h.host_ip, '') AS host_ip, nullif(h.service_ip, '') AS service_ip, "
+            "nullif(h.traffic_origin, '') AS traffic_origin "
+            "FROM sp_head h JOIN sp_stats s ON s.service_key = h.service_key AND s.classification = h.classification "
+            "AND s.managed_api_id IS NOT DISTINCT FROM h.managed_api_id "
+            "WHERE EXISTS (SELECT 1 FROM sp_good g WHERE g.service_key = h.service_key "
+            "AND g.classification = h.classification AND g.managed_api_id IS NOT DISTINCT FROM h.managed_api_id)")
+
+
+from ..config import OPENAPI_VERSION  # noqa: E402
+
+
+@query("spec_metadata", _meta_oracle(), ["sp_head", "sp_stats", "sp_good"])
+def q_spec_metadata(spark, sf_dir):
+    """F3 + F4 + F10: the generated documents parsed back: version, title, first server, metadata block
+    (keys omitted when blank or not applicable to the service type)."""
+    docs = S.specs(spark, sf_dir, OPTS)["documents"]
+    doc = F.col("openapi_spec")
+    meta = f"$.info['{OPTS.ext_prefix}-metadata']"
+    return docs.select(
+        F.col("service_key").alias("group_key"), F.col("classification").alias("group_class"),
+        F.col("managed_api_id").alias("group_api"),
+        F.get_json_object(doc, "$.openapi").alias("openapi"), F.get_json_object(doc, "$.info.title").alias("title"),
+        F.get_json_object(doc, "$.info.version").alias("version"),
+        F.get_json_object(doc, "$.servers[0].url").alias("server0"),
+        *[F.get_json_object(doc, f"{meta}.{c}").alias(c) for c in _META_FIELDS],
+        F.get_json_object(doc, f"{meta}.total_hit_count").cast("bigint").alias("total_hit_count"),
+        F.get_json_object(doc, f"{meta}.total_operations").cast("bigint").alias("total_operations"))
+
+
+@query("spec_operations",
+       "SELECT p.service_key AS group_key, p.classification AS group_class, p.managed_api_id AS group_api, p.oas_path, "
+       "lower(p.http_method) AS method, p.operation_id, upper(p.http_method) || ' ' || p.resource_path AS summary, "
+       "CASE WHEN p.response_code > 0 THEN CAST(p.response_code AS VARCHAR) ELSE 'default' END AS response_key, "
+       "CAST(p.hit_count AS BIGINT) AS hit_count, p.is_tls AS observed_tls, p.params "
+       "FROM sp_paths p WHERE EXISTS (SELECT 1 FROM sp_good g WHERE g.service_key = p.service_key "
+       "AND g.classification = p.classification AND g.managed_api_id IS NOT DISTINCT FROM p.managed_api_id)",
+       ["sp_paths", "sp_good"])
+def q_spec_operations(spark, sf_dir):
+    """The paths object of every generated document parsed back, one row per operation."""
+    docs = S.specs(spark, sf_dir, OPTS)["documents"]
+    parsed = docs.select(F.col("service_key").alias("group_key"), F.col("classification").alias("group_class"),
+                         F.col("managed_api_id").alias("group_api"),
+                         F.from_json("openapi_spec", "struct<paths: map<string, map<string, string>>>")
+                         .getField("paths").alias("paths"))
+    items = parsed.select("group_key", "group_class", "group_api", F.explode("paths").alias("oas_path", "item"))
+    names = F.transform(F.from_json(F.col("item").getItem("parameters"), "array<struct<name: string>>"),
+                        lambda p: p["name"])
+    ops = items.select("group_key", "group_class", "group_api", "oas_path",
+                       F.coalesce(F.array_join(names, ","), F.lit("")).alias("params"),
+                       F.explode(F.map_filter("item", lambda k, v: k != "parameters")).alias("method", "op"))
+    traffic = f"$['{OPTS.ext_prefix}-traffic']"
+    return ops.select(
+        "group_key", "group_class", "group_api", "oas_path", "method",
+        F.get_json_object("op", "$.operationId").alias("operation_id"),
+        F.get_json_object("op", "$.summary").alias("summary"),
+        F.map_keys(F.from_json(F.get_json_object("op", "$.responses"), "map<string, string>"))[0].alias("response_key"),
+        F.get_json_object("op", f"{traffic}.hit_count").cast("bigint").alias("hit_count"),
+        F.get_json_object("op", f"{traffic}.observed_tls").cast("boolean").alias("observed_tls"), "params")
