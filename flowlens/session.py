@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,6 @@ ENGINE_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.files.maxPartitionBytes": "128MB",
-    # J1b semi-join reduction: a bloom filter of the small join side is applied to the large side
-    # before its shuffle when the planner finds it worthwhile
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -46,27 +44,28 @@ def build_session(master: str = "local[8]", app: str = "flowlens", shuffle_parti
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Apply the runtime-settable part of ENGINE_CONF to an existing session."""
+    """Set those ENGINE_CONF entries that can change at run time and that the caller left unset."""
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
     for k, v in ENGINE_CONF.items():
-        if k.startswith("spark.ui."):
-            continue
-        try:
+        if k not in given and spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static settings cannot change at runtime
-            pass
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir`` when set.
+    """Shared folder for written tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) is a scratch folder created.
+    A session that names none gets a scratch folder only with a ``local`` master, where driver and
+    tasks are one process. On any other master executors could not see it, so this raises.
     """
-    d = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir=os.environ.get("FLOWLENS_SCRATCH", "/tmp"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def materialize(df, name: str = "table"):
@@ -75,7 +74,7 @@ def materialize(df, name: str = "table"):
 
     Used where a result is a state table of the reference (discovered, managed) or is read by many
     later steps (comparison candidates). The table lives in the folder the cluster names in
-    ``spark.checkpoint.dir`` (never a machine-local folder on a cluster), so it survives executor
+    ``spark.checkpoint.dir`` (see ``ensure_checkpoint_dir``), so it survives executor
     loss; later reads get column pruning and filter pushdown. (A Dataset ``checkpoint()`` of the
     same plan was measured 60x slower here: it recomputes the plan for the RDD write.)
     """
