@@ -6,13 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import mixing, sharding
+from flowlens.llm import mixing, repetition, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document by repetition coverage."""
+    out = repetition.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "dup_line_chars", "dup_ngram_chars")
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents into 24 shards through fixed virtual slots; law: bytes."""
     out = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -26,7 +33,9 @@ def op7_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op5_virtual_slots": op5_virtual_slots, "op7_fair_queueing": op7_fair_queueing}
+QUERIES = {"op4_repetition_coverage": op4_repetition_coverage,
+           "op5_virtual_slots": op5_virtual_slots,
+           "op7_fair_queueing": op7_fair_queueing}
 
 ORACLE_SQL = {
     "op7_fair_queueing": """
