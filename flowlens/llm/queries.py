@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import mixing, repetition, sharding
+from flowlens.llm import minhash, mixing, repetition, sharding, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +27,27 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op6_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 400-byte strings that occur twice in the corpus, removed from every document."""
+    return suffixes.digests(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by weighted fair queueing."""
     out = mixing.allot(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of all documents on sets of 3-word shingles at a similarity of 0.85."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 QUERIES = {"op4_repetition_coverage": op4_repetition_coverage,
            "op5_virtual_slots": op5_virtual_slots,
-           "op7_fair_queueing": op7_fair_queueing}
+           "op6_two_stage_suffixes": op6_two_stage_suffixes,
+           "op7_fair_queueing": op7_fair_queueing,
+           "op10_fast_similarity_sketching": op10_fast_similarity_sketching}
 
 ORACLE_SQL = {
     "op7_fair_queueing": """

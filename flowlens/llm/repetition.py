@@ -8,7 +8,8 @@ No shuffle: each document is judged alone, inside the scan's partitions; hot sou
 
 Defined cases: a null, empty or blank text has zero words and fails the base rules; a line without a word is no
 line; ties (equal lines or n-grams) count the first as the original; equal rows get equal results; an empty table
-gives an empty result. n-grams are compared by 64-bit hashes within one document. Extra columns pass through.
+gives an empty result. n-grams are compared by 64-bit hashes within one document. Extra columns pass
+through; one that bears an output name is replaced.
 """
 
 from __future__ import annotations
@@ -99,10 +100,9 @@ def _covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
 
 def judge(docs: DataFrame, shares: dict[int, float] = NGRAM_SHARES, line_share: float = LINE_SHARE) -> DataFrame:
     """The documents with FIELDS appended (counts, coverage by n-gram length in the order of ``shares``, verdict)."""
-    at = docs.columns.index("text")
 
     def compute(batch: pa.RecordBatch) -> list:
-        parts = [measure(texts, shares, line_share) for _, _, texts in tb.chunks(batch.column(at))]
+        parts = [measure(texts, shares, line_share) for _, _, texts in tb.chunks(tb.column(batch, "text"))]
         return [[v for p in parts for v in p[name]] for name, _ in FIELDS]
 
     return tb.with_columns(docs, FIELDS, compute)

@@ -10,7 +10,7 @@ the largest document.
 
 Defined cases: a null text has size 8 (the record overhead) and the crc32 of the empty text; a null key is replaced
 by the text's digest, so such rows spread over slots; equal rows share a slot; an empty table has the even map.
-Extra columns pass through ``assign`` unless they bear an output name, which is an error.
+Extra columns pass through ``assign``; one that bears an output name is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flowlens.llm.textbytes import without
 from flowlens.session import ensure_checkpoint_dir, materialize
 
 N_SLOTS = 4096
@@ -124,13 +125,10 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, ke
     only window runs inside one of the thousands of virtual slots.
     """
     spark = docs.sparkSession
-    clash = {"size", "text_crc32", "vslot", "shard", "slot"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    text = F.col("text")
-    records = (docs.withColumn("size", record_bytes(text))
-               .withColumn("text_crc32", F.crc32(F.coalesce(text, F.lit("")).cast("binary")))
-               .withColumn("vslot", virtual_slot(F.col(key), text, n_slots)))
+    names = without(docs, ["size", "text_crc32", "vslot", "shard", "slot"])
+    records = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), record_bytes(docs["text"]).alias("size"),
+                          F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("text_crc32"),
+                          virtual_slot(docs[key], docs["text"], n_slots).alias("vslot"))
     weights = materialize(slot_bytes(records), "slot_bytes")
     if maps is None:
         folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-maps/{spark.sparkContext.applicationId}"
@@ -140,9 +138,9 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, ke
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = (maps.frame(version).join(weights, "vslot")
               .withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("vslot", "shard", "base"))
-    number = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(key), "text_crc32", "size")) - 1
+    number = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(f"row.{key}"), "text_crc32", "size")) - 1
     return (records.withColumn("nth", number).join(F.broadcast(placed), "vslot")
-            .withColumn("slot", (F.col("base") + F.col("nth")).cast("long")).drop("base", "nth"))
+            .select("row.*", "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("nth")).cast("long").alias("slot")))
 
 
 def write_shards(docs: DataFrame, path: str, **params) -> None:

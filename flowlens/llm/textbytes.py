@@ -159,12 +159,20 @@ def per_doc(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
     return np.bincount(doc, weights=weights, minlength=n).astype(np.int64)
 
 
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.names.index(name))
+
+
+def without(docs: DataFrame, names: list[str]) -> list[str]:
+    """Columns of docs that bear none of the names (letter case aside): outputs replace columns of their name."""
+    taken = {n.lower() for n in names}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
 def with_columns(docs: DataFrame, fields: list[tuple[str, T.DataType]],
                  compute: Callable[[pa.RecordBatch], list]) -> DataFrame:
-    """Append columns that ``compute`` makes from Arrow batches; raises if a name is taken."""
-    clash = {n for n, _ in fields} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    """Append columns that ``compute`` makes from Arrow batches; they replace columns of the same name."""
+    docs = docs.select(*without(docs, [n for n, _ in fields]))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in fields]])
     kinds = [to_arrow_type(t) for _, t in fields]
     names = schema.names
