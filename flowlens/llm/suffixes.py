@@ -315,7 +315,7 @@ def _refined(segs: DataFrame, block: int, length: int) -> DataFrame:
         end = texts.starts[owner] + far[owner] - last + length
         core = texts.starts[owner] + far[owner] - top * block
         sums = tb.prefix_hash(tb.BYTE_CODE[texts.data])
-        core_hash = tb.span_hash(sums, core, core - block + 1 + length)
+        core_hash = tb.span_hash(sums, core, core + max(0, length - block + 1))
         key = tb.mix(core_hash ^ tb.mix(h.view(np.uint64)[owner] + top.astype(np.uint64) * tb.WORD_BASE))
         content = tb.span_hash(sums, begin, end)
         row = pa.array(owner + lo)
