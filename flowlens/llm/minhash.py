@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                                                       ["bucket", "node"], "left_anti")
         leaders *= 2
     per_row = (made.join(classes, ["d1", "d2"], "left").join(joined, "node", "left")
-               .withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))))
+               .withColumn("component", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node"))))
     lowest = per_row.groupBy("doc_id").agg(F.min("component").alias("component_id"))
     out = (per_row.select(F.col("doc_id").alias("id"), "n_shingles").join(lowest, F.expr("id <=> doc_id"), "left")
            .withColumn("component_id", F.coalesce("component_id", "id")))
