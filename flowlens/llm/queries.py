@@ -3,10 +3,13 @@ table and derives the digest columns of its contract from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import minhash, mixing, repetition, sharding, suffixes
+from flowlens.llm import minhash, mixing, packing, repetition, sharding, suffixes
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,11 @@ def op7_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op10_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies of all documents on sets of 3-word shingles at a similarity of 0.85."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -47,6 +55,7 @@ QUERIES = {"op4_repetition_coverage": op4_repetition_coverage,
            "op5_virtual_slots": op5_virtual_slots,
            "op6_two_stage_suffixes": op6_two_stage_suffixes,
            "op7_fair_queueing": op7_fair_queueing,
+           "op9_vector_packing": op9_vector_packing,
            "op10_fast_similarity_sketching": op10_fast_similarity_sketching}
 
 ORACLE_SQL = {
