@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import minhash, mixing, packing, repetition, sharding, suffixes
+from flowlens.llm import langid, minhash, mixing, nndescent, packing, repetition, sharding, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,6 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a byte convolutional network learned from those not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings of a label at a cosine of 0.98."""
+    return nndescent.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document by repetition coverage."""
     out = repetition.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -51,7 +63,8 @@ def op10_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFram
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
-QUERIES = {"op4_repetition_coverage": op4_repetition_coverage,
+QUERIES = {"op1_byte_network": op1_byte_network, "op2_nn_descent": op2_nn_descent,
+           "op4_repetition_coverage": op4_repetition_coverage,
            "op5_virtual_slots": op5_virtual_slots,
            "op6_two_stage_suffixes": op6_two_stage_suffixes,
            "op7_fair_queueing": op7_fair_queueing,
