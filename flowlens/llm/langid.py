@@ -34,7 +34,7 @@ FILTERS = 16  # of each width
 EMBED = 8
 TRAIN_DOCS = 6000  # labelled documents to learn from, in expectation
 WINDOWS_PER_DOC = 2
-EPOCHS, BATCH, RATE = 12, 64, 4e-3
+EPOCHS, BATCH, RATE = 6, 64, 4e-3
 PAD = 256  # index of the padding byte
 BLOCK = 1 << 15  # byte positions computed at once
 UNKNOWN = "und"
@@ -52,13 +52,12 @@ class Network:
     dense_bias: np.ndarray
 
     def pooled(self, index: np.ndarray) -> np.ndarray:
-        """Largest response of each filter per window of WINDOW positions; ``index`` has max width - 1 more."""
+        """Largest response of each filter in each window of (windows, WINDOW + max width - 1) byte indices."""
         x = self.embed[index]
         span = max(WIDTHS) * EMBED
-        n = len(index) - max(WIDTHS) + 1
-        near = np.lib.stride_tricks.as_strided(x, (n, span), (x.strides[0], x.strides[1]))
-        out = np.ascontiguousarray(near) @ self.filters
-        return out.reshape(n // WINDOW, WINDOW, -1).max(axis=1)
+        near = np.lib.stride_tricks.as_strided(x, (len(x), WINDOW, span), (x.strides[0], x.strides[1], x.strides[2]))
+        out = np.ascontiguousarray(near).reshape(-1, span) @ self.filters
+        return out.reshape(len(x), WINDOW, -1).max(axis=1)
 
     def probabilities(self, index: np.ndarray) -> np.ndarray:
         z = np.maximum(self.pooled(index) + self.bias, 0) @ self.dense + self.dense_bias
@@ -170,22 +169,22 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
 
 def identify(texts: tb.Texts, net: Network) -> np.ndarray:
     """(documents, labels) probabilities; documents without bytes get zeros."""
-    extra = max(WIDTHS) - 1
     sizes = texts.ends - texts.starts
-    windows = np.where(sizes > 0, (sizes + extra + WINDOW - 1) // WINDOW, 0)
-    first = np.concatenate([[0], np.cumsum(windows)])
-    index = np.full(int(first[-1]) * WINDOW + extra, PAD, dtype=np.int16)
-    shift = first[:-1] * WINDOW - texts.starts
-    index[np.arange(len(texts.data)) + np.repeat(shift, sizes)] = texts.data
-    got = [net.probabilities(index[at:min(at + BLOCK, len(index) - extra) + extra])
-           for at in range(0, len(index) - extra, BLOCK)]
+    windows = -(-sizes // WINDOW)
+    owner = np.repeat(np.arange(texts.n), windows)
     out = np.zeros((texts.n, len(net.labels)))
-    if not got:
+    if not len(owner):
         return out
-    owner = np.repeat(np.arange(texts.n), windows)
-    nth = np.arange(len(owner)) - np.repeat(first[:-1], windows)
-    weight = np.clip(sizes[owner] - nth * WINDOW, 0, WINDOW).astype(float)
-    scored = np.concatenate(got) * weight[:, None]
+    begin = texts.starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
+    end = texts.ends[owner]
+    reach = np.arange(WINDOW + max(WIDTHS) - 1)
+    got = []
+    for at in range(0, len(owner), BLOCK // WINDOW):
+        place = begin[at:at + BLOCK // WINDOW, None] + reach
+        inside = place < end[at:at + BLOCK // WINDOW, None]
+        index = np.where(inside, texts.data[np.minimum(place, len(texts.data) - 1)], np.int16(PAD))
+        got.append(net.probabilities(index))
+    scored = np.concatenate(got) * np.minimum(end - begin, WINDOW)[:, None]
     for k in range(len(net.labels)):
         out[:, k] = np.bincount(owner, weights=scored[:, k], minlength=texts.n)
     return out / np.maximum(sizes, 1)[:, None]

@@ -59,13 +59,13 @@ def test_windows_cover_whole_text_one_by_one(trained):
         if not data:
             whole.append(np.zeros(3))
             continue
-        n = -(-(len(data) + 3) // L.WINDOW)
+        n = -(-len(data) // L.WINDOW)
         index = np.full(n * L.WINDOW + 3, L.PAD)
         index[:len(data)] = list(data)
         p = 0
         for w in range(n):
             window = index[w * L.WINDOW:(w + 1) * L.WINDOW + 3]
-            p = p + net.probabilities(window)[0] * max(0, min(L.WINDOW, len(data) - w * L.WINDOW))
+            p = p + net.probabilities(window[None])[0] * max(0, min(L.WINDOW, len(data) - w * L.WINDOW))
         whole.append(p / len(data))
     for limit in (1, 1 << 20):
         got = np.concatenate([L.identify(t, net) for _, _, t in tb.chunks(pa.array(texts), limit)])
@@ -77,4 +77,4 @@ def test_gradients_fit_training_data():
     truth = rng.integers(0, 2, 200)
     windows = np.where(rng.random((200, L.WINDOW + 3)) < 0.5, 97 + truth[:, None], 120).astype(np.int16)
     net = L.train(windows, truth, ["a", "b"])
-    assert (np.array([net.probabilities(w)[0].argmax() for w in windows]) == truth).mean() == 1
+    assert (np.array([net.probabilities(w[None])[0].argmax() for w in windows]) == truth).mean() == 1
