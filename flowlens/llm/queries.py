@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import langid, minhash, mixing, nndescent, packing, repetition, sharding, suffixes
+from flowlens.llm import html, langid, lmscore, minhash, mixing, nndescent, packing, repetition, sharding, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,11 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document by repetition coverage."""
     out = repetition.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +58,13 @@ def op7_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the language of the documents labelled as good, and of all."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lmscore.cross_entropy_difference(docs, good).drop("text")
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -64,10 +76,12 @@ def op10_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {"op1_byte_network": op1_byte_network, "op2_nn_descent": op2_nn_descent,
+           "op3_layout_rendering": op3_layout_rendering,
            "op4_repetition_coverage": op4_repetition_coverage,
            "op5_virtual_slots": op5_virtual_slots,
            "op6_two_stage_suffixes": op6_two_stage_suffixes,
            "op7_fair_queueing": op7_fair_queueing,
+           "op8_cross_entropy_difference": op8_cross_entropy_difference,
            "op9_vector_packing": op9_vector_packing,
            "op10_fast_similarity_sketching": op10_fast_similarity_sketching}
 
