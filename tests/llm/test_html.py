@@ -17,7 +17,7 @@ CASES = [
     ("<li>loose", "loose"),
     ("<h1>t</h1><p>a</p><hr>b", "t\n\na\n\nb"),
     ("<dl><dt>t<dd>d one<dd>d two</dl>", "t\n  d one\n  d two"),
-    ("<pre>\n a\n  b\t|</pre>c", " a\n  b    |\n\nc"),
+    ("<pre>\n a\n  b\t|</pre>c", " a\n  b     |\n\nc"),
     ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
     ("<table><tr><th>Name<th>N<tr><td>long cell<td>1<tr><td colspan=2>wider than both</table>",
      "Name       N\nlong cell  1\nwider than both"),
