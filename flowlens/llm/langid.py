@@ -33,8 +33,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 EMBED = 8
 TRAIN_DOCS = 6000  # labelled documents to learn from, in expectation
-WINDOWS_PER_DOC = 2
-EPOCHS, BATCH, RATE = 6, 64, 4e-3
+TRAIN_WINDOWS, WINDOWS_PER_DOC = 12_000, 16  # windows cut from them: about so many, and at most so many of one document
+STEPS, BATCH, RATE = 1200, 64, 4e-3  # so many steps whatever the sample: a small one is seen more often
 PAD = 256  # index of the padding byte
 BLOCK = 1 << 15  # byte positions computed at once
 UNKNOWN = "und"
@@ -85,9 +85,9 @@ def train(windows: np.ndarray, truth: np.ndarray, labels: list[str], seed: int =
     first = {n: np.zeros_like(getattr(net, n)) for n in names}
     second = {n: np.zeros_like(getattr(net, n)) for n in names}
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(windows))
-        for at in range(0, len(order), BATCH):
+        for at in range(0, min(len(order), (STEPS - step) * BATCH), BATCH):
             pick = order[at:at + BATCH]
             index, want, n = windows[pick], truth[pick], len(pick)
             x = net.embed[index]
@@ -141,6 +141,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
     sample = usable.where(has_letter(F.col("text")) & (draw < share)).select(
         "lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(12)).alias("h"))
     length = WINDOW + max(WIDTHS) - 1
+    expected = sum(min(n, train_docs / len(labels)) for n in counts.values())
+    per_doc = max(1, min(WINDOWS_PER_DOC, round(TRAIN_WINDOWS / expected)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
             for lang, text, h in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
                 data = text.as_py()
                 room = max(1, len(data) - WINDOW + 1)
-                for k in range(WINDOWS_PER_DOC if room > 1 else 1):
+                for k in range(min(per_doc, -(-len(data) // WINDOW))):
                     at = (h // (k * 7919 + 1)) % room
                     out.append((lang, data[at:at + length], h, k))
             if out:

@@ -6,7 +6,8 @@ rounds follow whose bin is the round's own, so every coordinate is filled, whate
 in a coordinate with probability equal to their similarity, concentrated as for independent samples. Rounds stop for
 a document as soon as its bins are full, which is after the first round for all but short texts.
 
-Candidates: rows of ``ROWS`` coordinates make ``BANDS`` bands; documents that share a band meet in a bucket. Copies
+Candidates: a few coordinates make a band (``ROWS``, fewer for lower thresholds); documents that share a band meet in a
+bucket. Copies
 (equal word sequences) are one class before any of this. In a bucket no pairs are listed: all members meet one leader,
 links found so far are closed to components, and only buckets that still hold several components go on, with members
 of the smallest components as the next leaders, until every member of such a bucket has met or is joined to all others.
@@ -35,8 +36,9 @@ from flowlens.llm import textbytes as tb
 from flowlens.llm.components import components
 from flowlens.session import materialize
 
-COORDINATES, ROWS = 120, 6
-BANDS = COORDINATES // ROWS
+COORDINATES = 120
+#: Rows of a band by least similarity in percent: copies at the threshold share no band in fewer than one case in 10,000.
+ROWS = {85: 6, 80: 5, 70: 4, 0: 3}
 FIRST_LEADERS = 8  # doubled in each round that is still needed
 _U = np.uint64
 
@@ -92,7 +94,7 @@ def sketch(docs: np.ndarray, hashes: np.ndarray, n: int, coordinates: int = COOR
     return out.reshape(n, coordinates)
 
 
-def bands(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(sketches: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit value per band of ``rows`` coordinates."""
     parts = tb.mix(sketches).reshape(len(sketches), -1, rows)
     out = np.zeros(parts.shape[:2], dtype=np.uint64)
@@ -101,7 +103,7 @@ def bands(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame, size: int) -> DataFrame:
+def sketched(docs: DataFrame, size: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, bands) of every row of docs."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
                            T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
@@ -113,7 +115,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 doc, hashes, d1, d2 = shingle_hashes(texts, size)
                 doc, hashes = distinct(doc, hashes)
                 count = tb.per_doc(doc, texts.n)
-                made = bands(sketch(doc, hashes, texts.n)).view(np.int64)
+                made = bands(sketch(doc, hashes, texts.n), rows).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.where(count > 0, made.shape[1], 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[count > 0].ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -153,7 +155,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity
     percent / 100 or more on shingles of ``size`` words) and kept (doc_id = component_id)."""
-    made = materialize(sketched(docs, size), "sketches")
+    rows = next(r for least, r in ROWS.items() if percent >= least)
+    made = materialize(sketched(docs, size, rows), "sketches")
     known = made.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "copy_classes")
     one = (known.join(classes, ["d1", "d2"]).where("doc_id = node").dropDuplicates(["d1", "d2"])

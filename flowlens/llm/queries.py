@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from flowlens.llm import html, langid, lmscore, minhash, mixing, nndescent, packing, repetition, sharding, suffixes
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,15 +76,10 @@ def op10_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFram
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
-QUERIES = {"op1_byte_network": op1_byte_network, "op2_nn_descent": op2_nn_descent,
-           "op3_layout_rendering": op3_layout_rendering,
-           "op4_repetition_coverage": op4_repetition_coverage,
-           "op5_virtual_slots": op5_virtual_slots,
-           "op6_two_stage_suffixes": op6_two_stage_suffixes,
-           "op7_fair_queueing": op7_fair_queueing,
-           "op8_cross_entropy_difference": op8_cross_entropy_difference,
-           "op9_vector_packing": op9_vector_packing,
-           "op10_fast_similarity_sketching": op10_fast_similarity_sketching}
+QUERIES = {f.__name__: f for f in (
+    op1_byte_network, op2_nn_descent, op3_layout_rendering, op4_repetition_coverage, op5_virtual_slots,
+    op6_two_stage_suffixes, op7_fair_queueing, op8_cross_entropy_difference, op9_vector_packing,
+    op10_fast_similarity_sketching)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op7_fair_queueing": """

@@ -75,7 +75,7 @@ def test_equals_all_pairs(spark, monkeypatch, size, percent, seed, leaders):
 
 def test_wide_bucket_without_pairs(spark, monkeypatch):
     """One bucket whose members do not all link: links behind the first leader are found as well."""
-    monkeypatch.setattr(M, "bands", lambda s, rows=6: np.zeros((len(s), 1), dtype=np.uint64))
+    monkeypatch.setattr(M, "bands", lambda s, rows: np.zeros((len(s), 1), dtype=np.uint64))
     monkeypatch.setattr(M, "FIRST_LEADERS", 1)
     rng = random.Random(3)
     rows = []
