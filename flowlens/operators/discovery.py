@@ -7,6 +7,8 @@ matched rows only). Regexes run on distinct endpoints, never on raw flows.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +70,15 @@ def epoch_second(c) -> Column:
 # ------------------------------------------------------------------------------------- A1, A1b, B1
 
 def read_flows(spark, path: str, start=None, end=None) -> DataFrame:
-    """A1: flow log scan, optionally bounded to [start, end) on whole seconds (pushed to the scan)."""
-    return time_window(spark.read.parquet(path), start, end)
+    """A1: flow log scan, optionally bounded to [start, end) on whole seconds (pushed to the scan). A log in ``day``
+    folders is pruned to the days of the window."""
+    flows = spark.read.parquet(path)
+    if "day" in flows.columns:
+        if start is not None:
+            flows = flows.where(F.col("day") >= F.to_date(F.lit(str(start)).cast("timestamp_ntz")))
+        if end is not None:
+            flows = flows.where(F.col("day") <= F.to_date(F.lit(str(end)).cast("timestamp_ntz")))
+    return time_window(flows, start, end)
 
 
 def time_window(flows: DataFrame, start=None, end=None) -> DataFrame:
@@ -240,39 +249,50 @@ def _first(cond: Column, value: Column) -> Column:
     return F.min(F.when(cond, F.struct(F.col("start_time"), F.col("flow_id"), value.alias("v"))))["v"]
 
 
+NO_TIME = -(1 << 40)  # stands for the second of a row without a time
+
+
+def _ntz(second: int) -> Column:
+    return F.lit(str(datetime(1970, 1, 1) + timedelta(seconds=second))).cast("timestamp_ntz")
+
+
 def fuse(sigs: DataFrame, flows: DataFrame, opts: Options) -> DataFrame:
     """Attach server-process, server-network and client-process observations to signatures.
 
-    Each observation row goes to the first signature (by ``rank``) with the same sample URL and
-    method whose sample time is within the tolerance. Times are whole epoch seconds, so the
-    500 ms tolerance is equality of seconds; an unknown time on either side matches any time.
-    The first signature per (url, method, second) is picked on the signature side, then every
-    observation row (one scan for all three points) meets it through one equi join.
+    Each observation row goes to the first signature (by ``rank``) with the same sample URL and method whose sample time
+    is within the tolerance; an unknown time on either side matches any time. Times are whole epoch seconds, so a
+    tolerance is that many whole seconds. The first signature per (url, method, second) is picked on the signature side,
+    where a tolerance of t seconds repeats a row 2t + 1 times; rows without a time meet the first signature of the
+    (url, method) under a second of its own. So all observation rows of the signatures' time range (J1b, pushed to the
+    scan) meet it in one inner equi join. Only signatures without a time, where there are any, need a second one.
     """
-    if opts.fusion_tolerance_ms >= 1000:
-        raise ValueError("tolerance of a second or more needs the bucketed interval join")
-    # Only allow-listed sample URLs are looked up at all
+    slack = opts.fusion_tolerance_ms // 1000
+    # only allow-listed sample URLs are looked up at all
     keys = (["cycle"] if "cycle" in sigs.columns else []) + DEDUP_KEY
     cand = (sigs.where(T.is_enrichable("sample_url"))
             .select(F.col("sample_url").alias("url"), F.col("http_method").alias("method"),
                     F.col("sample_second").alias("sec"),
                     F.struct("rank", *[F.col(k).alias(f"k_{k}") for k in keys]).alias("w")))
-    pick_exact = cand.where(F.col("sec").isNotNull()).groupBy("url", "method", "sec").agg(F.min("w").alias("w1"))
-    pick_untimed = cand.where(F.col("sec").isNull()).groupBy("url", "method").agg(F.min("w").alias("w2"))
-    pick_any = cand.groupBy("url", "method").agg(F.min("w").alias("w3"))
+    known = cand.agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"),
+                     F.count(F.when(F.col("sec").isNull(), 1)).alias("untimed")).first()
+    near = cand.where(F.col("sec").isNotNull()).withColumn(
+        "sec", F.explode(F.sequence(F.col("sec") - slack, F.col("sec") + slack)) if slack else F.col("sec"))
+    no_time = F.lit(NO_TIME).cast("long")
+    pick = (near.union(cand.withColumn("sec", no_time)).groupBy("url", "method", "sec").agg(F.min("w").alias("w")))
 
     obs = (flows.where(F.col("observation_point").isin("s-p", "s", "c-p"))
            .select("flow_id", "start_time", "observation_point",
                    F.col("request_resource").alias("url"), F.col("request_type").alias("method"),
-                   epoch_second("start_time").alias("sec"), *FUSION_SIDE_COLUMNS))
-    # branch filters on the raw column so they reach the scan (row groups without NULL times are skipped)
-    timed = (obs.where(F.col("start_time").isNotNull())
-             .join(pick_exact, ["url", "method", "sec"], "left")
-             .join(pick_untimed, ["url", "method"], "left")
-             .withColumn("w", F.least("w1", "w2")).drop("w1", "w2"))
-    untimed = (obs.where(F.col("start_time").isNull()).join(pick_any, ["url", "method"], "inner")
-               .withColumnRenamed("w3", "w"))
-    matched = timed.unionByName(untimed).where(F.col("w").isNotNull())
+                   F.coalesce(epoch_second("start_time"), no_time).alias("sec"), *FUSION_SIDE_COLUMNS))
+    if known["untimed"] == 0:
+        if known["lo"] is not None:
+            obs = obs.where(F.col("start_time").isNull() | (
+                (F.col("start_time") >= _ntz(known["lo"] - slack)) & (F.col("start_time") < _ntz(known["hi"] + slack + 1))))
+        matched = obs.join(pick, ["url", "method", "sec"])
+    else:
+        untimed = cand.where(F.col("sec").isNull()).groupBy("url", "method").agg(F.min("w").alias("w2"))
+        matched = (obs.join(pick, ["url", "method", "sec"], "left").join(untimed, ["url", "method"], "left")
+                   .withColumn("w", F.least("w", "w2")).drop("w2").where(F.col("w").isNotNull()))
 
     sp = F.col("observation_point") == "s-p"
     s = F.col("observation_point") == "s"
@@ -422,18 +442,14 @@ def batch_records(valid: DataFrame) -> DataFrame:
 def merge_discovered(state: DataFrame | None, batch: DataFrame, as_of) -> DataFrame:
     """Discovered upsert. Hits add; overwrite / coalesce(new, old) / keep-first per column.
 
-    ``batch`` is the output of batch_records. Seen times are event times of the cycle's rows.
-    The state is split by the cycle's keys (semi / anti join against the small key set, which AQE
-    broadcasts once its size is measured): only touched rows meet the batch in the outer join, the
-    untouched state is carried over without a shuffle.
+    ``batch`` is the output of batch_records. Seen times are event times, so a batch of older rows never moves
+    last_seen_at back or leaves first_seen_at too late. One outer join on the key; a ``StateTable`` hands in only the
+    buckets that the batch touches.
     """
     ts = F.lit(str(as_of)).cast("timestamp_ntz")
     if state is None:
         return batch.withColumn("created_at", ts).withColumn("updated_at", ts)
-    keys = batch.select(*DISCOVERED_KEY)
-    untouched = state.join(keys, DISCOVERED_KEY, "left_anti")
-    touched = state.join(keys, DISCOVERED_KEY, "left_semi")
-    o, n = touched.alias("o"), batch.alias("n")
+    o, n = state.alias("o"), batch.alias("n")
     j = o.join(n, DISCOVERED_KEY, "full_outer")
     has_o = F.col("o.http_method").isNotNull()
     has_n = F.col("n.http_method").isNotNull()
@@ -445,15 +461,16 @@ def merge_discovered(state: DataFrame | None, batch: DataFrame, as_of) -> DataFr
             return F.when(has_n, F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))).otherwise(F.col(f"o.{c}"))
         if c == "hit_count":
             return F.coalesce(F.col("o.hit_count"), F.lit(0)) + F.coalesce(F.col("n.hit_count"), F.lit(0))
+        if c == "first_seen_at":
+            return F.least("o.first_seen_at", "n.first_seen_at")
         if c == "last_seen_at":
-            return F.when(has_n, F.col("n.last_seen_at")).otherwise(F.col("o.last_seen_at"))
+            return F.greatest("o.last_seen_at", "n.last_seen_at")
         return F.when(has_o, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
 
     cols = [F.col(k) for k in DISCOVERED_KEY] + [pick(c).alias(c) for c in DISCOVERED_COLS if c not in DISCOVERED_KEY]
     cols.append(F.when(has_o, F.col("o.created_at")).otherwise(ts).alias("created_at"))
     cols.append(F.when(has_n, ts).otherwise(F.col("o.updated_at")).alias("updated_at"))
-    merged = j.select(*cols)
-    return untouched.select(*merged.columns).unionByName(merged)
+    return j.select(*cols)
 
 
 def discovered_from_flows(flows: DataFrame, opts: Options, as_of, start=None, end=None,

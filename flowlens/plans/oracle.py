@@ -14,6 +14,20 @@ from ..config import DEFAULT, DISCOVERED_WIDTHS, Options
 from ..sources import fixtures as fx
 
 
+# Upsert rules of the discovered table, stated from its definition and not taken from the operators: columns that keep
+# their first value, that take the newest, that take the newest non-NULL, and whose blanks are stored as NULL.
+KEY_COLUMNS = ["service_key", "http_method", "resource_path"]
+NEWEST = ["k8s_pod", "k8s_node", "service_ip", "traffic_origin", "sample_url", "response_code", "latency_us", "agent_name"]
+NEWEST_KNOWN = ["source_ip", "host_ip", "is_external", "source_service_ip", "source_k8s_pod", "source_k8s_service"]
+FIRST = ["service_type", "protocol", "is_tls", "http_version", "server_port", "process_name", "k8s_namespace",
+         "k8s_workload", "k8s_service", "k8s_cluster", "vm_hostname", "request_domain", "source_process_name",
+         "source_k8s_namespace", "source_k8s_cluster", "source_vm_hostname", "sample_path", "agent_id"]
+BLANK_IS_NULL = ["source_ip", "host_ip", "source_service_ip", "source_process_name", "source_k8s_pod",
+                 "source_k8s_namespace", "source_k8s_service", "source_k8s_cluster", "source_vm_hostname"]
+TIMES_AND_HITS = ["first_seen_at", "last_seen_at", "hit_count"]
+ALL_COLUMNS = KEY_COLUMNS + FIRST + NEWEST + NEWEST_KNOWN + TIMES_AND_HITS
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -189,7 +203,7 @@ SELECT * FROM (
   FROM (SELECT *, {epoch_sec('start_time')} AS sec FROM flows WHERE observation_point IN ('s-p', 's', 'c-p')) f
   JOIN deduped d
     ON f.request_resource = d.sample_url AND f.request_type = d.http_method
-   AND (f.sec = d.sample_second OR f.sec IS NULL OR d.sample_second IS NULL)
+   AND (abs(f.sec - d.sample_second) <= {o.fusion_tolerance_ms // 1000} OR f.sec IS NULL OR d.sample_second IS NULL)
   WHERE regexp_full_match(d.sample_url, '[A-Za-z0-9/_.~:?=&%+@#,; \\[\\]-]*')) x
 WHERE rn = 1""", ["flows", "deduped"])
         first = lambda v, cond: f"arg_min({v}, (start_time, flow_id)) FILTER (WHERE {cond})"
@@ -272,17 +286,14 @@ FROM (SELECT event_id, body, CAST(json_extract(body, '$.columns') AS VARCHAR[])
 
     # ------------------------------------------------------------------ discovered state
     def _define_state(self):
-        from ..operators.discovery import COALESCE_COLS, DISCOVERED_COLS, KEEP_COLS, NULL_WHEN_BLANK, OVERWRITE_COLS
-
         def v(c):
-            return f"nullif({c}, '')" if c in NULL_WHEN_BLANK else c
-        keep = ", ".join(f"'{c}': {v(c)}" for c in KEEP_COLS)
-        over = ", ".join(f"'{c}': {v(c)}" for c in OVERWRITE_COLS)
+            return f"nullif({c}, '')" if c in BLANK_IS_NULL else c
+        keep = ", ".join(f"'{c}': {v(c)}" for c in FIRST)
+        over = ", ".join(f"'{c}': {v(c)}" for c in NEWEST)
         coal = ",\n  ".join(
-            f"arg_max({{'v': {v(c)}}}, rk) FILTER (WHERE {v(c)} IS NOT NULL).v AS {c}" for c in COALESCE_COLS)
+            f"arg_max({{'v': {v(c)}}}, rk) FILTER (WHERE {v(c)} IS NOT NULL).v AS {c}" for c in NEWEST_KNOWN)
         cols = ", ".join(
-            (f"f.{c}" if c in KEEP_COLS else f"l.{c}" if c in OVERWRITE_COLS else c) + f" AS {c}"
-            for c in DISCOVERED_COLS)
+            (f"f.{c}" if c in FIRST else f"l.{c}" if c in NEWEST else c) + f" AS {c}" for c in ALL_COLUMNS)
         # one cycle's records per discovered key; `fused_src` is the fused row set of that cycle
         self.batch_sql = f"""
 SELECT {cols} FROM (
@@ -383,27 +394,41 @@ WHERE c.apim_api_id IS NULL OR c.lost""", ["cands", "losers"])
     COMPARISON_CHAIN = ("op_pick", "cands", "coll", "scores", "sk_domain", "resolved", "losers", "classified")
 
     def _define_cycles(self):
-        from ..operators.discovery import COALESCE_COLS, DISCOVERED_COLS, DISCOVERED_KEY, OVERWRITE_COLS
         split, as_of = q(fx.STATE_SPLIT), q(fx.AS_OF)
         self.add("flows_w1", f"SELECT * FROM flows WHERE start_time < TIMESTAMP {split}", ["flows"])
         self.add("flows_w2", f"SELECT * FROM flows WHERE start_time >= TIMESTAMP {split}", ["flows"])
         self.clone(self.DISCOVERY_CHAIN, "w1", {"flows": "flows_w1"})
         self.clone(self.DISCOVERY_CHAIN, "w2", {"flows": "flows_w2"})
-        on = " AND ".join(f"o.{k} = n.{k}" for k in DISCOVERED_KEY)
+        on = " AND ".join(f"o.{k} = n.{k}" for k in KEY_COLUMNS)
 
         def rule(c):
-            if c in DISCOVERED_KEY:
+            if c in KEY_COLUMNS:
                 return f"coalesce(o.{c}, n.{c})"
-            if c in OVERWRITE_COLS or c == "last_seen_at":
+            if c == "first_seen_at":
+                return "least(o.first_seen_at, n.first_seen_at)"
+            if c == "last_seen_at":
+                return "greatest(o.last_seen_at, n.last_seen_at)"
+            if c in NEWEST:
                 return f"CASE WHEN n.http_method IS NOT NULL THEN n.{c} ELSE o.{c} END"
-            if c in COALESCE_COLS:
+            if c in NEWEST_KNOWN:
                 return f"CASE WHEN n.http_method IS NOT NULL THEN coalesce(n.{c}, o.{c}) ELSE o.{c} END"
             if c == "hit_count":
                 return "coalesce(o.hit_count, 0) + coalesce(n.hit_count, 0)"
             return f"CASE WHEN o.http_method IS NOT NULL THEN o.{c} ELSE n.{c} END"
-        self.add("discovered_m", "SELECT " + ", ".join(f"{rule(c)} AS {c}" for c in DISCOVERED_COLS)
+        self.add("discovered_m", "SELECT " + ", ".join(f"{rule(c)} AS {c}" for c in ALL_COLUMNS)
                  + f" FROM discovered_w1 o FULL OUTER JOIN discovered_w2 n ON {on}", ["discovered_w1", "discovered_w2"])
+        # the windows that a stream over the whole log has closed
+        self.add("stream_end", "SELECT make_timestamp(CAST((epoch_us(max(start_time)) - 120000000) // 300000000 * 300000000 "
+                 "AS BIGINT)) AS t FROM sp_filtered", ["sp_filtered"])
+        self.add("flows_ws", "SELECT * FROM flows WHERE start_time < (SELECT t FROM stream_end)", ["flows", "stream_end"])
+        self.clone(self.DISCOVERY_CHAIN, "ws", {"flows": "flows_ws"})
+        self.add("flows_edge", "SELECT * REPLACE (CASE WHEN agent_id = 3 THEN repeat('d', "
+                 f"{fx.EDGE_DOMAIN_WIDTH}) ELSE request_domain END AS request_domain) FROM flows", ["flows"])
+        self.clone(self.DISCOVERY_CHAIN, "edge", {"flows": "flows_edge"})
         self.clone(self.COMPARISON_CHAIN, "w1", {"discovered": "discovered_w1"})
+        # registered side that grows between the cycles: findings are resolved, and classes change
+        self.add("m_ops_half", "SELECT * FROM m_ops WHERE CAST(substr(apim_api_id, 5, 3) AS INTEGER) % 2 = 0", ["m_ops"])
+        self.clone(self.COMPARISON_CHAIN, "h1", {"discovered": "discovered_w1", "m_ops": "m_ops_half"})
         self.clone(self.COMPARISON_CHAIN, "m", {"discovered": "discovered_m"})
         self.add("u0", "SELECT CAST(NULL AS VARCHAR) AS service_key, CAST(NULL AS VARCHAR) AS http_method, "
                  "CAST(NULL AS VARCHAR) AS resource_path, CAST(NULL AS VARCHAR) AS managed_api_id, "
@@ -413,6 +438,8 @@ WHERE c.apim_api_id IS NULL OR c.lost""", ["cands", "losers"])
                  "CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at WHERE 1 = 0")
         self.cycle("u1", "u0", "classified_w1", "discovered_w1", fx.STATE_SPLIT)
         self.cycle("u2", "u1", "classified_m", "discovered_m", fx.AS_OF)
+        self.cycle("uh1", "u0", "classified_h1", "discovered_w1", fx.STATE_SPLIT)
+        self.cycle("uh2", "uh1", "classified_m", "discovered_m", fx.AS_OF)
         from .scenarios import DISMISS_AT
         self.add("u1d", f"""
 SELECT * REPLACE (CASE WHEN confidence = 'LOW' THEN 'DISMISSED' ELSE status END AS status,

@@ -7,12 +7,14 @@ engine's own operators on the whole tables. The oracle SQL runs the same semanti
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options
 from ..operators import discovery as D
+from ..session import materialize
 from ..sources import fixtures as fx
 from .oracle import Oracle
 
@@ -22,18 +24,19 @@ OPTS: Options = DEFAULT
 _oracle = Oracle(OPTS)
 
 
-def query(name: str, final: str | None = None, needs=()):
-    """Register a Spark query and (unless final is None) its oracle: final SELECT + needed CTEs."""
+def query(name: str, final: str | None = None, needs=(), oracle: Oracle | None = None):
+    """Register a Spark query and (unless final is None) its oracle: final SELECT + needed CTEs, of the default
+    options' oracle or of another's."""
     def deco(fn):
         QUERIES[name] = fn
         if final is not None:
-            ORACLE[name] = (final, tuple(needs))
+            ORACLE[name] = (final, tuple(needs), oracle or _oracle)
         return fn
     return deco
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _oracle.sql(final, needs) for n, (final, needs) in ORACLE.items()}
+    return {n: oracle.sql(final, needs) for n, (final, needs, oracle) in ORACLE.items()}
 
 
 # ------------------------------------------------------------------------------ shared inputs
@@ -69,6 +72,24 @@ def q_observations_s(spark, sf_dir):
     return D.observations(flows(spark, sf_dir), "s")
 
 
+def _observation_sql(point: str) -> str:
+    cols = ", ".join(f"{src} AS {dst}" for src, dst in D.OBS_COLUMNS[point].items())
+    return ("SELECT flow_id, request_resource, request_type, CAST(floor(epoch(start_time)) AS BIGINT) AS start_second, "
+            f"{cols} FROM flows WHERE observation_point = '{point}'")
+
+
+@query("observations_sp", _observation_sql("s-p"), ["flows"])
+def q_observations_sp(spark, sf_dir):
+    """Server-process observation rows with the side columns renamed."""
+    return D.observations(flows(spark, sf_dir), "s-p")
+
+
+@query("observations_cp", _observation_sql("c-p"), ["flows"])
+def q_observations_cp(spark, sf_dir):
+    """Client-process observation rows with the side columns renamed."""
+    return D.observations(flows(spark, sf_dir), "c-p")
+
+
 @query("traffic_filter",
        "SELECT flow_id, request_type, endpoint, server_port, agent_id FROM sp_filtered", ["sp_filtered"])
 def q_traffic_filter(spark, sf_dir):
@@ -106,6 +127,17 @@ def q_noise_audit(spark, sf_dir):
     return D.noise_audit(discovery(spark, sf_dir)["signatures"], OPTS)
 
 
+OPTS_NOISE = replace(OPTS, excluded_agent_ids=(4,), excluded_ports=(8082,))
+
+
+@query("noise_by_agent_and_port",
+       "SELECT coalesce(reason, 'kept') AS reason, count(*) AS signatures, CAST(sum(hit_count) AS BIGINT) AS hits "
+       "FROM sigs_reason GROUP BY ALL", ["sigs_reason"], Oracle(OPTS_NOISE))
+def q_noise_by_agent_and_port(spark, sf_dir):
+    """B3 + B4: agent and port sets switched on; the first matching rule counts."""
+    return D.noise_audit(D.discover_batch(flows(spark, sf_dir), OPTS_NOISE)["signatures"], OPTS_NOISE)
+
+
 @query("noise_filtered", "SELECT http_method, endpoint, server_port, agent_id, hit_count FROM kept", ["kept"])
 def q_noise_filtered(spark, sf_dir):
     """Signatures kept by the noise filter."""
@@ -213,6 +245,26 @@ def q_width_rejects(spark, sf_dir):
     return fused.select(*D.DEDUP_KEY, "service_key", D.width_reason(columns=set(fused.columns)).alias("reject_reason"))
 
 
+@query("width_rejects_edge", f"SELECT {_KEYS}, reject_reason FROM fused_reason_edge WHERE reject_reason IS NOT NULL",
+       ["fused_reason_edge"])
+def q_width_rejects_edge(spark, sf_dir):
+    """Rows whose host name is wider than its column are rejected with the column's name."""
+    parts = D.discover_batch(fx.edge_flows(spark, sf_dir), OPTS)
+    return parts["rejects"].select(*D.DEDUP_KEY, "reject_reason")
+
+
+OPTS_WIDE_TOLERANCE = replace(OPTS, fusion_tolerance_ms=1500)
+
+
+@query("fusion_tolerance", f"SELECT {_KEYS}, service_ip, source_ip, host_ip, is_external, source_service_ip, "
+       "source_process_name, source_k8s_service, service_key FROM fused", ["fused"], Oracle(OPTS_WIDE_TOLERANCE))
+def q_fusion_tolerance(spark, sf_dir):
+    """A tolerance of 1500 ms, so observations of the neighbouring seconds match as well."""
+    return D.discover_batch(flows(spark, sf_dir), OPTS_WIDE_TOLERANCE)["fused"].select(
+        *D.DEDUP_KEY, "service_ip", "source_ip", "host_ip", "is_external", "source_service_ip", "source_process_name",
+        "source_k8s_service", "service_key")
+
+
 # ----------------------------------------------------------------------------- managed queries
 
 from ..operators import comparison as C  # noqa: E402
@@ -340,6 +392,24 @@ _U_OUT = ["service_key", "http_method", "resource_path", "managed_api_id", "clas
 _U_SQL = ", ".join(_U_OUT)
 
 
+@query("discovered_late_merge", "SELECT service_key, http_method, resource_path, hit_count, first_seen_at, last_seen_at "
+       "FROM discovered_m", ["discovered_m"])
+def q_discovered_late_merge(spark, sf_dir):
+    """The later half of the log merged first, then the earlier half; hits and seen times come out as in order."""
+    f = flows(spark, sf_dir)
+    late = materialize(D.discovered_from_flows(f, OPTS, fx.AS_OF, start=fx.STATE_SPLIT), "late_first")
+    early = D.batch_records(D.discover_batch(f, OPTS, end=fx.STATE_SPLIT)["valid"])
+    return D.merge_discovered(late, early, fx.AS_OF).select("service_key", "http_method", "resource_path", "hit_count",
+                                                            "first_seen_at", "last_seen_at")
+
+
+@query("registration_cycle", f"SELECT {_U_SQL} FROM uh2", ["uh2"])
+def q_registration_cycle(spark, sf_dir):
+    """E7 + E8: between two cycles the other half of the APIs is registered: findings that are now documented become
+    RESOLVED, and services that gained an API change class or API and reopen."""
+    return S.registration_cycle(spark, sf_dir, OPTS).select(*_U_OUT)
+
+
 @query("discovered_merge", "SELECT * FROM discovered_m", ["discovered_m"])
 def q_discovered_merge(spark, sf_dir):
     """Second-cycle batch merged into the first cycle's discovered state (add / overwrite / coalesce / keep)."""
@@ -603,6 +673,94 @@ def q_purge_ops(spark, sf_dir):
         .select("apim_api_id", "http_method", "raw_target", "deleted_at")
 
 
+# ------------------------------------------------- registered side that grows with the scale factor
+
+_oracle.add("wide", fx.WIDE_SRC_SQL)
+_WIDE_OK = "status = 'PUBLISHED' AND type = 'HTTP'"
+# expected values stated per shape of input
+_oracle.add("wide_apis", f"""
+SELECT id AS apim_api_id, type AS api_type, context,
+  CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 3 THEN '' WHEN 1 THEN 'address' ELSE 'http' END AS endpoint_type,
+  CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN 'svc' || CAST(substr(id, 3) AS BIGINT) % 12 || '.shop.example.com'
+    WHEN 1 THEN 'h' || substr(id, 3) || '.example.com' WHEN 2 THEN 'a' || substr(id, 3) || '.example.com'
+    WHEN 4 THEN '2001:db8::1' ELSE '' END AS endpoint_hostname,
+  CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN 8080 WHEN 1 THEN 443 WHEN 2 THEN 80 WHEN 4 THEN 9443 ELSE 0 END AS endpoint_port,
+  CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN '/base' WHEN 2 THEN '/x y' WHEN 4 THEN '/v1' ELSE '' END AS endpoint_basepath,
+  CASE CAST(substr(id, 3) AS BIGINT) % 7 WHEN 0 THEN TIMESTAMP '2024-01-05 05:00:00.25' WHEN 1 THEN TIMESTAMP '2024-01-05 10:30:00.25'
+    WHEN 2 THEN TIMESTAMP '2024-01-05 12:30:00' WHEN 3 THEN TIMESTAMP '2024-01-05 09:30:00.5' WHEN 4 THEN TIMESTAMP '2024-01-05 10:30:00'
+    WHEN 5 THEN TIMESTAMP '2024-01-05 10:30:00' END AS apim_last_updated_at
+FROM wide WHERE {_WIDE_OK}""", ["wide"])
+
+
+def _wide(spark, sf_dir, pass_through=False):
+    pub = A.published(A.parse_details(fx.wide_details_json(spark, sf_dir)), OPTS.include_api_types)
+    return M.managed_from_json(pub, pass_through)
+
+
+@query("wide_apis", "SELECT * FROM wide_apis", ["wide_apis"])
+def q_wide_apis(spark, sf_dir):
+    """A4 + A5 + B12 + B13 + B15: lifecycle states, endpoint configs (object, array, not JSON, none), hosts with IPv6,
+    ports given, implied and broken, escaped paths, and the accepted time formats, one API per part."""
+    return _wide(spark, sf_dir)[0].select("apim_api_id", "api_type", "context", "endpoint_type", "endpoint_hostname",
+                                         "endpoint_port", "endpoint_basepath", "apim_last_updated_at")
+
+
+@query("wide_ops_context", f"""
+SELECT id AS apim_api_id, v.http_method, v.raw_target, v.normalized_target,
+  CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN '/base' WHEN 2 THEN '/x y' WHEN 4 THEN '/v1' ELSE '' END
+  || CASE CAST(substr(id, 3) AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE '/ctx' || substr(id, 3) END || v.tail AS match_path
+FROM wide, (VALUES ('GET', '/orders/{{orderId}}', '/orders/{{id}}', '/orders/{{id}}'), ('POST', '//orders', '//orders', '/orders'))
+  v(http_method, raw_target, normalized_target, tail)
+WHERE {_WIDE_OK}
+UNION ALL
+SELECT id, 'GET', '/orders/{{orderId}}', '/orders/{{id}}',
+  CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN '/base' WHEN 2 THEN '/x y' WHEN 4 THEN '/v1' ELSE '' END
+  || CASE CAST(substr(id, 3) AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE '/ctx' || substr(id, 3) END || '/orders/{{id}}'
+FROM wide WHERE {_WIDE_OK} AND repeats""".replace("{{", "{").replace("}}", "}"), ["wide"])
+def q_wide_ops_context(spark, sf_dir):
+    """B9-B11 + B14 with context pass-through: documented operations and their match paths."""
+    return _wide(spark, sf_dir, pass_through=True)[1]
+
+
+def _wide_synced(spark, sf_dir):
+    apis, ops = _wide(spark, sf_dir)
+    return M.merge_managed(None, None, M.classify_sync(apis, None), ops, fx.AS_OF)
+
+
+@query("wide_sync_rejects", f"SELECT id AS apim_api_id FROM wide WHERE {_WIDE_OK} AND repeats", ["wide"])
+def q_wide_sync_rejects(spark, sf_dir):
+    """APIs that document one operation twice are rejected as a whole."""
+    return _wide_synced(spark, sf_dir)[2]
+
+
+@query("wide_sync_counts", f"SELECT (SELECT count(*) FROM wide WHERE {_WIDE_OK} AND NOT repeats) AS active_apis, "
+       f"(SELECT 2 * count(*) FROM wide WHERE {_WIDE_OK} AND NOT repeats) AS active_operations", ["wide"])
+def q_wide_sync_counts(spark, sf_dir):
+    """E2 + E3 + C16: counts after the sync of all registered APIs; rejected ones are not in."""
+    api_state, op_state, _ = _wide_synced(spark, sf_dir)
+    return M.count_active(api_state, op_state)
+
+
+@query("operations_of_api", f"SELECT id AS apim_api_id, unnest(['GET', 'POST']) AS http_method FROM wide "
+       f"WHERE {_WIDE_OK} AND NOT repeats AND id = (SELECT max(id) FROM wide WHERE {_WIDE_OK} AND NOT repeats)", ["wide"])
+def q_operations_of_api(spark, sf_dir):
+    """Operations of one API, the last by id."""
+    api_state, op_state, _ = _wide_synced(spark, sf_dir)
+    op_state = materialize(op_state, "wide_ops")
+    newest = op_state.agg(F.max("apim_api_id")).first()[0]
+    return M.ops_of(op_state, newest).select("apim_api_id", "http_method")
+
+
+@query("catalog_listing", "SELECT * FROM catalog_src", ["catalog_src"])
+def q_catalog_listing(spark, sf_dir):
+    """Catalog listing read back from a JSON snapshot."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlens-catalog/{uuid.uuid4().hex}"
+    fx.catalog_src(spark, sf_dir).write.json(path)
+    return A.read_catalog(spark, path)
+
+
 # --------------------------------------------------------------------------- result sets (A2/A3)
 
 from ..sources import results as R  # noqa: E402
@@ -622,28 +780,40 @@ from ..sources.state import advance_watermark  # noqa: E402
 from ..streaming import stream as ST  # noqa: E402
 
 _SPLIT, _AS_OF = fx.STATE_SPLIT, fx.AS_OF
-FRESH_CHECK_AT = "2024-01-15 00:20:00"
+FRESH_AFTER = "20 minutes"
 
 
 def _wm_update(spark, pipeline, end, hits_df):
-    return hits_df.select(F.lit(pipeline).alias("pipeline"), F.lit(end).cast("timestamp_ntz").alias("end"),
+    return hits_df.select(F.lit(pipeline).alias("pipeline"), F.lit(str(end)).cast("timestamp_ntz").alias("end"),
                           F.col(hits_df.columns[0]).cast("long").alias("n"))
 
 
+def _ends(spark, sf_dir):
+    """Ends of the two discovery windows: the last minute with traffic before the split, and of the whole log; and the
+    newest row's time, at which the windows are asked for."""
+    minute = F.date_trunc("minute", F.max("start_time"))
+    f = flows(spark, sf_dir)
+    newest = f.agg(minute.alias("m"), F.max("start_time").alias("t")).first()
+    return f.where(F.col("start_time") < F.lit(_SPLIT).cast("timestamp_ntz")).agg(minute).first()[0], newest["m"], newest["t"]
+
+
 def _watermarks(spark, sf_dir):
     f = flows(spark, sf_dir)
+    first, last, _ = _ends(spark, sf_dir)
     h1 = D.total_hits(D.discover_batch(f, OPTS, end=_SPLIT)["deduped"])
     h2 = D.total_hits(D.discover_batch(f, OPTS, start=_SPLIT)["deduped"])
-    w1 = advance_watermark(None, _wm_update(spark, ST.DISCOVERY, _SPLIT, h1))
+    w1 = advance_watermark(None, _wm_update(spark, ST.DISCOVERY, first, h1))
     apis, _ = S.managed_current(spark, sf_dir, OPTS)
     synced = apis.agg(F.count(F.lit(1)).alias("n"))
-    w2 = advance_watermark(w1, _wm_update(spark, ST.DISCOVERY, _AS_OF, h2))
-    w2 = advance_watermark(w2, _wm_update(spark, ST.MANAGED, _SPLIT, synced))
+    w2 = advance_watermark(w1, _wm_update(spark, ST.DISCOVERY, last, h2))
+    w2 = advance_watermark(w2, _wm_update(spark, ST.MANAGED, first, synced))
     return w1, w2
 
 
 _PIPES = f"(VALUES ('{ST.DISCOVERY}'), ('{ST.MANAGED}')) p(pipeline)"
-_NOW = f"TIMESTAMP '{_AS_OF}'"
+_FIRST_END = f"(SELECT date_trunc('minute', max(start_time)) FROM flows WHERE start_time < TIMESTAMP '{_SPLIT}')"
+_LAST_END = "(SELECT date_trunc('minute', max(start_time)) FROM flows)"
+_NOW = "(SELECT max(start_time) FROM flows)"
 _FIRST = f"{_NOW} - INTERVAL '{OPTS.poll_interval}' - INTERVAL '{OPTS.safety_lag}'"
 
 
@@ -651,52 +821,57 @@ _FIRST = f"{_NOW} - INTERVAL '{OPTS.poll_interval}' - INTERVAL '{OPTS.safety_lag
        f"SELECT p.pipeline, date_trunc('second', coalesce(w.last_watermark_end, {_FIRST})) AS window_start, "
        f"date_trunc('second', {_NOW} - INTERVAL '{OPTS.safety_lag}') AS window_end, "
        f"{_NOW} - INTERVAL '{OPTS.safety_lag}' > coalesce(w.last_watermark_end, {_FIRST}) AS runnable "
-       f"FROM {_PIPES} LEFT JOIN (SELECT '{ST.DISCOVERY}' AS pipeline, TIMESTAMP '{_SPLIT}' AS last_watermark_end) w "
-       "ON w.pipeline = p.pipeline", [])
+       f"FROM {_PIPES} LEFT JOIN (SELECT '{ST.DISCOVERY}' AS pipeline, {_FIRST_END} AS last_watermark_end) w "
+       "ON w.pipeline = p.pipeline", ["flows"])
 def q_next_window(spark, sf_dir):
-    """Next incremental window per pipeline from the watermark state after the first cycle."""
+    """Next incremental window per pipeline at the newest row's time, from the watermark state after the first
+    cycle; the managed pipeline has not run yet."""
     w1, _ = _watermarks(spark, sf_dir)
     pipes = spark.createDataFrame([(ST.DISCOVERY,), (ST.MANAGED,)], "pipeline string")
-    return ST.next_window(w1, pipes, _AS_OF, OPTS)
+    return ST.next_window(w1, pipes, _ends(spark, sf_dir)[2], OPTS)
 
 
 @query("watermark_state",
-       f"SELECT '{ST.DISCOVERY}' AS pipeline, {_NOW} AS last_watermark_end, "
+       f"SELECT '{ST.DISCOVERY}' AS pipeline, {_LAST_END} AS last_watermark_end, "
        "CAST((SELECT sum(hit_count) FROM deduped_w1) + (SELECT sum(hit_count) FROM deduped_w2) AS BIGINT) AS records "
-       f"UNION ALL SELECT '{ST.MANAGED}', TIMESTAMP '{_SPLIT}', (SELECT count(*) FROM m_apis)",
-       ["deduped_w1", "deduped_w2", "m_apis"])
+       f"UNION ALL SELECT '{ST.MANAGED}', {_FIRST_END}, (SELECT count(*) FROM m_apis)",
+       ["flows", "deduped_w1", "deduped_w2", "m_apis"])
 def q_watermark_state(spark, sf_dir):
     """Watermark end set and record counter added per cycle (hits for discovery, APIs for managed)."""
     return _watermarks(spark, sf_dir)[1]
 
 
+_LIMIT = f"{OPTS.managed_fresh_factor} * INTERVAL '{OPTS.managed_sync_interval}'"
+
+
 @query("is_fresh",
-       f"SELECT TIMESTAMP '{FRESH_CHECK_AT}' AS as_of, TIMESTAMP '{_SPLIT}' > TIMESTAMP '{FRESH_CHECK_AT}' - "
-       f"{OPTS.managed_fresh_factor} * INTERVAL '{OPTS.managed_sync_interval}' AS fresh "
-       f"UNION ALL SELECT {_NOW}, TIMESTAMP '{_SPLIT}' > {_NOW} - {OPTS.managed_fresh_factor} * "
-       f"INTERVAL '{OPTS.managed_sync_interval}'", [])
+       f"SELECT 'soon' AS asked, {_FIRST_END} > {_FIRST_END} + INTERVAL '{FRESH_AFTER}' - {_LIMIT} AS fresh "
+       f"UNION ALL SELECT 'at the newest row', {_FIRST_END} > {_NOW} - {_LIMIT}", ["flows"])
 def q_is_fresh(spark, sf_dir):
-    """Comparison gate on the managed sync's age (3 x its interval)."""
+    """Comparison gate on the managed sync's age (3 x its interval), soon after the sync and at the newest row."""
+    from datetime import timedelta
     _, w2 = _watermarks(spark, sf_dir)
-    a = ST.is_fresh(w2, FRESH_CHECK_AT, OPTS).select(F.lit(FRESH_CHECK_AT).cast("timestamp_ntz").alias("as_of"), "fresh")
-    b = ST.is_fresh(w2, _AS_OF, OPTS).select(F.lit(_AS_OF).cast("timestamp_ntz").alias("as_of"), "fresh")
-    return a.unionByName(b)
+    first, _, newest = _ends(spark, sf_dir)
+    soon = first + timedelta(minutes=int(FRESH_AFTER.split()[0]))
+    return ST.is_fresh(w2, soon, OPTS).select(F.lit("soon").alias("asked"), "fresh").unionByName(
+        ST.is_fresh(w2, newest, OPTS).select(F.lit("at the newest row").alias("asked"), "fresh"))
 
 
-@query("stream_discovered")
+@query("stream_discovered", "SELECT service_key, http_method, resource_path, service_type, hit_count, first_seen_at, "
+       "last_seen_at FROM discovered_ws", ["discovered_ws"])
 def q_stream_discovered(spark, sf_dir):
-    """The flow log as a file stream (one folder per day), 5-minute windows with a 2-minute
-    watermark, foreachBatch merge into the discovered state table; result = final state (rows-only)."""
+    """The flow log as a file stream (day folders written by several tasks), 5-minute windows with a 2-minute
+    watermark, foreachBatch merge into the discovered state table; result = final state of the closed windows."""
     import uuid
     from ..session import ensure_checkpoint_dir
+    from ..sources.state import StateTable
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlens-stream/{uuid.uuid4().hex}"
     src = flows(spark, sf_dir).withColumn("day", F.to_date("start_time"))
-    src.repartition("day").write.partitionBy("day").parquet(f"{base}/flows")
+    src.repartition(8, "day").write.partitionBy("day").parquet(f"{base}/flows")
     schema = spark.read.parquet(f"{base}/flows").schema
-    q = ST.discover_stream(spark, f"{base}/flows", schema, f"{base}/state", f"{base}/checkpoint", OPTS, max_files=10)
-    q.awaitTermination()
-    from ..sources.state import StateTable
-    return StateTable(spark, f"{base}/state/discovered", D.DISCOVERED_KEY).read().select(*D.DISCOVERED_COLS)
+    ST.replay(spark, f"{base}/flows", schema, f"{base}/state", f"{base}/checkpoint", OPTS)
+    return StateTable(spark, f"{base}/state/discovered", D.DISCOVERED_KEY).read().select(
+        "service_key", "http_method", "resource_path", "service_type", "hit_count", "first_seen_at", "last_seen_at")
 
 
 @query("sync_metrics", "SELECT sync_class, count(*) AS apis FROM sync GROUP BY ALL", ["sync"])

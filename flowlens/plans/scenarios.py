@@ -141,6 +141,20 @@ def dismissed_cycle(spark, sf_dir, opts: Options) -> DataFrame:
     return L.comparison_cycle(dis, lc["c2"], lc["d2"], AS_OF, opts.stale_after)
 
 
+def registration_cycle(spark, sf_dir, opts: Options) -> DataFrame:
+    """Cycle 1 knows the operations of every other API only; cycle 2 knows all."""
+    from ..operators import lifecycle as L
+    d1, d2 = discovery_cycles(spark, sf_dir, opts)
+    api_state, op_state = managed_state(spark, sf_dir, opts)
+    ops = M.active_ops(op_state, api_state)
+    live = api_state.where(F.col("deleted_at").isNull())
+    half = ops.where(F.substring("apim_api_id", 5, 3).cast("int") % 2 == 0)
+    c1 = C.compare(d1, half, live)["classified"]
+    u1 = materialize(L.comparison_cycle(None, c1, d1, SPLIT, opts.stale_after), "unmanaged_half")
+    c2 = C.compare(d2, ops, live)["classified"]
+    return L.comparison_cycle(u1, c2, d2, AS_OF, opts.stale_after)
+
+
 # --------------------------------------------------------------------------- specs and catalog
 
 PUSH_AS_OF = "2024-01-30 12:00:00"

@@ -83,3 +83,13 @@ def materialize(df, name: str = "table"):
     path = f"{base}/flowlens-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(table) -> None:
+    """Delete the folder of a table made by ``materialize`` that no later step reads."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/flowlens-tables/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -125,6 +125,34 @@ SELECT event_id, concat('{"columns":["request_type","hits"],"values":[["', event
 FROM events
 """
 
+# Registered APIs that grow with the scale factor: one per row of `part`, with every shape of endpoint config, time
+# format, lifecycle state and context that the sync has to read. Same SQL in both engines.
+WIDE_SRC_SQL = """
+SELECT concat('p-', CAST(p_partkey AS STRING)) AS id, concat('part api ', CAST(p_partkey AS STRING)) AS name, '1.0' AS version,
+  CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN concat('ctx', CAST(p_partkey AS STRING))
+       ELSE concat('/ctx', CAST(p_partkey AS STRING), '/') END AS context,
+  CASE p_partkey % 9 WHEN 8 THEN 'CREATED' ELSE 'PUBLISHED' END AS status,
+  CASE p_partkey % 11 WHEN 10 THEN 'WS' ELSE 'HTTP' END AS type,
+  CASE p_partkey % 8
+    WHEN 0 THEN concat('{"endpoint_type":"http","production_endpoints":{"url":"http://svc', CAST(p_partkey % 12 AS STRING), '.shop.example.com:8080/base/"}}')
+    WHEN 1 THEN concat('{"endpoint_type":"address","production_endpoints":{"url":"https://h', CAST(p_partkey AS STRING), '.example.com"}}')
+    WHEN 2 THEN concat('{"production_endpoints":[{"url":"http://a', CAST(p_partkey AS STRING), '.example.com/x%20y"},{"url":"http://no"}]}')
+    WHEN 3 THEN 'not json'
+    WHEN 4 THEN '{"endpoint_type":"http","production_endpoints":{"url":"http://[2001:db8::1]:9443/v1/"}}'
+    WHEN 5 THEN '{"endpoint_type":"http","production_endpoints":{"url":"http://h.example.com:bad/"}}'
+    WHEN 6 THEN '{"endpoint_type":"http","production_endpoints":{"url":"http://h.example.com/a%zz"}}'
+    ELSE '{}' END AS endpoint_config,
+  CASE p_partkey % 7
+    WHEN 0 THEN '2024-01-05T10:30:00.250+0530' WHEN 1 THEN '2024-01-05T10:30:00.250Z' WHEN 2 THEN '2024-01-05T10:30:00-0200'
+    WHEN 3 THEN '2024-01-05T10:30:00.5+01:00' WHEN 4 THEN '2024-01-05T10:30:00+0000' WHEN 5 THEN '2024-01-05 10:30:00'
+    ELSE 'yesterday' END AS updated,
+  p_partkey % 13 = 5 AS repeats, p_partkey % 20 AS family
+FROM part
+"""
+
+# Flows with what the plain log lacks: host names wider than their column.
+EDGE_DOMAIN_WIDTH = 300
+
 # State slices (FIXTURES.md): earlier half of the event range is the previous state, the rest the batch.
 STATE_SPLIT = "2024-01-15 00:00:00"
 AS_OF = "2024-01-31 00:00:00"
@@ -154,6 +182,28 @@ def catalog_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CATALOG_SRC_SQL)
 
 
+def wide_details_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in input: WIDE_SRC_SQL as one detail document (JSON text) per API."""
+    from pyspark.sql import functions as F
+    register_tables(spark, sf_dir, ("part",))
+    src = spark.sql(WIDE_SRC_SQL)
+    op = lambda verb, target: F.struct(F.lit(target).alias("target"), F.lit(verb).alias("verb"))
+    plain = F.array(op("get", "/orders/{orderId}"), op("POST", "//orders"), op("head", "/orders"), op("", "/x"))
+    doc = F.struct("id", "name", "version", "context", F.col("status").alias("lifeCycleStatus"), "type",
+                   F.lit("admin").alias("provider"),
+                   F.when(F.col("repeats"), F.concat(plain, F.array(op("GET", "/orders/{orderId}")))).otherwise(plain)
+                   .alias("operations"), F.col("endpoint_config").alias("endpointConfig"),
+                   F.col("updated").alias("lastUpdatedTime"), F.col("updated").alias("createdTime"))
+    return src.select(F.to_json(doc).alias("json"))
+
+
+def edge_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow log with host names on agent 3 that are wider than their column."""
+    from pyspark.sql import functions as F
+    wide = F.when(F.col("agent_id") == 3, F.lit("d" * EDGE_DOMAIN_WIDTH)).otherwise(F.col("request_domain"))
+    return flows(spark, sf_dir).withColumn("request_domain", wide)
+
+
 def result_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_tables(spark, sf_dir, ("events",))
     return spark.sql(RESULT_SRC_SQL)

@@ -1,49 +1,72 @@
-"""Keyed state tables on plain parquet (A7): versioned writes, a commit log, idempotent batches.
+"""Keyed state tables on plain parquet (A7): key buckets, a manifest per version, idempotent batches.
 
 Layout under ``path``:
-    data/version=<n>/...     full table of version n (written by one Spark job)
-    log/                     one parquet row per committed version: (version, batch_id, rows)
-A version is visible only after its log row exists, so a job that dies while writing data leaves
-no visible trace. A merge never reads and overwrites the same directory. Replaying a batch id that
-is already in the log changes nothing (foreachBatch may re-deliver a batch after a failure).
+    data/<version>-<attempt>/bucket=<b>/...   rows written by one attempt at one version
+    log/version=<n>/...                       one row: which folder holds each bucket, batches applied
+
+A bucket is a hash of the key, so a merge reads and writes only the buckets its batch touches; the others are carried
+over in the manifest. Every attempt writes to a folder of its own, which only the log row names: a job that dies before
+its log row leaves rows that no reader sees, and its retry writes elsewhere. A batch is known by the stream that sent it
+and its id, so a replayed batch changes nothing while another stream may use the same ids. There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BUCKETS = 32
+LOG_SCHEMA = "folders map<int, string>, applied map<string, string>, version int"
+
 
 class StateTable:
-    def __init__(self, spark: SparkSession, path: str, keys, schema: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys, schema: str | None = None, buckets: int = BUCKETS):
         self.spark, self.path, self.keys, self.schema = spark, path.rstrip("/"), list(keys), schema
+        self.buckets = buckets
 
-    # ----------------------------------------------------------------------------- log access
+    # ----------------------------------------------------------------------------- manifest
     def _log(self) -> DataFrame | None:
+        """The log, or None where none was ever written; any other failure to read it is raised."""
         try:
-            return self.spark.read.parquet(f"{self.path}/log")
-        except Exception:  # no version committed yet
-            return None
+            return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
-    def head(self) -> tuple[int, set]:
-        """(latest committed version, batch ids already applied); (0, {}) for a new table.
+    def head(self) -> tuple[int, dict[int, str], dict[str, str]]:
+        """(latest version, folder of each bucket, last batch applied of each stream); version 0 for a new table.
 
-        The log holds one tiny row per version, so reading it to the driver is metadata only.
+        Only the newest version's row is read: its bucket map and one entry a stream.
         """
         log = self._log()
-        if log is None:
-            return 0, set()
-        rows = log.select("version", "batch_id").collect()
-        return (max(r["version"] for r in rows) if rows else 0), {r["batch_id"] for r in rows if r["batch_id"] is not None}
+        newest = None if log is None else log.agg(F.max("version")).first()[0]
+        if newest is None:
+            return 0, {}, {}
+        row = log.where(F.col("version") == newest).first()
+        return newest, dict(row["folders"]), dict(row["applied"] or {})
+
+    def _applied(self, stream: str, batch_id: str | None, applied: dict[str, str]) -> bool:
+        """Batches of a stream come in order, so an id up to the last applied one is a replay."""
+        last = applied.get(stream)
+        if batch_id is None or last is None:
+            return False
+        both_numbers = last.isdigit() and str(batch_id).isdigit()
+        return int(batch_id) <= int(last) if both_numbers else str(batch_id) == last
+
+    def _read(self, folders: dict[int, str]) -> DataFrame | None:
+        if not folders:
+            return None
+        paths = [f"{self.path}/data/{f}/bucket={b}" for b, f in sorted(folders.items())]
+        return self.spark.read.parquet(*paths)
 
     def read(self) -> DataFrame | None:
-        """Rows of the latest committed version (partition-pruned scan), or None when empty."""
-        version, _ = self.head()
-        if version == 0:
-            return None
-        return (self.spark.read.parquet(f"{self.path}/data").where(F.col("version") == version).drop("version"))
+        """Rows of the latest version, or None when empty."""
+        return self._read(self.head()[1])
 
     def read_or_empty(self) -> DataFrame:
         df = self.read()
@@ -54,32 +77,71 @@ class StateTable:
         return df
 
     # ------------------------------------------------------------------------------- writes
-    def commit(self, df: DataFrame, batch_id: str | None = None) -> int:
-        """Write df as the next version; returns the version (or the current one for a replay)."""
-        version, applied = self.head()
-        if batch_id is not None and str(batch_id) in applied:
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _commit(self, df: DataFrame, replaced, stream: str, batch_id: str | None) -> int:
+        version, folders, applied = self.head()
+        folder = f"{version + 1:08d}-{uuid.uuid4().hex}"
+        rows = df.withColumn("bucket", self._bucket())
+        rows.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        kept = {b: f for b, f in folders.items() if replaced is not None and b not in replaced}
+        try:
+            written = self.spark.read.parquet(f"{self.path}/data/{folder}").select("bucket").distinct().collect()
+        except AnalysisException as e:  # no rows, no files
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            written = []
+        kept.update({r["bucket"]: folder for r in written})
+        if batch_id is not None:
+            applied = {**applied, stream: str(batch_id)}
+        entry = self.spark.createDataFrame([(kept, applied)], LOG_SCHEMA.rpartition(",")[0])
+        entry.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/log/version={version + 1}")
+        return version + 1
+
+    def commit(self, df: DataFrame, batch_id: str | None = None, stream: str = "") -> int:
+        """Write df as the whole next version; returns the version (the current one for a replay)."""
+        version, _, applied = self.head()
+        if self._applied(stream, batch_id, applied):
             return version
-        nxt = version + 1
-        (df.withColumn("version", F.lit(nxt)).write.mode("append").partitionBy("version")
-           .parquet(f"{self.path}/data"))
-        rows = self.spark.read.parquet(f"{self.path}/data").where(F.col("version") == nxt).count()
-        (self.spark.createDataFrame([(nxt, None if batch_id is None else str(batch_id), rows)],
-                                    "version int, batch_id string, rows long")
-         .coalesce(1).write.mode("append").parquet(f"{self.path}/log"))
-        return nxt
+        return self._commit(df, None, stream, batch_id)
 
     def merge(self, batch: DataFrame, rule: Callable[[DataFrame | None, DataFrame], DataFrame],
-              batch_id: str | None = None) -> int:
-        """New version = rule(current, batch); e.g. rule = merge_discovered with as_of bound."""
-        _, applied = self.head()
-        if batch_id is not None and str(batch_id) in applied:
-            return self.head()[0]
-        return self.commit(rule(self.read(), batch), batch_id)
-
-    def purge(self, keep: Callable[[DataFrame], DataFrame], batch_id: str | None = None) -> int:
-        """Retention: new version with the rows ``keep`` returns."""
+              batch_id: str | None = None, stream: str = "") -> int:
+        """Next version = rule(rows of the touched buckets, batch); ``rule`` works key by key. The state passed is
+        None only for a new table."""
+        version, folders, applied = self.head()
+        if self._applied(stream, batch_id, applied):
+            return version
+        touched = {r[0] for r in batch.select(self._bucket()).distinct().collect()}
+        current = self._read({b: f for b, f in folders.items() if b in touched})
+        if current is None and folders:
+            current = self._read(folders).limit(0)
+        return self._commit(rule(current, batch), touched, stream, batch_id)
+
+    def purge(self, keep: Callable[[DataFrame], DataFrame], batch_id: str | None = None, stream: str = "") -> int:
+        """Retention: next version with the rows ``keep`` returns."""
         cur = self.read()
-        return self.head()[0] if cur is None else self.commit(keep(cur), batch_id)
+        return self.head()[0] if cur is None else self.commit(keep(cur), batch_id, stream)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete log rows older than the newest ``keep`` versions, and folders that none of those names; returns how
+        many folders went. Not to be run beside a writer or a reader of an old version."""
+        log = self._log()
+        if log is None:
+            return 0
+        rows = sorted(log.collect(), key=lambda r: r["version"])  # one row a version since the last vacuum
+        old, live = rows[:-keep], {f for r in rows[-keep:] for f in r["folders"].values()}
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        dead = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data"))
+                if s.getPath().getName() not in live]
+        for r in old:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/version={r['version']}"), True)
+        for path in dead:
+            fs.delete(path, True)
+        return len(dead)
 
 
 class Watermark:
@@ -88,19 +150,24 @@ class Watermark:
     SCHEMA = "pipeline string, last_watermark_end timestamp_ntz, records long"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.table = StateTable(spark, path, ["pipeline"], self.SCHEMA)
+        self.table = StateTable(spark, path, ["pipeline"], self.SCHEMA, buckets=1)
 
     def get(self) -> DataFrame:
         return self.table.read_or_empty()
 
-    def advance(self, pipeline: str, end, records: DataFrame | int, batch_id: str | None = None) -> int:
+    def end(self, pipeline: str):
+        """Last watermark end of a pipeline, None before its first run."""
+        row = self.get().where(F.col("pipeline") == pipeline).first()
+        return None if row is None else row["last_watermark_end"]
+
+    def advance(self, pipeline: str, end, records: DataFrame | int, batch_id: str | None = None, stream: str = "") -> int:
         """Insert or set the end; the record counter adds (hits for discovery, APIs for managed)."""
         spark = self.table.spark
         if isinstance(records, int):
             records = spark.createDataFrame([(records,)], "n long")
         upd = records.select(F.lit(pipeline).alias("pipeline"), F.lit(str(end)).cast("timestamp_ntz").alias("end"),
                              F.col(records.columns[0]).cast("long").alias("n"))
-        return self.table.merge(upd, lambda cur, b: advance_watermark(cur, b), batch_id)
+        return self.table.merge(upd, advance_watermark, batch_id, stream)
 
 
 def advance_watermark(state: DataFrame | None, upd: DataFrame) -> DataFrame:

@@ -5,16 +5,19 @@ a streaming source; signatures are aggregated per 5-minute event-time window wit
 watermark (bounded lateness: a row arriving after its window closed is dropped, as the reference
 never reads a window twice). Each micro-batch carries the windows that closed; ``foreachBatch``
 runs the rest of the cycle on them and merges into the discovered state table, idempotently by
-batch id, and advances the pipeline watermark.
+stream and batch id, and advances the pipeline watermark.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Options
 from ..operators import discovery as D
+from ..session import discard, materialize
 from ..sources.state import StateTable, Watermark
 
 DISCOVERY = "api_discovery"
@@ -49,38 +52,86 @@ def signature_stream(flows: DataFrame, opts: Options) -> DataFrame:
     return D.signatures(filtered, opts.poll_interval)
 
 
+def closed_until(query, opts: Options):
+    """End of the last window that a running query's event-time watermark has closed, None before the first."""
+    progress = query.lastProgress if query is not None else None
+    mark = ((progress or {}).get("eventTime") or {}).get("watermark")
+    if not mark or mark.startswith("1970-01-01"):
+        return None
+    at = datetime.strptime(mark[:19], "%Y-%m-%dT%H:%M:%S")
+    count, unit = opts.poll_interval.split()
+    step = int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    whole = int((at - datetime(1970, 1, 1)).total_seconds()) // step * step
+    return datetime(1970, 1, 1) + timedelta(seconds=whole)
+
+
 def cycle_batch(spark: SparkSession, sigs: DataFrame, batch_id: int, flow_path: str, state: StateTable,
-                watermark: Watermark, opts: Options) -> None:
-    """S4 + S5: one micro-batch of closed windows -> rest of the cycle -> idempotent merge."""
+                watermark: Watermark, opts: Options, stream: str = "", closed=None) -> None:
+    """S4 + S5: one micro-batch of closed windows -> rest of the cycle -> idempotent merge.
+
+    The batch's stateful plan runs once: the closed windows are written, and everything else reads that table. A batch
+    without signatures still moves the pipeline's watermark to ``closed``, the end of the windows known to be closed.
+    """
+    sigs = materialize(sigs, "closed_windows")
     bounds = sigs.agg(F.min("cycle").alias("lo"), F.max("cycle_end").alias("hi")).first()
-    if bounds is None or bounds["lo"] is None:
+    if bounds["lo"] is None:
+        last = watermark.end(DISCOVERY)
+        if closed is not None and (last is None or closed > last):
+            watermark.advance(DISCOVERY, closed, 0, str(batch_id), stream)
+        discard(sigs)
         return
-    # the observation rows of exactly these windows, read with a pushed time filter
+    # the observation rows of exactly these windows: partition and row group pruning
     obs = D.read_flows(spark, flow_path, bounds["lo"], bounds["hi"])
     parts = D.after_signatures(sigs, obs, opts)
-    batch = D.batch_records(parts["valid"])
+    batch = materialize(D.batch_records(parts["valid"]), "cycle_records")
     hi = bounds["hi"]
-    state.merge(batch, lambda cur, b: D.merge_discovered(cur, b, hi), batch_id=str(batch_id))
-    watermark.advance(DISCOVERY, hi, D.total_hits(parts["deduped"]), batch_id=str(batch_id))
+    state.merge(batch, lambda cur, b: D.merge_discovered(cur, b, hi), str(batch_id), stream)
+    watermark.advance(DISCOVERY, hi, D.total_hits(parts["deduped"]), str(batch_id), stream)
+    for table in (sigs, parts["deduped"], batch):
+        discard(table)
 
 
 def discover_stream(spark: SparkSession, flow_path: str, flow_schema, state_path: str, checkpoint: str,
-                    opts: Options, trigger: dict | None = None, max_files: int | None = None):
+                    opts: Options, trigger: dict | None = None, max_files: int | None = None, days=None):
     """Start the incremental discovery; ``trigger`` defaults to availableNow (replay / backfill).
 
-    Production runs use ``{"processingTime": opts.poll_interval}``. Returns the StreamingQuery.
+    Production runs use ``{"processingTime": opts.poll_interval}`` on files that arrive in event order. A backfill
+    of files in any order goes through ``replay``. ``days`` limits the source to those day folders. Returns the
+    StreamingQuery.
     """
     reader = spark.readStream.schema(flow_schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    sigs = signature_stream(reader.parquet(flow_path), opts)
+    source = flow_path
+    if days is not None:
+        reader, source = reader.option("basePath", flow_path), f"{flow_path}/day={{{','.join(map(str, days))}}}"
+    sigs = signature_stream(reader.parquet(source), opts)
     state = StateTable(spark, f"{state_path}/discovered", D.DISCOVERED_KEY)
     wm = Watermark(spark, f"{state_path}/watermark")
-    return (sigs.writeStream.outputMode("append")
-            .option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, bid: cycle_batch(spark, df, bid, flow_path, state, wm, opts))
-            .trigger(**(trigger or {"availableNow": True}))
-            .start())
+    started: dict = {}
+    query = (sigs.writeStream.outputMode("append")
+             .option("checkpointLocation", checkpoint)
+             .foreachBatch(lambda df, bid: cycle_batch(spark, df, bid, flow_path, state, wm, opts, checkpoint,
+                                                       closed_until(started.get("query"), opts)))
+             .trigger(**(trigger or {"availableNow": True}))
+             .start())
+    started["query"] = query
+    return query
+
+
+def replay(spark: SparkSession, flow_path: str, flow_schema, state_path: str, checkpoint: str, opts: Options,
+           days_per_run: int = 10) -> None:
+    """Backfill of a flow log in day folders, whatever the order and number of files they were written in.
+
+    A file source hands out files by modification time, and rows behind the watermark are dropped, so days are given
+    to the stream in event order: each run reads the next ``days_per_run`` folders in one trigger, and the checkpoint
+    carries windows and watermark from run to run. Within a trigger no row is late.
+    """
+    days = sorted(r["day"] for r in spark.read.schema(flow_schema).parquet(flow_path).select("day").distinct().collect()
+                  if r["day"] is not None)
+    for at in range(0, len(days), days_per_run):
+        discover_stream(spark, flow_path, flow_schema, state_path, checkpoint, opts,
+                        days=days[at:at + days_per_run]).awaitTermination()
 
 
 def replay_batch(flows: DataFrame, opts: Options, until=None) -> DataFrame:

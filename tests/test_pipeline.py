@@ -28,14 +28,93 @@ def _discovered(spark, rows):
     return df.withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp_ntz"))
 
 
-def test_state_table_replay_is_noop(spark):
+def _state(spark, name="t", **kw):
     d = tempfile.mkdtemp(prefix="flowlens-test-", dir="/tmp")
-    t = StateTable(spark, f"{d}/t", ["k"], "k string, v long")
-    b = spark.createDataFrame([("a", 1)], "k string, v long")
+    return StateTable(spark, f"{d}/{name}", ["k"], "k string, v long", **kw)
+
+
+def _kv(spark, *rows):
+    return spark.createDataFrame(list(rows), "k string, v long")
+
+
+def _latest(old, new):
+    if old is None:
+        return new
+    return old.join(new.select("k"), "k", "left_anti").unionByName(new)
+
+
+def _rows(table):
+    return sorted((r["k"], r["v"]) for r in table.read().collect())
+
+
+def test_state_table_replay_is_noop(spark):
+    t = _state(spark)
+    b = _kv(spark, ("a", 1))
     assert t.commit(b, batch_id="7") == 1
     assert t.commit(b, batch_id="7") == 1          # same batch again: nothing changes
     assert t.commit(b.withColumn("v", F.lit(2)), batch_id="8") == 2
     assert [r["v"] for r in t.read().collect()] == [2]
+    assert t.merge(_kv(spark, ("a", 9)), _latest, batch_id="7") == 2 and _rows(t) == [("a", 2)]
+
+
+def test_state_table_streams_have_their_own_batch_ids(spark):
+    t = _state(spark)
+    t.merge(_kv(spark, ("a", 1)), _latest, "0", stream="one")
+    t.merge(_kv(spark, ("b", 2)), _latest, "0", stream="two")   # a second checkpoint starts at 0 again
+    t.merge(_kv(spark, ("b", 7)), _latest, "0", stream="two")   # and its replay changes nothing
+    assert _rows(t) == [("a", 1), ("b", 2)]
+
+
+def test_state_table_survives_a_crash_between_data_and_log(spark, monkeypatch):
+    t = _state(spark)
+    t.commit(_kv(spark, ("a", 1)), "0")
+    real = type(spark).createDataFrame
+
+    def dies(self, data, schema=None, *args, **kw):
+        if "folders" in str(schema):
+            raise RuntimeError("driver lost")
+        return real(self, data, schema, *args, **kw)
+
+    batch = _kv(spark, ("b", 2), ("c", 3))
+    monkeypatch.setattr(type(spark), "createDataFrame", dies)
+    try:
+        t.merge(batch, _latest, "1")
+        raise AssertionError("the commit must fail")
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert _rows(t) == [("a", 1)]                    # nothing of the lost attempt is visible
+    t.merge(batch, _latest, "1")
+    assert _rows(t) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_state_table_raises_on_a_damaged_log(spark):
+    t = _state(spark)
+    t.commit(_kv(spark, ("a", 1)))
+    import glob
+    (part,) = glob.glob(f"{t.path}/log/version=1/part-*.parquet")
+    open(part, "wb").write(b"damaged")
+    try:
+        t.merge(_kv(spark, ("b", 2)), _latest)
+        raise AssertionError("a damaged log is not an empty one")
+    except AssertionError:
+        raise
+    except Exception as e:
+        assert "parquet" in str(e).lower()
+
+
+def test_state_table_merge_touches_its_buckets_only(spark):
+    t = _state(spark, buckets=16)
+    t.commit(_kv(spark, *[(f"k{i}", i) for i in range(200)]))
+    before = t.head()[1]
+    t.merge(_kv(spark, ("k5", 500), ("new", 1)), _latest)
+    after = t.head()[1]
+    assert 1 <= sum(before.get(b) != f for b, f in after.items()) <= 2
+    assert dict(_rows(t)) == {**{f"k{i}": i for i in range(200)}, "k5": 500, "new": 1}
+    t.merge(_kv(spark, ("k6", 600)), _latest)
+    assert t.vacuum(keep=1) == 0 and dict(_rows(t))["k6"] == 600
+    t.commit(_kv(spark, ("only", 1)))
+    assert t.vacuum(keep=1) >= 2 and _rows(t) == [("only", 1)]
 
 
 def test_lifecycle_sequence(spark):
@@ -125,8 +204,7 @@ def test_stream_equals_batch(spark):
     fx.flows(spark, SF_SMALL).withColumn("day", F.to_date("start_time")).repartition("day") \
         .write.partitionBy("day").parquet(f"{d}/flows")
     src = spark.read.parquet(f"{d}/flows")
-    q = ST.discover_stream(spark, f"{d}/flows", src.schema, f"{d}/state", f"{d}/ckpt", DEFAULT, max_files=10)
-    q.awaitTermination()
+    ST.replay(spark, f"{d}/flows", src.schema, f"{d}/state", f"{d}/ckpt", DEFAULT, days_per_run=11)
     until = Watermark(spark, f"{d}/state/watermark").get().first()["last_watermark_end"]
     stream = StateTable(spark, f"{d}/state/discovered", D.DISCOVERED_KEY).read().select(*D.DISCOVERED_COLS)
     batch = materialize(ST.replay_batch(src.drop("day"), DEFAULT, until=until), "replay").select(*D.DISCOVERED_COLS)
