@@ -81,7 +81,7 @@ def main() -> None:
     rows["documents"] = docs.count()
 
     def catalog():
-        plan = materialize(CAT.push_plan(L.push_groups(with_specs), fx.catalog_src(spark, sf_dir), opts, as_of),
+        plan = materialize(CAT.push_plan(L.push_groups(with_specs, docs), fx.catalog_src(spark, sf_dir), opts, as_of),
                            "push_plan")
         pushed = materialize(L.apply_push_results(with_specs, CAT.push_results(plan), as_of), "pushed")
         rec = materialize(CAT.reconcile(fx.catalog_src(spark, sf_dir), L.tracked_ids(pushed), opts), "reconcile")
@@ -96,11 +96,8 @@ def main() -> None:
           .write.partitionBy("day").parquet(day_path))
     schema = spark.read.parquet(day_path).schema
 
-    def replay():
-        q = ST.discover_stream(spark, day_path, schema, f"{scratch}/stream_state", f"{scratch}/stream_ckpt", opts,
-                               max_files=10)
-        q.awaitTermination()
-    timed("stream_replay", replay)
+    timed("stream_replay", lambda: ST.replay(spark, day_path, schema, f"{scratch}/stream_state",
+                                             f"{scratch}/stream_ckpt", opts))
     stream_secs = times.pop("stream_replay")
 
     measured = [k for k in times if not k.startswith("setup")]

@@ -14,8 +14,8 @@ from ..config import Options
 from ..functions import text as T
 from .lifecycle import GROUP
 
-SHADOW_NOTE = "[SHADOW] Discovered from live traffic - entire service is unmanaged. Service key: %s"
-DRIFT_NOTE = "[DRIFT] Discovered from live traffic - undocumented operations on a managed API. Service key: %s"
+SHADOW_NOTE = "[SHADOW] unregistered service %s, seen in traffic"
+DRIFT_NOTE = "[DRIFT] unregistered operations of service %s, seen in traffic"
 
 
 def pushable(groups: DataFrame, opts: Options) -> DataFrame:

@@ -49,15 +49,20 @@ def collision_members(cands: DataFrame, coll: DataFrame) -> DataFrame:
 
 def affinity(cands: DataFrame, coll: DataFrame, ops: DataFrame) -> DataFrame:
     """C6 (+J7): per (collision, service key), how many operations of the collision's API the service
-    was seen on. Duplicate operations on one match path count twice (as in the reference)."""
+    was seen on. Duplicate operations on one match path count twice (as in the reference).
+
+    The score depends on the API and the service alone, so it is counted once for each such pair, however many of the
+    API's operations collide."""
     members = collision_members(cands, coll)
     seen = cands.select("service_key", F.col("http_method").alias("op_method"),
                         F.col("resource_path").alias("op_path"), F.lit(1).alias("seen"))
-    probe = (members.join(ops.select("apim_api_id", F.col("http_method").alias("op_method"),
-                                     F.col("match_path").alias("op_path")), "apim_api_id")
+    probe = (members.select("apim_api_id", "service_key").distinct()
+             .join(ops.select("apim_api_id", F.col("http_method").alias("op_method"),
+                              F.col("match_path").alias("op_path")), "apim_api_id")
              .join(seen, ["service_key", "op_method", "op_path"], "left"))
-    return probe.groupBy(*COLL_KEY, "service_key").agg(F.coalesce(F.sum("seen"), F.lit(0)).cast("bigint")
-                                                        .alias("score"))
+    score = probe.groupBy("apim_api_id", "service_key").agg(
+        F.coalesce(F.sum("seen"), F.lit(0)).cast("bigint").alias("score"))
+    return members.join(score, ["apim_api_id", "service_key"]).select(*COLL_KEY, "service_key", "score")
 
 
 def service_domain(cands: DataFrame) -> DataFrame:
@@ -70,7 +75,7 @@ def service_domain(cands: DataFrame) -> DataFrame:
 def resolve(cands: DataFrame, coll: DataFrame, ops: DataFrame, apis: DataFrame) -> DataFrame:
     """C7 (+J13): winner per collision, by score; a tie goes to the first sorted key whose port-stripped
     domain equals the API's endpoint host (blank equals blank); none -> ambiguous."""
-    scores = affinity(cands, coll, ops)
+    scores = materialize(affinity(cands, coll, ops), "scores")
     best = scores.groupBy(*COLL_KEY).agg(F.max("score").alias("best"))
     host = apis.select("apim_api_id", T.nz(F.col("endpoint_hostname")).alias("endpoint_host"))
     tied = (scores.join(best, COLL_KEY).where(F.col("score") == F.col("best"))
@@ -81,12 +86,12 @@ def resolve(cands: DataFrame, coll: DataFrame, ops: DataFrame, apis: DataFrame)
     g = tied.groupBy(*COLL_KEY).agg(
         F.count(F.lit(1)).alias("n_tied"), F.min("service_key").alias("only_key"),
         F.min(F.when(F.col("host_match"), F.col("service_key"))).alias("host_key"),
-        F.array_sort(F.collect_list("service_key")).alias("tied_keys"), F.first("best").alias("best_score"))
+        F.max("best").alias("best_score"))
     winner = F.when(F.col("n_tied") == 1, F.col("only_key")).otherwise(F.col("host_key"))
     status = (F.when(F.col("n_tied") == 1, F.lit("SCORE")).when(F.col("host_key").isNotNull(), F.lit("HOST"))
               .otherwise(F.lit("AMBIGUOUS")))
-    return g.select(*COLL_KEY, winner.alias("winner"), status.alias("resolution"), "tied_keys",
-                    "best_score")
+    return g.select(*COLL_KEY, winner.alias("winner"), status.alias("resolution"),
+                    F.col("n_tied").cast("bigint").alias("n_tied"), "best_score")
 
 
 def losers(cands: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -132,10 +137,10 @@ def compare(discovered: DataFrame, ops: DataFrame, apis: DataFrame, checkpoint:
 
 
 def collision_audit(cands: DataFrame, resolved: DataFrame) -> DataFrame:
-    """C11: candidates at unresolved collisions; they stay managed (X4), listed here for review."""
-    amb = resolved.where(F.col("resolution") == "AMBIGUOUS").select("http_method", "resource_path", "tied_keys")
+    """C11: candidates at unresolved collisions; they stay managed (X4), listed here for review, with how many tie."""
+    amb = resolved.where(F.col("resolution") == "AMBIGUOUS").select("http_method", "resource_path", "n_tied")
     return cands.join(amb, ["http_method", "resource_path"]).select(
-        "service_key", "http_method", "resource_path", "apim_api_id", "tied_keys")
+        "service_key", "http_method", "resource_path", "apim_api_id", "n_tied")
 
 
 def phase_metrics(cands: DataFrame, classified: DataFrame) -> DataFrame:

@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 KEY = ["service_key", "http_method", "resource_path"]
 GROUP = ["service_key", "classification", "managed_api_id"]
 TERMINAL = ("DISMISSED", "RESOLVED", "STALE")
 UNMANAGED_COLS = KEY + ["managed_api_id", "classification", "confidence", "status", "first_detected_at",
-                        "last_confirmed_at", "resolved_at", "openapi_spec", "spec_generated_at",
+                        "last_confirmed_at", "resolved_at", "spec_generated_at",
                         "catalog_service_id", "catalog_version", "pushed_at", "created_at", "updated_at"]
 
 UNMANAGED_SCHEMA = ("service_key string, http_method string, resource_path string, managed_api_id string, "
                     "classification string, confidence string, status string, first_detected_at timestamp_ntz, "
-                    "last_confirmed_at timestamp_ntz, resolved_at timestamp_ntz, openapi_spec string, "
+                    "last_confirmed_at timestamp_ntz, resolved_at timestamp_ntz, "
                     "spec_generated_at timestamp_ntz, catalog_service_id string, catalog_version string, "
                     "pushed_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz")
 
@@ -69,7 +71,7 @@ def merge_unmanaged(state: DataFrame | None, classified: DataFrame, as_of) -> Da
         kept("first_detected_at", ts).alias("first_detected_at"),
         F.when(has_n, ts).otherwise(F.col("o.last_confirmed_at")).alias("last_confirmed_at"),
         resolved_at.alias("resolved_at"),
-        *[F.col(f"o.{c}").alias(c) for c in ("openapi_spec", "spec_generated_at", "catalog_service_id",
+        *[F.col(f"o.{c}").alias(c) for c in ("spec_generated_at", "catalog_service_id",
                                             "catalog_version", "pushed_at")],
         kept("created_at", ts).alias("created_at"), F.col("o.updated_at").alias("updated_at"),
         F.col("o.status").alias("_prev_status"))
@@ -122,25 +124,32 @@ def dismiss(state: DataFrame, keys: DataFrame, as_of) -> DataFrame:
 
 
 def _in_group(groups: DataFrame, extra=()) -> tuple[DataFrame, Column]:
-    """Join condition of a group read: same service and classification; a NULL group API matches any."""
+    """Join condition of a group read: same service, classification and API, where a NULL API is a group of its own,
+    so a finding is in one group."""
     g = groups.select(F.col("service_key").alias("_g_sk"), F.col("classification").alias("_g_cls"),
                       F.col("managed_api_id").alias("_g_api"), *extra)
     cond = ((F.col("service_key") == F.col("_g_sk")) & (F.col("classification") == F.col("_g_cls"))
-            & (F.col("_g_api").isNull() | (F.col("managed_api_id") == F.col("_g_api"))))
+            & F.col("managed_api_id").eqNullSafe(F.col("_g_api")))
     return g, cond
 
 
 def apply_specs(state: DataFrame, specs: DataFrame, as_of) -> DataFrame:
-    """Store the group's document on all its active rows -> SPEC_GENERATED."""
-    g, cond = _in_group(specs, [F.col("openapi_spec").alias("_spec")])
+    """Active findings of a group that got a document -> SPEC_GENERATED. The document stays in the documents table
+    under its group and is copied to no finding."""
+    g, cond = _in_group(specs, [F.lit(True).alias("_hit")])
     j = state.join(g, cond & ~F.col("status").isin(*TERMINAL), "left")
-    hit = F.col("_spec").isNotNull()
+    hit = F.col("_hit").isNotNull()
     ts = _ts(as_of)
-    out = j.select(*[F.when(hit, F.col("_spec")).otherwise(F.col(c)).alias(c) if c == "openapi_spec"
-                     else F.when(hit, F.lit("SPEC_GENERATED")).otherwise(F.col(c)).alias(c) if c == "status"
-                     else F.when(hit, ts).otherwise(F.col(c)).alias(c) if c in ("spec_generated_at", "updated_at")
-                     else F.col(c) for c in UNMANAGED_COLS])
-    return out
+    return j.select(*[F.when(hit, F.lit("SPEC_GENERATED")).otherwise(F.col(c)).alias(c) if c == "status"
+                      else F.when(hit, ts).otherwise(F.col(c)).alias(c) if c in ("spec_generated_at", "updated_at")
+                      else F.col(c) for c in UNMANAGED_COLS])
+
+
+def merge_documents(documents: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Documents table, one row per group: a group's fresh document replaces its old one."""
+    if documents is None:
+        return fresh
+    return null_safe_join(documents, fresh.select(*GROUP), GROUP, "left_anti").unionByName(fresh)
 
 
 def apply_push_results(state: DataFrame, results: DataFrame, as_of) -> DataFrame:
@@ -177,14 +186,12 @@ def detected_groups(state: DataFrame) -> DataFrame:
     return state.where(F.col("status") == "DETECTED").select(*GROUP).distinct()
 
 
-def push_groups(state: DataFrame) -> DataFrame:
-    """One row per SPEC_GENERATED group; the catalog id of the group, NULLS LAST."""
-    g = (state.where((F.col("status") == "SPEC_GENERATED") & F.col("openapi_spec").isNotNull())
-         .groupBy(*GROUP)
-         .agg(F.min(F.struct(F.col("catalog_service_id").isNull().alias("no_id"), "catalog_service_id",
-                             "resource_path", "http_method", "openapi_spec")).alias("r")))
-    return g.select(*GROUP, F.col("r.catalog_service_id").alias("catalog_service_id"),
-                    F.col("r.openapi_spec").alias("openapi_spec"))
+def push_groups(state: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row per SPEC_GENERATED group that has a document; the catalog id of the group, NULLS LAST. Only the group
+    key and the id are aggregated; the document joins afterwards, once a group."""
+    g = (state.where(F.col("status") == "SPEC_GENERATED").groupBy(*GROUP)
+         .agg(F.min("catalog_service_id").alias("catalog_service_id")))
+    return null_safe_join(g, documents.select(*GROUP, "openapi_spec"), GROUP)
 
 
 def tracked_ids(state: DataFrame) -> DataFrame:

@@ -337,12 +337,11 @@ def q_service_domains(spark, sf_dir):
 
 
 @query("collision_resolution",
-       "SELECT http_method, resource_path, apim_api_id, winner, resolution, array_to_string(tied_keys, ',') AS tied_keys, "
+       "SELECT http_method, resource_path, apim_api_id, winner, resolution, len(tied_keys) AS n_tied, "
        "best_score FROM resolved", ["resolved"])
 def q_resolution(spark, sf_dir):
     """C7 + J13: winner per collision (score, then endpoint-host tie-break, else ambiguous)."""
-    r = S.comparison(spark, sf_dir, OPTS)["resolved"]
-    return r.withColumn("tied_keys", F.array_join("tied_keys", ","))
+    return S.comparison(spark, sf_dir, OPTS)["resolved"]
 
 
 @query("losers", "SELECT * FROM losers", ["losers"])
@@ -361,14 +360,13 @@ def q_unmanaged_report(spark, sf_dir):
 
 
 @query("collision_audit",
-       "SELECT c.service_key, c.http_method, c.resource_path, c.apim_api_id, array_to_string(r.tied_keys, ',') AS tied_keys "
+       "SELECT c.service_key, c.http_method, c.resource_path, c.apim_api_id, len(r.tied_keys) AS n_tied "
        "FROM cands c JOIN resolved r ON c.http_method = r.http_method AND c.resource_path = r.resource_path "
        "WHERE r.resolution = 'AMBIGUOUS'", ["cands", "resolved"])
 def q_collision_audit(spark, sf_dir):
     """C11: candidates at ambiguous collisions (they stay managed, X4)."""
     parts = S.comparison(spark, sf_dir, OPTS)
-    return C.collision_audit(parts["candidates"], parts["resolved"]).withColumn("tied_keys",
-                                                                                F.array_join("tied_keys", ","))
+    return C.collision_audit(parts["candidates"], parts["resolved"])
 
 
 @query("comparison_metrics",
@@ -965,3 +963,53 @@ def q_spec_operations(spark, sf_dir):
         F.map_keys(F.from_json(F.get_json_object("op", "$.responses"), "map<string, string>"))[0].alias("response_key"),
         F.get_json_object("op", f"{traffic}.hit_count").cast("bigint").alias("hit_count"),
         F.get_json_object("op", f"{traffic}.observed_tls").cast("boolean").alias("observed_tls"), "params")
+
+
+def _document_texts_oracle() -> str:
+    return ("SELECT p.service_key AS group_key, p.classification AS group_class, p.managed_api_id AS group_api, p.oas_path, "
+            "lower(p.http_method) AS method, "
+            f"CASE WHEN h.classification = 'SHADOW' THEN '{_quoted(SHADOW_TEXT)}' "
+            f"ELSE printf('{_quoted(DRIFT_TEXT)}', h.service_key, h.parent_api_name, h.parent_api_version) END AS document_text, "
+            f"CASE WHEN p.sample_url <> '' THEN printf('{SAMPLE_TEXT}', upper(p.http_method), p.sample_url) "
+            f"ELSE '{SEEN_TEXT}' END AS operation_text, "
+            f"CASE WHEN p.response_code > 0 THEN printf('{STATUS_TEXT}', p.response_code) ELSE '{ANY_STATUS_TEXT}' END AS answer_text, "
+            "CASE WHEN p.latency_us > 0 THEN CAST(p.latency_us AS BIGINT) END AS latency_us, "
+            "strftime(p.first_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen_at, "
+            "strftime(p.last_seen_at, '%Y-%m-%dT%H:%M:%SZ') AS last_seen_at, "
+            f"strftime(TIMESTAMP '{_AS_OF}', '%Y-%m-%dT%H:%M:%SZ') AS generated_at, '4' AS phase "
+            "FROM sp_paths p JOIN sp_head h ON h.service_key = p.service_key AND h.classification = p.classification "
+            "AND h.managed_api_id IS NOT DISTINCT FROM p.managed_api_id "
+            "WHERE EXISTS (SELECT 1 FROM sp_good g WHERE g.service_key = p.service_key "
+            "AND g.classification = p.classification AND g.managed_api_id IS NOT DISTINCT FROM p.managed_api_id)")
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+from ..operators.specs import ANY_STATUS_TEXT, DRIFT_TEXT, SAMPLE_TEXT, SEEN_TEXT, SHADOW_TEXT, STATUS_TEXT  # noqa: E402
+
+
+@query("spec_document_texts", _document_texts_oracle(), ["sp_paths", "sp_head", "sp_good"])
+def q_spec_document_texts(spark, sf_dir):
+    """F2 + F8 + F10: the generated documents parsed back: description, operation and response texts, latency, seen times
+    and the extension block, one row per operation."""
+    docs = S.specs(spark, sf_dir, OPTS)["documents"]
+    doc = F.col("openapi_spec")
+    head = docs.select(
+        F.col("service_key").alias("group_key"), F.col("classification").alias("group_class"),
+        F.col("managed_api_id").alias("group_api"), F.get_json_object(doc, "$.info.description").alias("document_text"),
+        F.get_json_object(doc, f"$['{OPTS.ext_prefix}'].generated_at").alias("generated_at"),
+        F.get_json_object(doc, f"$['{OPTS.ext_prefix}'].phase").alias("phase"),
+        F.from_json(doc, "struct<paths: map<string, map<string, string>>>").getField("paths").alias("paths"))
+    items = head.select("*", F.explode("paths").alias("oas_path", "item")).drop("paths")
+    ops = items.select("*", F.explode(F.map_filter("item", lambda k, v: k != "parameters")).alias("method", "op")).drop("item")
+    traffic = f"$['{OPTS.ext_prefix}-traffic']"
+    answers = F.from_json(F.get_json_object("op", "$.responses"), "map<string, struct<description: string>>")
+    return ops.select(
+        "group_key", "group_class", "group_api", "oas_path", "method", "document_text",
+        F.get_json_object("op", "$.description").alias("operation_text"),
+        F.map_values(answers)[0]["description"].alias("answer_text"),
+        F.get_json_object("op", f"{traffic}.sample_latency_us").cast("bigint").alias("latency_us"),
+        F.get_json_object("op", f"{traffic}.first_seen_at").alias("first_seen_at"),
+        F.get_json_object("op", f"{traffic}.last_seen_at").alias("last_seen_at"), "generated_at", "phase")

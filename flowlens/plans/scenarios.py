@@ -173,6 +173,7 @@ def specs(spark, sf_dir, opts: Options) -> dict[str, DataFrame]:
     from ..operators import specs as SP
     lc = lifecycle(spark, sf_dir, opts)
     out = SP.generate_specs(lc["u2"], lc["d2"], lc["api_state"], opts, AS_OF)
+    out["documents"] = materialize(out["documents"], "documents")
     out["u3"] = L.apply_specs(lc["u2"], out["documents"], AS_OF)
     out.update({k: lc[k] for k in ("u2", "d2", "api_state")})
     return out
@@ -184,7 +185,7 @@ def push(spark, sf_dir, opts: Options) -> dict[str, DataFrame]:
     from ..operators import lifecycle as L
     sp = specs(spark, sf_dir, opts)
     u3s = materialize(sp["u3"].withColumn("catalog_service_id", previous_catalog_id()), "unmanaged_specs")
-    groups = L.push_groups(u3s)
+    groups = L.push_groups(u3s, sp["documents"])
     plan = CAT.push_plan(groups, fx.catalog_src(spark, sf_dir), opts, PUSH_AS_OF)
     u4 = L.apply_push_results(u3s, CAT.push_results(plan), PUSH_AS_OF)
     return {"u3s": u3s, "groups": groups, "plan": plan, "u4": u4}
