@@ -9,11 +9,13 @@ a document as soon as its bins are full, which is after the first round for all
 Candidates: a few coordinates make a band (``ROWS``, fewer for lower thresholds); documents that share a band meet in a
 bucket. Copies
 (equal word sequences) are one class before any of this. In a bucket no pairs are listed: all members meet one leader,
-links found so far are closed to components, and only buckets that still hold several components go on, with members
-of the smallest components as the next leaders, until every member of such a bucket has met or is joined to all others.
-So hot buckets cost a pass over their rows, and no link between co-bucketed documents is lost.
+links found so far are closed to components, and only buckets that still hold several components go on. In those of more
+than ``WIDE`` members, blocks of documents that differ in component are compared by products of shingle incidence matrices,
+which report at most one link a document. In the others, members of the smallest components are the next leaders, until
+every member has met or is joined to all others. So no link between co-bucketed documents is lost, and no step emits more
+than a bounded number of rows per member.
 
-Every candidate pair is confirmed on the full shingle sets before it counts as a link.
+Every link is confirmed on the full shingle sets.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; a null doc_id takes no part (component null, kept); rows that share a
@@ -39,7 +41,10 @@ from flowlens.session import materialize
 COORDINATES = 120
 #: Rows of a band by least similarity in percent: copies at the threshold share no band in fewer than one case in 10,000.
 ROWS = {85: 6, 80: 5, 70: 4, 0: 3}
-FIRST_LEADERS = 8  # doubled in each round that is still needed
+WIDE = 64  # members of a bucket beyond which documents are compared in blocks
+BLOCK = 512  # documents of a block, at most about so many
+VOCABULARY = 4096  # shingles of an incidence matrix at a time
+FIRST_LEADERS = 16  # four times as many in each round that is still needed
 _U = np.uint64
 
 
@@ -152,6 +157,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(run, "src long, dst long")
 
 
+def _joined_in_block(texts: tb.Texts, size: int, percent: int) -> np.ndarray:
+    """For each document the first of the block that it reaches by links inside the block."""
+    doc, hashes = distinct(*shingle_hashes(texts, size)[:2])
+    n = texts.n
+    count = tb.per_doc(doc, n)
+    _, number, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = often[number] > 1
+    doc, number = doc[shared], np.unique(number[shared], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    doc, number = doc[order], number[order]
+    both = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, VOCABULARY):
+        a, b = np.searchsorted(number, [lo, lo + VOCABULARY])
+        part = np.zeros((n, VOCABULARY), dtype=np.float32)
+        part[doc[a:b], number[a:b] - lo] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    link = (100 * both >= percent * (count[:, None] + count[None, :] - both)) & (both > 0)
+    np.fill_diagonal(link, True)
+    label = np.arange(n)
+    while True:
+        low = np.where(link, label[None, :], n).min(axis=1)
+        if (low == label).all():
+            return label
+        label = low
+
+
+def block_links(split: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(src, dst) that join all documents of a (bucket, node, component) table which reach each other by links within
+    a bucket, as far as their components differ. A large component has blocks of its own, which are not compared with
+    each other; small ones share blocks."""
+    sizes = split.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("large", F.col("size") > BLOCK // 2)
+    rest = sizes.groupBy("bucket").agg(F.sum(F.when(F.col("large"), 0).otherwise(F.col("size"))).alias("rest"))
+    bins = lambda n: F.ceil(n / F.lit(BLOCK // 2)).cast("long")
+    place = F.when(F.col("large"), F.concat_ws("-", F.col("component"), F.pmod(F.xxhash64("node"), bins(F.col("size"))))
+                   ).otherwise(F.concat_ws("-", F.lit("rest"), F.pmod(F.xxhash64("component"), bins(F.col("rest")))))
+    placed = split.join(sizes, ["bucket", "component"]).join(rest, "bucket").select(
+        "bucket", "node", place.alias("block"), F.when(F.col("large"), F.col("component")).alias("own"))
+    placed = materialize(placed, "blocks")
+    kinds = placed.select("bucket", "block", "own").distinct()
+    others = kinds.select("bucket", F.col("block").alias("other"), F.col("own").alias("other_own"))
+    pairs = kinds.join(others, "bucket").where("block <= other and not coalesce(own = other_own, false)")
+    pairs = pairs.select("bucket", "block", "other")
+    left = pairs.join(placed, ["bucket", "block"]).select("bucket", "block", "other", "node")
+    right = pairs.where("block <> other").join(placed.withColumnRenamed("block", "other"), ["bucket", "other"])
+    rows = left.union(right.select("bucket", "block", "other", "node"))
+    rows = rows.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, text = (table.column(c).combine_chunks() for c in ("node", "text"))
+        if isinstance(text, pa.ChunkedArray):
+            node, text = pa.concat_arrays(node.chunks), pa.concat_arrays(text.chunks)
+        nodes = node.to_numpy()
+        ((_, _, whole),) = tb.chunks(text, limit=1 << 40)
+        label = _joined_in_block(whole, size, percent)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"src": pa.array(nodes[moved]), "dst": pa.array(nodes[label[moved]])})
+
+    return rows.select("bucket", "block", "other", "node", "text").groupBy("bucket", "block", "other").applyInArrow(
+        compare, "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity
     percent / 100 or more on shingles of ``size`` words) and kept (doc_id = component_id)."""
@@ -163,7 +231,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
            .select("node", F.posexplode("bands").alias("band", "value")))
     rows = materialize(one.select("node", F.xxhash64("band", "value").alias("bucket")).distinct(), "bands")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.expr("node ^ bucket")).alias("low"))
-    shared = shared.where("n > 1").select("bucket", F.expr("low ^ bucket").alias("leader"))
+    shared = shared.where("n > 1").select("bucket", "n", F.expr("low ^ bucket").alias("leader"))
     members = materialize(rows.join(shared, "bucket"), "bucket_members")
     texts = docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id",
                                                "left_semi")
@@ -172,13 +240,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = materialize(confirmed(pairs, texts, size, percent), "links")
     joined = components(links)
     met, leaders = pairs, FIRST_LEADERS
-    members = members.where("node <> leader").select("bucket", "node")
+    members = members.select("bucket", "node", "n")
     while True:
         labelled = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         split = materialize(labelled.join(mixed.where("lo <> hi").select("bucket"), "bucket"), "split_buckets")
         if split.isEmpty():
             break
+        wide = split.where(F.col("n") > WIDE)
+        if not wide.isEmpty():
+            links = links.union(materialize(block_links(wide.drop("n"), texts, size, percent), "links"))
+            joined = components(links)
+            members = split.where(F.col("n") <= WIDE).select("bucket", "node", "n")
+            continue
         sizes = split.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         order = Window.partitionBy("bucket").orderBy("size", "component", F.expr("node ^ bucket"))
         chosen = (split.join(sizes, ["bucket", "component"]).withColumn("place", F.row_number().over(order))
@@ -192,9 +266,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             met = met.union(pairs)
             links = links.union(materialize(confirmed(pairs, texts, size, percent), "links"))
             joined = components(links)
-        members = split.select("bucket", "node").join(chosen.select("bucket", F.col("leader").alias("node")),
-                                                      ["bucket", "node"], "left_anti")
-        leaders *= 2
+        members = split.select("bucket", "node", "n").join(chosen.select("bucket", F.col("leader").alias("node")),
+                                                           ["bucket", "node"], "left_anti")
+        leaders *= 4
     per_row = (made.join(classes, ["d1", "d2"], "left").join(joined, "node", "left")
                .withColumn("component", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node"))))
     lowest = per_row.groupBy("doc_id").agg(F.min("component").alias("component_id"))

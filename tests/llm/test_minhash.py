@@ -73,8 +73,12 @@ def test_equals_all_pairs(spark, monkeypatch, size, percent, seed, leaders):
     assert M.near_duplicates(df.limit(0), size, percent).count() == 0
 
 
-def test_wide_bucket_without_pairs(spark, monkeypatch):
+@pytest.mark.parametrize(("wide", "block"), [(64, 512), (2, 8), (2, 512)])
+def test_bucket_of_many_families(spark, monkeypatch, wide, block):
     """One bucket whose members do not all link: links behind the first leader are found as well."""
+    monkeypatch.setattr(M, "WIDE", wide)
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "VOCABULARY", 50)
     monkeypatch.setattr(M, "bands", lambda s, rows: np.zeros((len(s), 1), dtype=np.uint64))
     monkeypatch.setattr(M, "FIRST_LEADERS", 1)
     rng = random.Random(3)
