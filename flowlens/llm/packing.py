@@ -21,6 +21,7 @@ so that each part fits.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,9 +36,12 @@ from pyspark.sql import types as T
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
 
 END_ID = 1
+END = np.array([END_ID], dtype="<u4")
 POOL = 512
-CACHE_WORDS = 800_000  # words remembered per worker (about 200 bytes each); longer words than CACHE_BYTES are not
+CACHE_WORDS = 1_600_000  # words remembered per worker (about 200 bytes each); longer words than CACHE_BYTES are not
 CACHE_BYTES = 64
+GROUP_BYTES = 1 << 20  # texts looked up together
+MARKS = re.compile(rb"([.,;:!?](?<=[0-9a-z][.,;:!?])[.,;:!?]*)(?=[ \t\n\r\x0b\x0c]|\Z)")
 ROWS_OUT = 4096
 
 
@@ -74,31 +78,70 @@ class Item:
 
 
 class Words:
-    """Token ids of texts by way of remembered words: a young and an old generation of at most CACHE_WORDS / 2 each."""
+    """Token ids of texts by way of remembered words: a young and an old generation of at most CACHE_WORDS / 2 each.
+
+    Words new to a group of texts are encoded together. One of letters only is one unit of the pre-tokenizer, so it ends
+    with the first id that stands for an end of word; the others get a separator word between them, whose single id no other
+    word contains, and those that hold the separator's character are encoded alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        made = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()  # bytes split at the six ASCII white space characters only
-        parts = list(map(self.young.get, words))
-        if None in parts:
-            missing = {w for w, p in zip(words, parts, strict=True) if p is None}
+        (self.separator,) = self.tokenizer.encode("~", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, dtype="<u4")
+
+    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = [(w, t) for w, t in zip(words, texts, strict=True) if t.isalpha()]
+        others = [(w, t) for w, t in zip(words, texts, strict=True) if not t.isalpha()]
+        if letters:
+            ids = self._ids(" ".join([t for _, t in letters]))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(letters):
+                data, cuts = ids.tobytes(), (4 * ends).tolist()
+                for (w, _), a, b in zip(letters, [0, *cuts], cuts, strict=False):
+                    yield w, data[a:b]
+            else:
+                others += letters
+        marked = [(w, t) for w, t in others if "~" not in t]
+        if marked:
+            ids = self._ids(" ~ ".join([t for _, t in marked]))
+            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.separator).tolist()
+            for (w, _), a, b in zip(marked, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                yield w, data[4 * a + 4:4 * b]
+        for w, t in others:
+            if "~" in t:
+                yield w, self._ids(t).tobytes()
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text of a group."""
+        # the vocabulary is lower case and its pre-tokenizer parts letters and digits from the marks after them, so
+        # both may be done before words are looked up; not where a special token's name may stand
+        texts = [t if b"<|" in t else MARKS.sub(rb" \1", t.lower()) for t in texts]
+        split = [t.split() for t in texts]  # bytes split at the six ASCII white space characters only
+        parts = [list(map(self.young.get, words)) for words in split]
+        missing = {w for words, got in zip(split, parts, strict=True) if None in got
+                   for w, p in zip(words, got, strict=True) if p is None}
+        if missing:
             found = {w: self.old[w] for w in missing if w in self.old}
             if fresh := [w for w in missing if w not in found]:
-                found.update(zip(fresh, self._encode(fresh), strict=True))
-            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+                found.update(self._encode(fresh))
+            for words, got in zip(split, parts, strict=True):
+                if None in got:
+                    got[:] = [found[w] if p is None else p for w, p in zip(words, got, strict=True)]
             self.young.update((w, p) for w, p in found.items() if len(w) <= CACHE_BYTES)
             if len(self.young) > CACHE_WORDS // 2:
                 self.old, self.young = self.young, {}
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        return [np.frombuffer(b"".join(got), dtype="<u4") for got in parts]
 
 
 _words: dict[str, Words] = {}
@@ -198,19 +241,25 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: bool =
         done = 0
         for batch in batches:
             first = batch.column(0).type
-            texts = batch.column(1).cast(pa.binary())
-            prompts = batch.column(2).cast(pa.binary()) if prompt else None
-            for row in range(batch.num_rows):
-                body = words.ids(texts[row].as_py() or b"")
-                head = words.ids(prompts[row].as_py() or b"") if prompt else np.zeros(0, dtype="<u4")
-                ids = np.concatenate([head, body, np.array([END_ID], dtype="<u4")])
-                packer.add(Item(batch.column(0)[row].as_py(), 0, ids, len(head), len(ids)))
-                ready = len(packer.ready)
-                held.extend(rows(packer, base, done))
-                done += ready
-                if len(held) >= ROWS_OUT:
-                    yield batch_of(held, first)
-                    held = []
+            columns = [batch.column(c).cast(pa.binary()) for c in range(batch.num_columns - 1, 0, -1)]  # a prompt comes first
+            at = 0
+            while at < batch.num_rows:
+                texts, size, lo = [], 0, at
+                while at < batch.num_rows and (size < GROUP_BYTES or at == lo):
+                    texts.append([c[at].as_py() or b"" for c in columns])
+                    size += sum(map(len, texts[-1]))
+                    at += 1
+                ids = words.ids([t for row in texts for t in row])
+                for k, row in enumerate(range(lo, at)):
+                    mine = ids[k * len(texts[0]):(k + 1) * len(texts[0])]
+                    whole = np.concatenate([*mine, END])
+                    packer.add(Item(batch.column(0)[row].as_py(), 0, whole, len(mine[0]) if prompt else 0, len(whole)))
+                    ready = len(packer.ready)
+                    held.extend(rows(packer, base, done))
+                    done += ready
+                    if len(held) >= ROWS_OUT:
+                        yield batch_of(held, first)
+                        held = []
         packer.finish()
         held.extend(rows(packer, base, done))
         if held:
