@@ -32,7 +32,7 @@ def main() -> None:
     from flowlens.operators import managed as M
     from flowlens.operators import specs as SP
     from flowlens.session import build_session, materialize
-    from flowlens.sources import apim as A
+    from flowlens.sources import registry as A
     from flowlens.sources import fixtures as fx
 
     scratch = tempfile.mkdtemp(prefix="flowlens-bench-", dir=os.environ.get("FLOWLENS_SCRATCH", "/tmp"))

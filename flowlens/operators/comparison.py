@@ -14,20 +14,20 @@ from ..functions import text as T
 from ..session import materialize
 
 CAND_COLS = ["service_key", "http_method", "resource_path", "request_domain", "host_ip", "server_port",
-             "hit_count", "apim_api_id"]
-COLL_KEY = ["http_method", "resource_path", "apim_api_id"]
+             "hit_count", "reg_api_id"]
+COLL_KEY = ["http_method", "resource_path", "reg_api_id"]
 
 
 def op_index(ops: DataFrame) -> DataFrame:
-    """One registered operation per (method, match path): the last in (apim_api_id, raw_target) order."""
+    """One registered operation per (method, match path): the last in (reg_api_id, raw_target) order."""
     return (ops.groupBy("http_method", "match_path")
-            .agg(F.max(F.struct("apim_api_id", "raw_target")).alias("op"))
+            .agg(F.max(F.struct("reg_api_id", "raw_target")).alias("op"))
             .select("http_method", F.col("match_path").alias("resource_path"),
-                    F.col("op.apim_api_id").alias("apim_api_id")))
+                    F.col("op.reg_api_id").alias("reg_api_id")))
 
 
 def match(discovered: DataFrame, ops: DataFrame) -> DataFrame:
-    """Discovered LEFT JOIN registered operations on (method, path); apim_api_id NULL = unmatched."""
+    """Discovered LEFT JOIN registered operations on (method, path); reg_api_id NULL = unmatched."""
     d = discovered.select("service_key", "http_method", "resource_path",
                           T.nz(F.col("request_domain")).alias("request_domain"),
                           T.nz(F.col("host_ip")).alias("host_ip"), "server_port", "hit_count")
@@ -36,7 +36,7 @@ def match(discovered: DataFrame, ops: DataFrame) -> DataFrame:
 
 def collisions(cands: DataFrame) -> DataFrame:
     """Matched (method, path, api) groups seen from more than one service key."""
-    return (cands.where(F.col("apim_api_id").isNotNull())
+    return (cands.where(F.col("reg_api_id").isNotNull())
             .groupBy(*COLL_KEY)
             .agg(F.count_distinct("service_key").alias("n_services"))
             .where(F.col("n_services") > 1))
@@ -56,13 +56,13 @@ def affinity(cands: DataFrame, coll: DataFrame, ops: DataFrame) -> DataFrame:
     members = collision_members(cands, coll)
     seen = cands.select("service_key", F.col("http_method").alias("op_method"),
                         F.col("resource_path").alias("op_path"), F.lit(1).alias("seen"))
-    probe = (members.select("apim_api_id", "service_key").distinct()
-             .join(ops.select("apim_api_id", F.col("http_method").alias("op_method"),
-                              F.col("match_path").alias("op_path")), "apim_api_id")
+    probe = (members.select("reg_api_id", "service_key").distinct()
+             .join(ops.select("reg_api_id", F.col("http_method").alias("op_method"),
+                              F.col("match_path").alias("op_path")), "reg_api_id")
              .join(seen, ["service_key", "op_method", "op_path"], "left"))
-    score = probe.groupBy("apim_api_id", "service_key").agg(
+    score = probe.groupBy("reg_api_id", "service_key").agg(
         F.coalesce(F.sum("seen"), F.lit(0)).cast("bigint").alias("score"))
-    return members.join(score, ["apim_api_id", "service_key"]).select(*COLL_KEY, "service_key", "score")
+    return members.join(score, ["reg_api_id", "service_key"]).select(*COLL_KEY, "service_key", "score")
 
 
 def service_domain(cands: DataFrame) -> DataFrame:
@@ -77,10 +77,10 @@ def resolve(cands: DataFrame, coll: DataFrame, ops: DataFrame, apis: DataFrame)
     domain equals the API's endpoint host (blank equals blank); none -> ambiguous."""
     scores = materialize(affinity(cands, coll, ops), "scores")
     best = scores.groupBy(*COLL_KEY).agg(F.max("score").alias("best"))
-    host = apis.select("apim_api_id", T.nz(F.col("endpoint_hostname")).alias("endpoint_host"))
+    host = apis.select("reg_api_id", T.nz(F.col("endpoint_hostname")).alias("endpoint_host"))
     tied = (scores.join(best, COLL_KEY).where(F.col("score") == F.col("best"))
             .join(service_domain(cands), "service_key", "left")
-            .join(host, "apim_api_id", "left")
+            .join(host, "reg_api_id", "left")
             .withColumn("host_match", T.strip_port(T.nz(F.col("domain")), keep_leading=False)
                         == T.nz(F.col("endpoint_host"))))
     g = tied.groupBy(*COLL_KEY).agg(
@@ -107,11 +107,11 @@ def classify(cands: DataFrame, lost: DataFrame) -> DataFrame:
     key = ["service_key", "http_method", "resource_path"]
     flagged = cands.join(lost.select(*key, F.lit(True).alias("lost")), key, "left") \
         .withColumn("lost", F.coalesce(F.col("lost"), F.lit(False)))
-    retained = (flagged.where(F.col("apim_api_id").isNotNull() & ~F.col("lost"))
+    retained = (flagged.where(F.col("reg_api_id").isNotNull() & ~F.col("lost"))
                 .groupBy("service_key")
-                .agg(F.min(F.struct("http_method", "resource_path", "apim_api_id")).getField("apim_api_id")
+                .agg(F.min(F.struct("http_method", "resource_path", "reg_api_id")).getField("reg_api_id")
                      .alias("managed_api_id")))
-    unmanaged = flagged.where(F.col("apim_api_id").isNull() | F.col("lost"))
+    unmanaged = flagged.where(F.col("reg_api_id").isNull() | F.col("lost"))
     out = unmanaged.join(retained, "service_key", "left")
     return out.select(
         *key, "request_domain", "host_ip", "server_port", "hit_count",
@@ -140,13 +140,13 @@ def collision_audit(cands: DataFrame, resolved: DataFrame) -> DataFrame:
     """C11: candidates at unresolved collisions; they stay managed (X4), listed here for review, with how many tie."""
     amb = resolved.where(F.col("resolution") == "AMBIGUOUS").select("http_method", "resource_path", "n_tied")
     return cands.join(amb, ["http_method", "resource_path"]).select(
-        "service_key", "http_method", "resource_path", "apim_api_id", "n_tied")
+        "service_key", "http_method", "resource_path", "reg_api_id", "n_tied")
 
 
 def phase_metrics(cands: DataFrame, classified: DataFrame) -> DataFrame:
     """C18 (comparison part): managed / unmanaged / shadow / drift counts of a cycle."""
-    c = cands.agg(F.count_if(F.col("apim_api_id").isNotNull()).alias("managed"),
-                  F.count_if(F.col("apim_api_id").isNull()).alias("unmatched"))
+    c = cands.agg(F.count_if(F.col("reg_api_id").isNotNull()).alias("managed"),
+                  F.count_if(F.col("reg_api_id").isNull()).alias("unmatched"))
     k = classified.agg(F.count(F.lit(1)).alias("unmanaged"),
                        F.count_if(F.col("classification") == "SHADOW").alias("shadow"),
                        F.count_if(F.col("classification") == "DRIFT").alias("drift"))

@@ -313,62 +313,62 @@ GROUP BY ALL) y"""
         self.add("m_pub", f"SELECT * FROM managed_src WHERE lifecycle_status = 'PUBLISHED' {types}", ["managed_src"])
         self.add("m_apis", self.apis_sql("m_pub"), ["m_pub"])
         self.add("m_ops", f"""
-SELECT apim_api_id, http_method, raw_target, normalized_target,
+SELECT reg_api_id, http_method, raw_target, normalized_target,
   {match_path_sql('endpoint_basepath', 'normalized_target')} AS match_path
 FROM (
-  SELECT s.apim_api_id, upper(s.verb) AS http_method, s.target AS raw_target,
+  SELECT s.reg_api_id, upper(s.verb) AS http_method, s.target AS raw_target,
     {normalize_target_sql('s.target')} AS normalized_target, a.endpoint_basepath
-  FROM m_pub s JOIN m_apis a ON s.apim_api_id = a.apim_api_id
+  FROM m_pub s JOIN m_apis a ON s.reg_api_id = a.reg_api_id
   WHERE upper(s.verb) NOT IN ('', 'OPTIONS', 'HEAD')) x""", ["m_pub", "m_apis"])
 
     def apis_sql(self, src: str) -> str:
         scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
         tparse = "timezone('UTC', strptime(last_updated, '%Y-%m-%dT%H:%M:%S.%g%z'))"
         return f"""
-SELECT DISTINCT apim_api_id, api_name, api_version, context, api_type, lifecycle_status, 'admin' AS provider,
+SELECT DISTINCT reg_api_id, api_name, api_version, context, api_type, lifecycle_status, 'admin' AS provider,
   'http' AS endpoint_type, endpoint_url,
   regexp_extract(endpoint_url, '{scheme}([^/:]*)', 1) AS endpoint_hostname,
   CASE WHEN regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) <> ''
        THEN CAST(regexp_extract(endpoint_url, '{scheme}[^/]*:([0-9]+)', 1) AS INTEGER)
        WHEN starts_with(lower(endpoint_url), 'https:') THEN 443 ELSE 80 END AS endpoint_port,
   {trim_suffix_sql(f"regexp_extract(endpoint_url, '{scheme}[^/]*([^?#]*)', 1)")} AS endpoint_basepath,
-  {tparse} AS apim_last_updated_at, {tparse} AS apim_created_at
+  {tparse} AS reg_last_updated_at, {tparse} AS reg_created_at
 FROM {src}"""
 
     # ------------------------------------------------------------------ comparison
     def _define_comparison(self):
         self.add("op_pick", """
-SELECT http_method, match_path AS resource_path, apim_api_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY http_method, match_path ORDER BY apim_api_id DESC, raw_target DESC) AS rn
+SELECT http_method, match_path AS resource_path, reg_api_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY http_method, match_path ORDER BY reg_api_id DESC, raw_target DESC) AS rn
   FROM m_ops) x WHERE rn = 1""", ["m_ops"])
         self.add("cands", """
 SELECT d.service_key, d.http_method, d.resource_path, coalesce(d.request_domain, '') AS request_domain,
-  coalesce(d.host_ip, '') AS host_ip, d.server_port, d.hit_count, p.apim_api_id
+  coalesce(d.host_ip, '') AS host_ip, d.server_port, d.hit_count, p.reg_api_id
 FROM discovered d LEFT JOIN op_pick p ON d.http_method = p.http_method AND d.resource_path = p.resource_path""",
                  ["discovered", "op_pick"])
         self.add("coll", """
-SELECT http_method, resource_path, apim_api_id, count(DISTINCT service_key) AS n_services
-FROM cands WHERE apim_api_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT service_key) > 1""", ["cands"])
+SELECT http_method, resource_path, reg_api_id, count(DISTINCT service_key) AS n_services
+FROM cands WHERE reg_api_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT service_key) > 1""", ["cands"])
         self.add("scores", """
-SELECT k.http_method, k.resource_path, k.apim_api_id, k.service_key, CAST(count(d.service_key) AS BIGINT) AS score
-FROM (SELECT DISTINCT c.http_method, c.resource_path, c.apim_api_id, c.service_key
-      FROM cands c JOIN coll USING (http_method, resource_path, apim_api_id)) k
-JOIN m_ops o ON o.apim_api_id = k.apim_api_id
+SELECT k.http_method, k.resource_path, k.reg_api_id, k.service_key, CAST(count(d.service_key) AS BIGINT) AS score
+FROM (SELECT DISTINCT c.http_method, c.resource_path, c.reg_api_id, c.service_key
+      FROM cands c JOIN coll USING (http_method, resource_path, reg_api_id)) k
+JOIN m_ops o ON o.reg_api_id = k.reg_api_id
 LEFT JOIN cands d ON d.service_key = k.service_key AND d.http_method = o.http_method AND d.resource_path = o.match_path
 GROUP BY ALL""", ["cands", "coll", "m_ops"])
         self.add("sk_domain", """
 SELECT service_key, arg_min(request_domain, (http_method, resource_path)) FILTER (WHERE request_domain <> '') AS domain
 FROM cands GROUP BY ALL""", ["cands"])
         self.add("resolved", f"""
-SELECT http_method, resource_path, apim_api_id,
+SELECT http_method, resource_path, reg_api_id,
   CASE WHEN count(*) = 1 THEN min(service_key) ELSE min(service_key) FILTER (WHERE host_match) END AS winner,
   CASE WHEN count(*) = 1 THEN 'SCORE' WHEN bool_or(host_match) THEN 'HOST' ELSE 'AMBIGUOUS' END AS resolution,
   list_sort(list(service_key)) AS tied_keys, max(score) AS best_score
 FROM (
   SELECT s.*, {strip_port_sql("coalesce(dm.domain, '')", keep_leading=False)} = coalesce(a.endpoint_hostname, '') AS host_match
-  FROM (SELECT *, max(score) OVER (PARTITION BY http_method, resource_path, apim_api_id) AS best FROM scores) s
+  FROM (SELECT *, max(score) OVER (PARTITION BY http_method, resource_path, reg_api_id) AS best FROM scores) s
   LEFT JOIN sk_domain dm ON dm.service_key = s.service_key
-  LEFT JOIN m_apis a ON a.apim_api_id = s.apim_api_id
+  LEFT JOIN m_apis a ON a.reg_api_id = s.reg_api_id
   WHERE s.score = s.best) t
 GROUP BY ALL""", ["scores", "sk_domain", "m_apis"])
         self.add("losers", """
@@ -381,12 +381,12 @@ SELECT c.service_key, c.http_method, c.resource_path, c.request_domain, c.host_i
 FROM (SELECT c.*, l.service_key IS NOT NULL AS lost FROM cands c
       LEFT JOIN losers l ON c.service_key = l.service_key AND c.http_method = l.http_method
                         AND c.resource_path = l.resource_path) c
-LEFT JOIN (SELECT service_key, arg_min(apim_api_id, (http_method, resource_path)) AS managed_api_id
-           FROM (SELECT c.* FROM cands c WHERE c.apim_api_id IS NOT NULL
+LEFT JOIN (SELECT service_key, arg_min(reg_api_id, (http_method, resource_path)) AS managed_api_id
+           FROM (SELECT c.* FROM cands c WHERE c.reg_api_id IS NOT NULL
                  AND NOT EXISTS (SELECT 1 FROM losers l WHERE l.service_key = c.service_key
                                  AND l.http_method = c.http_method AND l.resource_path = c.resource_path)) r
            GROUP BY ALL) m ON m.service_key = c.service_key
-WHERE c.apim_api_id IS NULL OR c.lost""", ["cands", "losers"])
+WHERE c.reg_api_id IS NULL OR c.lost""", ["cands", "losers"])
 
     # ------------------------------------------------------- two cycles: discovery, comparison, E7-E9
     DISCOVERY_CHAIN = ("sp_filtered", "sigs", "sigs_reason", "kept", "normalized", "deduped", "fusion_match",
@@ -427,7 +427,7 @@ WHERE c.apim_api_id IS NULL OR c.lost""", ["cands", "losers"])
         self.clone(self.DISCOVERY_CHAIN, "edge", {"flows": "flows_edge"})
         self.clone(self.COMPARISON_CHAIN, "w1", {"discovered": "discovered_w1"})
         # registered side that grows between the cycles: findings are resolved, and classes change
-        self.add("m_ops_half", "SELECT * FROM m_ops WHERE CAST(substr(apim_api_id, 5, 3) AS INTEGER) % 2 = 0", ["m_ops"])
+        self.add("m_ops_half", "SELECT * FROM m_ops WHERE CAST(substr(reg_api_id, 5, 3) AS INTEGER) % 2 = 0", ["m_ops"])
         self.clone(self.COMPARISON_CHAIN, "h1", {"discovered": "discovered_w1", "m_ops": "m_ops_half"})
         self.clone(self.COMPARISON_CHAIN, "m", {"discovered": "discovered_m"})
         self.add("u0", "SELECT CAST(NULL AS VARCHAR) AS service_key, CAST(NULL AS VARCHAR) AS http_method, "
@@ -510,7 +510,7 @@ SELECT u.managed_api_id, u.service_key, u.http_method, u.resource_path, u.classi
   {', '.join(meta(c) for c in META_COLS)},
   coalesce(a.api_name, '') AS parent_api_name, coalesce(a.api_version, '') AS parent_api_version
 FROM u2 u JOIN discovered_m d ON {key_on}
-LEFT JOIN m_apis a ON a.apim_api_id = u.managed_api_id
+LEFT JOIN m_apis a ON a.reg_api_id = u.managed_api_id
 WHERE u.status NOT IN {term} AND EXISTS (SELECT 1 FROM sp_groups g WHERE {grp_on})""",
                  ["u2", "discovered_m", "m_apis", "sp_groups"])
         self.add("sp_stats", """
@@ -654,39 +654,39 @@ FROM (SELECT c.id, c.name, c.version, {owner} AS owner,
 
     # ---------------------------------------------------------- managed two syncs
     def _define_managed_sync(self):
-        n = "CAST(substr(apim_api_id, 5, 3) AS INTEGER)"
+        n = "CAST(substr(reg_api_id, 5, 3) AS INTEGER)"
         prev, now = f"TIMESTAMP {q(fx.STATE_SPLIT)}", f"TIMESTAMP {q(fx.AS_OF)}"
         self.add("prev_src", f"""
 SELECT * REPLACE (CASE WHEN {n} % 3 = 2 THEN '2023-12-31T00:00:00.000+0000' ELSE last_updated END AS last_updated)
 FROM managed_src WHERE {n} % 3 <> 0""", ["managed_src"])
         self.add("prev_apis", self.apis_sql("prev_src"), ["prev_src"])
         self.add("prev_ops", f"""
-SELECT apim_api_id, http_method, raw_target, {match_path_sql('endpoint_basepath', 'normalized_target')} AS match_path
-FROM (SELECT s.apim_api_id, upper(s.verb) AS http_method, s.target AS raw_target,
+SELECT reg_api_id, http_method, raw_target, {match_path_sql('endpoint_basepath', 'normalized_target')} AS match_path
+FROM (SELECT s.reg_api_id, upper(s.verb) AS http_method, s.target AS raw_target,
         {normalize_target_sql('s.target')} AS normalized_target, a.endpoint_basepath
-      FROM prev_src s JOIN prev_apis a ON s.apim_api_id = a.apim_api_id
+      FROM prev_src s JOIN prev_apis a ON s.reg_api_id = a.reg_api_id
       WHERE upper(s.verb) NOT IN ('', 'OPTIONS', 'HEAD')) x""", ["prev_src", "prev_apis"])
         self.add("sync", """
-SELECT a.apim_api_id, a.api_name, a.api_type, a.apim_last_updated_at,
-  CASE WHEN p.apim_api_id IS NULL THEN 'created' WHEN a.apim_last_updated_at = p.apim_last_updated_at THEN 'unchanged'
+SELECT a.reg_api_id, a.api_name, a.api_type, a.reg_last_updated_at,
+  CASE WHEN p.reg_api_id IS NULL THEN 'created' WHEN a.reg_last_updated_at = p.reg_last_updated_at THEN 'unchanged'
        ELSE 'updated' END AS sync_class
-FROM m_apis a LEFT JOIN prev_apis p ON a.apim_api_id = p.apim_api_id""", ["m_apis", "prev_apis"])
+FROM m_apis a LEFT JOIN prev_apis p ON a.reg_api_id = p.reg_api_id""", ["m_apis", "prev_apis"])
         changed = "s.sync_class IN ('created', 'updated')"
         self.add("mm_apis", f"""
-SELECT coalesce(s.apim_api_id, p.apim_api_id) AS apim_api_id,
+SELECT coalesce(s.reg_api_id, p.reg_api_id) AS reg_api_id,
   CASE WHEN {changed} THEN s.api_name ELSE p.api_name END AS api_name,
-  CASE WHEN p.apim_api_id IS NOT NULL THEN p.api_type ELSE s.api_type END AS api_type,
-  CASE WHEN {changed} THEN s.apim_last_updated_at ELSE p.apim_last_updated_at END AS apim_last_updated_at,
-  CASE WHEN s.apim_api_id IS NULL AND EXISTS (SELECT 1 FROM m_apis) THEN {now} END AS deleted_at,
-  CASE WHEN s.apim_api_id IS NOT NULL THEN {now} ELSE {prev} END AS last_synced_at,
-  CASE WHEN p.apim_api_id IS NOT NULL THEN {prev} ELSE {now} END AS created_at,
-  CASE WHEN {changed} OR s.apim_api_id IS NULL THEN {now} ELSE {prev} END AS updated_at
-FROM sync s FULL OUTER JOIN prev_apis p ON s.apim_api_id = p.apim_api_id""", ["sync", "prev_apis", "m_apis"])
+  CASE WHEN p.reg_api_id IS NOT NULL THEN p.api_type ELSE s.api_type END AS api_type,
+  CASE WHEN {changed} THEN s.reg_last_updated_at ELSE p.reg_last_updated_at END AS reg_last_updated_at,
+  CASE WHEN s.reg_api_id IS NULL AND EXISTS (SELECT 1 FROM m_apis) THEN {now} END AS deleted_at,
+  CASE WHEN s.reg_api_id IS NOT NULL THEN {now} ELSE {prev} END AS last_synced_at,
+  CASE WHEN p.reg_api_id IS NOT NULL THEN {prev} ELSE {now} END AS created_at,
+  CASE WHEN {changed} OR s.reg_api_id IS NULL THEN {now} ELSE {prev} END AS updated_at
+FROM sync s FULL OUTER JOIN prev_apis p ON s.reg_api_id = p.reg_api_id""", ["sync", "prev_apis", "m_apis"])
         self.add("mm_ops", f"""
-SELECT o.apim_api_id, o.http_method, o.raw_target, o.match_path, CAST(NULL AS TIMESTAMP) AS deleted_at
-FROM m_ops o JOIN sync s ON s.apim_api_id = o.apim_api_id WHERE s.sync_class <> 'unchanged'
+SELECT o.reg_api_id, o.http_method, o.raw_target, o.match_path, CAST(NULL AS TIMESTAMP) AS deleted_at
+FROM m_ops o JOIN sync s ON s.reg_api_id = o.reg_api_id WHERE s.sync_class <> 'unchanged'
 UNION ALL
-SELECT o.apim_api_id, o.http_method, o.raw_target, o.match_path,
-  CASE WHEN s.apim_api_id IS NULL THEN {now} END AS deleted_at
-FROM prev_ops o LEFT JOIN sync s ON s.apim_api_id = o.apim_api_id
-WHERE s.apim_api_id IS NULL OR s.sync_class = 'unchanged'""", ["m_ops", "sync", "prev_ops"])
+SELECT o.reg_api_id, o.http_method, o.raw_target, o.match_path,
+  CASE WHEN s.reg_api_id IS NULL THEN {now} END AS deleted_at
+FROM prev_ops o LEFT JOIN sync s ON s.reg_api_id = o.reg_api_id
+WHERE s.reg_api_id IS NULL OR s.sync_class = 'unchanged'""", ["m_ops", "sync", "prev_ops"])

@@ -269,15 +269,15 @@ def q_fusion_tolerance(spark, sf_dir):
 
 from ..operators import comparison as C  # noqa: E402
 from ..operators import managed as M  # noqa: E402
-from ..sources import apim as A  # noqa: E402
+from ..sources import registry as A  # noqa: E402
 from . import scenarios as S  # noqa: E402
 
 
-@query("published_apis", "SELECT DISTINCT apim_api_id, api_name, api_type FROM m_pub", ["m_pub"])
+@query("published_apis", "SELECT DISTINCT reg_api_id, api_name, api_type FROM m_pub", ["m_pub"])
 def q_published(spark, sf_dir):
     """A4: published APIs of the included types."""
     return A.published(S.details(spark, sf_dir), OPTS.include_api_types) \
-        .select(F.col("id").alias("apim_api_id"), F.col("name").alias("api_name"), F.col("type").alias("api_type"))
+        .select(F.col("id").alias("reg_api_id"), F.col("name").alias("api_name"), F.col("type").alias("api_type"))
 
 
 @query("managed_apis", "SELECT * FROM m_apis", ["m_apis"])
@@ -292,11 +292,11 @@ def q_managed_ops(spark, sf_dir):
     return S.managed_current(spark, sf_dir, OPTS)[1]
 
 
-@query("active_ops", "SELECT apim_api_id, http_method, raw_target, match_path FROM m_ops", ["m_ops"])
+@query("active_ops", "SELECT reg_api_id, http_method, raw_target, match_path FROM m_ops", ["m_ops"])
 def q_active_ops(spark, sf_dir):
     """Active operations of active APIs after one sync."""
     api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
-    return M.active_ops(op_state, api_state).select("apim_api_id", "http_method", "raw_target", "match_path")
+    return M.active_ops(op_state, api_state).select("reg_api_id", "http_method", "raw_target", "match_path")
 
 
 # -------------------------------------------------------------------------- comparison queries
@@ -337,7 +337,7 @@ def q_service_domains(spark, sf_dir):
 
 
 @query("collision_resolution",
-       "SELECT http_method, resource_path, apim_api_id, winner, resolution, len(tied_keys) AS n_tied, "
+       "SELECT http_method, resource_path, reg_api_id, winner, resolution, len(tied_keys) AS n_tied, "
        "best_score FROM resolved", ["resolved"])
 def q_resolution(spark, sf_dir):
     """C7 + J13: winner per collision (score, then endpoint-host tie-break, else ambiguous)."""
@@ -360,7 +360,7 @@ def q_unmanaged_report(spark, sf_dir):
 
 
 @query("collision_audit",
-       "SELECT c.service_key, c.http_method, c.resource_path, c.apim_api_id, len(r.tied_keys) AS n_tied "
+       "SELECT c.service_key, c.http_method, c.resource_path, c.reg_api_id, len(r.tied_keys) AS n_tied "
        "FROM cands c JOIN resolved r ON c.http_method = r.http_method AND c.resource_path = r.resource_path "
        "WHERE r.resolution = 'AMBIGUOUS'", ["cands", "resolved"])
 def q_collision_audit(spark, sf_dir):
@@ -370,8 +370,8 @@ def q_collision_audit(spark, sf_dir):
 
 
 @query("comparison_metrics",
-       "SELECT (SELECT count(*) FROM cands WHERE apim_api_id IS NOT NULL) AS managed, "
-       "(SELECT count(*) FROM cands WHERE apim_api_id IS NULL) AS unmatched, "
+       "SELECT (SELECT count(*) FROM cands WHERE reg_api_id IS NOT NULL) AS managed, "
+       "(SELECT count(*) FROM cands WHERE reg_api_id IS NULL) AS unmatched, "
        "(SELECT count(*) FROM classified) AS unmanaged, "
        "(SELECT count(*) FROM classified WHERE classification = 'SHADOW') AS shadow, "
        "(SELECT count(*) FROM classified WHERE classification = 'DRIFT') AS drift", ["cands", "classified"])
@@ -611,23 +611,23 @@ from ..functions.text import operation_id as T_operation_id  # noqa: E402
 # ------------------------------------------------------------------------ managed sync queries
 
 PURGE_AS_OF = "2024-05-15 00:00:00"
-_MM_OUT = ["apim_api_id", "api_name", "api_type", "apim_last_updated_at", "deleted_at", "last_synced_at",
+_MM_OUT = ["reg_api_id", "api_name", "api_type", "reg_last_updated_at", "deleted_at", "last_synced_at",
            "created_at", "updated_at"]
 
 
-@query("sync_classes", "SELECT apim_api_id, sync_class FROM sync", ["sync"])
+@query("sync_classes", "SELECT reg_api_id, sync_class FROM sync", ["sync"])
 def q_sync_classes(spark, sf_dir):
     """Created / updated / unchanged against the previous sync (timestamp change detection)."""
-    return S.managed_two_syncs(spark, sf_dir, OPTS)["classified"].select("apim_api_id", "sync_class")
+    return S.managed_two_syncs(spark, sf_dir, OPTS)["classified"].select("reg_api_id", "sync_class")
 
 
 @query("deleted_apis",
-       "SELECT apim_api_id FROM prev_apis WHERE apim_api_id NOT IN (SELECT apim_api_id FROM m_apis)",
+       "SELECT reg_api_id FROM prev_apis WHERE reg_api_id NOT IN (SELECT reg_api_id FROM m_apis)",
        ["prev_apis", "m_apis"])
 def q_deleted_apis(spark, sf_dir):
     """Stored active APIs missing from the current (non-empty) published list."""
     ms = S.managed_two_syncs(spark, sf_dir, OPTS)
-    return M.detect_deleted(ms["prev_api"], ms["classified"]).select("apim_api_id")
+    return M.detect_deleted(ms["prev_api"], ms["classified"]).select("reg_api_id")
 
 
 @query("managed_merge", "SELECT " + ", ".join(_MM_OUT) + " FROM mm_apis", ["mm_apis"])
@@ -640,7 +640,7 @@ def q_managed_merge(spark, sf_dir):
 def q_managed_ops_merge(spark, sf_dir):
     """E3 + E5: operations replaced for changed APIs, cascaded soft delete for deleted ones."""
     return S.managed_two_syncs(spark, sf_dir, OPTS)["op_state"].select(
-        "apim_api_id", "http_method", "raw_target", "match_path", "deleted_at")
+        "reg_api_id", "http_method", "raw_target", "match_path", "deleted_at")
 
 
 @query("count_active",
@@ -653,22 +653,22 @@ def q_count_active(spark, sf_dir):
 
 
 @query("purge_managed",
-       "SELECT apim_api_id, deleted_at FROM mm_apis WHERE NOT (deleted_at IS NOT NULL AND deleted_at < "
+       "SELECT reg_api_id, deleted_at FROM mm_apis WHERE NOT (deleted_at IS NOT NULL AND deleted_at < "
        f"TIMESTAMP '{PURGE_AS_OF}' - INTERVAL '{OPTS.retention_managed}')", ["mm_apis"])
 def q_purge_managed(spark, sf_dir):
     """APIs kept by the 90-day retention of soft-deleted rows (as of 2024-05-15)."""
     ms = S.managed_two_syncs(spark, sf_dir, OPTS)
-    return M.purge_managed(ms["api_state"], PURGE_AS_OF, OPTS.retention_managed).select("apim_api_id", "deleted_at")
+    return M.purge_managed(ms["api_state"], PURGE_AS_OF, OPTS.retention_managed).select("reg_api_id", "deleted_at")
 
 
 @query("purge_ops",
-       "SELECT apim_api_id, http_method, raw_target, deleted_at FROM mm_ops WHERE NOT (deleted_at IS NOT NULL AND "
+       "SELECT reg_api_id, http_method, raw_target, deleted_at FROM mm_ops WHERE NOT (deleted_at IS NOT NULL AND "
        f"deleted_at < TIMESTAMP '{PURGE_AS_OF}' - INTERVAL '{OPTS.retention_managed}')", ["mm_ops"])
 def q_purge_ops(spark, sf_dir):
     """Operations kept by the 90-day retention of soft-deleted rows (as of 2024-05-15)."""
     ms = S.managed_two_syncs(spark, sf_dir, OPTS)
     return M.purge_ops(ms["op_state"], PURGE_AS_OF, OPTS.retention_managed) \
-        .select("apim_api_id", "http_method", "raw_target", "deleted_at")
+        .select("reg_api_id", "http_method", "raw_target", "deleted_at")
 
 
 # ------------------------------------------------- registered side that grows with the scale factor
@@ -677,7 +677,7 @@ _oracle.add("wide", fx.WIDE_SRC_SQL)
 _WIDE_OK = "status = 'PUBLISHED' AND type = 'HTTP'"
 # expected values stated per shape of input
 _oracle.add("wide_apis", f"""
-SELECT id AS apim_api_id, type AS api_type, context,
+SELECT id AS reg_api_id, type AS api_type, context,
   CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 3 THEN '' WHEN 1 THEN 'address' ELSE 'http' END AS endpoint_type,
   CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN 'svc' || CAST(substr(id, 3) AS BIGINT) % 12 || '.shop.example.com'
     WHEN 1 THEN 'h' || substr(id, 3) || '.example.com' WHEN 2 THEN 'a' || substr(id, 3) || '.example.com'
@@ -686,7 +686,7 @@ SELECT id AS apim_api_id, type AS api_type, context,
   CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN '/base' WHEN 2 THEN '/x y' WHEN 4 THEN '/v1' ELSE '' END AS endpoint_basepath,
   CASE CAST(substr(id, 3) AS BIGINT) % 7 WHEN 0 THEN TIMESTAMP '2024-01-05 05:00:00.25' WHEN 1 THEN TIMESTAMP '2024-01-05 10:30:00.25'
     WHEN 2 THEN TIMESTAMP '2024-01-05 12:30:00' WHEN 3 THEN TIMESTAMP '2024-01-05 09:30:00.5' WHEN 4 THEN TIMESTAMP '2024-01-05 10:30:00'
-    WHEN 5 THEN TIMESTAMP '2024-01-05 10:30:00' END AS apim_last_updated_at
+    WHEN 5 THEN TIMESTAMP '2024-01-05 10:30:00' END AS reg_last_updated_at
 FROM wide WHERE {_WIDE_OK}""", ["wide"])
 
 
@@ -699,12 +699,12 @@ def _wide(spark, sf_dir, pass_through=False):
 def q_wide_apis(spark, sf_dir):
     """A4 + A5 + B12 + B13 + B15: lifecycle states, endpoint configs (object, array, not JSON, none), hosts with IPv6,
     ports given, implied and broken, escaped paths, and the accepted time formats, one API per part."""
-    return _wide(spark, sf_dir)[0].select("apim_api_id", "api_type", "context", "endpoint_type", "endpoint_hostname",
-                                         "endpoint_port", "endpoint_basepath", "apim_last_updated_at")
+    return _wide(spark, sf_dir)[0].select("reg_api_id", "api_type", "context", "endpoint_type", "endpoint_hostname",
+                                         "endpoint_port", "endpoint_basepath", "reg_last_updated_at")
 
 
 @query("wide_ops_context", f"""
-SELECT id AS apim_api_id, v.http_method, v.raw_target, v.normalized_target,
+SELECT id AS reg_api_id, v.http_method, v.raw_target, v.normalized_target,
   CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN '/base' WHEN 2 THEN '/x y' WHEN 4 THEN '/v1' ELSE '' END
   || CASE CAST(substr(id, 3) AS BIGINT) % 4 WHEN 0 THEN '' WHEN 1 THEN '' ELSE '/ctx' || substr(id, 3) END || v.tail AS match_path
 FROM wide, (VALUES ('GET', '/orders/{{orderId}}', '/orders/{{id}}', '/orders/{{id}}'), ('POST', '//orders', '//orders', '/orders'))
@@ -725,7 +725,7 @@ def _wide_synced(spark, sf_dir):
     return M.merge_managed(None, None, M.classify_sync(apis, None), ops, fx.AS_OF)
 
 
-@query("wide_sync_rejects", f"SELECT id AS apim_api_id FROM wide WHERE {_WIDE_OK} AND repeats", ["wide"])
+@query("wide_sync_rejects", f"SELECT id AS reg_api_id FROM wide WHERE {_WIDE_OK} AND repeats", ["wide"])
 def q_wide_sync_rejects(spark, sf_dir):
     """APIs that document one operation twice are rejected as a whole."""
     return _wide_synced(spark, sf_dir)[2]
@@ -739,14 +739,14 @@ def q_wide_sync_counts(spark, sf_dir):
     return M.count_active(api_state, op_state)
 
 
-@query("operations_of_api", f"SELECT id AS apim_api_id, unnest(['GET', 'POST']) AS http_method FROM wide "
+@query("operations_of_api", f"SELECT id AS reg_api_id, unnest(['GET', 'POST']) AS http_method FROM wide "
        f"WHERE {_WIDE_OK} AND NOT repeats AND id = (SELECT max(id) FROM wide WHERE {_WIDE_OK} AND NOT repeats)", ["wide"])
 def q_operations_of_api(spark, sf_dir):
     """Operations of one API, the last by id."""
     api_state, op_state, _ = _wide_synced(spark, sf_dir)
     op_state = materialize(op_state, "wide_ops")
-    newest = op_state.agg(F.max("apim_api_id")).first()[0]
-    return M.ops_of(op_state, newest).select("apim_api_id", "http_method")
+    newest = op_state.agg(F.max("reg_api_id")).first()[0]
+    return M.ops_of(op_state, newest).select("reg_api_id", "http_method")
 
 
 @query("catalog_listing", "SELECT * FROM catalog_src", ["catalog_src"])

@@ -13,7 +13,7 @@ from ..config import Options
 from ..operators import comparison as C
 from ..operators import discovery as D
 from ..operators import managed as M
-from ..sources import apim as A
+from ..sources import registry as A
 from ..session import materialize
 from ..sources import fixtures as fx
 
@@ -64,7 +64,7 @@ def previous_details(spark, sf_dir) -> DataFrame:
     """Earlier detail snapshot: all 25 APIs except every third, every third-plus-two one with an
     older update time (so the current sync sees created, updated, unchanged and deleted APIs)."""
     src = fx.managed_src(spark, sf_dir)
-    n = F.substring("apim_api_id", 5, 3).cast("int")
+    n = F.substring("reg_api_id", 5, 3).cast("int")
     prev = (src.where(n % 3 != 0)
             .withColumn("last_updated", F.when(n % 3 == 2, F.lit("2023-12-31T00:00:00.000+0000"))
                         .otherwise(F.col("last_updated"))))
@@ -148,7 +148,7 @@ def registration_cycle(spark, sf_dir, opts: Options) -> DataFrame:
     api_state, op_state = managed_state(spark, sf_dir, opts)
     ops = M.active_ops(op_state, api_state)
     live = api_state.where(F.col("deleted_at").isNull())
-    half = ops.where(F.substring("apim_api_id", 5, 3).cast("int") % 2 == 0)
+    half = ops.where(F.substring("reg_api_id", 5, 3).cast("int") % 2 == 0)
     c1 = C.compare(d1, half, live)["classified"]
     u1 = materialize(L.comparison_cycle(None, c1, d1, SPLIT, opts.stale_after), "unmanaged_half")
     c2 = C.compare(d2, ops, live)["classified"]

@@ -81,7 +81,7 @@ MANAGED_SRC_SQL_DUCK = """
 WITH t AS (
   SELECT * FROM (VALUES (0, '/orders/{orderId}'), (1, '/orders/{orderId}/items/{itemId}'), (2, '/v1/users/{uid}'),
     (3, '/v2.0/catalog/{sku}'), (4, '/reports/daily'), (5, '/files/{f}'), (6, '/api/items/{id}')) AS x(tid, target))
-SELECT concat('api-', lpad(CAST(n_nationkey AS STRING), 3, '0')) AS apim_api_id, n_name AS api_name, '1.0.0' AS api_version,
+SELECT concat('api-', lpad(CAST(n_nationkey AS STRING), 3, '0')) AS reg_api_id, n_name AS api_name, '1.0.0' AS api_version,
   concat('/', lower(n_name)) AS context, CASE WHEN n_nationkey % 11 = 10 THEN 'WS' ELSE 'HTTP' END AS api_type,
   'PUBLISHED' AS lifecycle_status,
   concat('http://svc', CAST(n_nationkey % 8 AS STRING), '.shop.example.com:8080',
@@ -100,7 +100,7 @@ WITH t AS (
 n AS (
   SELECT n_nationkey, n_name, tid
   FROM nation LATERAL VIEW explode(array(n_nationkey % 7, (n_nationkey + 2) % 7)) q AS tid)
-SELECT concat('api-', lpad(CAST(n_nationkey AS STRING), 3, '0')) AS apim_api_id, n_name AS api_name, '1.0.0' AS api_version,
+SELECT concat('api-', lpad(CAST(n_nationkey AS STRING), 3, '0')) AS reg_api_id, n_name AS api_name, '1.0.0' AS api_version,
   concat('/', lower(n_name)) AS context, CASE WHEN n_nationkey % 11 = 10 THEN 'WS' ELSE 'HTTP' END AS api_type,
   'PUBLISHED' AS lifecycle_status,
   concat('http://svc', CAST(n_nationkey % 8 AS STRING), '.shop.example.com:8080',

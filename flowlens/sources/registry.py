@@ -51,11 +51,11 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
 
 def details_json_from_flat(flat: DataFrame) -> DataFrame:
     """Stand-in input: the flat registered-API view as one detail document (JSON text) per API."""
-    g = flat.groupBy("apim_api_id", "api_name", "api_version", "context", "api_type", "lifecycle_status",
+    g = flat.groupBy("reg_api_id", "api_name", "api_version", "context", "api_type", "lifecycle_status",
                      "endpoint_url", "last_updated").agg(
         F.array_sort(F.collect_list(F.struct(F.col("target"), F.col("verb")))).alias("operations"))
     doc = F.struct(
-        F.col("apim_api_id").alias("id"), F.col("api_name").alias("name"), F.col("api_version").alias("version"),
+        F.col("reg_api_id").alias("id"), F.col("api_name").alias("name"), F.col("api_version").alias("version"),
         F.col("context"), F.col("lifecycle_status").alias("lifeCycleStatus"), F.col("api_type").alias("type"),
         F.lit("admin").alias("provider"), F.col("operations"),
         F.struct(F.lit("http").alias("endpoint_type"),

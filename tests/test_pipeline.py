@@ -175,7 +175,7 @@ def test_hits_conserved_and_partition_of_candidates(spark):
     comp = S.comparison(spark, SF_SMALL, DEFAULT)
     cands, cls = comp["candidates"], comp["classified"]
     lost = comp["losers"].select(*KEY)
-    managed = cands.where(F.col("apim_api_id").isNotNull()).join(lost, KEY, "left_anti").select(*KEY)
+    managed = cands.where(F.col("reg_api_id").isNotNull()).join(lost, KEY, "left_anti").select(*KEY)
     assert managed.join(cls.select(*KEY), KEY).count() == 0          # never both
     assert managed.count() + cls.count() == cands.count()             # always one of them
     winners = comp["resolved"].groupBy(*C.COLL_KEY).agg(F.count("winner").alias("n"))
