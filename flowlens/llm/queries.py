@@ -37,8 +37,9 @@ def op3_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of every document by repetition coverage."""
     out = repetition.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    coverage = [F.get("dup_ngram_chars", F.lit(i)).alias(f"dup_{n}gram_chars") for i, n in enumerate(repetition.NGRAM_SHARES)]
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "kept", "dup_line_chars", "dup_ngram_chars")
+                      "kept", "dup_line_chars", *coverage)
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +82,77 @@ QUERIES = {f.__name__: f for f in (
     op6_two_stage_suffixes, op7_fair_queueing, op8_cross_entropy_difference, op9_vector_packing,
     op10_fast_similarity_sketching)} | {"pipeline": corpus_pipeline.run}
 
+_GRAMS = ", ".join(f"({n})" for n in (3, *repetition.NGRAM_SHARES))
+_COVER = ",\n  ".join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0)::BIGINT AS dup_{n}gram_chars"
+                     for n in repetition.NGRAM_SHARES)
+_LOW = " AND ".join(f"dup_{n}gram_chars <= {share}::DOUBLE * word_chars" for n, share in repetition.NGRAM_SHARES.items())
+
 ORACLE_SQL = {
+    "op2_nn_descent": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON x = vec_id
+""",
+    "op4_repetition_coverage": f"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT rid, n, s, array_to_string(ws[s:s + n - 1], ' ') AS gram
+  FROM (SELECT rid, ws, n, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS s FROM w, (VALUES {_GRAMS}) sizes(n)) x),
+marked AS (
+  SELECT rid, n, s, count(*) OVER (PARTITION BY rid, n, gram) AS times,
+         row_number() OVER (PARTITION BY rid, n, gram ORDER BY s) AS nth FROM grams),
+covered AS (
+  SELECT DISTINCT rid, n, s + k AS i FROM marked, range(0, 10) steps(k)
+  WHERE k < n AND CASE WHEN n = 3 THEN times > 1 ELSE nth > 1 END),
+cover AS (
+  SELECT c.rid, c.n, count(*) AS words, sum(length(w.ws[c.i])) AS chars FROM covered c JOIN w ON w.rid = c.rid GROUP BY ALL),
+lines AS (
+  SELECT rid, line, row_number() OVER (PARTITION BY rid, line) AS nth
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w) x
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dup_lines AS (
+  SELECT rid, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS dup_line_chars
+  FROM lines WHERE nth > 1 GROUP BY rid),
+per_doc AS (
+  SELECT rid, coalesce(max(words) FILTER (WHERE n = 3), 0)::BIGINT AS n_repeat_words,
+  {_COVER}
+  FROM (SELECT rid, n, words, chars FROM cover UNION ALL SELECT rid, 0, 0, 0 FROM w) x GROUP BY rid),
+counted AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars,
+    p.* EXCLUDE (rid), len(ws) < 50 OR 100 * p.n_repeat_words > 50 * len(ws) AS base_failed
+  FROM w JOIN per_doc p ON p.rid = w.rid LEFT JOIN dup_lines l ON l.rid = w.rid)
+SELECT *, NOT base_failed AND dup_line_chars <= {repetition.LINE_SHARE}::DOUBLE * word_chars AND {_LOW} AS kept FROM counted
+""",
+    "op10_fast_similarity_sketching": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * common >= 85 * (p.n + q.n - common)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON x = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+""",
     "op7_fair_queueing": """
 WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
