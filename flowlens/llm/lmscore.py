@@ -6,7 +6,7 @@ order, so their losses differ only by what was counted. A document's score is it
 model less that under the background model: the lower, the closer to the target.
 
 Counts cover every word of every document. Each task adds up its partition in numpy and sends one row per slot that it
-met, so hot words are combined before the shuffle, and what is gathered grows with the corpus. The summed tables have at
+met, so hot words are combined before the shuffle, and what is gathered grows with the corpus. Marking the target documents shuffles the texts once, by id. The summed tables have at
 most ``2 ** PAIR_BITS + 2 ** WORD_BITS`` rows whatever the corpus; that bound is what reaches the driver and goes out with
 the scoring function. Scoring is one pass without a shuffle.
 
@@ -127,6 +127,8 @@ def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Score all documents against the model of those whose doc_id is among ``target_ids``."""
     chosen = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
+    # the texts are dealt by id at every size: no plan that holds for a short list of targets only
+    chosen = chosen.hint("shuffle_merge")
     marked = docs.select("doc_id", "text").join(chosen, F.expr("doc_id = target_id"), "left").select(
         "text", F.col("target_id").isNotNull().alias("target"))
     target, background = count(marked)
