@@ -233,8 +233,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.expr("node ^ bucket")).alias("low"))
     shared = shared.where("n > 1").select("bucket", "n", F.expr("low ^ bucket").alias("leader"))
     members = materialize(rows.join(shared, "bucket"), "bucket_members")
-    texts = docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id",
-                                               "left_semi")
+    # the texts are dealt by id at every size: no plan that holds for a short list of candidates only
+    wanted = members.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_merge")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     texts = materialize(texts, "candidate_texts")
     pairs = materialize(_ordered(members, "node", "leader"), "pairs")
     links = materialize(confirmed(pairs, texts, size, percent), "links")
