@@ -15,6 +15,7 @@ from flowlens.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
 MIN_LANGUAGE_SCORE = 0.5
+PASSAGE_WORDS = 51
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that occur twice go; a document goes if that leaves it without a word."""
+    """Passages of over 50 words that occur twice go, whatever their bytes; a document goes if that leaves it without a word."""
     names = docs.columns
-    cut = suffixes.strip(docs)
+    cut = suffixes.strip_passages(docs, PASSAGE_WORDS)
     alive = (F.col("n_removed") == 0) | (mixing.words(F.col("remaining")) > 0)
     values = {"text": F.col("remaining"), "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars"))
               .otherwise(F.length("remaining").cast("long"))}

@@ -22,6 +22,12 @@ Defined cases: a null text is empty; a text shorter than ``length`` is never tou
 other; matches may start inside a UTF-8 character (``strip`` drops a character cut in two); null doc_ids are fine; an
 empty table gives an empty result. Segments are taken as equal on equal 64-bit anchor and content hashes and length.
 Extra columns pass through; one that bears an output name is replaced.
+
+``strip_passages`` asks for equal runs of words instead, whatever their bytes: each word becomes a code of ``CODE`` bytes and
+the same search runs on the codes. A window that starts inside a code shares nearly all of a word's code at one of its
+ends, so what it finds is found by whole words too, and spans are cut back to whole words. White space between words does
+not matter. A character of a script written without spaces is a word, and a run of ``LENGTH`` bytes or more without white
+space is a word for every eight bytes.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ from flowlens.llm import textbytes as tb
 from flowlens.session import materialize
 
 LENGTH = 400
+CODE = 6  # bytes of a word's code
+LONG_STEP = 8  # bytes of a word inside a run that is too long for one
 GRAM = 32
 HOT = 256
 BLOCKS = (64, 8, 1)
@@ -410,21 +418,68 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans.groupBy("doc_id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def _joined(docs: DataFrame, length: int) -> DataFrame:
-    """(row, spans): every document as a struct, beside the ranges to remove."""
+def word_spans(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans (starts, ends) of the words of documents, for passages; see the module's docstring."""
+    starts, ends = texts.words()
+    data = texts.data
+    follow = [np.append(data[i:], np.zeros(min(i, len(data)), dtype=np.uint8)) for i in (0, 1)]
+    # kana and ideographs; Thai and Lao; Burmese and Khmer: three bytes each; supplementary ideographs have four
+    alone = (((data >= 0xE3) & (data <= 0xE9)) | ((data == 0xE0) & (follow[1] >= 0xB8) & (follow[1] <= 0xBB))
+             | ((data == 0xE1) & (((follow[1] >= 0x80) & (follow[1] <= 0x82)) | ((follow[1] >= 0x9E) & (follow[1] <= 0x9F)))))
+    four = (data == 0xF0) & (follow[1] >= 0xA0) & (follow[1] <= 0xB1)
+    cut = np.concatenate([np.flatnonzero(alone), np.flatnonzero(alone) + 3, np.flatnonzero(four), np.flatnonzero(four) + 4])
+    long = np.flatnonzero(ends - starts >= LENGTH)
+    steps = (ends[long] - starts[long] - 1) // LONG_STEP
+    nth = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+    cut = np.concatenate([cut, np.repeat(starts[long], steps) + nth * LONG_STEP])
+    if not len(cut):
+        return starts, ends
+    cut = np.unique(cut)
+    word = np.searchsorted(starts, cut, side="right") - 1
+    cut = cut[(word >= 0) & (cut > starts[word]) & (cut < ends[word])]
+    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    """The rows with ``CODE`` bytes for each word of the text."""
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("k", T.LongType()), T.StructField("text", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, texts in tb.chunks(batch.column(2)):
+                starts, ends = word_spans(texts)
+                codes = tb.word_hashes(texts, starts, ends).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
+                n = tb.per_doc(texts.doc_of(starts), texts.n) * CODE
+                edges = np.concatenate([[0], np.cumsum(n)]).tolist()
+                data = codes.tobytes()
+                made = pa.array([data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
+                                                  made], names=schema.names)
+
+    return rows.select("doc_id", "k", "text").mapInArrow(run, schema)
+
+
+def _joined(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
+    """(row, spans): every document as a struct, beside the ranges to remove, of bytes or of codes."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.xxhash64("text"))
+    if words:
+        rows, length = _coded(rows), length * CODE
     spans = repeated_spans(rows, length).withColumnsRenamed({"doc_id": "span_id", "k": "span_k"})
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
                         F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("k"))
     return keyed.join(spans, F.expr("row.doc_id <=> span_id and k = span_k"), "left").select("row", "spans")
 
 
-def _runs(spans: pa.StructArray | None) -> list[tuple[int, int]]:
-    """Maximal removed runs of a document's ranges."""
+def _runs(spans: pa.StructArray | None, data: bytes | None = None) -> list[tuple[int, int]]:
+    """Maximal removed runs of a document's ranges; with ``data``, of ranges of its words' codes."""
     if spans is None or len(spans) == 0:
         return []
     lo, hi = spans.field("lo").to_numpy(), spans.field("hi").to_numpy()
+    if data is not None:
+        starts, ends = word_spans(tb.Texts(np.frombuffer(data, dtype=np.uint8), np.array([0]), np.array([len(data)])))
+        whole = _runs(pa.StructArray.from_arrays([pa.array(-(-lo // CODE)), pa.array(hi // CODE)], names=["lo", "hi"]))
+        return [(int(starts[a]), int(ends[b - 1])) for a, b in whole]
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
     new = np.ones(len(lo), dtype=bool)
@@ -440,8 +495,8 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], make) -> DataFrame:
-    joined = _joined(docs.select(*tb.without(docs, [n for n, _ in fields])), length)
+def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], make, words: bool = False) -> DataFrame:
+    joined = _joined(docs.select(*tb.without(docs, [n for n, _ in fields])), length, words)
     place = joined.schema["row"].dataType.names.index("text")
     made = T.StructType([T.StructField("row", joined.schema["row"].dataType), *[T.StructField(n, t) for n, t in fields]])
     kinds = [to_arrow_type(t) for _, t in fields]
@@ -452,7 +507,7 @@ def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], m
             rows = []
             for i in range(batch.num_rows):
                 data = texts[i].as_py() or b""
-                rows.append(make(data, _runs(lists[i].values if lists[i].is_valid else None)))
+                rows.append(make(data, _runs(lists[i].values if lists[i].is_valid else None, data if words else None)))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
             columns = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=made.names)
@@ -468,9 +523,14 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(data, runs)).hexdigest()))
 
 
-def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def strip_passages(docs: DataFrame, words: int) -> DataFrame:
+    """As ``strip``, but what goes are runs of ``words`` words or more that occur twice, from first to last word."""
+    return strip(docs, words, words=True)
+
+
+def strip(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
     """The documents with ``remaining``, their text reduced to what is left (null for a null text), and n_removed."""
     fields = [("remaining", T.StringType()), ("n_removed", T.LongType())]
     out = _apply(docs, length, fields, lambda data, runs: (
-        _kept(data, runs).decode("utf-8", "ignore"), sum(b - a for a, b in runs)))
+        _kept(data, runs).decode("utf-8", "ignore"), sum(b - a for a, b in runs)), words)
     return out.withColumn("remaining", F.when(F.col("text").isNotNull(), F.col("remaining")))
