@@ -1,14 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models of one form score every document: one of target documents, one of the whole corpus as background. They
-share a vocabulary (lower-cased words hashed to ``WORD_BITS`` bits, word pairs to ``PAIR_BITS`` bits), smoothing and
-order, so their losses differ only by what was counted. A document's score is its mean loss per token under the target
-model less that under the background model: the lower, the closer to the target.
+share words (lower case), smoothing and order, so their losses differ only by what was counted. A document's score is its
+mean loss per token under the target model less that under the background model: the lower, the closer to the target.
 
-Counts cover every word of every document. Each task adds up its partition in numpy and sends one row per slot that it
-met, so hot words are combined before the shuffle, and what is gathered grows with the corpus. Marking the target documents shuffles the texts once, by id. The summed tables have at
-most ``2 ** PAIR_BITS + 2 ** WORD_BITS`` rows whatever the corpus; that bound is what reaches the driver and goes out with
-the scoring function. Scoring is one pass without a shuffle.
+Counts cover every word and every pair of neighbouring words of every document under keys of their own, so the tables grow
+with the corpus and nothing of them reaches the driver but three totals. The documents fall into blocks of about ``BLOCK``
+bytes of text, written once. Each block sends one row per key that it holds (a word, a word as first of a pair, a pair).
+The rows of a key meet, at most one a block and split, however common the word or pair; their sums go back to the blocks
+that asked, but for keys of one row, whose block knows the whole count already. A block's texts and sums then meet in one
+task, which scores its documents.
+
+Words are told apart by 62 bits of a hash, as pairs are; a pair's second word does not share its count with other pairs.
+The prior is spread over the distinct words of the corpus, or ``2 ** WORD_BITS`` if they are fewer.
 
 Defined cases: a text that is null or has no word has 0 tokens and null losses and score; a null id or label row marks no
 target, nor does a label without a document; ids that repeat in the labels count once, rows that repeat in the corpus each
@@ -19,117 +23,161 @@ through; one that bears an output name is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from flowlens.llm import textbytes as tb
+from flowlens.session import materialize
 
 WORD_BITS = 18
-PAIR_BITS = 21
 MIX = 0.6  # weight of the pair estimate where its first word was seen
-PRIOR = 0.5  # added to each word slot's count
-START = 0  # word slot that stands before the first word of a text
+PRIOR = 0.5  # added to each word's count
+BLOCK = 1 << 24  # bytes of text
 ROWS_OUT = 1 << 16
+WORD, FIRST, PAIR = range(3)  # kinds of keys, in their last two bits
+FIELDS = [("n_tokens", T.LongType()), *[(n, T.DoubleType()) for n in ("loss_target", "loss_background", "score")]]
 _U = np.uint64
 
 
-@dataclass
-class Model:
-    """Counts of word slots, of word slots as first of a pair, and of pair slots."""
-
-    words: np.ndarray
-    firsts: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, first: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Negative log probability of each token after the one before it."""
-        single = (self.words[word] + PRIOR) / (self.words.sum(dtype=np.float64) + PRIOR * len(self.words))
-        before = self.firsts[first]
-        both = np.minimum(self.pairs[pair] / np.maximum(before, 1), 1.0)
-        return -np.log(np.where(before > 0, MIX * both + (1 - MIX) * single, single))
-
-
-def tokens(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, slot of the word before, slot of the word, slot of the pair) of every word."""
+def tokens(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Document of every word, and its keys: rows WORD, FIRST (of the word before it) and PAIR."""
     texts = tb.lowered(texts)
     starts, ends = texts.words()
     doc = texts.doc_of(starts)
     hashes = tb.word_hashes(texts, starts, ends)
-    word = (hashes >> _U(64 - WORD_BITS)).astype(np.int64)
     opening = np.ones(len(doc), dtype=bool)
     opening[1:] = doc[1:] != doc[:-1]
     before = np.roll(hashes, 1)
-    before[opening] = 0
-    first = np.where(opening, START, np.roll(word, 1))
-    pair = (tb.mix(before * tb.WORD_BASE + hashes) >> _U(64 - PAIR_BITS)).astype(np.int64)
-    return doc, first, word, pair
+    before[opening] = 0  # stands before the first word of a text
+    keys = np.stack([hashes, before, tb.mix(before * tb.WORD_BASE + hashes)])
+    return doc, (keys >> _U(2) << _U(2) | np.arange(3, dtype=np.uint64)[:, None]).view(np.int64)
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sum of each array of values by key."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    return ranked[first], *[np.add.reduceat(v[order], first) for v in values]
+
+
+def _tally(texts: tb.Texts, target: np.ndarray, kinds: int) -> tuple[np.ndarray, ...]:
+    """(keys, count, count in target documents) of the first ``kinds`` kinds."""
+    doc, keys = tokens(texts)
+    chosen = np.tile(target[doc].astype(np.int64), kinds)
+    return _summed(keys[:kinds].ravel(), np.ones(len(chosen), dtype=np.int64), chosen)
+
+
+def _blocked(marked: DataFrame) -> DataFrame:
+    """Adds the number of the block to (row, target); a block is the work of one task."""
+    limit = BLOCK
+    schema = T.StructType([*marked.schema.fields, T.StructField("block", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, base = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            text = batch.column(0).field("text")
+            sizes = text.cast(pa.binary()).fill_null(b"")
+            ends = before + np.cumsum(np.diff(np.frombuffer(sizes.buffers()[1], dtype=np.int32, count=sizes.offset + len(sizes) + 1)[sizes.offset:]).astype(np.int64))
+            if batch.num_rows:
+                before = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + ends // limit)], names=schema.names)
+
+    return marked.mapInArrow(run, schema)
+
+
+def _asked(rows: DataFrame, kinds: int) -> DataFrame:
+    """(block, key, n, n_target): what each block holds of each key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        now = None
 
-def count(marked: DataFrame) -> tuple[Model, Model]:
-    """(target, background) models of (text, target) rows; the background is all rows."""
-    word_slots, pair_slots = 1 << WORD_BITS, 1 << PAIR_BITS
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = _summed(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            for lo in range(0, len(columns[0]), ROWS_OUT):
+                part = [c[lo:lo + ROWS_OUT] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), now)), *map(pa.array, part)],
+                                                 names=["block", "key", "n", "n_target"])
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # three tables side by side: words, firsts, pairs; one row for all documents, one for the target
-        size = 2 * word_slots + pair_slots
-        total = np.zeros((2, size), dtype=np.int64)
         for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, texts in tb.chunks(batch.column(0)):
-                doc, first, word, pair = tokens(texts)
-                at = np.concatenate([word, first + word_slots, pair + 2 * word_slots])
-                total[0] += np.bincount(at, minlength=size)
-                chosen = np.tile(target[lo:hi][doc], 3)
-                if chosen.any():
-                    total[1] += np.bincount(at[chosen], minlength=size)
-        met = np.flatnonzero(total[0])
-        for lo in range(0, len(met), ROWS_OUT):
-            part = met[lo:lo + ROWS_OUT]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0, part]), pa.array(total[1, part])],
-                                             names=["slot", "n", "n_target"])
-
-    rows = marked.select("text", "target").mapInArrow(add_up, "slot long, n long, n_target long")
-    table = rows.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    slot = table.column("slot").to_numpy()
-    models = []
-    for name in ("n_target", "n"):
-        dense = np.zeros(2 * word_slots + pair_slots, dtype=np.float32)
-        dense[slot] = table.column(name).to_numpy()
-        models.append(Model(*np.split(dense, [word_slots, 2 * word_slots])))
-    return models[0], models[1]
-
-
-def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
-    """The documents with n_tokens, loss_target, loss_background (means per token) and score, their difference."""
-    fields = [("n_tokens", T.LongType()), *[(n, T.DoubleType()) for n in ("loss_target", "loss_background", "score")]]
-
-    def compute(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[], [], [], []]
-        for _, _, texts in tb.chunks(tb.column(batch, "text")):
-            doc, first, word, pair = tokens(texts)
-            n = tb.per_doc(doc, texts.n)
-            means = [np.bincount(doc, weights=m.losses(first, word, pair), minlength=texts.n) / np.maximum(n, 1)
-                     for m in (target, background)]
-            empty = n == 0
-            out[0] += n.tolist()
-            for place, values in zip((1, 2, 3), (*means, means[0] - means[1]), strict=True):
-                out[place] += [None if e else v for v, e in zip(values.tolist(), empty.tolist(), strict=True)]
-        return out
-
-    return tb.with_columns(docs, fields, compute)
+            block = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                if held and block[begin] != now:
+                    yield from flush()
+                    held = []
+                now = block[begin]
+                target = batch.column(1).slice(begin, end - begin).to_numpy(zero_copy_only=False)
+                for lo, hi, texts in tb.chunks(batch.column(0).slice(begin, end - begin)):
+                    held.append(_tally(texts, target[lo:hi], kinds))
+        if held:
+            yield from flush()
+
+    return rows.select("row.text", "target", "block").mapInArrow(run, "block long, key long, n long, n_target long")
+
+
+def _losses(keys: np.ndarray, known: np.ndarray, counts: np.ndarray, total: int, size: int) -> np.ndarray:
+    """Negative log probability of each token after the one before it."""
+    word, before, pair = (counts[np.searchsorted(known, k)] for k in keys)
+    single = (word + PRIOR) / (total + PRIOR * size)
+    return -np.log(np.where(before > 0, MIX * (pair / np.maximum(before, 1)) + (1 - MIX) * single, single))
+
+
+def _scored(rows: DataFrame, answers: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
+    """(row, n_tokens, loss_target, loss_background, score) of all blocks' documents."""
+    made = T.StructType([rows.schema["row"], *[T.StructField(n, t) for n, t in FIELDS]])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        boxed = left.column("row").combine_chunks()
+        target = left.column("target").to_numpy()
+        text = boxed.field("text")
+        parts = [(lo, hi, texts) for lo, hi, texts in tb.chunks(text)]
+        held = [_tally(texts, target[lo:hi].astype(bool), 3) for lo, hi, texts in parts]
+        known, n, n_target = _summed(*[np.concatenate(c) for c in zip(*held, strict=True)])
+        at = np.searchsorted(known, right.column("key").to_numpy())
+        n[at], n_target[at] = right.column("n").to_numpy(), right.column("n_target").to_numpy()
+        counted, means = [], []
+        for _, _, texts in parts:
+            doc, keys = tokens(texts)
+            counted.append(tb.per_doc(doc, texts.n))
+            means.append([np.bincount(doc, weights=_losses(keys, known, c, total, size), minlength=texts.n)
+                          / np.maximum(counted[-1], 1) for c, total in zip((n_target, n), totals, strict=True)])
+        length = np.concatenate(counted)
+        losses = [np.concatenate(m) for m in zip(*means, strict=True)]
+        empty = length == 0
+        columns = [pa.array(v, mask=empty) for v in (*losses, losses[0] - losses[1])]
+        return pa.Table.from_arrays([boxed, pa.array(length), *columns], names=made.names)
+
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, made)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """Score all documents against the model of those whose doc_id is among ``target_ids``."""
+    """Score all documents against the model of those whose doc_id is among ``target_ids``: n_tokens, loss_target,
+    loss_background (means per token) and score, their difference."""
+    docs = docs.select(*tb.without(docs, [n for n, _ in FIELDS]))
     chosen = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
     # the texts are dealt by id at every size: no plan that holds for a short list of targets only
     chosen = chosen.hint("shuffle_merge")
-    marked = docs.select("doc_id", "text").join(chosen, F.expr("doc_id = target_id"), "left").select(
-        "text", F.col("target_id").isNotNull().alias("target"))
-    target, background = count(marked)
-    return score(docs, target, background)
+    boxed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    marked = boxed.join(chosen, F.expr("row.doc_id = target_id"), "left").select(
+        "row", F.col("target_id").isNotNull().alias("target"))
+    rows = materialize(_blocked(marked), "blocks")
+    words = _asked(rows, 1).groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    distinct, n, n_target = words.agg(F.count("*"), F.sum("n"), F.sum("n_target")).first()
+    meet = Window.partitionBy("key")
+    answers = (_asked(rows, 3).select("block", "key", F.sum("n").over(meet).alias("n"),
+                                      F.sum("n_target").over(meet).alias("n_target"), F.count("*").over(meet).alias("asked"))
+               .where("asked > 1").select("block", "key", "n", "n_target"))
+    out = _scored(rows, answers, (n_target or 0, n or 0), max(distinct, 1 << WORD_BITS))
+    return out.select("row.*", *[n for n, _ in FIELDS])
