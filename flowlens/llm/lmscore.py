@@ -5,13 +5,13 @@ share words (lower case), smoothing and order, so their losses differ only by wh
 mean loss per token under the target model less that under the background model: the lower, the closer to the target.
 
 Counts cover every word and every pair of neighbouring words of every document under keys of their own, so the tables grow
-with the corpus and nothing of them reaches the driver but three totals. The documents fall into blocks of about ``BLOCK``
-bytes of text, written once. Each block sends one row per key that it holds (a word, a word as first of a pair, a pair).
-The rows of a key meet, at most one a block and split, however common the word or pair; their sums go back to the blocks
-that asked, but for keys of one row, whose block knows the whole count already. A block's texts and sums then meet in one
-task, which scores its documents.
+with the corpus and nothing of them reaches the driver. The documents fall into blocks of about ``BLOCK`` bytes of text by a
+hash of id and text. A block sends what it holds of each key (a word, or a pair) to the key's bucket: sorted keys and counts,
+compressed. However common a word or pair is, its bucket gets it once a block. The bucket adds up and answers every block
+in the order of its keys with what the other blocks hold. A block's texts and answers then meet in one task, which scores
+its documents.
 
-Words are told apart by 62 bits of a hash, as pairs are; a pair's second word does not share its count with other pairs.
+Words are told apart by 63 bits of a hash, as pairs are; a pair's second word does not share its count with other pairs.
 The prior is spread over the distinct words of the corpus, or ``2 ** WORD_BITS`` if they are fewer.
 
 Defined cases: a text that is null or has no word has 0 tokens and null losses and score; a null id or label row marks no
@@ -22,31 +22,26 @@ through; one that bears an output name is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from flowlens.llm import textbytes as tb
-from flowlens.session import materialize
 
 WORD_BITS = 18
 MIX = 0.6  # weight of the pair estimate where its first word was seen
 PRIOR = 0.5  # added to each word's count
-BLOCK = 1 << 24  # bytes of text
-ROWS_OUT = 1 << 16
-WORD, FIRST, PAIR = range(3)  # kinds of keys, in their last two bits
+BLOCK, MIN_BLOCKS = 1 << 23, 128  # bytes of text, number
+BUCKET, MIN_BUCKETS = 1 << 22, 128  # bytes of text for each bucket of keys, number
 FIELDS = [("n_tokens", T.LongType()), *[(n, T.DoubleType()) for n in ("loss_target", "loss_background", "score")]]
 _U = np.uint64
 
 
 def tokens(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Document of every word, and its keys: rows WORD, FIRST (of the word before it) and PAIR."""
+    """Document of every word, and its keys: rows word (even), word before it (even, 0 at the start) and pair (odd)."""
     texts = tb.lowered(texts)
     starts, ends = texts.words()
     doc = texts.doc_of(starts)
@@ -54,130 +49,136 @@ def tokens(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     opening = np.ones(len(doc), dtype=bool)
     opening[1:] = doc[1:] != doc[:-1]
     before = np.roll(hashes, 1)
-    before[opening] = 0  # stands before the first word of a text
+    before[opening] = 0
     keys = np.stack([hashes, before, tb.mix(before * tb.WORD_BASE + hashes)])
-    return doc, (keys >> _U(2) << _U(2) | np.arange(3, dtype=np.uint64)[:, None]).view(np.int64)
+    return doc, keys >> _U(1) << _U(1) | np.array([[0], [0], [1]], dtype=np.uint64)
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and the sum of each array of values by key."""
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of the columns of values by key."""
     if not len(keys):
-        return keys, *values
+        return keys, values
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    return ranked[first], *[np.add.reduceat(v[order], first) for v in values]
-
-
-def _tally(texts: tb.Texts, target: np.ndarray, kinds: int) -> tuple[np.ndarray, ...]:
-    """(keys, count, count in target documents) of the first ``kinds`` kinds."""
-    doc, keys = tokens(texts)
-    chosen = np.tile(target[doc].astype(np.int64), kinds)
-    return _summed(keys[:kinds].ravel(), np.ones(len(chosen), dtype=np.int64), chosen)
-
-
-def _blocked(marked: DataFrame) -> DataFrame:
-    """Adds the number of the block to (row, target); a block is the work of one task."""
-    limit = BLOCK
-    schema = T.StructType([*marked.schema.fields, T.StructField("block", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, base = 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            text = batch.column(0).field("text")
-            sizes = text.cast(pa.binary()).fill_null(b"")
-            ends = before + np.cumsum(np.diff(np.frombuffer(sizes.buffers()[1], dtype=np.int32, count=sizes.offset + len(sizes) + 1)[sizes.offset:]).astype(np.int64))
-            if batch.num_rows:
-                before = int(ends[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + ends // limit)], names=schema.names)
-
-    return marked.mapInArrow(run, schema)
-
-
-def _asked(rows: DataFrame, kinds: int) -> DataFrame:
-    """(block, key, n, n_target): what each block holds of each key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        now = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = _summed(*[np.concatenate(c) for c in zip(*held, strict=True)])
-            for lo in range(0, len(columns[0]), ROWS_OUT):
-                part = [c[lo:lo + ROWS_OUT] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), now)), *map(pa.array, part)],
-                                                 names=["block", "key", "n", "n_target"])
-
-        for batch in batches:
-            block = batch.column(2).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if begin == end:
-                    continue
-                if held and block[begin] != now:
-                    yield from flush()
-                    held = []
-                now = block[begin]
-                target = batch.column(1).slice(begin, end - begin).to_numpy(zero_copy_only=False)
-                for lo, hi, texts in tb.chunks(batch.column(0).slice(begin, end - begin)):
-                    held.append(_tally(texts, target[lo:hi], kinds))
-        if held:
-            yield from flush()
-
-    return rows.select("row.text", "target", "block").mapInArrow(run, "block long, key long, n long, n_target long")
+    return ranked[first], np.add.reduceat(values[:, order], first, axis=1)
+
+
+def _tally(column: pa.Array, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the texts, and their counts: as word or pair, as first word of a pair, and both in target documents."""
+    held = [(np.zeros(0, dtype=np.uint64), np.zeros((4, 0), dtype=np.int64))]
+    for lo, hi, texts in tb.chunks(column):
+        doc, keys = tokens(texts)
+        chosen = target[lo:hi][doc].astype(np.int64)
+        one, none = np.ones_like(chosen), np.zeros_like(chosen)
+        held.append(_summed(keys.ravel(), np.stack([np.concatenate(c) for c in (
+            (one, none, one), (none, one, none), (chosen, none, chosen), (none, chosen, none))])))
+    return _summed(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held], axis=1))
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows of 64-bit numbers, compressed by places of their bytes."""
+    planes = np.ascontiguousarray(rows).view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, rows: int, size: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(data, rows * size * 8, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(rows, 8, size).transpose(0, 2, 1)).view(np.int64).reshape(rows, size)
+
+
+def _marked(left: pa.Table, ids: pa.ChunkedArray) -> tuple[pa.StructArray, np.ndarray]:
+    """The rows of a block, and which are target documents."""
+    boxed = left.column("row").combine_chunks()
+    boxed = boxed.combine_chunks() if isinstance(boxed, pa.ChunkedArray) else boxed
+    found = pc.is_in(boxed.field("doc_id"), value_set=ids.drop_null().cast(boxed.field("doc_id").type))
+    return boxed, found.to_numpy(zero_copy_only=False)
+
+
+def _asked(rows: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, size, data): what each block holds of each key, a row for every bucket."""
+    shift = _U(64 - (buckets.bit_length() - 1))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        boxed, target = _marked(left, right.column("target_id"))
+        keys, counts = _tally(boxed.field("text"), target)
+        edges = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
+        out = []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            steps = np.diff(keys[lo:hi], prepend=_U(0)).view(np.int64)
+            out.append(_packed(np.concatenate([steps[None], counts[:, lo:hi]])))
+        block = left.column("block")[0].as_py()
+        return pa.table({"block": pa.array(np.full(buckets, block)), "bucket": pa.array(np.arange(buckets)),
+                         "size": pa.array(np.diff(edges)), "data": pa.array(out, pa.binary())})
+
+    return rows.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
+        run, "block long, bucket long, size long, data binary")
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(block, bucket, size, data, words, n, n_target): what the other blocks hold of each key asked for, and the bucket's
+    distinct words, tokens and tokens of target documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("size").to_pylist()
+        parts = [_unpacked(d, 5, m) for d, m in zip(table.column("data").to_pylist(), sizes, strict=True)]
+        keys = [np.cumsum(p[0].view(np.uint64), dtype=np.uint64) for p in parts]
+        known, counts = _summed(np.concatenate(keys), np.concatenate([p[1:] for p in parts], axis=1))
+        data = [_packed(counts[:, np.searchsorted(known, k)] - p[1:]) for k, p in zip(keys, parts, strict=True)]
+        word = (known & _U(1)) == 0
+        totals = [int((word & (counts[0] > 0)).sum()), int(counts[0, word].sum()), int(counts[2, word].sum())]
+        made = {n: pa.array(np.full(len(sizes), t)) for n, t in zip(("words", "n", "n_target"), totals, strict=True)}
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "size": table.column("size"),
+                         "data": pa.array(data, pa.binary()), **made})
+
+    return asked.groupBy("bucket").applyInArrow(
+        run, "block long, bucket long, size long, data binary, words long, n long, n_target long")
 
 
 def _losses(keys: np.ndarray, known: np.ndarray, counts: np.ndarray, total: int, size: int) -> np.ndarray:
     """Negative log probability of each token after the one before it."""
-    word, before, pair = (counts[np.searchsorted(known, k)] for k in keys)
-    single = (word + PRIOR) / (total + PRIOR * size)
-    return -np.log(np.where(before > 0, MIX * (pair / np.maximum(before, 1)) + (1 - MIX) * single, single))
+    word, before, pair = (np.searchsorted(known, k) for k in keys)
+    single = (counts[0, word] + PRIOR) / (total + PRIOR * size)
+    before = counts[1, before]
+    return -np.log(np.where(before > 0, MIX * (counts[0, pair] / np.maximum(before, 1)) + (1 - MIX) * single, single))
 
 
-def _scored(rows: DataFrame, answers: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
+def _scored(rows: DataFrame, marks: DataFrame, answers: DataFrame) -> DataFrame:
     """(row, n_tokens, loss_target, loss_background, score) of all blocks' documents."""
     made = T.StructType([rows.schema["row"], *[T.StructField(n, t) for n, t in FIELDS]])
+    sent = answers.withColumn("target_id", F.lit(None).cast(marks.schema["target_id"].dataType)).unionByName(
+        marks, allowMissingColumns=True)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        boxed = left.column("row").combine_chunks()
-        target = left.column("target").to_numpy()
-        text = boxed.field("text")
-        parts = [(lo, hi, texts) for lo, hi, texts in tb.chunks(text)]
-        held = [_tally(texts, target[lo:hi].astype(bool), 3) for lo, hi, texts in parts]
-        known, n, n_target = _summed(*[np.concatenate(c) for c in zip(*held, strict=True)])
-        at = np.searchsorted(known, right.column("key").to_numpy())
-        n[at], n_target[at] = right.column("n").to_numpy(), right.column("n_target").to_numpy()
-        counted, means = [], []
-        for _, _, texts in parts:
+        boxed, target = _marked(left, right.column("target_id"))
+        right = right.filter(right.column("bucket").is_valid()).sort_by("bucket")
+        known, counts = _tally(boxed.field("text"), target)
+        counts += np.concatenate([_unpacked(d, 4, m) for d, m in zip(
+            right.column("data").to_pylist(), right.column("size").to_pylist(), strict=True)], axis=1)
+        words, n, n_target = (sum(right.column(c).to_pylist()) for c in ("words", "n", "n_target"))
+        size, length, losses = max(words, 1 << WORD_BITS), [], []
+        for _, _, texts in tb.chunks(boxed.field("text")):
             doc, keys = tokens(texts)
-            counted.append(tb.per_doc(doc, texts.n))
-            means.append([np.bincount(doc, weights=_losses(keys, known, c, total, size), minlength=texts.n)
-                          / np.maximum(counted[-1], 1) for c, total in zip((n_target, n), totals, strict=True)])
-        length = np.concatenate(counted)
-        losses = [np.concatenate(m) for m in zip(*means, strict=True)]
-        empty = length == 0
-        columns = [pa.array(v, mask=empty) for v in (*losses, losses[0] - losses[1])]
+            length.append(tb.per_doc(doc, texts.n))
+            losses.append([np.bincount(doc, weights=_losses(keys, known, c, total, size), minlength=texts.n)
+                           / np.maximum(length[-1], 1) for c, total in ((counts[2:], n_target), (counts[:2], n))])
+        length, losses = np.concatenate(length), [np.concatenate(m) for m in zip(*losses, strict=True)]
+        columns = [pa.array(v, mask=length == 0) for v in (*losses, losses[0] - losses[1])]
         return pa.Table.from_arrays([boxed, pa.array(length), *columns], names=made.names)
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, made)
+    return rows.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, made)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Score all documents against the model of those whose doc_id is among ``target_ids``: n_tokens, loss_target,
     loss_background (means per token) and score, their difference."""
     docs = docs.select(*tb.without(docs, [n for n, _ in FIELDS]))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(MIN_BLOCKS, -(-n_bytes // BLOCK))
+    buckets = 1 << (max(MIN_BUCKETS, -(-n_bytes // BUCKET)) - 1).bit_length()
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), block.alias("block"))
     chosen = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
-    # the texts are dealt by id at every size: no plan that holds for a short list of targets only
-    chosen = chosen.hint("shuffle_merge")
-    boxed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    marked = boxed.join(chosen, F.expr("row.doc_id = target_id"), "left").select(
-        "row", F.col("target_id").isNotNull().alias("target"))
-    rows = materialize(_blocked(marked), "blocks")
-    words = _asked(rows, 1).groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    distinct, n, n_target = words.agg(F.count("*"), F.sum("n"), F.sum("n_target")).first()
-    meet = Window.partitionBy("key")
-    answers = (_asked(rows, 3).select("block", "key", F.sum("n").over(meet).alias("n"),
-                                      F.sum("n_target").over(meet).alias("n_target"), F.count("*").over(meet).alias("asked"))
-               .where("asked > 1").select("block", "key", "n", "n_target"))
-    out = _scored(rows, answers, (n_target or 0, n or 0), max(distinct, 1 << WORD_BITS))
-    return out.select("row.*", *[n for n, _ in FIELDS])
+    marks = docs.select("doc_id", block.alias("block")).join(chosen, F.expr("doc_id = target_id")).select("block", "target_id")
+    answers = _answered(_asked(rows, marks, buckets))
+    return _scored(rows, marks, answers).select("row.*", *[n for n, _ in FIELDS])

@@ -32,9 +32,10 @@ def plain(rows, chosen):
     return [(i, len(t.split()), *[loss(m, t.split()) for m in models]) for i, t in rows]
 
 
-@pytest.mark.parametrize("block", [1 << 24, 20_000])
+@pytest.mark.parametrize("block", [1 << 23, 20_000])
 def test_more_words_than_slots(spark, monkeypatch, block):
     monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "MIN_BLOCKS", 3)
     rng = random.Random(2)
     names = [f"w{i:x}" for i in range(250_000)]
     rng.shuffle(names)
