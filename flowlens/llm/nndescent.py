@@ -6,9 +6,10 @@
 3. A round joins the neighbours of each node with one another: a node's list and the best of those that list it meet in
    one small matrix product, and every pair that improves a list is kept. Lists hold ``K`` neighbours. Rounds end when few
    entries change.
-4. A list whose ``K``-th neighbour is still a link is saturated. Its node's links can only lie in its component, so the
-   lists of such components are enlarged to the whole component by products of fixed-size blocks, which report counts and
-   never pairs.
+4. A list whose ``K``-th neighbour is still a link is saturated and takes no more. Components with such lists are compared
+   with one another: their smallest nodes by products of blocks, and all their members where the angle between the two
+   nodes, the components' angular radii and the threshold allow a link. So components that are linked become one, and
+   their lists are enlarged to the whole component by products of fixed-size blocks, which report counts and never pairs.
 5. The audit compares a fixed number of nodes (by hash) with all vectors and measures the recall of links; below
    ``RECALL`` further sorted orders and rounds follow.
 
@@ -229,6 +230,72 @@ def enlarged(nodes: DataFrame, grouped: DataFrame, threshold: float) -> DataFram
     return found.groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _numbered(rows: DataFrame, group: str) -> DataFrame:
+    """Adds key: the group and one of its parts of about BLOCK // 2 rows."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).alias("bins"))
+    part = F.pmod(F.xxhash64("node"), F.col("bins"))
+    return rows.join(sizes, group).withColumn("key", F.concat_ws("/", group, part)).drop("bins")
+
+
+def _met(rows: DataFrame, pairs: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows (node, vec, reach) of each pair (x, y) of keys."""
+    sides = [pairs.join(rows.withColumnRenamed("key", key), key).select("x", "y", F.lit(side).alias("side"), "node", "vec",
+                                                                        "reach") for side, key in ((0, "x"), (1, "y"))]
+
+    def run(pdf):
+        a, b = (pdf[pdf["side"] == side] for side in (0, 1))
+        s = _cosines(*(np.stack(p["vec"].to_numpy()).astype(np.float64) for p in (a, b)))
+        return work(a, b, s)
+
+    return sides[0].union(sides[1]).groupBy("x", "y").applyInPandas(run, schema)
+
+
+def _same_kind(nodes: DataFrame) -> DataFrame:
+    """Adds kind: label and length of the vector."""
+    return nodes.withColumn("kind", F.concat_ws("/", F.size("vec"), "label"))
+
+
+def _pairs_in(rows: DataFrame, group: str) -> DataFrame:
+    """(x, y): pairs of the keys of a group, each also with itself."""
+    keys = rows.select(group, F.col("key").alias("x")).distinct()
+    return keys.join(keys.withColumnRenamed("x", "y"), group).where("x <= y").select("x", "y")
+
+
+def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): at least one link for any two linked components of (node, component) rows."""
+    rows = nodes.select("node", "label", "vec").join(crowded, "node")
+    tips = rows.where("node = component").select("component", F.col("vec").alias("tip"))
+
+    def dot(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
+
+    cosine = dot("vec", "tip") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("tip", "tip"))
+    radii = rows.join(tips, "component").groupBy("component").agg(
+        F.max(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))).alias("reach"))
+    tips = _same_kind(rows.where("node = component")).join(radii, "component").select("kind", "node", "vec", "reach")
+    tips = materialize(_numbered(tips, "kind"), "tips")
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def near(a, b, s):
+        far = a["reach"].to_numpy()[:, None] + b["reach"].to_numpy()[None, :] + angle + 1e-6
+        i, j = np.nonzero(np.arccos(np.clip(s, -1, 1)) <= far)
+        out = pa.table({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]}).to_pandas()
+        return out[out["a"] != out["b"]]
+
+    close = _met(tips, _pairs_in(tips, "kind"), near, "a long, b long").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = materialize(_numbered(rows.select("node", "vec", "component", F.lit(0.0).alias("reach")), "component"), "members")
+    keys = members.select("component", "key").distinct()
+    pairs = close.join(keys.toDF("a", "x"), "a").join(keys.toDF("b", "y"), "b").select("x", "y")
+
+    def link(a, b, s):
+        i, j = np.unravel_index(np.argmax(s), s.shape)
+        out = pa.table({"a": a["node"].to_numpy()[[i]], "b": b["node"].to_numpy()[[j]]}).to_pandas()
+        return out[[bool(s[i, j] >= threshold)]]
+
+    return _met(members, pairs, link, "a long, b long")
+
+
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT) -> float:
     """Recall of links at a fixed number of nodes: links counted over links found by comparison with all vectors."""
     asked = (nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(size).join(counted, "node", "left")
@@ -286,6 +353,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             F.sum("copies").alias("links"), F.count("*").alias("degree"))
         crowded = degrees.where(F.col("degree") >= K).join(joined, "node").select("component").distinct()
         crowded = materialize(joined.join(crowded, "component"), "crowded")
+        across = materialize(bridges(nodes, crowded, threshold), "bridges")
+        if not across.isEmpty():
+            joined = components(links.union(across).toDF("src", "dst"))
+            crowded = materialize(joined.join(crowded.select("node"), "node").select("component").distinct()
+                                  .join(joined, "component").select("node", "component"), "crowded")
         counted = degrees.join(crowded, "node", "left_anti").select("node", "links").union(
             enlarged(nodes, crowded, threshold))
         counted = materialize(counted, "counted")
