@@ -10,8 +10,10 @@
    with one another: their smallest nodes by products of blocks, and all their members where the angle between the two
    nodes, the components' angular radii and the threshold allow a link. So components that are linked become one, and
    their lists are enlarged to the whole component by products of fixed-size blocks, which report counts and never pairs.
-5. The audit compares a fixed number of nodes (by hash) with all vectors and measures the recall of links; below
-   ``RECALL`` further sorted orders and rounds follow.
+5. The audit compares nodes (by hash; their number grows with the root of the table's) with all vectors and measures the
+   recall of links per node, for nodes of few and of many links apart. It takes more nodes while too few of them have a
+   link, up to the whole table or ``AUDIT_GROWTH`` times as many. Below ``RECALL`` further sorted orders and rounds follow,
+   and after ``MAX_AUDITS`` of them all vectors of a label are compared by products of blocks.
 
 Only pairs computed in double precision with cosine >= threshold are links.
 
@@ -40,6 +42,9 @@ ORDERS, REACH = 6, 3  # sorted orders of the first graph and neighbours taken to
 MAX_ROUNDS, FEW = 5, 0.002  # rounds at most, and the share of changed entries that ends them
 BLOCK = 1024
 AUDIT, RECALL, MAX_AUDITS = 512, 0.95, 3
+AUDIT_ROOT, AUDIT_GROWTH = 8, 16  # audited nodes by the root of all nodes, and how often as many at most
+FEW_LINKED = 32  # linked nodes that make an audit
+STRATA = (1, 2, K + 1)  # least links of nodes whose recall is taken apart
 CODE_BITS = 62
 
 
@@ -296,12 +301,52 @@ def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame
     return _met(members, pairs, link, "a long, b long")
 
 
+def compared(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, links) and (node, component) of all vectors, by products of blocks within a label."""
+    rows = _same_kind(nodes).select("kind", "node", "vec", F.lit(0.0).alias("reach"))
+    rows = materialize(_numbered(rows, "kind"), "members")
+
+    def forest(a, b, s):
+        # smallest node reachable inside the two blocks: as many rows as nodes, whatever the links
+        linked, left, right = s >= threshold, a["node"].to_numpy(), b["node"].to_numpy()
+        low, high = left.copy(), right.copy()
+        top = np.iinfo(np.int64).max
+        while True:
+            up = np.minimum(high, np.where(linked, low[:, None], top).min(axis=0))
+            down = np.minimum(low, np.where(linked, up[None, :], top).min(axis=1))
+            if (up == high).all() and (down == low).all():
+                break
+            low, high = down, up
+        return pa.table({"a": np.concatenate([left, right]), "b": np.concatenate([low, high])}).to_pandas()
+
+    ties = _met(rows, _pairs_in(rows, "kind"), forest, "a long, b long").where("a <> b").distinct()
+    joined = components(materialize(ties, "ties").toDF("src", "dst"))
+    grouped = rows.select("node", F.col("kind").alias("component"))
+    return materialize(enlarged(nodes, grouped, threshold).where("links > 0"), "counted"), joined
+
+
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Recall of links at a fixed number of nodes: links counted over links found by comparison with all vectors."""
+    """Least mean recall of links per node, over all linked nodes of a sample and over its strata by number of links."""
+    total = nodes.count()
+    size = max(size, int(AUDIT_ROOT * total ** 0.5))
+    most = AUDIT_GROWTH * size
+    while True:
+        pairs = _recalled(nodes, counted, threshold, size)
+        if len(pairs) >= FEW_LINKED or size >= min(total, most):
+            break
+        size = min(2 * size, most)
+    strata = [[f / t for f, t in pairs if lo <= t < hi]
+              for lo, hi in [(1, 1 << 62), *zip(STRATA, [*STRATA[1:], 1 << 62], strict=True)]]
+    means = [sum(part) / len(part) for k, part in enumerate(strata) if len(part) >= (1 if k == 0 else FEW_LINKED // 4)]
+    return min(means, default=1.0)
+
+
+def _recalled(nodes: DataFrame, counted: DataFrame, threshold: float, size: int) -> list[tuple[int, int]]:
+    """(links found, links by comparison with all vectors) of those of ``size`` nodes that have links."""
     asked = (nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(size).join(counted, "node", "left")
              .select("node", "label", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect())
     if not asked:
-        return 1.0
+        return []
     queries = [(r["node"], r["label"], np.array(r["vec"], dtype=np.float64)) for r in asked]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +367,7 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AU
 
     true = {r["i"]: r["links"] for r in nodes.select("node", "label", "vec", "copies").mapInArrow(
         compare, "i long, links long").groupBy("i").agg(F.sum("links").alias("links")).collect()}
-    found = sum(min(r["links"], true.get(i, 0)) for i, r in enumerate(asked))
-    return found / sum(true.values()) if true else 1.0
+    return [(min(r["links"], true[i]), true[i]) for i, r in enumerate(asked) if i in true]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -363,6 +407,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         counted = materialize(counted, "counted")
         if audit(nodes, counted, threshold) >= RECALL:
             break
+    else:
+        counted, joined = compared(nodes, threshold)
     whole = nodes.select("node", "label", "vec", "copies", "least").join(counted, "node", "left").join(joined, "node", "left")
     whole = whole.withColumn("component", F.coalesce("component", "node"))
     lowest = whole.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -27,3 +27,26 @@ def test_saturated_groups_that_never_meet(spark, monkeypatch, block):
     want = sorted(plain(rows))
     assert len({w[2] for w in want}) == 2 and min(w[1] for w in want) == 15
     assert results(spark, rows) == want
+
+
+def test_failed_audits_end_in_whole_comparison(spark, monkeypatch):
+    orders = N.sorted_neighbours
+    monkeypatch.setattr(N, "sorted_neighbours", lambda *a, **k: orders(*a, **k).where("s > 2"))
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rows = vectors()
+    assert results(spark, rows) == sorted(plain(rows))
+
+
+def test_audit_sees_lost_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(6)
+    centre, rows = rng.standard_normal(16), []
+    for _ in range(100):
+        rows.append((len(rows), [float(x) for x in centre + rng.normal(0, 0.01, 16)], 1, "x"))
+    for _ in range(20):
+        pair = rng.standard_normal(16)
+        rows += [(len(rows) + k, [float(x) for x in pair + rng.normal(0, 0.01, 16)], 1, "x") for k in range(2)]
+    nodes = N.nodes_of(spark.createDataFrame(rows, SCHEMA))
+    hot = nodes.where("least < 100").selectExpr("node", "99L as links")
+    assert N.audit(nodes, hot, 0.98) < N.RECALL
+    every = hot.union(nodes.where("least >= 100").selectExpr("node", "1L as links"))
+    assert N.audit(nodes, every, 0.98) == 1.0
