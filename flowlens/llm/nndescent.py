@@ -275,8 +275,13 @@ def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
 
     cosine = dot("vec", "tip") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("tip", "tip"))
-    radii = rows.join(tips, "component").groupBy("component").agg(
+    # joined by parts of components, so that a large one spreads over tasks
+    members = rows.select("node", "vec", "component", F.lit(0.0).alias("reach"))
+    members = materialize(_numbered(members, "component"), "members")
+    keys = members.select("component", "key").distinct()
+    radii = members.select("key", "vec").join(keys.join(tips, "component"), "key").groupBy("component", "key").agg(
         F.max(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))).alias("reach"))
+    radii = radii.groupBy("component").agg(F.max("reach").alias("reach"))
     tips = _same_kind(rows.where("node = component")).join(radii, "component").select("kind", "node", "vec", "reach")
     tips = materialize(_numbered(tips, "kind"), "tips")
     angle = float(np.arccos(np.clip(threshold, -1, 1)))
@@ -289,8 +294,6 @@ def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame
 
     close = _met(tips, _pairs_in(tips, "kind"), near, "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    members = materialize(_numbered(rows.select("node", "vec", "component", F.lit(0.0).alias("reach")), "component"), "members")
-    keys = members.select("component", "key").distinct()
     pairs = close.join(keys.toDF("a", "x"), "a").join(keys.toDF("b", "y"), "b").select("x", "y")
 
     def link(a, b, s):
