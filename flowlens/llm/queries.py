@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowlens.llm import html, langid, lmscore, minhash, mixing, nndescent, packing, repetition, sharding, suffixes
+from flowlens.llm import (frames, html, langid, lmscore, minhash, mixing, nndescent, packing, recipes, repetition, sharding,
+                          suffixes, survival)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,17 +78,103 @@ def op10_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFram
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op11_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies of all documents, letter case of A-Z aside, by recipes of content-defined chunks."""
+    out = recipes.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document, cut and digested on its compressed frames."""
+    stored = frames.store(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return frames.fill_in_middle(stored, outputs=False)
+
+
+def op13_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters over all documents, from the survivors of their subsets."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return survival.interactions(docs, _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_network, op2_nn_descent, op3_layout_rendering, op4_repetition_coverage, op5_virtual_slots,
     op6_two_stage_suffixes, op7_fair_queueing, op8_cross_entropy_difference, op9_vector_packing,
-    op10_fast_similarity_sketching)} | {"pipeline": corpus_pipeline.run}
+    op10_fast_similarity_sketching, op11_chunk_recipes, op12_seekable_frames, op13_survival_words)} | {"pipeline": corpus_pipeline.run}
 
 _GRAMS = ", ".join(f"({n})" for n in (3, *repetition.NGRAM_SHARES))
 _COVER = ",\n  ".join(f"coalesce(max(chars) FILTER (WHERE n = {n}), 0)::BIGINT AS dup_{n}gram_chars"
                      for n in repetition.NGRAM_SHARES)
 _LOW = " AND ".join(f"dup_{n}gram_chars <= {share}::DOUBLE * word_chars" for n, share in repetition.NGRAM_SHARES.items())
 
+_STEPS = ",\n  ".join(
+    f"('{o}', {k + 1}, {1 << survival.FILTERS.index(o[k])}, {sum(1 << survival.FILTERS.index(c) for c in o[:k])})"
+    for o in survival.ORDERS for k in range(len(o)))
+
 ORACLE_SQL = {
+    "op11_chunk_recipes": """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY low ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(low) AS text_sha256
+FROM n WINDOW same AS (PARTITION BY low)
+""",
+    "op12_seekable_frames": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+hashed AS (
+  SELECT *, len(u) AS n, ('0x' || hex[1:8])::BIGINT AS h1, ('0x' || hex[9:16])::BIGINT AS h2,
+         ('0x' || hex[17:24])::BIGINT AS h3, ('0x' || hex[25:32])::BIGINT AS h4 FROM units),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS one, greatest(h1 % (n + 1), h2 % (n + 1)) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+         THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+parts AS (
+  SELECT *, coalesce(array_to_string(u[1:one], ''), '') AS p, coalesce(array_to_string(u[one + 1:two], ''), '') AS m,
+         coalesce(array_to_string(u[two + 1:n], ''), '') AS s FROM cuts),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                 ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM parts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN split_part(substr(output, 4), '<S>', 1) || split_part(output, '<M>', 2)
+                    || split_part(split_part(output, '<S>', 2), '<M>', 1)
+    ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2)
+         || split_part(substr(output, 4), '<P>', 1) END) AS restored_sha256
+FROM made
+""",
+    "op13_survival_words": f"""
+WITH told AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic
+  FROM labels GROUP BY doc_id),
+w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least_id FROM documents),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(ws) < 50)::INT * 1 + (100 * len(list_distinct(ws)) < 65 * len(ws))::INT * 2
+    + (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT * 4
+    + regexp_matches(text, '[#$%&*|]')::INT * 8 + coalesce(doc_id > least_id, false)::INT * 16 AS failed
+  FROM w LEFT JOIN told USING (doc_id)),
+steps(filter_order, step, bit, before) AS (VALUES
+  {_STEPS}),
+tallied AS (SELECT part, good, toxic, failed, count(*) AS c FROM judged GROUP BY ALL),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(c) FILTER (WHERE failed & (before + bit) = 0), 0) AS kept,
+    coalesce(sum(c) FILTER (WHERE failed & before = 0 AND failed & bit > 0), 0) AS removed,
+    coalesce(sum(c) FILTER (WHERE failed & before > 0 AND failed & bit > 0), 0) AS redundant,
+    coalesce(sum(c) FILTER (WHERE failed = bit), 0) AS unique_fails,
+    coalesce(sum(c) FILTER (WHERE failed & before = 0 AND failed & bit > 0 AND good = 1), 0) AS good_lost,
+    coalesce(sum(c) FILTER (WHERE failed & before = 0 AND failed & bit > 0 AND toxic = 1), 0) AS toxic_lost
+  FROM tallied, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+""",
     "op2_nn_descent": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
