@@ -8,8 +8,9 @@ and table cells in aligned columns (column and row spans included).
 Not visible: head, script, style, template, noscript, comments, elements with ``hidden``, ``display: none`` or
 ``visibility: hidden`` (a descendant may be ``visible`` again), closed dialogs, hidden inputs.
 
-Each page is rendered alone, in the scan's partitions. Elements below ``MAX_DEPTH`` levels are siblings of that level, so
-no text is lost.
+Each page is rendered alone, in the scan's partitions. Neither the builder nor the renderer nests calls, so elements may be
+open to any depth: the builder finds open elements by name in sorted lists of their levels, and the renderer's steps are
+generators that hand the elements inside to one loop.
 
 Defined cases: a null page gives null, an empty or tagless one its text with white space joined; broken markup never
 raises; equal pages give equal texts; an empty table gives an empty result. Extra columns pass through; one that bears
@@ -19,6 +20,8 @@ the output's name is replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -28,7 +31,6 @@ from pyspark.sql import types as T
 
 from flowlens.llm import textbytes as tb
 
-MAX_DEPTH = 150
 GUTTER = "  "  # between table columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +53,10 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption button object template html".split())  # end tags do not reach beyond these
 
+#: Inputs whose value is not shown as text.
+SILENT = frozenset("hidden password checkbox radio file image color range".split())
+TABLE_PARTS = frozenset("table tr tbody thead tfoot html body".split())  # their end tags reach over other elements
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -66,26 +72,51 @@ class Node:
     children: list = field(default_factory=list)  # Node or str
 
 
+class Open:
+    """The open elements, innermost last, with the levels at which each name is open."""
+
+    def __init__(self, root: Node):
+        self.stack, self.levels = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.levels.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, level: int) -> None:
+        """End the element at a level and all inside it."""
+        while len(self.stack) > level:
+            self.levels[self.stack.pop().name].pop()
+
+    def last(self, names) -> int:
+        """Level of the innermost element of one of the names, 0 if none is open."""
+        return max((self.levels[n][-1] for n in names if self.levels.get(n)), default=0)
+
+    def first(self, names, inside: int) -> int:
+        """Level of the outermost element of one of the names that is inside a level, 0 if there is none."""
+        found = [at[k] for n in names if (at := self.levels.get(n)) and (k := bisect_right(at, inside)) < len(at)]
+        return min(found, default=0)
+
+
 def build(page: str) -> Node:
     """Tree of a page; never raises on broken markup."""
     root = Node("html")
-    stack, at, n = [root], 0, len(page)
+    tree, at, n = Open(root), 0, len(page)
     last = page.rfind(">")  # no tag ends beyond it
     while at < n:
         hit = TOKEN.search(page, at) if at <= last else None
         if hit is None:
-            stack[-1].children.append(unescape(page[at:].partition("<!--")[0]))  # an open comment hides the rest
+            tree.stack[-1].children.append(unescape(page[at:].partition("<!--")[0]))  # an open comment hides the rest
             break
         if hit.start() > at:
             text = page[at:hit.start()]
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            tree.stack[-1].children.append(unescape(text) if "&" in text else text)
         at = hit.end()
         slash, name, raw = hit.group(1, 2, 3) if hit[2] else hit.group(4, 5, 6)
         if not name:
             continue
         name = name.lower()
         if slash:
-            _end(stack, name)
+            _end(tree, name)
             continue
         attributes = {}
         if raw and not raw.isspace():
@@ -93,54 +124,40 @@ def build(page: str) -> Node:
                 value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""
                 attributes.setdefault(a[1].lower(), unescape(value))
         if name in ("html", "body"):
-            stack[0].attributes |= {k: v for k, v in attributes.items() if k in ("hidden", "style")}
+            root.attributes |= {k: v for k, v in attributes.items() if k in ("hidden", "style")}
             continue
-        _imply(stack, name)
+        _imply(tree, name)
         node = Node(name, attributes)
-        stack[-1].children.append(node)
+        tree.stack[-1].children.append(node)
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             inside = page[at:close.start() if close else n]
             node.children.append(unescape(inside) if name in ("textarea", "title") else inside)
             at = close.end() if close else n
-        elif name not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif name not in VOID:
+            tree.push(node)
     return root
 
 
-def _imply(stack: list[Node], name: str) -> None:
+def _imply(tree: Open, name: str) -> None:
     """Close what the opening tag ends by implication."""
-    if name in CLOSES_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name == "p":
-                del stack[i:]
-                break
-            if stack[i].name in SCOPE:
-                break
-    if stack[-1].name == "head" and name in BLOCK:
-        stack.pop()
+    if name in CLOSES_P and (level := tree.last(("p",))) > tree.last(SCOPE):
+        tree.close(level)
+    if tree.stack[-1].name == "head" and name in BLOCK:
+        tree.close(len(tree.stack) - 1)
     if name in IMPLIED:
         ends, limit = IMPLIED[name]
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in limit:
-                break
-            if stack[i].name in ends:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
+        if level := tree.first(ends, tree.last(limit)):
+            tree.close(level)
 
 
-def _end(stack: list[Node], name: str) -> None:
+def _end(tree: Open, name: str) -> None:
     if name == "br":
-        stack[-1].children.append(Node("br"))
+        tree.stack[-1].children.append(Node("br"))
         return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-            return
+    level = tree.last((name,))
+    if level and (name in TABLE_PARTS or level >= tree.last(SCOPE)):
+        tree.close(level)
 
 
 class Lines:
@@ -204,7 +221,20 @@ def _shown(node: Node, visible: bool) -> bool | None:
     return visible
 
 
-def _render(node: Node, out: Lines, visible: bool) -> None:
+def _run(step: Iterator):
+    """Result of a step; a step yields the steps it needs and gets their results."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+    return result
+
+
+def _render(node: Node, out: Lines, visible: bool) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
             if visible:
@@ -225,44 +255,45 @@ def _render(node: Node, out: Lines, visible: bool) -> None:
                 out.end()
             else:
                 out.blank()
-            out.block(_list(child, shown))
+            out.block((yield _list(child, shown)))
             out.gap = out.gap or node.name != "li"
         elif name in ("pre", "xmp", "textarea"):
             out.blank()
             if shown:
-                text = _plain(child).expandtabs(8).split("\n")
+                text = (yield _plain(child)).expandtabs(8).split("\n")
                 out.block([t.rstrip() for t in (text[1:] if text and not text[0].strip() else text)])
             out.blank()
         elif name == "table":
             out.blank()
-            out.block(_table(child, shown))
+            out.block((yield _table(child, shown)))
             out.blank()
         elif name in ("blockquote", "dd"):
             (out.blank if name == "blockquote" else out.end)()
-            out.block(["  " + t if t else t for t in _inner(child, shown)])
+            out.block(["  " + t if t else t for t in (yield _inner(child, shown))])
             (out.blank if name == "blockquote" else out.end)()
         elif name == "input":
-            if shown and child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+            if shown and child.attributes.get("type", "text").strip().lower() not in SILENT:
                 out.text(" " + child.attributes.get("value", "") + " ")
         elif name in ("option", "td", "th", "button"):
             out.text(" ")
-            _render(child, out, shown)
+            yield _render(child, out, shown)
             out.text(" ")
         elif name in BLOCK:
             (out.blank if name in SPACED else out.end)()
-            _render(child, out, shown)
+            yield _render(child, out, shown)
             (out.blank if name in SPACED else out.end)()
         else:
-            _render(child, out, shown)
+            yield _render(child, out, shown)
 
 
-def _inner(node: Node, visible: bool) -> list[str]:
+def _inner(node: Node, visible: bool) -> Iterator:
+    """Lines of an element's content."""
     out = Lines()
-    _render(node, out, visible)
+    yield _render(node, out, visible)
     return out.done()
 
 
-def _plain(node: Node) -> str:
+def _plain(node: Node) -> Iterator:
     """Text of preformatted content, as written."""
     parts = []
     for child in node.children:
@@ -271,11 +302,12 @@ def _plain(node: Node) -> str:
         elif child.name == "br":
             parts.append("\n")
         elif _shown(child, True):
-            parts.append(_plain(child))
+            parts.append((yield _plain(child)))
     return "".join(parts)
 
 
-def _list(node: Node, visible: bool) -> list[str]:
+def _list(node: Node, visible: bool) -> Iterator:
+    """Lines of a list."""
     try:
         number = int(node.attributes.get("start", "1"))
     except ValueError:
@@ -290,11 +322,11 @@ def _list(node: Node, visible: bool) -> list[str]:
         if shown is None:
             continue
         if child.name != "li":
-            lines += ["  " + t if t else t for t in _inner(Node("div", {}, [child]), shown)]
+            lines += ["  " + t if t else t for t in (yield _inner(Node("div", {}, [child]), shown))]
             continue
         mark = f"{number}. " if node.name == "ol" else "- "
         number += 1
-        inside = _inner(child, shown)
+        inside = yield _inner(child, shown)
         if inside:
             lines += [(mark if i == 0 else " " * len(mark)) + t if t else t for i, t in enumerate(inside)]
     return lines
@@ -327,7 +359,7 @@ def _span(cell: Node, key: str) -> int:
         return 1
 
 
-def _table(node: Node, visible: bool) -> list[str]:
+def _table(node: Node, visible: bool) -> Iterator:
     """Rows of aligned columns: a column is as wide as its widest cell of one column."""
     grid: list[list[tuple[int, int, list[str]]]] = []  # per row: (column, span, lines)
     taken: dict[int, int] = {}  # column -> rows it is still taken by a row span
@@ -344,7 +376,7 @@ def _table(node: Node, visible: bool) -> list[str]:
                 continue
             while at in taken:
                 at += 1
-            lines = _inner(cell if cell.name in ("td", "th") else Node("td", {}, [cell]), seen)
+            lines = yield _inner(cell if cell.name in ("td", "th") else Node("td", {}, [cell]), seen)
             wide, high = _span(cell, "colspan"), _span(cell, "rowspan")
             loose = cell.attributes.get("colspan") == "0"
             cells.append((at, 1000 if loose else wide, lines))
@@ -377,7 +409,7 @@ def render(page: str | None) -> str | None:
         return None
     root = build(page)
     shown = _shown(root, True)
-    return "" if shown is None else "\n".join(_inner(root, shown))
+    return "" if shown is None else "\n".join(_run(_inner(root, shown)))
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

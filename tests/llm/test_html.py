@@ -34,6 +34,10 @@ CASES = [
     ("<a title='x > y' href=\"q\">link</a></b></div>end", "linkend"),
     ("<p>a<span>b<p>c</span>d", "ab\n\ncd"),
     ("<textarea> raw <b>\n x</textarea>", " raw <b>\n x"),
+    ("<b>" * 160 + "<div hidden>secret</div>visible", "visible"),
+    ("<div>" * 400 + "<ul><li>a" + "<span>" * 400 + "<li>b</ul><table><tr><td>x<td>y", "- a\n- b\n\nx  y"),
+    ("<input value=a><input type=email value=b><input type=password value=no><input type=Search value=c><input type=hidden value=no>"
+     "<input type=date value=d><input type=checkbox value=no><input type=unknown value=e>", "a b c d e"),
     ("", ""),
     (None, None),
 ]
@@ -61,8 +65,93 @@ def test_no_word_is_lost(pieces):
         assert got == want
 
 
+INLINE, DIVS, SPACED = ("b", "span", "i", "a"), ("div", "section", "address"), ("p", "h2", "blockquote", "pre")
+NAMES = st.sampled_from([*INLINE, *DIVS, *SPACED, "ul", "ol"])
+LEAF = st.integers(0, 999).map(lambda i: f"w{i}")
+HIDE = st.sampled_from(["", "", "", "", " hidden", " style='display:none'"])
+TREE = st.recursive(LEAF, lambda inner: st.tuples(NAMES, HIDE, st.lists(inner, max_size=4)), max_leaves=25)
+
+
+def markup(tree):
+    if isinstance(tree, str):
+        return f" {tree} "
+    name, hide, inside = tree
+    if name in ("ul", "ol"):
+        return f"<{name}{hide}>" + "".join(f"<li>{markup(t)}</li>" for t in inside) + f"</{name}>"
+    return f"<{name}{hide}>" + "".join(map(markup, inside)) + f"</{name}>"
+
+
+def plain(trees, item=False):
+    """Lines of a tree by a plain recursion over what each element adds: words to a line, or a block with its gap."""
+    lines, line, due = [], [], False
+
+    def put(block, gap, after=None):
+        nonlocal line, due
+        if line:
+            put_words = " ".join(line)
+            line = []
+            put([put_words], False)
+        due = due or gap
+        if block:
+            if due and lines:
+                lines.append("")
+            due = False
+            lines.extend(block)
+        due = due or (gap if after is None else after)
+
+    def walk(tree, parent):
+        nonlocal line
+        if isinstance(tree, str):
+            line.append(tree)
+            return
+        name, hide, inside = tree
+        if hide:
+            return
+        if name in INLINE:
+            for t in inside:
+                walk(t, name)
+        elif name in ("ul", "ol"):
+            out, n = [], 0
+            for t in inside:
+                n += 1
+                mark = f"{n}. " if name == "ol" else "- "
+                got = plain([t], True)
+                out += [(mark if k == 0 else " " * len(mark)) + x if x else x for k, x in enumerate(got)]
+            put(out, parent != "li")
+        elif name == "blockquote":
+            put(["  " + x if x else x for x in plain(inside)], True)
+        else:
+            put([], name in SPACED)
+            for t in inside:
+                walk(t, name)
+            put([], name in SPACED)
+
+    for t in trees:
+        walk(t, "li" if item else "")
+    put([], False)
+    return lines
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(TREE, max_size=5))
+def test_trees_equal_plain_recursion(trees):
+    """Trees without a paragraph around blocks or a preformatted element, which have rules of their own."""
+    def legal(tree, banned=()):
+        if isinstance(tree, str):
+            return tree
+        name, hide, inside = tree
+        if name in banned or name == "pre":
+            name = "b"
+        inner = tuple({*banned, *(DIVS + SPACED + ("ul", "ol"))}) if name in ("p",) else banned
+        return name, hide, [legal(t, inner) for t in inside]
+
+    trees = [legal(t) for t in trees]
+    assert render("".join(map(markup, trees))) == "\n".join(plain(trees))
+
+
 def test_hostile_markup():
-    for page in ("<a <" * 20_000, "<a \"" * 20_000, "<div>" * 20_000 + "x", "<" * 50_000, "<table>" * 2000 + "x", "<p>" * 20_000):
+    for page in ("<a <" * 20_000, "<a \"" * 20_000, "<div>" * 20_000 + "x", "<" * 50_000, "<table>" * 2000 + "x", "<p>" * 20_000,
+                 "<p><button>" + "<div>" * 20_000, "<ul><li>" * 1000 + "x", "<td>" * 20_000, "<dl><dd>" * 1000, "</b>" * 20_000):
         render(page)
     assert render("<b>" * 1000 + "x" + "</b>" * 1000 + "y") == "xy"
 
