@@ -92,6 +92,14 @@ def test_bucket_of_many_families(spark, monkeypatch, wide, block):
     assert {r.doc_id: r.component_id for r in M.near_duplicates(df, 3, 85).collect()} == want
 
 
+def test_ids_that_repeat_join_their_texts(spark):
+    """3 and 7 share text A, 7 and 9 share text B: all three reach one another, and so do what links to them."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(80)) for k in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, b + " tail"), (20, c), (21, c), (20, None), (20, "")]
+    got = {(r.doc_id, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {(3, 3), (7, 3), (9, 3), (11, 3), (20, 20), (21, 20)}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
