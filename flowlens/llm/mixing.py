@@ -12,8 +12,8 @@ with a third of all rows is spread over thousands of groups. The global order is
 of finish times (map-side combined) finds the one cell in which the budget ends, and only that cell is sorted.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, ranked
-last; a null doc_id takes part like any other; rows that are equal in doc_id, source and text are interchangeable;
-an empty table gives an empty mix. Extra columns of ``docs`` are kept by ``mix`` whatever their names.
+last; a null doc_id takes part like any other; rows that are equal in doc_id, source and text are interchangeable in
+``allot``, and keep their other columns in ``mix``; an empty table gives an empty mix. Extra columns of ``docs`` are kept by ``mix`` whatever their names.
 """
 
 from __future__ import annotations
@@ -73,11 +73,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int,
 
 
 def allot(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
-          share: float = BUDGET_SHARE, seed: str = SEED) -> DataFrame:
+          share: float = BUDGET_SHARE, seed: str = SEED, carry: dict[str, Column] | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, shuffle key ``h``, source_size, target, epochs (copies taken)
-    and taken (words taken, repeats counted)."""
+    and taken (words taken, repeats counted); then the narrow columns of ``carry``, by which rows with one ``h`` are
+    put in order."""
+    carried = list(carry or {})
     sized = materialize(docs.select("doc_id", "source", words(F.col("text")).alias("size"),
-                                    shuffle_key(seed, F.col("doc_id"), F.col("source"), F.col("text")).alias("h")),
+                                    shuffle_key(seed, F.col("doc_id"), F.col("source"), F.col("text")).alias("h"),
+                                    *[c.alias(n) for n, c in (carry or {}).items()]),
                         "mix_sizes")
     bucket = F.substring("h", 1, BUCKET_DIGITS)
     per_bucket = materialize(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size")),
@@ -87,24 +90,25 @@ def allot(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int =
     head = sources.select("total", "level").first()
     if head is None:
         return (sized.withColumn("source_size", F.lit(0).cast("long")).withColumn("target", F.lit(0.0))
-                .withColumn("epochs", F.lit(0).cast("long")).withColumn("taken", F.lit(0).cast("long")))
+                .withColumn("epochs", F.lit(0).cast("long")).withColumn("taken", F.lit(0).cast("long"))
+                .select("doc_id", "source", "size", "h", "source_size", "target", "epochs", "taken", *carried))
     total, level = head["total"], head["level"]
 
     bucket_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = (per_bucket.withColumn("base", F.coalesce(F.sum("bucket_size").over(bucket_order), F.lit(0)))
              .select("source", "bucket", "base").alias("b"))
     info = sources.select("source", "src_rank", "weight", "source_size", "target").alias("s")
-    inside = (Window.partitionBy("source", "bucket").orderBy("h")
+    inside = (Window.partitionBy("source", "bucket").orderBy("h", *carried)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queued = sized.withColumn("bucket", bucket).withColumn("within", F.sum("size").over(inside)).alias("d")
     queued = (queued.join(bases, F.expr("d.source <=> b.source and d.bucket = b.bucket"))
               .join(info, F.expr("d.source <=> s.source"))
               .select("d.doc_id", "d.source", "size", "h", "source_size", "target", "src_rank", "weight",
-                      (F.col("base") + F.col("within")).alias("cum")))
+                      (F.col("base") + F.col("within")).alias("cum"), *carried))
     if level is None or not level > 0:  # the budget covers every copy, or there are no words
         epochs = F.when(F.col("size") > 0, F.lit(max_epochs if level is None else 0)).otherwise(0).cast("long")
         return queued.select("doc_id", "source", "size", "h", "source_size", "target", epochs.alias("epochs"),
-                             (epochs * F.col("size")).alias("taken"))
+                             (epochs * F.col("size")).alias("taken"), *carried)
 
     queued = materialize(queued, "mix_queues")
     finish = (F.col("e") * F.col("source_size") + F.col("cum")).cast("double") / F.col("weight")
@@ -123,7 +127,7 @@ def allot(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int =
         at = F.least(F.floor(at / F.lit(level) * F.lit(float(CELLS))), F.lit(2 * CELLS))
         earlier = earlier + F.when((F.col("size") > 0) & (at < cut), 1).otherwise(0)
     # equal rows share h: the boundary count is dealt to them in order, as they are interchangeable
-    twin = F.row_number().over(Window.partitionBy("h", "source").orderBy("cum"))
+    twin = F.row_number().over(Window.partitionBy("h", "source").orderBy("cum", *carried))
     room = F.lit(max_epochs) - F.col("earlier")
     prior = F.coalesce(F.sum(room).over(Window.partitionBy("h", "source").orderBy("twin")
                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -132,7 +136,7 @@ def allot(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int =
     extra = F.greatest(F.lit(0), F.least(F.coalesce(F.col("more"), F.lit(0)) - F.col("prior"), room))
     epochs = F.when(F.col("size") > 0, F.col("earlier") + extra).otherwise(0).cast("long")
     return out.select("doc_id", "q.source", "size", "q.h", "source_size", "target", epochs.alias("epochs"),
-                      (epochs * F.col("size")).alias("taken"))
+                      (epochs * F.col("size")).alias("taken"), *carried)
 
 
 def _cut(histogram: DataFrame, total: float) -> tuple[int, int]:
@@ -146,12 +150,30 @@ def _cut(histogram: DataFrame, total: float) -> tuple[int, int]:
     return 2 * CELLS + 1, run
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Digest of a whole row; a null is no value of any type."""
+    texts = [docs[c].cast("string") for c in docs.columns]
+    parts = [F.coalesce(F.concat(F.lit("v"), F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts]
+    return F.sha2(F.concat(*parts), 256)
+
+
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``."""
-    seed = params.get("seed", SEED)
-    times = allot(docs, **params).groupBy("h").agg(F.sum("epochs").alias("n")).where("n > 0")
-    names = docs.columns
-    boxed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"),
-                        shuffle_key(seed, docs["doc_id"], docs["source"], docs["text"]).alias("h"))
-    picked = boxed.dropDuplicates(["h"]).join(times, "h")
-    return picked.select("row", F.explode(F.sequence(F.lit(1).cast(T.LongType()), "n")).alias("copy")).select("row.*")
+    """The mixed corpus: every document as often as the mix takes it, with the columns of ``docs``. Rows that are equal in
+    all columns share what is taken of them."""
+    key = _row_key(docs)
+    taken = allot(docs, **params, carry={"row_key": key}).groupBy("row_key").agg(
+        F.sum("epochs").alias("n"), F.count("*").alias("rows"))
+    taken = materialize(taken.where("n > 0"), "mix_taken")
+    boxed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("row_key"))
+
+    def times(rows: DataFrame, n: Column) -> DataFrame:
+        counted = rows.withColumn("times", n.cast(T.LongType())).where("times > 0")
+        return counted.select("row", F.explode(F.sequence(F.lit(1).cast(T.LongType()), "times")).alias("copy")).select("row.*")
+
+    out = times(boxed.join(taken, "row_key"), F.floor(F.col("n") / F.col("rows")))
+    uneven = taken.where("n % rows > 0")
+    if uneven.isEmpty():
+        return out
+    # of equal rows that cannot share evenly, one stands for the rest of the copies
+    one = boxed.join(uneven, "row_key").dropDuplicates(["row_key"])
+    return out.union(times(one, F.col("n") % F.col("rows")))

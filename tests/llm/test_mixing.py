@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import mixing as M
 
@@ -79,3 +80,20 @@ def test_repeats_and_edges(spark):
     assert M.allot(df.limit(0)).count() == 0 and M.mix(df.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, "a", " "), (2, None, None)], "doc_id long, source string, text string")
     assert [(r.size, r.taken) for r in M.allot(blank).collect()] == [(0, 0), (0, 0)] and M.mix(blank).count() == 0
+
+
+def test_mix_keeps_every_column_of_alike_rows(spark):
+    """Rows equal in doc_id, source and text but not in others, a null beside an empty source, and nulls as values."""
+    schema = "doc_id long, source string, text string, lang string, n long"
+    rows = [(1, None, "a b", "x", 1), (1, "", "a b", "x", 1), (1, None, "a b", None, 1), (1, None, "a b", "", None),
+            (2, "s", "c", "n", None), (2, "s", "c", "n", None), (3, "s", "d e f", "v1:x", 2)]
+    df = spark.createDataFrame(rows, schema)
+    want, got = {}, {}
+    for r in M.allot(df).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.epochs
+    for r in M.mix(df).collect():
+        assert tuple(r) in rows
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    sources = {s: sum(n for k, n in want.items() if k[1] == s) for s in (None, "", "s")}
+    assert sources[""] > 0 and sources[None] > 0
