@@ -195,6 +195,8 @@ def identify(texts: tb.Texts, net: Network) -> np.ndarray:
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """The documents with lang_pred and score (the label's mean probability)."""
     marker = "has letter"
+    while marker in map(str.lower, docs.columns):
+        marker += "'"
     docs = docs.withColumn(marker, has_letter(F.col("text")))
 
     def compute(batch: pa.RecordBatch) -> list:

@@ -78,3 +78,9 @@ def test_gradients_fit_training_data():
     windows = np.where(rng.random((200, L.WINDOW + 3)) < 0.5, 97 + truth[:, None], 120).astype(np.int16)
     net = L.train(windows, truth, ["a", "b"])
     assert (np.array([net.probabilities(w[None])[0].argmax() for w in windows]) == truth).mean() == 1
+
+
+def test_extra_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, "abc", "kept", "too")], ["doc_id", "text", "has letter", "Has Letter'"])
+    got = L.predict(df, None)
+    assert got.columns == [*df.columns, "lang_pred", "score"] and tuple(got.first())[:4] == (1, "abc", "kept", "too")
