@@ -10,7 +10,7 @@ import corpus_pipeline as C  # noqa: E402
 from test_minhash import plain as near_plain  # noqa: E402
 from test_mixing import plain as mix_plain  # noqa: E402
 from test_packing import checked  # noqa: E402
-from test_suffixes import plain as cut_plain  # noqa: E402
+from test_passages import plain as cut_plain  # noqa: E402
 
 from flowlens.llm import langid, packing  # noqa: E402
 
@@ -43,12 +43,14 @@ def test_stages(spark, tmp_path):
 
     before = rows["substring_dedup"]
     after = {r.doc_id: r for r in rows["mix_sources"]}
-    for r, (n, removed, _, _) in zip(before, cut_plain([r.text for r in before], 400), strict=True):
+    left = cut_plain([r.text for r in before], C.PASSAGE_WORDS)
+    for r, words in zip(before, left, strict=True):
         if r.doc_id in after:
-            assert abs(n - removed - len(after[r.doc_id].text.encode())) <= 6 * (removed > 0)
-            assert after[r.doc_id].n_chars == (len(after[r.doc_id].text) if removed else r.n_chars)
+            assert after[r.doc_id].text.split() == words
+            assert after[r.doc_id].n_chars == (len(after[r.doc_id].text) if after[r.doc_id].text != r.text else r.n_chars)
         else:
-            assert removed
+            assert not words
+    assert any(len(w) < len(r.text.split()) for r, w in zip(before, left, strict=True))
 
     mixed = rows["mix_sources"]
     plan = mix_plain([(r.doc_id, r.source, r.text) for r in mixed], (5.0, 2.0, 1.0), 3, 1.0, "mix-1")
