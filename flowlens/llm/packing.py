@@ -10,8 +10,9 @@ No shuffle and bounded memory: tokenizing and packing stream through each input
 only a partition's last sequence is left short for want of items. A sequence id is the partition's number and a counter,
 so a repeated task gives the same ids.
 
-Tokenizing splits at ASCII white space, where this vocabulary's pre-tokenizer never joins, and remembers the ids of words;
-the result equals encoding the whole text.
+Where a vocabulary's pre-tokenizer never joins over ASCII white space (checked when it is loaded), texts are split there, the
+distinct words of about ``GROUP_BYTES`` of texts are looked up together by 64-bit hashes, and their ids are remembered within
+``WORD_MEMORY`` bytes a worker; the result equals encoding the whole text. With any other vocabulary whole texts are encoded.
 
 Defined cases: a null text is empty, so its ids are the end id alone; a null doc_id is kept; equal rows are packed each on
 their own; an empty table gives no pieces; extra columns are ignored. Without cutting, an example above a limit is still cut
@@ -20,8 +21,8 @@ so that each part fits.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -33,15 +34,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from flowlens.llm import textbytes as tb
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
 
 END_ID = 1
 END = np.array([END_ID], dtype="<u4")
 POOL = 512
-CACHE_WORDS = 1_600_000  # words remembered per worker (about 200 bytes each); longer words than CACHE_BYTES are not
-CACHE_BYTES = 64
+WORD_MEMORY = 64 << 20  # bytes of remembered words a worker process keeps
 GROUP_BYTES = 1 << 20  # texts looked up together
-MARKS = re.compile(rb"([.,;:!?](?<=[0-9a-z][.,;:!?])[.,;:!?]*)(?=[ \t\n\r\x0b\x0c]|\Z)")
+IS_MARK = np.zeros(256, dtype=bool)
+IS_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True  # neither space, letter nor digit
+IS_PART = np.zeros(256, dtype=bool)  # letters and digits that are parted from marks after them
+IS_PART[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
+#: Fixed value: the split pattern of a pre-tokenizer under which words can be looked up alone.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ROWS_OUT = 4096
 
 
@@ -77,71 +84,164 @@ class Item:
                 Item(self.doc, self.start + n, self.ids[n:], self.loss_from, self.doc_tokens))
 
 
+class Memory:
+    """Ids of words under 64-bit hashes of the words: sorted keys with places in one flat array of ids. A young part takes
+    new words and is merged into the old one when it has grown; past ``WORD_MEMORY`` bytes the old part is dropped."""
+
+    def __init__(self):
+        self.old, self.young = _table(), _table()
+        self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, size) of each key; size -1 where it is not known."""
+        place, size = np.zeros(len(keys), dtype=np.int64), np.full(len(keys), -1, dtype=np.int64)
+        for known, places, sizes in (self.old, self.young):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
+        return place, size
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        """Takes new keys, whose ids are at their places in ``ids``."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:self.used], np.zeros(self.used // 4 + len(ids), dtype="<u4")])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.young = _merged(self.young, (keys, (place + self.used).astype(np.uint32), size.astype(np.uint32)))
+        self.used += len(ids)
+        if len(self.young[0]) > max(1 << 15, len(self.old[0]) // 4):
+            self.old, self.young = _merged(self.old, self.young), _table()
+
+    def trim(self) -> None:
+        """Called between groups, so that no place in use moves."""
+        if 16 * (len(self.old[0]) + len(self.young[0])) + 4 * len(self.flat) > WORD_MEMORY:
+            self.__init__()
+
+
+def _table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint32)
+
+
+def _merged(one: tuple, two: tuple) -> tuple:
+    columns = [np.concatenate(c) for c in zip(one, two, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(c[order] for c in columns)
+
+
 class Words:
-    """Token ids of texts by way of remembered words: a young and an old generation of at most CACHE_WORDS / 2 each.
+    """Token ids of texts: by way of remembered words where the vocabulary's pre-tokenizer allows it, else whole texts.
 
-    Words new to a group of texts are encoded together. One of letters only is one unit of the pre-tokenizer, so it ends
-    with the first id that stands for an end of word; the others get a separator word between them, whose single id no other
-    word contains, and those that hold the separator's character are encoded alone.
+    Word by word, each distinct word of a group of texts is looked up once. New ones are encoded together: one of letters
+    only is one unit of the pre-tokenizer, so it ends with the first id that stands for an end of word; the others get a
+    separator word between them, whose single id no other word contains, and those that hold the separator's character are
+    encoded alone.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        (self.separator,) = self.tokenizer.encode("~", add_special_tokens=False).ids
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.by_word = _parts_words(self.tokenizer)
+        if self.by_word:
+            self.memory = Memory()
+            (self.separator,) = self.tokenizer.encode("~", add_special_tokens=False).ids
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(made.ids, dtype="<u4")
 
-    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place and size of each word's ids in them)."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        letters = [(w, t) for w, t in zip(words, texts, strict=True) if t.isalpha()]
-        others = [(w, t) for w, t in zip(words, texts, strict=True) if not t.isalpha()]
-        if letters:
-            ids = self._ids(" ".join([t for _, t in letters]))
+        place, size = np.zeros((2, len(words)), dtype=np.int64)
+        made, used = [], 0
+
+        def put(which, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+            nonlocal used
+            place[which], size[which] = used + begin, end - begin
+            made.append(ids)
+            used += len(ids)
+
+        plain = np.fromiter(map(str.isalpha, texts), dtype=bool, count=len(texts))
+        letters, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(letters):
+            ids = self._ids(" ".join([texts[i] for i in letters.tolist()]))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(letters):
-                data, cuts = ids.tobytes(), (4 * ends).tolist()
-                for (w, _), a, b in zip(letters, [0, *cuts], cuts, strict=False):
-                    yield w, data[a:b]
+                put(letters, ids, np.concatenate([[0], ends[:-1]]), ends)
             else:
-                others += letters
-        marked = [(w, t) for w, t in others if "~" not in t]
-        if marked:
-            ids = self._ids(" ~ ".join([t for _, t in marked]))
-            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.separator).tolist()
-            for (w, _), a, b in zip(marked, [-1, *cuts], [*cuts, len(ids)], strict=True):
-                yield w, data[4 * a + 4:4 * b]
-        for w, t in others:
-            if "~" in t:
-                yield w, self._ids(t).tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text of a group."""
-        # the vocabulary is lower case and its pre-tokenizer parts letters and digits from the marks after them, so
-        # both may be done before words are looked up; not where a special token's name may stand
-        texts = [t if b"<|" in t else MARKS.sub(rb" \1", t.lower()) for t in texts]
-        split = [t.split() for t in texts]  # bytes split at the six ASCII white space characters only
-        parts = [list(map(self.young.get, words)) for words in split]
-        missing = {w for words, got in zip(split, parts, strict=True) if None in got
-                   for w, p in zip(words, got, strict=True) if p is None}
-        if missing:
-            found = {w: self.old[w] for w in missing if w in self.old}
-            if fresh := [w for w in missing if w not in found]:
-                found.update(self._encode(fresh))
-            for words, got in zip(split, parts, strict=True):
-                if None in got:
-                    got[:] = [found[w] if p is None else p for w, p in zip(words, got, strict=True)]
-            self.young.update((w, p) for w, p in found.items() if len(w) <= CACHE_BYTES)
-            if len(self.young) > CACHE_WORDS // 2:
-                self.old, self.young = self.young, {}
-        return [np.frombuffer(b"".join(got), dtype="<u4") for got in parts]
+                others = np.arange(len(texts))
+        odd = np.array(["~" in texts[i] for i in others.tolist()], dtype=bool)
+        if len(marked := others[~odd]):
+            ids = self._ids(" ~ ".join([texts[i] for i in marked.tolist()]))
+            cuts = np.flatnonzero(ids == self.separator)
+            put(marked, ids, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]]))
+        for i in others[odd].tolist():
+            ids = self._ids(texts[i])
+            put(i, ids, 0, len(ids))
+        return np.concatenate(made), place, size
+
+    def ids(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a group, end of each text's ids)."""
+        return self._words_ids(texts) if self.by_word else self._whole_ids(texts)
+
+    def _whole_ids(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+        data = texts.data.tobytes()
+        spans = zip(texts.starts.tolist(), texts.ends.tolist(), strict=True)
+        made = self.tokenizer.encode_batch_fast([data[a:b].decode("utf-8", "replace") for a, b in spans], add_special_tokens=False)
+        return (np.concatenate([np.array(m.ids, dtype="<u4") for m in made]),
+                np.cumsum([len(m.ids) for m in made], dtype=np.int64))
+
+    def _words_ids(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+        self.memory.trim()
+        data, starts, ends = _pieces(texts)
+        if not len(starts):
+            return END[:0], np.zeros(texts.n, dtype=np.int64)
+        keys, first, back = np.unique(tb.span_hash(tb.prefix_hash(tb.BYTE_CODE[data]), starts, ends), return_index=True,
+                                      return_inverse=True)
+        place, size = self.memory.find(keys)
+        if len(fresh := np.flatnonzero(size < 0)):
+            held = data.tobytes()
+            spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)
+            self.memory.add(keys[fresh], *self._encode([held[a:b] for a, b in spans]))
+            place, size = self.memory.find(keys)
+        place, size = place[back], size[back]
+        to = np.cumsum(size)
+        ids = self.memory.flat[np.repeat(place - to + size, size) + np.arange(to[-1])]
+        done = np.searchsorted(starts, texts.ends)  # pieces before each text's end
+        return ids, np.concatenate([[0], to])[done]
+
+
+def _parts_words(tokenizer) -> bool:
+    """Whether the vocabulary is lower case, and its pre-tokenizer joins nothing over white space and parts letters and
+    digits from the marks after them: then words may be looked up in lower case, without the marks that end them."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    steps = json.loads(tokenizer.normalizer.__getstate__()).get("normalizers", [])
+    parts = json.loads(tokenizer.pre_tokenizer.__getstate__()).get("pretokenizers", [{}])
+    return ([s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and parts[0].get("pattern") == {"Regex": WORD_PATTERN}
+            and parts[0].get("behavior") == "Removed" and getattr(tokenizer.model, "end_of_word_suffix", None) == "</w>")
+
+
+def _pieces(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in lower case, starts, ends) of the words of a group, marks that end a word as pieces of their own. A word
+    that may hold a special token's name stays as it is."""
+    data = tb.LOWER[texts.data]
+    starts, ends = texts.words()
+    if not len(starts):
+        return data, starts, ends
+    plain = np.flatnonzero(~IS_MARK[data])
+    core = np.searchsorted(plain, ends) - 1  # the last byte of a word that is no mark
+    core = np.where(core >= 0, plain[np.maximum(core, 0)] if len(plain) else -1, -1) + 1
+    cut = (core > starts) & (core < ends)
+    cut[cut] = IS_PART[data[core[cut] - 1]]
+    for at in np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))):
+        k = np.searchsorted(starts, at, side="right") - 1
+        if k >= 0 and at + 1 < ends[k]:
+            data[starts[k]:ends[k]], cut[k] = texts.data[starts[k]:ends[k]], False
+    return data, np.sort(np.concatenate([starts, core[cut]])), np.sort(np.concatenate([ends, core[cut]]))
 
 
 _words: dict[str, Words] = {}
@@ -241,17 +341,13 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: bool =
         done = 0
         for batch in batches:
             first = batch.column(0).type
-            columns = [batch.column(c).cast(pa.binary()) for c in range(batch.num_columns - 1, 0, -1)]  # a prompt comes first
-            at = 0
-            while at < batch.num_rows:
-                texts, size, lo = [], 0, at
-                while at < batch.num_rows and (size < GROUP_BYTES or at == lo):
-                    texts.append([c[at].as_py() or b"" for c in columns])
-                    size += sum(map(len, texts[-1]))
-                    at += 1
-                ids = words.ids([t for row in texts for t in row])
-                for k, row in enumerate(range(lo, at)):
-                    mine = ids[k * len(texts[0]):(k + 1) * len(texts[0])]
+            for lo, hi, texts in tb.chunks(batch.column(1), GROUP_BYTES):
+                parts = [words.ids(texts)]
+                if prompt:
+                    ((_, _, asked),) = tb.chunks(batch.column(2).slice(lo, hi - lo), 1 << 62)
+                    parts.insert(0, words.ids(asked))
+                for k, row in enumerate(range(lo, hi)):
+                    mine = [ids[ends[k - 1] if k else 0:ends[k]] for ids, ends in parts]
                     whole = np.concatenate([*mine, END])
                     packer.add(Item(batch.column(0)[row].as_py(), 0, whole, len(mine[0]) if prompt else 0, len(whole)))
                     ready = len(packer.ready)
@@ -265,4 +361,4 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), cut: bool =
         if held:
             yield batch_of(held, first)
 
-    return docs.select("doc_id", "text", *([prompt] if prompt else [])).mapInArrow(run, schema)
+    return tb.in_arrow(docs.select("doc_id", "text", *([prompt] if prompt else [])), run, schema)

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from flowlens.llm import packing as P  # noqa: E402
+from flowlens.llm import textbytes as tb  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -24,7 +26,34 @@ WORDS = P.Words(PATH)
     ["it's", "we'll", "Σας", "İI", "a", " ", "\n", "\x1c", "\x85", "́", "é", "é", "<|endoftext|>", "12.5", "漢字",
      "~~", " ", "'s", "ǅ", "<|startoftext|>x", "<|ENDOFTEXT|>", "Ab.,", "x).", "»,", "~", "a~b.", "3.5.", "it's.", "...", "İ."]), max_size=20).map("".join)))
 def test_ids_equal_whole_text(text):
-    assert WORDS.ids([text.encode()])[0].tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert ids_of(WORDS, [text])[0] == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def ids_of(words, texts):
+    ((_, _, group),) = tb.chunks(pa.array(texts))
+    ids, ends = words.ids(group)
+    return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+@pytest.mark.parametrize("memory", [1 << 26, 1])
+def test_groups_of_texts(monkeypatch, memory):
+    """Texts without white space between them, words known from earlier groups, and a memory that is dropped every time."""
+    monkeypatch.setattr(P, "WORD_MEMORY", memory)
+    rng, words = random.Random(4), P.Words(PATH)
+    for _ in range(30):
+        group = ["".join(rng.choices(["it", "x9", ".", "., ", " ", "\n", "é", "~", "<|endoftext|>", "漢", "ab"], k=rng.randint(0, 30)))
+                 for _ in range(rng.randint(1, 12))]
+        assert ids_of(words, group) == [PLAIN.encode(t, add_special_tokens=False).ids for t in group]
+
+
+def test_other_vocabularies_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, rows = Tokenizer.from_file(path), [*texts(20, 6), (90, None), (91, "  Two  spaces.\n")]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, with_ids=True).collect()
+    made = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.start):
+        made[r.doc_id] += r.ids
+    assert made == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
 
 
 def checked(rows, pieces, limits):
