@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowlens.llm.textbytes import without
+from flowlens.llm.textbytes import in_arrow, without
 
 FRAME_BYTES = 1 << 16
 LEVEL = 1
@@ -205,7 +205,7 @@ def _map(docs: DataFrame, dropped: str, fields: list[T.StructField], make: Calla
                 arrays = [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], *arrays], names=schema.names)
 
-    return asked.mapInArrow(run, schema)
+    return in_arrow(asked, run, schema)
 
 
 def store(docs: DataFrame, frame_bytes: int = FRAME_BYTES, level: int = LEVEL) -> DataFrame:

@@ -127,7 +127,7 @@ def sketched(docs: DataFrame, size: int, rows: int) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(d1.view(np.int64)),
                      pa.array(d2.view(np.int64)), lists], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return tb.in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                                                       batch.column(1).take(pa.array(rows))], names=["src", "dst"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "src long, dst long")
+    return tb.in_arrow(joined, run, "src long, dst long")
 
 
 def _joined_in_block(texts: tb.Texts, size: int, percent: int) -> np.ndarray:

@@ -207,7 +207,7 @@ def _segments(rows: DataFrame, length: int) -> DataFrame:
                              pa.array(content.view(np.int64)), pa.array(n), pa.array(start + bases[doc]),
                              pa.array(times)], names=schema.names)
 
-    return rows.select("doc_id", "k", "text").mapInArrow(run, schema)
+    return tb.in_arrow(rows.select("doc_id", "k", "text"), run, schema)
 
 
 def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     [batch.column(0).take(same), batch.column(1).take(same), found.field("h"), found.field("start"),
                      found.field("n"), found.field("seen"), pa.array(cut, pa.binary())], names=schema.names)
 
-    return joined.mapInArrow(_merged(run), schema)
+    return tb.in_arrow(joined, _merged(run), schema)
 
 
 def _merged(run, rows: int = 2000):
@@ -298,7 +298,7 @@ def _sorted_repeats(segs: DataFrame, length: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held))
 
     grouped = segs.select("doc_id", "k", "h", "start", "n", "seen", "bytes").repartition("h").sortWithinPartitions("h")
-    return grouped.mapInArrow(run, schema)
+    return tb.in_arrow(grouped, run, schema)
 
 
 def _refined(segs: DataFrame, block: int, length: int) -> DataFrame:
@@ -340,7 +340,7 @@ def _refined(segs: DataFrame, block: int, length: int) -> DataFrame:
             for lo, _, texts in tb.chunks(batch.column(batch.schema.names.index("bytes"))):
                 yield from split(batch, lo, texts)
 
-    return segs.mapInArrow(run, schema)
+    return tb.in_arrow(segs, run, schema)
 
 
 def _with_anchor(segs: DataFrame, length: int) -> DataFrame:
@@ -369,7 +369,7 @@ def _with_anchor(segs: DataFrame, length: int) -> DataFrame:
             made = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=schema.names)
 
-    return segs.mapInArrow(run, schema)
+    return tb.in_arrow(segs, run, schema)
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -456,7 +456,7 @@ def _coded(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                                                   made], names=schema.names)
 
-    return rows.select("doc_id", "k", "text").mapInArrow(run, schema)
+    return tb.in_arrow(rows.select("doc_id", "k", "text"), run, schema)
 
 
 def _joined(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
@@ -512,7 +512,7 @@ def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], m
             columns = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=made.names)
 
-    return joined.mapInArrow(run, made).select("row.*", *[n for n, _ in fields])
+    return tb.in_arrow(joined, run, made).select("row.*", *[n for n, _ in fields])
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:

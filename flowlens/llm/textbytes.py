@@ -7,6 +7,7 @@ every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+BATCH_ROWS = 2048
 CHUNK_BYTES = 1 << 20  # documents are handled in groups of about this size; one longer document is a group
 
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -47,7 +49,7 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), _U(base), dtype=np.uint64)
         steps[0] = 1
         got = np.multiply.accumulate(steps)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= CHUNK_BYTES + 1:  # longer ones, of single long documents, are not kept
             _powers[kind] = got
     return got[:n]
 
@@ -159,6 +161,39 @@ def per_doc(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
     return np.bincount(doc, weights=weights, minlength=n).astype(np.int64)
 
 
+def release() -> None:
+    """Gives memory that is free back to the machine: a worker process lives on after its task, and what it keeps adds to
+    what later stages need."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that ends with ``release``."""
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return whole
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` of a function that handles texts: in batches of at most ``BATCH_ROWS``, as both the executor and its
+    worker hold one of them or more, and with ``release`` at the end of a task."""
+    conf, most = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(most)) <= BATCH_ROWS:
+        conf.set(most, BATCH_ROWS)
+    return rows.mapInArrow(released(run), schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.names.index(name))
 
@@ -182,4 +217,4 @@ def with_columns(docs: DataFrame, fields: list[tuple[str, T.DataType]],
             made = [pa.array(v, type=k) for v, k in zip(compute(batch), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
