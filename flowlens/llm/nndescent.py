@@ -10,10 +10,13 @@
    with one another: their smallest nodes by products of blocks, and all their members where the angle between the two
    nodes, the components' angular radii and the threshold allow a link. So components that are linked become one, and
    their lists are enlarged to the whole component by products of fixed-size blocks, which report counts and never pairs.
-5. The audit compares nodes (by hash; their number grows with the root of the table's) with all vectors and measures the
-   recall of links per node, for nodes of few and of many links apart. It takes more nodes while too few of them have a
-   link, up to the whole table or ``AUDIT_GROWTH`` times as many. Below ``RECALL`` further sorted orders and rounds follow,
-   and after ``MAX_AUDITS`` of them all vectors of a label are compared by products of blocks.
+5. The audit compares a sample of nodes (by hash, as many as the root of the table's, and as many again of those whose
+   best neighbour is near the threshold) with all vectors and measures the recall of links per node, for nodes of few and
+   of many links apart. The sample is a table that meets parts of the vectors in products of blocks. It grows while fewer
+   than ``FEW_LINKED`` of its nodes have a link. Recall that cannot be measured on less than a quarter of the table counts
+   as none: all vectors of a label are then compared by products of blocks, as they are where ``MAX_AUDITS`` attempts, each
+   with further sorted orders and rounds, stay below ``RECALL``, or where components are so wide that their angles tell
+   nothing apart.
 
 Only pairs computed in double precision with cosine >= threshold are links.
 
@@ -41,9 +44,10 @@ REVERSE = 6  # of the nodes that list a node, so many join in its round
 ORDERS, REACH = 6, 3  # sorted orders of the first graph and neighbours taken to either side
 MAX_ROUNDS, FEW = 5, 0.002  # rounds at most, and the share of changed entries that ends them
 BLOCK = 1024
-AUDIT, RECALL, MAX_AUDITS = 512, 0.95, 3
-AUDIT_ROOT, AUDIT_GROWTH = 8, 16  # audited nodes by the root of all nodes, and how often as many at most
+AUDIT, RECALL, MAX_AUDITS = 512, 0.95, 3  # nodes audited at least
+NEAR = 0.1  # below the threshold: a best neighbour that makes a node likely to have links
 FEW_LINKED = 32  # linked nodes that make an audit
+WIDE = 64  # close pairs a component beyond which bridges are left to the whole comparison
 STRATA = (1, 2, K + 1)  # least links of nodes whose recall is taken apart
 CODE_BITS = 62
 
@@ -266,8 +270,9 @@ def _pairs_in(rows: DataFrame, group: str) -> DataFrame:
     return keys.join(keys.withColumnRenamed("x", "y"), group).where("x <= y").select("x", "y")
 
 
-def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): at least one link for any two linked components of (node, component) rows."""
+def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame | None:
+    """(a, b): at least one link for any two linked components of (node, component) rows; None where more than ``WIDE``
+    pairs a component are close enough for one."""
     rows = nodes.select("node", "label", "vec").join(crowded, "node")
     tips = rows.where("node = component").select("component", F.col("vec").alias("tip"))
 
@@ -292,7 +297,14 @@ def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame
         out = pa.table({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]}).to_pandas()
         return out[out["a"] != out["b"]]
 
-    close = _met(tips, _pairs_in(tips, "kind"), near, "a long, b long").select(
+    def how_many(a, b, s):
+        return pa.table({"n": [len(near(a, b, s))]}).to_pandas()
+
+    blocks = materialize(_pairs_in(tips, "kind"), "tip_blocks")
+    many = _met(tips, blocks, how_many, "n long").agg(F.sum("n")).first()[0] or 0  # a row for each pair of blocks
+    if many > 2 * WIDE * tips.count():
+        return None
+    close = _met(tips, blocks, near, "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = close.join(keys.toDF("a", "x"), "a").join(keys.toDF("b", "y"), "b").select("x", "y")
 
@@ -328,49 +340,59 @@ def compared(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     return materialize(enlarged(nodes, grouped, threshold).where("links > 0"), "counted"), joined
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT) -> float:
-    """Least mean recall of links per node, over all linked nodes of a sample and over its strata by number of links."""
+def audit(nodes: DataFrame, counted: DataFrame, likely: DataFrame, threshold: float, size: int = AUDIT) -> float | None:
+    """Least mean recall of links per node, over all linked nodes of a sample and over its strata by number of links; None
+    where too few nodes of a quarter of the table have links. ``likely`` holds the nodes to be asked besides."""
     total = nodes.count()
-    size = max(size, int(AUDIT_ROOT * total ** 0.5))
-    most = AUDIT_GROWTH * size
-    while True:
-        pairs = _recalled(nodes, counted, threshold, size)
-        if len(pairs) >= FEW_LINKED or size >= min(total, most):
-            break
-        size = min(2 * size, most)
-    strata = [[f / t for f, t in pairs if lo <= t < hi]
-              for lo, hi in [(1, 1 << 62), *zip(STRATA, [*STRATA[1:], 1 << 62], strict=True)]]
-    means = [sum(part) / len(part) for k, part in enumerate(strata) if len(part) >= (1 if k == 0 else FEW_LINKED // 4)]
-    return min(means, default=1.0)
-
-
-def _recalled(nodes: DataFrame, counted: DataFrame, threshold: float, size: int) -> list[tuple[int, int]]:
-    """(links found, links by comparison with all vectors) of those of ``size`` nodes that have links."""
-    asked = (nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(size).join(counted, "node", "left")
-             .select("node", "label", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect())
-    if not asked:
-        return []
-    queries = [(r["node"], r["label"], np.array(r["vec"], dtype=np.float64)) for r in asked]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(queries), dtype=np.int64)
-        for batch in batches:
-            for rows in _by_length(batch, 2):
-                part = batch.take(pa.array(rows))
-                x, label = _vectors(part.column(2)), part.column(1).to_pandas().to_numpy()
-                node, copies = part.column(0).to_numpy(), part.column(3).to_numpy()
-                near = [i for i, q in enumerate(queries) if len(q[2]) == x.shape[1]]
-                if not near:
-                    continue
-                s = _cosines(np.stack([queries[i][2] for i in near]), x) >= threshold
-                for k, i in enumerate(near):
-                    total[i] += copies[s[k] & (label == queries[i][1]) & (node != queries[i][0])].sum()
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["i", "links"])
-
-    true = {r["i"]: r["links"] for r in nodes.select("node", "label", "vec", "copies").mapInArrow(
-        compare, "i long, links long").groupBy("i").agg(F.sum("links").alias("links")).collect()}
-    return [(min(r["links"], true[i]), true[i]) for i, r in enumerate(asked) if i in true]
+    size = max(size, int(total ** 0.5))
+    hopes = likely.count()
+    while 4 * size <= total:
+        share = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(n, 1)))
+        asked = nodes.select("node").where(share(total)).union(likely.select("node").where(share(hopes))).distinct()
+        found = _recalled(nodes, counted, materialize(asked, "asked"), threshold).groupBy("links", "real").agg(F.count("*").alias("n"))
+        pairs = [(r["links"], r["real"], r["n"]) for r in found.collect()]  # one row for each pair of counts
+        if sum(n for *_, n in pairs) >= FEW_LINKED:
+            strata = [[(f / t, n) for f, t, n in pairs if lo <= t < hi]
+                      for lo, hi in [(1, 1 << 62), *zip(STRATA, [*STRATA[1:], 1 << 62], strict=True)]]
+            counts = [sum(n for _, n in part) for part in strata]
+            return min(sum(r * n for r, n in part) / m for k, (part, m) in enumerate(zip(strata, counts, strict=True))
+                       if m >= (1 if k == 0 else FEW_LINKED // 4))
+        size *= 2
+    return None
+
+
+def _recalled(nodes: DataFrame, counted: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """(links found, links by comparison with all vectors) of those asked nodes that have links.
+
+    The vectors fall into parts of as many as are asked, and the asked ones go to each part: about as many rows again."""
+    rows = _same_kind(nodes).select("kind", "node", "vec", "copies")
+    few = rows.join(asked, "node")
+    sizes = rows.groupBy("kind").agg(F.count("*").alias("size")).join(few.groupBy("kind").agg(F.count("*").alias("few")), "kind")
+    sizes = sizes.withColumn("bins", F.ceil(F.col("size") / F.greatest(F.col("few"), F.lit(BLOCK))).cast("long"))
+    left = rows.join(sizes, "kind").withColumn("bin", F.pmod(F.xxhash64("node"), F.col("bins"))).select("kind", "bin", "node", "vec", "copies")
+    right = few.join(sizes, "kind").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1))).select(
+        "kind", "bin", "node", "vec").toDF("asked_kind", "asked_bin", "node", "vec")
+
+    def compare(those: pa.Table, these: pa.Table) -> pa.Table:
+        y, known, copies = _matrix(those), those.column("node").to_numpy(), those.column("copies").to_numpy()
+        x, node = _matrix(these), these.column("node").to_numpy()
+        links = np.zeros(len(node), dtype=np.int64)
+        if len(known) and len(node):
+            for a in range(0, len(node), BLOCK):
+                for b in range(0, len(known), BLOCK):
+                    hit = _cosines(x[a:a + BLOCK], y[b:b + BLOCK]) >= threshold
+                    hit &= node[a:a + BLOCK, None] != known[None, b:b + BLOCK]
+                    links[a:a + BLOCK] += hit @ copies[b:b + BLOCK]
+        return pa.table({"node": node, "part": links})
+
+    met = left.groupBy("kind", "bin").cogroup(right.groupBy("asked_kind", "asked_bin")).applyInArrow(compare, "node long, part long")
+    true = met.groupBy("node").agg(F.sum("part").alias("real")).where("real > 0")
+    return true.join(counted, "node", "left").select(F.least(F.coalesce("links", F.lit(0)), "real").alias("links"), "real")
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    column = table.column("vec").combine_chunks()
+    return _vectors(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -400,7 +422,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             F.sum("copies").alias("links"), F.count("*").alias("degree"))
         crowded = degrees.where(F.col("degree") >= K).join(joined, "node").select("component").distinct()
         crowded = materialize(joined.join(crowded, "component"), "crowded")
-        across = materialize(bridges(nodes, crowded, threshold), "bridges")
+        across = bridges(nodes, crowded, threshold)
+        if across is None:
+            counted, joined = compared(nodes, threshold)
+            break
+        across = materialize(across, "bridges")
         if not across.isEmpty():
             joined = components(links.union(across).toDF("src", "dst"))
             crowded = materialize(joined.join(crowded.select("node"), "node").select("component").distinct()
@@ -408,7 +434,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         counted = degrees.join(crowded, "node", "left_anti").select("node", "links").union(
             enlarged(nodes, crowded, threshold))
         counted = materialize(counted, "counted")
-        if audit(nodes, counted, threshold) >= RECALL:
+        likely = lists.where((F.col("place") == 1) & (F.col("s") >= threshold - NEAR)).select(F.col("u").alias("node"))
+        recall = audit(nodes, counted, likely, threshold)
+        if recall is None:
+            counted, joined = compared(nodes, threshold)
+        if recall is None or recall >= RECALL:
             break
     else:
         counted, joined = compared(nodes, threshold)
