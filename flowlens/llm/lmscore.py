@@ -34,8 +34,8 @@ from flowlens.llm import textbytes as tb
 WORD_BITS = 18
 MIX = 0.6  # weight of the pair estimate where its first word was seen
 PRIOR = 0.5  # added to each word's count
-BLOCK, MIN_BLOCKS = 1 << 23, 128  # bytes of text, number
-BUCKET, MIN_BUCKETS = 1 << 22, 128  # bytes of text for each bucket of keys, number
+BLOCK, MIN_BLOCKS = 1 << 23, 16  # bytes of text, number
+BUCKET, MIN_BUCKETS = 1 << 22, 16  # bytes of text for each bucket of keys, number
 FIELDS = [("n_tokens", T.LongType()), *[(n, T.DoubleType()) for n in ("loss_target", "loss_background", "score")]]
 _U = np.uint64
 
