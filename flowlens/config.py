@@ -6,8 +6,9 @@ dataclass defaults. Durations are Spark interval text (``7 days``), not a durati
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
+
+from .functions.re2 import to_java
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values (must equal the reference configuration for identical results)
@@ -70,15 +71,6 @@ API_TIME_FORMATS = (
 
 OPENAPI_VERSION = "3.0.3"
 
-# Constructs that RE2 (the reference's regex engine) rejects; such patterns are skipped.
-_RE2_UNSUPPORTED = re.compile(r"\(\?<?[=!]|\(\?>|\\[1-9]|[*+?}]\+")
-
-
-def re2_compatible(pattern: str) -> bool:
-    """True when a pattern has no lookaround, backreference, atomic group or possessive quantifier."""
-    return _RE2_UNSUPPORTED.search(pattern) is None
-
-
 @dataclass(frozen=True)
 class Options:
     # traffic filter (B1)
@@ -136,7 +128,7 @@ class Options:
 
     def usable_patterns(self, patterns) -> list[str]:
         """Patterns the reference would compile; with allow_lookaround every pattern is kept."""
-        return [p for p in patterns if self.allow_lookaround or re2_compatible(p)]
+        return [p for p in patterns if self.allow_lookaround or to_java(p) is not None]
 
 
 DEFAULT = Options()

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import API_TIME_FORMATS, Options
+from .re2 import to_java
 
 _BIG = 1 << 30
 
@@ -32,37 +33,6 @@ def nullif_blank(c) -> Column:
     return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
 
 
-def java_regex(pattern: str) -> str:
-    """RE2 pattern -> Java pattern with the same meaning for our inputs.
-
-    RE2's ``$`` (no multi-line flag) matches only at the end of input; Java's also matches before a
-    final line terminator, so unescaped ``$`` outside a character class becomes ``\\z``.
-    """
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            out.append(pattern[i:i + 2])
-            i += 2
-            continue
-        if in_class:
-            if ch == "]":
-                in_class = False
-        elif ch == "[":
-            in_class = True
-            if pattern[i + 1:i + 2] == "]":
-                out.append("[]")
-                i += 2
-                continue
-        elif ch == "$":
-            out.append("\\z")
-            i += 1
-            continue
-        out.append(ch)
-        i += 1
-    return "".join(out)
-
-
 def alternation(patterns) -> str | None:
     """One regex that matches when any of the (individually anchored) patterns matches."""
     ps = list(patterns)
@@ -71,8 +41,9 @@ def alternation(patterns) -> str | None:
     return "|".join(f"(?:{p})" for p in ps)
 
 
-def rlike_any(c: Column, patterns, java: bool = True) -> Column:
-    alt = alternation(java_regex(p) if java else p for p in patterns)
+def rlike_any(c: Column, patterns) -> Column:
+    """Whether a pattern matches: as RE2 reads it, or as Java does where RE2 would not compile it (allow_lookaround)."""
+    alt = alternation(to_java(p) or p for p in patterns)
     return F.lit(False) if alt is None else c.rlike(alt)
 
 
