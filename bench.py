@@ -89,15 +89,16 @@ def main() -> None:
     plan, rec = timed("catalog_push_reconcile", catalog)
     rows["push_plan"] = plan.count()
 
-    # stream replay (availableNow) over the flow log split by day; reported apart from the total
+    # replay of the flow log split by day, and its state; reported apart from the total
     from flowlens.streaming import stream as ST
     day_path = f"{scratch}/flows_by_day"
     timed("setup_day_files", lambda: flows.withColumn("day", F.to_date("start_time")).repartition("day")
           .write.partitionBy("day").parquet(day_path))
-    schema = spark.read.parquet(day_path).schema
 
-    timed("stream_replay", lambda: ST.replay(spark, day_path, schema, f"{scratch}/stream_state",
-                                             f"{scratch}/stream_ckpt", opts))
+    def replay():
+        ST.replay(spark, day_path, f"{scratch}/stream", f"{scratch}/stream/replay", opts)
+        ST.govern(spark, f"{scratch}/stream", f"{scratch}/stream/govern", opts).awaitTermination()
+    timed("stream_replay", replay)
     stream_secs = times.pop("stream_replay")
 
     measured = [k for k in times if not k.startswith("setup")]

@@ -120,9 +120,7 @@ def reconcile(catalog: DataFrame, tracked: DataFrame, opts: Options) -> DataFram
                     ((cls == "unowned") & F.lit(bool(opts.cleanup_unowned))).alias("delete"))
 
 
-def reconcile_metrics(rec: DataFrame) -> DataFrame:
-    """C18 (reconciliation): ours / other / unowned / deleted counts."""
-    return rec.agg(F.count_if(F.col("ownership") == "ours").alias("ours"),
-                   F.count_if(F.col("ownership") == "other").alias("other"),
-                   F.count_if(F.col("ownership") == "unowned").alias("unowned"),
-                   F.count_if(F.col("delete")).alias("deleted"))
+def reconcile_counters() -> dict[str, Column]:
+    """C18 (reconciliation): ours / other / unowned / deleted entries."""
+    of = lambda name: F.count_if(F.col("ownership") == name)
+    return {"ours": of("ours"), "other": of("other"), "unowned": of("unowned"), "deleted": F.count_if(F.col("delete"))}

@@ -7,11 +7,11 @@ The reference's nested loops (collisions x candidates) become joins on (method,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import materialize, observed
 
 CAND_COLS = ["service_key", "http_method", "resource_path", "request_domain", "host_ip", "server_port",
              "hit_count", "reg_api_id"]
@@ -120,20 +120,26 @@ def classify(cands: DataFrame, lost: DataFrame) -> DataFrame:
         "managed_api_id")
 
 
-def compare(discovered: DataFrame, ops: DataFrame, apis: DataFrame, checkpoint: bool = True) -> dict[str, DataFrame]:
+def compare(discovered: DataFrame, ops: DataFrame, apis: DataFrame, checkpoint: bool = True,
+            counters: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """The whole phase as DataFrames (ops and apis: active registered state).
 
     The candidate set (one row per discovered API) feeds six later steps, so it is checkpointed
-    once instead of being recomputed by each of them.
+    once instead of being recomputed by each of them. With ``counters`` the findings are written as well, and the
+    cycle's counters (C18) are taken from the rows of both tables while they pass.
     """
     cands = match(discovered, ops)
-    if checkpoint:
+    if counters is not None:
+        cands = observed(cands, "candidates", candidate_counters(), counters)
+    elif checkpoint:
         cands = materialize(cands, "candidates")
     coll = collisions(cands)
     resolved = resolve(cands, coll, ops, apis)
     lost = losers(cands, resolved)
-    return {"candidates": cands, "collisions": coll, "resolved": resolved, "losers": lost,
-            "classified": classify(cands, lost)}
+    classified = classify(cands, lost)
+    if counters is not None:
+        classified = observed(classified, "classified", finding_counters(), counters)
+    return {"candidates": cands, "collisions": coll, "resolved": resolved, "losers": lost, "classified": classified}
 
 
 def collision_audit(cands: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -143,12 +149,12 @@ def collision_audit(cands: DataFrame, resolved: DataFrame) -> DataFrame:
         "service_key", "http_method", "resource_path", "reg_api_id", "n_tied")
 
 
-def phase_metrics(cands: DataFrame, classified: DataFrame) -> DataFrame:
-    """C18 (comparison part): managed / unmanaged / shadow / drift counts of a cycle."""
-    c = cands.agg(F.count_if(F.col("reg_api_id").isNotNull()).alias("managed"),
-                  F.count_if(F.col("reg_api_id").isNull()).alias("unmatched"))
-    k = classified.agg(F.count(F.lit(1)).alias("unmanaged"),
-                       F.count_if(F.col("classification") == "SHADOW").alias("shadow"),
-                       F.count_if(F.col("classification") == "DRIFT").alias("drift"))
-    return c.select("managed", "unmatched", k.select("unmanaged").scalar().alias("unmanaged"),
-                    k.select("shadow").scalar().alias("shadow"), k.select("drift").scalar().alias("drift"))
+def candidate_counters() -> dict[str, Column]:
+    """Managed and unmatched APIs of a cycle."""
+    return {"managed": F.count_if(F.col("reg_api_id").isNotNull()), "unmatched": F.count_if(F.col("reg_api_id").isNull())}
+
+
+def finding_counters() -> dict[str, Column]:
+    """Findings of a cycle, by class."""
+    return {"unmanaged": F.count(F.lit(1)), "shadow": F.count_if(F.col("classification") == "SHADOW"),
+            "drift": F.count_if(F.col("classification") == "DRIFT")}

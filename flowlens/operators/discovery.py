@@ -1,13 +1,16 @@
 """Phase 1, discovery: flow log -> API signatures -> noise filter -> normalization -> dedup -> fusion.
 
-Shuffles: the signature aggregate (C1, map-side partial), dedup (C3, on few rows), the fusion join
-(J1, equi join on (url, method, epoch second)) and the per-signature attach aggregate (J2-J4, on the
-matched rows only). Regexes run on distinct endpoints, never on raw flows.
+Shuffles: the signature aggregate (C1, map-side partial), dedup (C3, on few rows), the evidence aggregate of the
+observation rows (J2-J4, map-side partial, after the rows of other URLs were dropped), which is partitioned as the fusion
+join needs it (J1, equi join on (url, method, epoch second)), and the merge of a signature's evidence. Regexes run on
+distinct endpoints, never on raw flows. A stream aggregates signatures and evidence of a window in one pass (``roles``).
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,42 +100,37 @@ def observations(flows: DataFrame, point: str) -> DataFrame:
     return flows.where(F.col("observation_point") == point).select(*cols)
 
 
-def traffic_filter(flows: DataFrame, opts: Options, start=None, end=None) -> DataFrame:
+def is_traffic(opts: Options) -> Column:
     """B1: observation point, L4 protocol, L7 protocols, direction score; method and endpoint present.
 
     Written on raw columns so every conjunct reaches the parquet scan as a pushed filter.
     """
-    cond = ((F.col("observation_point") == opts.observation_point)
+    return ((F.col("observation_point") == opts.observation_point)
             & (F.col("protocol") == opts.protocol)
             & F.col("l7_protocol_str").isin(list(opts.l7_protocols))
             & (F.col("direction_score") >= opts.min_direction_score)
             & (F.col("endpoint") != "") & (F.col("request_type") != ""))
-    return time_window(flows.where(cond), start, end)
 
 
-# --------------------------------------------------------------------------------- C1, C2, C4
+def traffic_filter(flows: DataFrame, opts: Options, start=None, end=None) -> DataFrame:
+    return time_window(flows.where(is_traffic(opts)), start, end)
 
-def signatures(filtered: DataFrame, cycle: str | None = None) -> DataFrame:
-    """C1 (+A3b, B2): group by method, endpoint, port, agent; count; one coherent sample row.
 
-    The sample is the earliest row by (start_time, flow_id), taken inside the same aggregate as the
-    count (partial aggregation on the map side; no second pass over the flows). With ``cycle`` (an
-    interval such as '5 minutes') the aggregate is also per tumbling event-time window, which is
-    what a streaming run emits once the watermark passes the window end.
-    """
+# --------------------------------------------------------------------------------- C1, C2, C4
+
+def signature_aggregates(rows: Column | None = None) -> list[Column]:
+    """Hits, newest time and one coherent sample, the earliest row by (start_time, flow_id), of the given rows of a
+    group (all of them by default)."""
+    of = (lambda c: c) if rows is None else (lambda c: F.when(rows, c))
     sample = F.struct("start_time", "flow_id", "request_resource", "request_domain", "is_tls",
                       "l7_protocol_str", "version", "response_code", "response_duration")
-    keys = [F.col("request_type").alias("http_method"), "endpoint", "server_port", "agent_id"]
-    if cycle is not None:
-        # windows (and stream watermarks) are defined on TIMESTAMP; the session time zone is UTC
-        ev = F.col("event_time") if "event_time" in filtered.columns else F.col("start_time").cast("timestamp")
-        keys = [F.window(ev, cycle).alias("win")] + keys
-    g = (filtered.groupBy(*keys)
-         .agg(F.count(F.lit(1)).alias("hit_count"), F.min(sample).alias("s"),
-              F.max("start_time").alias("last_seen_at")))
-    lead = ([F.col("win.start").cast("timestamp_ntz").alias("cycle"),
-             F.col("win.end").cast("timestamp_ntz").alias("cycle_end")] if cycle is not None else [])
-    out = g.select(
+    return [F.count(of(F.lit(1))).alias("hit_count"), F.min(of(sample)).alias("s"),
+            F.max(of(F.col("start_time"))).alias("last_seen_at")]
+
+
+def signature_rows(groups: DataFrame, *lead: Column | str) -> DataFrame:
+    """A3b and B2 on aggregated signatures."""
+    out = groups.select(
         *lead, *SIG_KEY, "hit_count",
         F.coalesce(T.nullif_blank(F.col("s.request_resource")), F.col("endpoint")).alias("sample_url"),
         epoch_second("s.start_time").alias("sample_second"),
@@ -146,6 +144,24 @@ def signatures(filtered: DataFrame, cycle: str | None = None) -> DataFrame:
     return out.where(~T.blank("http_method") & ~T.blank("endpoint") & (F.col("hit_count") > 0))
 
 
+def signatures(filtered: DataFrame, cycle: str | None = None) -> DataFrame:
+    """C1 (+A3b, B2): group by method, endpoint, port, agent; count; one coherent sample row.
+
+    The sample is taken inside the same aggregate as the count (partial aggregation on the map side; no second pass over
+    the flows). With ``cycle`` (an interval such as '5 minutes') the aggregate is also per tumbling event-time window.
+    """
+    keys = [F.col("request_type").alias("http_method"), "endpoint", "server_port", "agent_id"]
+    if cycle is None:
+        return signature_rows(filtered.groupBy(*keys).agg(*signature_aggregates()))
+    # windows are defined on TIMESTAMP; the session time zone is UTC
+    win = F.window(F.col("start_time").cast("timestamp"), cycle).alias("win")
+    return signature_rows(filtered.groupBy(win, *keys).agg(*signature_aggregates()), *cycle_columns())
+
+
+def cycle_columns() -> list[Column]:
+    return [F.col("win.start").cast("timestamp_ntz").alias("cycle"), F.col("win.end").cast("timestamp_ntz").alias("cycle_end")]
+
+
 def signature_order() -> list[Column]:
     """Total order of the source query (hits descending), ties by the signature key."""
     return [F.desc("hit_count"), F.asc("http_method"), F.asc("endpoint"), F.asc("server_port"),
@@ -174,38 +190,56 @@ def total_hits(sigs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- B3-B7b
 
-def noise_reason(opts: Options) -> Column:
-    """First matching noise rule in the reference order, NULL when the signature is kept."""
+#: Kinds of exclusion tables: the signature's side of the key, and whether it is compared as text in lower case.
+EXCLUDABLE = {"agent": lambda: F.col("agent_id").cast("long"), "port": lambda: F.col("server_port").cast("long"),
+              "domain": lambda: T.domain_key("request_domain")}
+
+
+def excluded(sigs: DataFrame, exclusions: dict[str, DataFrame], how: str) -> DataFrame:
+    """B3-B5 for sets of any size: signatures joined with tables whose first column holds excluded agents, ports or
+    domains. ``how`` is left_anti, or left to mark the hits in columns in_agent, in_port and in_domain.
+
+    No side is declared small: Spark broadcasts a table once its written size has turned out to allow it, and shuffles
+    both sides beyond that.
+    """
+    for kind, table in exclusions.items():
+        value = F.col(table.columns[0])
+        keys = table.select((F.lower(value) if kind == "domain" else value.cast("long")).alias("_x")).where("_x is not null")
+        keys = keys.distinct() if how == "left_anti" else keys.distinct().withColumn(f"in_{kind}", F.lit(True))
+        sigs = sigs.withColumn("_key", EXCLUDABLE[kind]()).join(keys, F.col("_key") == F.col("_x"), how).drop("_key", "_x")
+    return sigs
+
+
+def noise_reason(opts: Options, marked=()) -> Column:
+    """First matching noise rule in the reference order, NULL when the signature is kept. ``marked`` are the kinds
+    whose hits ``excluded`` has marked."""
     rules = []
-    if opts.excluded_agent_ids:
-        rules.append((F.col("agent_id").isin(list(opts.excluded_agent_ids)), "agent"))
-    if opts.excluded_ports:
-        rules.append((F.col("server_port").isin(list(opts.excluded_ports)), "port"))
-    if opts.excluded_domains:
-        rules.append((T.domain_key("request_domain").isin([d.lower() for d in opts.excluded_domains]), "domain"))
+    inline = {"agent": [*opts.excluded_agent_ids], "port": [*opts.excluded_ports], "domain": [d.lower() for d in opts.excluded_domains]}
+    for kind, values in inline.items():
+        tests = [EXCLUDABLE[kind]().isin(values)] if values else []
+        tests += [F.coalesce(F.col(f"in_{kind}"), F.lit(False))] if kind in marked else []
+        if tests:
+            rules.append((reduce(or_, tests), kind))
     if opts.path_exact:
         rules.append((F.col("endpoint").isin(list(opts.path_exact)), "path_exact"))
     if opts.path_patterns:
         low = F.lower(T.nz(F.col("endpoint")))
-        any_pat = None
-        for p in opts.path_patterns:
-            c = low.contains(p.lower())
-            any_pat = c if any_pat is None else (any_pat | c)
-        rules.append((any_pat, "path_pattern"))
+        rules.append((reduce(or_, [low.contains(p.lower()) for p in opts.path_patterns]), "path_pattern"))
     expr = None
     for cond, name in rules:
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return F.lit(None).cast("string") if expr is None else expr
 
 
-def drop_noise(sigs: DataFrame, opts: Options) -> DataFrame:
-    """Keep signatures that no noise rule removes."""
-    return sigs.where(noise_reason(opts).isNull())
+def drop_noise(sigs: DataFrame, opts: Options, exclusions: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Keep signatures that no noise rule and no exclusion table removes."""
+    return excluded(sigs.where(noise_reason(opts).isNull()), exclusions or {}, "left_anti")
 
 
-def noise_audit(sigs: DataFrame, opts: Options) -> DataFrame:
+def noise_audit(sigs: DataFrame, opts: Options, exclusions: dict[str, DataFrame] | None = None) -> DataFrame:
     """Count of signatures and hits per noise reason ('kept' for survivors)."""
-    return (sigs.withColumn("reason", F.coalesce(noise_reason(opts), F.lit("kept")))
+    marked = excluded(sigs, exclusions or {}, "left")
+    return (marked.withColumn("reason", F.coalesce(noise_reason(opts, tuple(exclusions or ())), F.lit("kept")))
             .groupBy("reason")
             .agg(F.count(F.lit(1)).alias("signatures"), F.sum("hit_count").cast("bigint").alias("hits")))
 
@@ -244,76 +278,119 @@ def dedup(sigs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- J1 - J4
 
-def _first(cond: Column, value: Column) -> Column:
-    """Value of the earliest (start_time, flow_id) row among rows meeting cond."""
-    return F.min(F.when(cond, F.struct(F.col("start_time"), F.col("flow_id"), value.alias("v"))))["v"]
-
-
 NO_TIME = -(1 << 40)  # stands for the second of a row without a time
+POINTS = ("s-p", "s", "c-p")
+URL_BITS = 1 << 27  # at most, of the filter by sample URLs: 2^21 words of 64 bits are broadcast
 
 
 def _ntz(second: int) -> Column:
     return F.lit(str(datetime(1970, 1, 1) + timedelta(seconds=second))).cast("timestamp_ntz")
 
 
-def fuse(sigs: DataFrame, flows: DataFrame, opts: Options) -> DataFrame:
+def _evidence() -> dict[str, tuple]:
+    """Per output, whether the first or the last row by (start_time, flow_id) counts, which rows, and their value."""
+    sp, s, cp = (F.col("observation_point") == p for p in POINTS)
+    named = lambda c: T.nz(F.col(c)) != ""
+    server = F.struct(*[T.nz(F.col(src)).alias(dst) for src, dst in zip(
+        ["pod_service_1", "pod_ns_1", "pod_group_1", "pod_1", "pod_cluster_1", "pod_node_1", "chost_1", "process_kname_1",
+         "ip4_1"], SP_LAST_COLS, strict=True)])
+    client = dict(zip(CP_COLS, ["ip4_0", "process_kname_0", "pod_0", "pod_ns_0", "pod_service_0", "pod_cluster_0", "chost_0"],
+                      strict=True))
+    return {"sp": (F.max, sp, server), "sp_domain": (F.min, sp & named("request_domain"), F.col("request_domain")),
+            "source_ip": (F.min, s & named("ip4_0"), F.col("ip4_0")), "host_ip": (F.min, s & named("ip4_1"), F.col("ip4_1")),
+            "is_external": (F.min, s, F.coalesce(F.col("is_internet_0"), F.lit(False))),
+            **{dst: (F.min, cp & named(src), F.col(src)) for dst, src in client.items()}}
+
+
+def evidence_aggregates(rows: Column | None = None) -> list[Column]:
+    """One (start_time, flow_id, value) an output, of the given observation rows of a group; ``merged_evidence`` joins
+    such groups."""
+    both = (lambda c: c) if rows is None else (lambda c: c & rows)
+    return [pick(F.when(both(cond), F.struct("start_time", "flow_id", value.alias("v")))).alias(name)
+            for name, (pick, cond, value) in _evidence().items()]
+
+
+def evidence_names() -> list[str]:
+    return list(_evidence())
+
+
+def merged_evidence() -> list[Column]:
+    return [pick(name)["v"].alias(name) for name, (pick, _, _) in _evidence().items()]
+
+
+def _candidates(sigs: DataFrame) -> DataFrame:
+    """Signatures whose sample URL may be looked up (B23), with their place in the source order and key."""
+    keys = (["cycle"] if "cycle" in sigs.columns else []) + DEDUP_KEY
+    return (sigs.where(T.is_enrichable("sample_url"))
+            .select(F.col("sample_url").alias("url"), F.col("http_method").alias("method"), F.col("sample_second").alias("sec"),
+                    *[c for c in ("cycle",) if c in sigs.columns],
+                    F.struct("rank", *[F.col(k).alias(f"k_{k}") for k in keys]).alias("w")))
+
+
+def sampled_urls(rows: DataFrame, cand: DataFrame, n: int) -> DataFrame:
+    """Rows whose (url, method) is among the candidates', and a share of others (about one in 16).
+
+    A bit for each hash of a sample URL, 16 for each of the ``n`` candidates but ``URL_BITS`` at most, in words of 64 bits
+    that are broadcast: a table whose size has a bound whatever the input. The join drops rows before they are shuffled.
+    """
+    bits = min(URL_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64("url", "method"), F.lit(bits))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    marks = (cand.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mark"))
+             .groupBy("word").agg(F.bit_or("mark").alias("marks")))
+    hit = F.call_function("shiftright", F.col("marks"), bit).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("word", word).join(F.broadcast(marks), "word").where(hit).drop("word", "marks")
+
+
+def sample_bounds(sigs: DataFrame):
+    """One row over the signatures that may be looked up: lo and hi second, n, and how many have no time (untimed)."""
+    return _candidates(sigs).agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"), F.count("*").alias("n"),
+                                 F.count(F.when(F.col("sec").isNull(), 1)).alias("untimed")).first()
+
+
+def observation_evidence(flows: DataFrame, sigs: DataFrame, opts: Options, known=None) -> DataFrame:
+    """J1b and J2-J4 on a flow log: evidence by (url, method, sec) of the rows that can meet one of the signatures;
+    ``known`` are their bounds."""
+    slack, known = opts.fusion_tolerance_ms // 1000, known or sample_bounds(sigs)
+    rows = (flows.where(F.col("observation_point").isin(*POINTS))
+            .select("flow_id", "start_time", "observation_point", F.col("request_resource").alias("url"),
+                    F.col("request_type").alias("method"),
+                    F.coalesce(epoch_second("start_time"), F.lit(NO_TIME).cast("long")).alias("sec"), *FUSION_SIDE_COLUMNS))
+    if known["untimed"] == 0 and known["lo"] is not None:
+        rows = rows.where(F.col("start_time").isNull() | (
+            (F.col("start_time") >= _ntz(known["lo"] - slack)) & (F.col("start_time") < _ntz(known["hi"] + slack + 1))))
+    return sampled_urls(rows, _candidates(sigs), known["n"]).groupBy("url", "method", "sec").agg(*evidence_aggregates())
+
+
+def fuse(sigs: DataFrame, evidence: DataFrame, opts: Options, untimed: bool = False) -> DataFrame:
     """Attach server-process, server-network and client-process observations to signatures.
 
-    Each observation row goes to the first signature (by ``rank``) with the same sample URL and method whose sample time
-    is within the tolerance; an unknown time on either side matches any time. Times are whole epoch seconds, so a
-    tolerance is that many whole seconds. The first signature per (url, method, second) is picked on the signature side,
-    where a tolerance of t seconds repeats a row 2t + 1 times; rows without a time meet the first signature of the
-    (url, method) under a second of its own. So all observation rows of the signatures' time range (J1b, pushed to the
-    scan) meet it in one inner equi join. Only signatures without a time, where there are any, need a second one.
+    ``evidence`` has observation rows aggregated by (url, method, sec), as all rows of one second meet the same signature:
+    the first (by ``rank``, in each cycle) with their URL and method whose sample time is within the tolerance; an unknown
+    time on either side matches any time. Times are whole epoch seconds, so a tolerance is that many whole seconds. The
+    first signature per (url, method, second) is picked on the signature side, where a tolerance of t seconds repeats a row
+    2t + 1 times; evidence without a time meets the first signature of the (url, method) under a second of its own. So
+    everything meets in one inner equi join. Only where signatures are ``untimed`` are the seconds of the evidence looked up
+    by (url, method) first. Evidence of a stream bears the cycle of its window and meets that cycle's signatures alone.
     """
     slack = opts.fusion_tolerance_ms // 1000
-    # only allow-listed sample URLs are looked up at all
     keys = (["cycle"] if "cycle" in sigs.columns else []) + DEDUP_KEY
-    cand = (sigs.where(T.is_enrichable("sample_url"))
-            .select(F.col("sample_url").alias("url"), F.col("http_method").alias("method"),
-                    F.col("sample_second").alias("sec"),
-                    F.struct("rank", *[F.col(k).alias(f"k_{k}") for k in keys]).alias("w")))
-    known = cand.agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"),
-                     F.count(F.when(F.col("sec").isNull(), 1)).alias("untimed")).first()
+    cand = _candidates(sigs)
+    lead = [c for c in ("cycle",) if c in cand.columns]
+    same = [c for c in lead if c in evidence.columns]
+    at = [*same, "url", "method", "sec"]
+    no_time = F.lit(NO_TIME).cast("long")
     near = cand.where(F.col("sec").isNotNull()).withColumn(
         "sec", F.explode(F.sequence(F.col("sec") - slack, F.col("sec") + slack)) if slack else F.col("sec"))
-    no_time = F.lit(NO_TIME).cast("long")
-    pick = (near.union(cand.withColumn("sec", no_time)).groupBy("url", "method", "sec").agg(F.min("w").alias("w")))
-
-    obs = (flows.where(F.col("observation_point").isin("s-p", "s", "c-p"))
-           .select("flow_id", "start_time", "observation_point",
-                   F.col("request_resource").alias("url"), F.col("request_type").alias("method"),
-                   F.coalesce(epoch_second("start_time"), no_time).alias("sec"), *FUSION_SIDE_COLUMNS))
-    if known["untimed"] == 0:
-        if known["lo"] is not None:
-            obs = obs.where(F.col("start_time").isNull() | (
-                (F.col("start_time") >= _ntz(known["lo"] - slack)) & (F.col("start_time") < _ntz(known["hi"] + slack + 1))))
-        matched = obs.join(pick, ["url", "method", "sec"])
-    else:
-        untimed = cand.where(F.col("sec").isNull()).groupBy("url", "method").agg(F.min("w").alias("w2"))
-        matched = (obs.join(pick, ["url", "method", "sec"], "left").join(untimed, ["url", "method"], "left")
-                   .withColumn("w", F.least("w", "w2")).drop("w2").where(F.col("w").isNotNull()))
-
-    sp = F.col("observation_point") == "s-p"
-    s = F.col("observation_point") == "s"
-    cp = F.col("observation_point") == "c-p"
-    sp_last = F.max(F.when(sp, F.struct(F.col("start_time"), F.col("flow_id"),
-                                        *[T.nz(F.col(src)).alias(dst) for src, dst in
-                                          [("pod_service_1", "k8s_service"), ("pod_ns_1", "k8s_namespace"),
-                                           ("pod_group_1", "k8s_workload"), ("pod_1", "k8s_pod"),
-                                           ("pod_cluster_1", "k8s_cluster"), ("pod_node_1", "k8s_node"),
-                                           ("chost_1", "vm_hostname"), ("process_kname_1", "process_name"),
-                                           ("ip4_1", "service_ip")]])))
-    cp_src = dict(zip(CP_COLS, ["ip4_0", "process_kname_0", "pod_0", "pod_ns_0", "pod_service_0",
-                                "pod_cluster_0", "chost_0"]))
-    att = matched.groupBy(*[F.col("w").getField(f"k_{k}").alias(k) for k in keys]).agg(
-        sp_last.alias("sp"),
-        _first(sp & (T.nz(F.col("request_domain")) != ""), F.col("request_domain")).alias("sp_domain"),
-        _first(s & (T.nz(F.col("ip4_0")) != ""), F.col("ip4_0")).alias("source_ip"),
-        _first(s & (T.nz(F.col("ip4_1")) != ""), F.col("ip4_1")).alias("host_ip"),
-        _first(s, F.coalesce(F.col("is_internet_0"), F.lit(False))).alias("is_external"),
-        *[_first(cp & (T.nz(F.col(src)) != ""), F.col(src)).alias(dst) for dst, src in cp_src.items()])
-
+    pick = near.union(cand.withColumn("sec", no_time))
+    if untimed:
+        seconds = evidence.select(*at)
+        anytime = cand.where(F.col("sec").isNull()).drop("sec").join(seconds, [*same, "url", "method"])
+        pick = pick.unionByName(anytime.select(*pick.columns))
+    pick = pick.groupBy(*lead, "url", "method", "sec").agg(F.min("w").alias("w"))
+    matched = evidence.join(pick.drop(*[c for c in lead if c not in same]), at)
+
+    att = matched.groupBy(*[F.col("w").getField(f"k_{k}").alias(k) for k in keys]).agg(*merged_evidence())
     j = sigs.join(att, keys, "left")
     out = j.select(
         *[c for c in sigs.columns if c != "request_domain"],
@@ -327,6 +404,37 @@ def fuse(sigs: DataFrame, flows: DataFrame, opts: Options) -> DataFrame:
     return with_service_identity(out)
 
 
+def roles(flows: DataFrame, opts: Options) -> DataFrame:
+    """A row for each role of a flow row: as traffic under its signature, as observation under (url, method, second).
+
+    Adds kind, http_method, path (endpoint or URL), key_port, key_agent and sec, so that one aggregate serves both. With a
+    fusion tolerance, an observation near the edge of a cycle is also one of the neighbouring cycle (``role_time``).
+    """
+    port, agent = flows.schema["server_port"].dataType, flows.schema["agent_id"].dataType
+    at = F.col("start_time").cast("timestamp")
+    role = F.struct(F.lit("signature").alias("kind"), F.col("request_type").alias("http_method"), F.col("endpoint").alias("path"),
+                    F.col("server_port").alias("key_port"), F.col("agent_id").alias("key_agent"),
+                    F.lit(None).cast("long").alias("sec"), at.alias("role_time"))
+
+    def seen(time: Column) -> Column:
+        return F.struct(F.lit("observation").alias("kind"), F.col("request_type").alias("http_method"),
+                        F.col("request_resource").alias("path"), F.lit(None).cast(port).alias("key_port"),
+                        F.lit(None).cast(agent).alias("key_agent"), epoch_second("start_time").alias("sec"),
+                        time.alias("role_time"))
+
+    is_seen = F.col("observation_point").isin(*POINTS)
+    made = [F.when(is_traffic(opts), role), F.when(is_seen, seen(at))]
+    slack = opts.fusion_tolerance_ms // 1000
+    if slack:
+        win, step = F.window_time(F.window(at, opts.poll_interval)), F.expr("INTERVAL 1 microsecond")
+        end = win + step
+        begin = end - F.expr(f"INTERVAL {opts.poll_interval}")
+        wide = F.expr(f"INTERVAL {slack} seconds")
+        made += [F.when(is_seen & (at + wide >= end), seen(end)), F.when(is_seen & (at - wide < begin), seen(begin - step))]
+    tagged = flows.where(is_traffic(opts) | is_seen).withColumn("role", F.explode(F.array_compact(F.array(*made))))
+    return tagged.select("*", "role.*").drop("role")
+
+
 # ------------------------------------------------------------------------------ B16 - B18
 
 def service_key() -> Column:
@@ -390,8 +498,8 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ------------------------------------------------------------------------------- pipeline
 
-def discover_batch(flows: DataFrame, opts: Options, start=None, end=None,
-                   cycle: str | None = None) -> dict[str, DataFrame]:
+def discover_batch(flows: DataFrame, opts: Options, start=None, end=None, cycle: str | None = None,
+                   exclusions: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """A1 -> B1 -> C1 -> C2 -> B7b -> B8 -> C3 -> J1-J4 -> B16-B18 -> B22, as lazy DataFrames.
 
     ``cycle`` replays the range as tumbling cycles of that length (batch twin of the stream).
@@ -399,21 +507,22 @@ def discover_batch(flows: DataFrame, opts: Options, start=None, end=None,
     windowed = time_window(flows, start, end)
     sigs = signatures(traffic_filter(windowed, opts), cycle)
     top = top_signatures(sigs, opts.max_signatures)
-    kept = drop_noise(top, opts)
+    kept = drop_noise(top, opts, exclusions)
     # the cycle's signature set is read by four branches of the fusion plan; writing it once keeps
     # the flow log to a single aggregation pass instead of one per branch
     deduped = materialize(dedup(normalize(kept, opts)), "signatures")
-    fused = fuse(deduped, windowed, opts)
+    known = sample_bounds(deduped)
+    fused = fuse(deduped, observation_evidence(windowed, deduped, opts, known), opts, known["untimed"] > 0)
     good, rejects = split_valid(fused)
     return {"signatures": sigs, "top": top, "kept": kept, "deduped": deduped, "fused": fused,
             "valid": good, "rejects": rejects}
 
 
-def after_signatures(sigs: DataFrame, flows: DataFrame, opts: Options) -> dict[str, DataFrame]:
-    """C2 -> B7b -> B8 -> C3 -> J1-J4 -> B22 on already aggregated signatures (stream side)."""
+def after_signatures(sigs: DataFrame, evidence: DataFrame, opts: Options) -> dict[str, DataFrame]:
+    """C2 -> B7b -> B8 -> C3 -> J1-J4 -> B22 on already aggregated signatures and evidence (stream side)."""
     kept = drop_noise(top_signatures(sigs, opts.max_signatures), opts)
     deduped = materialize(dedup(normalize(kept, opts)), "signatures")
-    fused = fuse(deduped, flows, opts)
+    fused = fuse(deduped, evidence, opts)
     good, rejects = split_valid(fused)
     return {"kept": kept, "deduped": deduped, "fused": fused, "valid": good, "rejects": rejects}
 
@@ -443,8 +552,7 @@ def merge_discovered(state: DataFrame | None, batch: DataFrame, as_of) -> DataFr
     """Discovered upsert. Hits add; overwrite / coalesce(new, old) / keep-first per column.
 
     ``batch`` is the output of batch_records. Seen times are event times, so a batch of older rows never moves
-    last_seen_at back or leaves first_seen_at too late. One outer join on the key; a ``StateTable`` hands in only the
-    buckets that the batch touches.
+    last_seen_at back or leaves first_seen_at too late. One outer join on the key.
     """
     ts = F.lit(str(as_of)).cast("timestamp_ntz")
     if state is None:

@@ -133,6 +133,11 @@ def merge_managed(api_state: DataFrame | None, op_state: DataFrame | None, apis:
     return merged, op_merged, rejects
 
 
+def sync_counters() -> dict[str, Column]:
+    """C18 (managed sync): created / updated / unchanged APIs."""
+    return {c: F.count_if(F.col("sync_class") == c) for c in ("created", "updated", "unchanged")}
+
+
 def detect_deleted(api_state: DataFrame, current: DataFrame) -> DataFrame:
     """Active stored APIs absent from the current list; nothing when the list is empty.
 

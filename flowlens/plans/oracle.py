@@ -25,6 +25,21 @@ FIRST = ["service_type", "protocol", "is_tls", "http_version", "server_port", "p
 BLANK_IS_NULL = ["source_ip", "host_ip", "source_service_ip", "source_process_name", "source_k8s_pod",
                  "source_k8s_namespace", "source_k8s_service", "source_k8s_cluster", "source_vm_hostname"]
 TIMES_AND_HITS = ["first_seen_at", "last_seen_at", "hit_count"]
+#: What a document's input takes from the discovered row.
+FINDING_FACTS = ["service_type", "protocol", "is_tls", "http_version", "server_port", "process_name", "k8s_namespace", "k8s_service",
+                 "k8s_workload", "k8s_cluster", "k8s_pod", "k8s_node", "vm_hostname", "request_domain", "service_ip", "host_ip",
+                 "traffic_origin", "sample_url", "sample_path", "agent_name", "response_code", "latency_us", "hit_count",
+                 "first_seen_at", "last_seen_at"]
+#: Notes of catalog entries, and when the scenarios dismiss and push.
+SHADOW_LEAD, DRIFT_LEAD = "[SHADOW] unregistered service ", "[DRIFT] unregistered operations of service "
+SEEN_END = ", seen in traffic"
+DISMISS_AT, PUSH_AS_OF = "2024-01-15 01:00:00", "2024-01-30 12:00:00"
+#: Texts of the generated documents.
+SHADOW_TEXT = "Nothing that this service offers is registered; the operations below were seen in traffic (SHADOW)."
+DRIFT_TEXT = ("Service %s is registered as '%s %s'. The operations below were seen in its traffic but are absent from that "
+              "registration (DRIFT).")
+SEEN_TEXT, SAMPLE_TEXT = "Seen in traffic.", "Seen in traffic, for example %s %s"
+STATUS_TEXT, ANY_STATUS_TEXT = "Answered with status %d", "Answered"
 ALL_COLUMNS = KEY_COLUMNS + FIRST + NEWEST + NEWEST_KNOWN + TIMES_AND_HITS
 
 
@@ -422,9 +437,20 @@ WHERE c.reg_api_id IS NULL OR c.lost""", ["cands", "losers"])
                  "AS BIGINT)) AS t FROM sp_filtered", ["sp_filtered"])
         self.add("flows_ws", "SELECT * FROM flows WHERE start_time < (SELECT t FROM stream_end)", ["flows", "stream_end"])
         self.clone(self.DISCOVERY_CHAIN, "ws", {"flows": "flows_ws"})
+        # each 5-minute cycle of them alone: agents get other numbers in other cycles, so nothing meets across cycles
+        self.add("flows_cyc", "SELECT * REPLACE (agent_id + 1000 * CAST(epoch_us(start_time) // 300000000 AS BIGINT) AS agent_id) "
+                 "FROM flows_ws", ["flows_ws"])
+        self.clone(self.DISCOVERY_CHAIN, "cyc", {"flows": "flows_cyc"})
+        self.add("flows_w2s", "SELECT * FROM flows_w2 WHERE start_time < (SELECT t FROM stream_end)", ["flows_w2", "stream_end"])
+        self.clone(self.DISCOVERY_CHAIN, "w2s", {"flows": "flows_w2s"})
+        self.add("discovered_ms", "SELECT " + ", ".join(f"{rule(c)} AS {c}" for c in ALL_COLUMNS)
+                 + f" FROM discovered_w1 o FULL OUTER JOIN discovered_w2s n ON {on}", ["discovered_w1", "discovered_w2s"])
         self.add("flows_edge", "SELECT * REPLACE (CASE WHEN agent_id = 3 THEN repeat('d', "
                  f"{fx.EDGE_DOMAIN_WIDTH}) ELSE request_domain END AS request_domain) FROM flows", ["flows"])
         self.clone(self.DISCOVERY_CHAIN, "edge", {"flows": "flows_edge"})
+        self.add("flows_tw", fx.TWIN_SQL, ["flows"])
+        self.clone(self.DISCOVERY_CHAIN, "tw", {"flows": "flows_tw"})
+        self.clone(self.COMPARISON_CHAIN, "tw", {"discovered": "discovered_tw"})
         self.clone(self.COMPARISON_CHAIN, "w1", {"discovered": "discovered_w1"})
         # registered side that grows between the cycles: findings are resolved, and classes change
         self.add("m_ops_half", "SELECT * FROM m_ops WHERE CAST(substr(reg_api_id, 5, 3) AS INTEGER) % 2 = 0", ["m_ops"])
@@ -438,9 +464,11 @@ WHERE c.reg_api_id IS NULL OR c.lost""", ["cands", "losers"])
                  "CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at WHERE 1 = 0")
         self.cycle("u1", "u0", "classified_w1", "discovered_w1", fx.STATE_SPLIT)
         self.cycle("u2", "u1", "classified_m", "discovered_m", fx.AS_OF)
+        self.clone(self.COMPARISON_CHAIN, "ms", {"discovered": "discovered_ms"})
+        self.cycle("us2", "u1", "classified_ms", "discovered_ms", "(SELECT t FROM stream_end)")
+        self.cycle("ut", "u0", "classified_tw", "discovered_tw", fx.AS_OF)
         self.cycle("uh1", "u0", "classified_h1", "discovered_w1", fx.STATE_SPLIT)
         self.cycle("uh2", "uh1", "classified_m", "discovered_m", fx.AS_OF)
-        from .scenarios import DISMISS_AT
         self.add("u1d", f"""
 SELECT * REPLACE (CASE WHEN confidence = 'LOW' THEN 'DISMISSED' ELSE status END AS status,
                   CASE WHEN confidence = 'LOW' THEN TIMESTAMP {q(DISMISS_AT)} ELSE updated_at END AS updated_at)
@@ -448,7 +476,8 @@ FROM u1""", ["u1"])
         self.cycle("u2d", "u1d", "classified_m", "discovered_m", fx.AS_OF)
 
     def cycle(self, name, prev, classified, disc, as_of):
-        ts = f"TIMESTAMP {q(as_of)}"
+        ts = as_of if as_of.startswith("(") else f"TIMESTAMP {q(as_of)}"  # a time, or a subquery for one
+        deps = ["stream_end"] if "stream_end" in ts else []
         after = self.opts.stale_after
         on = " AND ".join(f"o.{k} = n.{k}" for k in ("service_key", "http_method", "resource_path"))
         reopen = ("(o.classification <> n.classification OR o.managed_api_id IS DISTINCT FROM n.managed_api_id "
@@ -467,12 +496,12 @@ SELECT coalesce(o.service_key, n.service_key) AS service_key, coalesce(o.http_me
        WHEN {reopen} THEN NULL ELSE o.resolved_at END AS resolved_at,
   CASE WHEN o.service_key IS NULL THEN {ts} ELSE o.created_at END AS created_at,
   o.updated_at, o.status AS prev_status
-FROM {prev} o FULL OUTER JOIN {classified} n ON {on}""", [prev, classified])
+FROM {prev} o FULL OUTER JOIN {classified} n ON {on}""", [prev, classified, *deps])
         self.add(f"{name}_e8", f"""
 SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'RESOLVED' ELSE status END AS status,
                                 CASE WHEN hit THEN {ts} ELSE resolved_at END AS resolved_at)
 FROM (SELECT *, status NOT IN ('DISMISSED', 'RESOLVED', 'STALE') AND last_confirmed_at < {ts}
-        AND EXISTS (SELECT 1 FROM {disc}) AS hit FROM {name}_e7) x""", [f"{name}_e7", disc])
+        AND EXISTS (SELECT 1 FROM {disc}) AS hit FROM {name}_e7) x""", [f"{name}_e7", disc, *deps])
         self.add(f"{name}_e9", f"""
 SELECT * EXCLUDE (hit, d_last) REPLACE (CASE WHEN hit THEN 'STALE' ELSE status END AS status,
                                         CASE WHEN hit THEN {ts} ELSE resolved_at END AS resolved_at)
@@ -480,15 +509,14 @@ FROM (SELECT u.*, d.last_seen_at AS d_last,
         coalesce(u.status NOT IN ('DISMISSED', 'RESOLVED', 'STALE')
                  AND d.last_seen_at < {ts} - INTERVAL '{after}', false) AS hit
       FROM {name}_e8 u LEFT JOIN {disc} d ON u.service_key = d.service_key AND u.http_method = d.http_method
-       AND u.resource_path = d.resource_path) x""", [f"{name}_e8", disc])
+       AND u.resource_path = d.resource_path) x""", [f"{name}_e8", disc, *deps])
         self.add(name, f"""
 SELECT * EXCLUDE (prev_status) REPLACE (
   CASE WHEN prev_status IS NULL OR prev_status <> status THEN {ts} ELSE updated_at END AS updated_at)
-FROM {name}_e9""", [f"{name}_e9"])
+FROM {name}_e9""", [f"{name}_e9", *deps])
 
     # ------------------------------------------------------------------------ specs (J8, C17, F*)
     def _define_specs(self):
-        from ..operators.specs import META_COLS
         term = "('DISMISSED', 'RESOLVED', 'STALE')"
         key_on = "u.service_key = d.service_key AND u.http_method = d.http_method AND u.resource_path = d.resource_path"
         grp_on = ("g.service_key = u.service_key AND g.classification = u.classification "
@@ -507,7 +535,7 @@ FROM {name}_e9""", [f"{name}_e9"])
                  ["u2"])
         self.add("sp_input", f"""
 SELECT u.managed_api_id, u.service_key, u.http_method, u.resource_path, u.classification, u.confidence,
-  {', '.join(meta(c) for c in META_COLS)},
+  {', '.join(meta(c) for c in FINDING_FACTS)},
   coalesce(a.api_name, '') AS parent_api_name, coalesce(a.api_version, '') AS parent_api_version
 FROM u2 u JOIN discovered_m d ON {key_on}
 LEFT JOIN m_apis a ON a.reg_api_id = u.managed_api_id
@@ -561,6 +589,8 @@ FROM sp_paths GROUP BY ALL HAVING count(*) <> count(DISTINCT operation_id)""", [
 SELECT * FROM sp_groups g WHERE NOT EXISTS (SELECT 1 FROM sp_rejects r WHERE r.service_key = g.service_key
   AND r.classification = g.classification AND r.managed_api_id IS NOT DISTINCT FROM g.managed_api_id)""",
                  ["sp_groups", "sp_rejects"])
+        self.clone(("sp_groups", "sp_input", "sp_stats", "sp_opids", "sp_paths_all", "sp_paths", "sp_rejects"), "tw",
+                   {"u2": "ut", "discovered_m": "discovered_tw"})
         ts = f"TIMESTAMP {q(fx.AS_OF)}"
         self.add("u3", f"""
 SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'SPEC_GENERATED' ELSE status END AS status,
@@ -574,8 +604,6 @@ FROM (SELECT u.*, CAST(NULL AS TIMESTAMP) AS spec_generated_at,
 
     # ------------------------------------------------------------------- catalog (C13, G*, E11/12)
     def _define_catalog(self):
-        from ..operators.catalog import DRIFT_NOTE, SHADOW_NOTE
-        from .scenarios import PUSH_AS_OF
         o = self.opts
         term = "('DISMISSED', 'RESOLVED', 'STALE')"
         self.add("catalog_src", fx.CATALOG_SRC_SQL)
@@ -595,8 +623,8 @@ ORDER BY service_key, classification, managed_api_id, catalog_service_id NULLS L
             keep.append("g.classification <> 'SHADOW'")
         if not o.push_drift:
             keep.append("g.classification <> 'DRIFT'")
-        note = (f"CASE WHEN g.classification = 'SHADOW' THEN printf({q(SHADOW_NOTE)}, g.service_key) "
-                f"ELSE printf({q(DRIFT_NOTE)}, g.service_key) END")
+        note = (f"CASE WHEN g.classification = 'SHADOW' THEN {q(SHADOW_LEAD)} || g.service_key || {q(SEEN_END)} "
+                f"ELSE {q(DRIFT_LEAD)} || g.service_key || {q(SEEN_END)} END")
         base = ("CASE WHEN g.catalog_service_id IS NULL THEN 'CREATE' WHEN c.id IS NOT NULL THEN 'UPDATE' "
                 f"WHEN {str(bool(o.re_push_deleted)).upper()} THEN 'CREATE' ELSE 'SKIP' END")
         self.add("pp_plan", f"""
@@ -623,6 +651,10 @@ FROM (
   LEFT JOIN (SELECT name, min(id) AS id, arg_min(version, id) AS version FROM catalog_src GROUP BY name) n
     ON n.name = h.catalog_name
   WHERE {' AND '.join(keep)}) x""", ["pp_groups", "sp_head", "catalog_src"])
+        # findings that were never pushed, against a catalog with entries of their names
+        self.add("catalog_edge", fx.CATALOG_EDGE_SQL)
+        self.add("u3n", "SELECT *, CAST(NULL AS VARCHAR) AS catalog_service_id FROM u3", ["u3"])
+        self.clone(("pp_groups", "pp_plan"), "edge", {"u3s": "u3n", "catalog_src": "catalog_edge"})
         pts = f"TIMESTAMP {q(PUSH_AS_OF)}"
         self.add("pp_results", """
 SELECT service_key, classification, managed_api_id, action, catalog_version,

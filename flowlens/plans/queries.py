@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Options
 from ..operators import discovery as D
-from ..session import materialize
+from ..session import materialize, observed
 from ..sources import fixtures as fx
-from .oracle import Oracle
+from .oracle import Oracle, strip_port_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, tuple[str, tuple]] = {}
@@ -138,6 +139,37 @@ def q_noise_by_agent_and_port(spark, sf_dir):
     return D.noise_audit(D.discover_batch(flows(spark, sf_dir), OPTS_NOISE)["signatures"], OPTS_NOISE)
 
 
+_NOISE_TABLES = {
+    "agent": ("nation", "SELECT n_nationkey AS agent_id FROM nation WHERE n_nationkey % 24 = 4"),
+    "port": ("region", "SELECT 8080 + r_regionkey AS port FROM region WHERE r_regionkey > 1"),
+    "domain": ("supplier", "SELECT concat('SVC', CAST(s_suppkey AS STRING), '.Shop.example.com') AS domain FROM supplier "
+                           "WHERE s_suppkey % 4 = 3")}
+_IN = {"agent": "agent_id", "port": "server_port", "domain": strip_port_sql("lower(request_domain)")}
+_oracle.add("sigs_excluded", "SELECT *, CASE " + " ".join(
+    f"WHEN {_IN[k]} IN (SELECT {'lower(domain)' if k == 'domain' else '*'} FROM ({sql}) x) OR coalesce(reason = '{k}', false) THEN '{k}'"
+    for k, (_, sql) in _NOISE_TABLES.items()) + " ELSE reason END AS found FROM sigs_reason", ["sigs_reason"])
+
+
+def _noise_tables(spark, sf_dir):
+    fx.register_tables(spark, sf_dir, tuple(t for t, _ in _NOISE_TABLES.values()))
+    return {kind: spark.sql(sql) for kind, (_, sql) in _NOISE_TABLES.items()}
+
+
+@query("noise_by_tables", "SELECT coalesce(found, 'kept') AS reason, count(*) AS signatures, "
+       "CAST(sum(hit_count) AS BIGINT) AS hits FROM sigs_excluded GROUP BY ALL", ["sigs_excluded"])
+def q_noise_by_tables(spark, sf_dir):
+    """Exclusion sets that come from tables, beside those of the options."""
+    return D.noise_audit(discovery(spark, sf_dir)["signatures"], OPTS, _noise_tables(spark, sf_dir))
+
+
+@query("kept_by_tables", "SELECT http_method, endpoint, server_port, agent_id, hit_count FROM sigs_excluded WHERE found IS NULL",
+       ["sigs_excluded"])
+def q_kept_by_tables(spark, sf_dir):
+    """B3-B5 + B7b: signatures that no rule and no exclusion table removes."""
+    parts = D.discover_batch(flows(spark, sf_dir), OPTS, exclusions=_noise_tables(spark, sf_dir))
+    return parts["kept"].select("http_method", "endpoint", "server_port", "agent_id", "hit_count")
+
+
 @query("noise_filtered", "SELECT http_method, endpoint, server_port, agent_id, hit_count FROM kept", ["kept"])
 def q_noise_filtered(spark, sf_dir):
     """Signatures kept by the noise filter."""
@@ -152,6 +184,20 @@ def q_normalized_paths(spark, sf_dir):
     return D.normalize(kept, OPTS).select("http_method", "endpoint", "server_port", "agent_id", "resource_path")
 
 
+# Patterns of users: some that Java alone reads (or reads otherwise), some that only a look at the grammar tells apart.
+OPTS_USER = replace(OPTS, user_patterns=(
+    r"^\++$", r"^[*+]x$", r"^item[0-9&&[]+$", r"^\h+$", r"^(?=d)daily$", r"(?i)^REPORT(?-i)s$", r"^orders?+$", r"^a{2}{3}$",
+    r"^[[:lower:]\d-]{1,5}$"), exclude_patterns=(*OPTS.exclude_patterns, r"^(?P<keep>items)\z"))
+
+
+@query("user_patterns", "SELECT http_method, endpoint, server_port, agent_id, resource_path FROM normalized", ["normalized"],
+       Oracle(OPTS_USER))
+def q_user_patterns(spark, sf_dir):
+    """Patterns of users, read as RE2 reads them; those it would not compile are skipped."""
+    kept = D.discover_batch(flows(spark, sf_dir), OPTS_USER)["kept"]
+    return D.normalize(kept, OPTS_USER).select("http_method", "endpoint", "server_port", "agent_id", "resource_path")
+
+
 @query("normalized_endpoints",
        "SELECT http_method, resource_path, CAST(sum(hit_count) AS BIGINT) AS hits, "
        "count(DISTINCT (server_port, agent_id)) AS services FROM deduped GROUP BY ALL", ["deduped"])
@@ -376,9 +422,16 @@ def q_collision_audit(spark, sf_dir):
        "(SELECT count(*) FROM classified WHERE classification = 'SHADOW') AS shadow, "
        "(SELECT count(*) FROM classified WHERE classification = 'DRIFT') AS drift", ["cands", "classified"])
 def q_comparison_metrics(spark, sf_dir):
-    """C18 (comparison): managed / unmatched / unmanaged / shadow / drift counts."""
-    parts = S.comparison(spark, sf_dir, OPTS)
-    return C.phase_metrics(parts["candidates"], parts["classified"])
+    """C18 (comparison): managed / unmatched / unmanaged / shadow / drift counts, observed while the phase runs."""
+    api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
+    counters: dict[str, int] = {}
+    C.compare(S.discovered(spark, sf_dir, OPTS), M.active_ops(op_state, api_state), api_state.where(F.col("deleted_at").isNull()),
+              counters=counters)
+    return _counted(spark, counters)
+
+
+def _counted(spark, counters) -> DataFrame:
+    return spark.createDataFrame([tuple(counters.values())], ", ".join(f"{k} long" for k in counters))
 
 
 # ------------------------------------------------------------------------- lifecycle queries
@@ -543,6 +596,30 @@ def q_spec_rejects(spark, sf_dir):
     return S.specs(spark, sf_dir, OPTS)["rejects"]
 
 
+def _twins(spark, sf_dir):
+    """Findings of the flow log with twin paths: discovered, registered APIs and findings of one cycle."""
+    api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
+    live = api_state.where(F.col("deleted_at").isNull())
+    d = materialize(D.discovered_from_flows(fx.twin_flows(spark, sf_dir), OPTS, fx.AS_OF), "discovered_twins")
+    classified = C.compare(d, M.active_ops(op_state, api_state), live)["classified"]
+    return d, api_state, materialize(L.comparison_cycle(None, classified, d, fx.AS_OF, OPTS.stale_after), "unmanaged_twins")
+
+
+@query("spec_rejects_twins", f"SELECT {_G}, operations, distinct_ids FROM sp_rejects_tw", ["sp_rejects_tw"])
+def q_spec_rejects_twins(spark, sf_dir):
+    """groups with paths that give one operationId are rejected."""
+    d, api_state, u = _twins(spark, sf_dir)
+    return SP.generate_specs(u, d, api_state, OPTS, fx.AS_OF)["rejects"]
+
+
+@query("blank_samples", "SELECT http_method, resource_path, server_port, agent_id, hit_count, sample_url, sample_path FROM deduped_tw",
+       ["deduped_tw"])
+def q_blank_samples(spark, sf_dir):
+    """A sample without a URL takes its endpoint."""
+    deduped = D.discover_batch(fx.twin_flows(spark, sf_dir), OPTS)["deduped"]
+    return deduped.select(*D.DEDUP_KEY, "hit_count", "sample_url", "sample_path")
+
+
 @query("spec_documents")
 def q_spec_documents(spark, sf_dir):
     """F3 + F8 + F10: whole OpenAPI documents per valid group (JSON text; rows-only check)."""
@@ -573,6 +650,35 @@ def q_push_plan(spark, sf_dir):
     return S.push(spark, sf_dir, OPTS)["plan"].drop("openapi_spec")
 
 
+@query("push_plan_conflicts",
+       f"SELECT {_G}, action, target_id, catalog_name, catalog_version, service_url, description FROM pp_plan_edge",
+       ["pp_plan_edge"])
+def q_push_plan_conflicts(spark, sf_dir):
+    """G1 + G2 + J15: groups never pushed whose name the catalog has already: updated in the same version, else replaced."""
+    sp = S.specs(spark, sf_dir, OPTS)
+    groups = L.push_groups(sp["u3"].select(*L.UNMANAGED_COLS), sp["documents"])
+    return CAT.push_plan(groups, fx.catalog_edge(spark, sf_dir), OPTS, S.PUSH_AS_OF).drop("openapi_spec", "catalog_service_id")
+
+
+OPTS_DRIFT_ONLY = replace(OPTS, push_shadow=False, re_push_deleted=True)
+OPTS_CLEANUP = replace(OPTS, cleanup_unowned=True, hostname="host-b")
+
+
+@query("push_plan_drift_only", f"SELECT {_G}, action, target_id, catalog_name FROM pp_plan", ["pp_plan"], Oracle(OPTS_DRIFT_ONLY))
+def q_push_plan_drift_only(spark, sf_dir):
+    """B24 + G1: SHADOW groups are held back, and entries that were deleted in the catalog are pushed again."""
+    groups = S.push(spark, sf_dir, OPTS)["groups"]
+    plan = CAT.push_plan(groups, fx.catalog_src(spark, sf_dir), OPTS_DRIFT_ONLY, S.PUSH_AS_OF)
+    return plan.select("service_key", "classification", "managed_api_id", "action", "target_id", "catalog_name")
+
+
+@query("reconcile_cleanup", "SELECT * FROM rec", ["rec"], Oracle(OPTS_CLEANUP))
+def q_reconcile_cleanup(spark, sf_dir):
+    """G7 + G8: another host's view, which lists entries without an owner for deletion."""
+    u4 = S.push(spark, sf_dir, OPTS)["u4"]
+    return CAT.reconcile(fx.catalog_src(spark, sf_dir), L.tracked_ids(u4), OPTS_CLEANUP)
+
+
 @query("push_results",
        "SELECT service_key, http_method, resource_path, status, catalog_service_id, catalog_version, pushed_at FROM u4",
        ["u4"])
@@ -600,9 +706,10 @@ def q_reconcile(spark, sf_dir):
        "count(*) FILTER (WHERE ownership = 'unowned') AS unowned, count(*) FILTER (WHERE \"delete\") AS deleted FROM rec",
        ["rec"])
 def q_reconcile_metrics(spark, sf_dir):
-    """C18 (reconciliation): ours / other / unowned / deleted."""
-    u4 = S.push(spark, sf_dir, OPTS)["u4"]
-    return CAT.reconcile_metrics(CAT.reconcile(fx.catalog_src(spark, sf_dir), L.tracked_ids(u4), OPTS))
+    """C18 (reconciliation): ours / other / unowned / deleted, observed while the reconciliation is written."""
+    u4, counters = S.push(spark, sf_dir, OPTS)["u4"], {}
+    observed(CAT.reconcile(fx.catalog_src(spark, sf_dir), L.tracked_ids(u4), OPTS), "reconciled", CAT.reconcile_counters(), counters)
+    return _counted(spark, counters)
 
 
 from ..functions.text import operation_id as T_operation_id  # noqa: E402
@@ -739,6 +846,42 @@ def q_wide_sync_counts(spark, sf_dir):
     return M.count_active(api_state, op_state)
 
 
+_oracle.add("m_ops_all", f"""
+SELECT reg_api_id, http_method, raw_target, match_path FROM m_ops
+UNION ALL
+SELECT id, v.http_method, v.raw_target,
+  CASE CAST(substr(id, 3) AS BIGINT) % 8 WHEN 0 THEN '/base' WHEN 2 THEN '/x y' WHEN 4 THEN '/v1' ELSE '' END || v.tail
+FROM wide, (VALUES ('GET', '/orders/{{orderId}}', '/orders/{{id}}'), ('POST', '//orders', '/orders')) v(http_method, raw_target, tail)
+WHERE {_WIDE_OK} AND NOT repeats""".replace("{{", "{").replace("}}", "}"), ["m_ops", "wide"])
+_oracle.add("m_apis_all", "SELECT reg_api_id, endpoint_hostname FROM m_apis UNION ALL SELECT reg_api_id, endpoint_hostname FROM wide_apis "
+            "JOIN wide ON id = reg_api_id WHERE NOT repeats", ["m_apis", "wide_apis", "wide"])
+_oracle.clone(Oracle.COMPARISON_CHAIN, "inc", {"discovered": "discovered_m", "m_ops": "m_ops_all", "m_apis": "m_apis_all"})
+
+
+@query("incremental_comparison", "SELECT service_key, http_method, resource_path, request_domain, host_ip, server_port, hit_count, "
+       "classification, confidence, managed_api_id FROM classified_inc", ["classified_inc"])
+def q_incremental_comparison(spark, sf_dir):
+    """C5-C10 between cycles: a whole comparison with the operations of every other nation API, then only what changes
+    when all nation and part APIs are registered, and then only what the second half of the traffic touches."""
+    from ..operators import incremental as INC
+    d1, d2 = S.discovery_cycles(spark, sf_dir, OPTS)
+    api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
+    wide_api, wide_op, _ = _wide_synced(spark, sf_dir)
+    columns = ["reg_api_id", "http_method", "raw_target", "match_path"]
+    few = M.active_ops(op_state, api_state).select(*columns)
+    ops = materialize(few.unionByName(M.active_ops(wide_op, wide_api).select(*columns)), "all_ops")
+    apis = api_state.select("reg_api_id", "endpoint_hostname")
+    every = materialize(apis.unionByName(wide_api.select("reg_api_id", "endpoint_hostname")), "all_apis")
+    half = few.where(F.substring("reg_api_id", 5, 3).cast("int") % 2 == 0)
+    nothing = d1.limit(0)
+    first = C.compare(d1, half, apis)
+    second = INC.compare_changes(first, nothing, half, ops, apis, every)
+    touched = d2.where(F.col("updated_at") == F.lit(fx.AS_OF).cast("timestamp_ntz"))
+    third = INC.compare_changes(second, touched, ops, ops, every, every)
+    return third["classified"].select(*D.DISCOVERED_KEY, "request_domain", "host_ip", "server_port", "hit_count", "classification",
+                                      "confidence", "managed_api_id")
+
+
 @query("operations_of_api", f"SELECT id AS reg_api_id, unnest(['GET', 'POST']) AS http_method FROM wide "
        f"WHERE {_WIDE_OK} AND NOT repeats AND id = (SELECT max(id) FROM wide WHERE {_WIDE_OK} AND NOT repeats)", ["wide"])
 def q_operations_of_api(spark, sf_dir):
@@ -772,12 +915,24 @@ def q_result_flatten(spark, sf_dir):
                                                                             "request_type", "hits")
 
 
+@query("result_set_types", """
+SELECT event_id, event_id % 5 IN (0, 2) AS ok, CASE event_id % 6 WHEN 0 THEN TIMESTAMP '2024-01-02 03:04:05'
+  WHEN 1 THEN make_timestamp((1704067200 + event_id) * 1000000) WHEN 2 THEN TIMESTAMP '2024-01-02 03:04:05'
+  WHEN 3 THEN TIMESTAMP '2024-01-01 21:34:05' END AS t FROM events""")
+def q_result_set_types(spark, sf_dir):
+    """A3: lenient booleans and times of a result set."""
+    flat = R.flatten_result(fx.typed_src(spark, sf_dir), "body", keep=["event_id"])
+    return R.coerce(flat, {"ok": "bool", "t": "time"}).select("event_id", "ok", "t")
+
+
 # ------------------------------------------------------------------------- streaming
 
-from ..sources.state import advance_watermark  # noqa: E402
+from ..streaming import state as STATE  # noqa: E402
 from ..streaming import stream as ST  # noqa: E402
+from ..streaming.stream import advance_watermark  # noqa: E402
 
 _SPLIT, _AS_OF = fx.STATE_SPLIT, fx.AS_OF
+_SPLIT_AT = datetime.fromisoformat(_SPLIT)
 FRESH_AFTER = "20 minutes"
 
 
@@ -855,28 +1010,97 @@ def q_is_fresh(spark, sf_dir):
         ST.is_fresh(w2, newest, OPTS).select(F.lit("at the newest row").alias("asked"), "fresh"))
 
 
-@query("stream_discovered", "SELECT service_key, http_method, resource_path, service_type, hit_count, first_seen_at, "
-       "last_seen_at FROM discovered_ws", ["discovered_ws"])
-def q_stream_discovered(spark, sf_dir):
-    """The flow log as a file stream (day folders written by several tasks), 5-minute windows with a 2-minute
-    watermark, foreachBatch merge into the discovered state table; result = final state of the closed windows."""
+def _stream_folder(spark, sf_dir):
+    """A folder of its own in the shared one, with the flow log in day folders written by eight tasks."""
     import uuid
     from ..session import ensure_checkpoint_dir
-    from ..sources.state import StateTable
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlens-stream/{uuid.uuid4().hex}"
     src = flows(spark, sf_dir).withColumn("day", F.to_date("start_time"))
     src.repartition(8, "day").write.partitionBy("day").parquet(f"{base}/flows")
-    schema = spark.read.parquet(f"{base}/flows").schema
-    ST.replay(spark, f"{base}/flows", schema, f"{base}/state", f"{base}/checkpoint", OPTS)
-    return StateTable(spark, f"{base}/state/discovered", D.DISCOVERED_KEY).read().select(
+    return base
+
+
+@query("stream_discovered", "SELECT service_key, http_method, resource_path, service_type, hit_count, first_seen_at, "
+       "last_seen_at FROM discovered_ws", ["discovered_ws"])
+def q_stream_discovered(spark, sf_dir):
+    """The flow log's days replayed in event order as 5-minute cycles by one query, the records merged by the
+    stateful operator of another; result = its discovered state."""
+    base = _stream_folder(spark, sf_dir)
+    ST.replay(spark, f"{base}/flows", base, f"{base}/replay", OPTS)
+    ST.govern(spark, base, f"{base}/govern", OPTS).awaitTermination()
+    return STATE.discovered(spark, f"{base}/govern").select(
         "service_key", "http_method", "resource_path", "service_type", "hit_count", "first_seen_at", "last_seen_at")
 
 
+_CYCLE_COLS = ["resource_path", "server_port", "hit_count", "sample_path", "sample_url", "sample_second", "request_domain",
+               *D.SP_LAST_COLS, "source_ip", "host_ip", "is_external", *D.CP_COLS, "service_type", "traffic_origin"]
+
+
+@query("stream_fused", "SELECT make_timestamp(agent_id // 1000 * 300000000) AS cycle, http_method, agent_id % 1000 AS agent_id, "
+       "CASE WHEN starts_with(service_key, 'agent-') THEN 'agent-' || (agent_id % 1000) || ':' || server_port "
+       "ELSE service_key END AS service_key, " + ", ".join(_CYCLE_COLS) + " FROM fused_cyc", ["fused_cyc"])
+def q_stream_fused(spark, sf_dir):
+    """J1-J4 in the stream: one stateful aggregate holds signatures and observations of the open windows, and a closed
+    window is fused without a second look at the log; result = the fused signatures of every closed cycle. S3: the rows of
+    the second day that arrive once more, under other paths, come behind the watermark and change nothing."""
+    base = _stream_folder(spark, sf_dir)
+    schema = spark.read.parquet(f"{base}/flows").schema
+    late = spark.read.parquet(f"{base}/flows").where("day = DATE '2024-01-02'").withColumns(
+        {c: F.concat(F.lit("/late"), c) for c in ("endpoint", "request_resource")})
+    late = materialize(late, "late_flows")
+
+    def sink(spark, base, parts, end, name):
+        parts["fused"].drop("rank").write.mode("overwrite").parquet(f"{base}/fused/batch={name}")
+    for _ in range(2):
+        ST.discover_stream(spark, f"{base}/flows", schema, base, f"{base}/windows", OPTS, sink=sink).awaitTermination()
+        late.write.mode("append").partitionBy("day").parquet(f"{base}/flows")
+    return spark.read.parquet(f"{base}/fused").select("cycle", "http_method", "agent_id", "service_key", *_CYCLE_COLS)
+
+
+@query("stream_idle", f"SELECT '{ST.DISCOVERY}' AS pipeline, make_timestamp(CAST((epoch_us(max(start_time)) + 86400000000 - 120000000) "
+       "// 300000000 * 300000000 AS BIGINT)) AS last_watermark_end, (SELECT CAST(sum(hit_count) AS BIGINT) FROM deduped) AS records "
+       "FROM sp_filtered", ["sp_filtered", "deduped"])
+def q_stream_idle(spark, sf_dir):
+    """S5 + E6: after the whole log comes a day with noise alone; it closes the log's last windows, its own close without a
+    signature, and the pipeline's end moves on."""
+    base = _stream_folder(spark, sf_dir)
+    log = spark.read.parquet(f"{base}/flows")
+    newest = D.traffic_filter(log, OPTS).orderBy(F.desc("start_time")).limit(1)
+    noise = [newest.withColumns({"start_time": F.col("start_time") + F.expr("INTERVAL 1 day") - F.expr(f"INTERVAL {m} minutes"),
+                                 "endpoint": F.lit("/healthz"), "request_resource": F.lit("/healthz")}) for m in (600, 0)]
+    noise = materialize(noise[0].unionByName(noise[1]).withColumn("day", F.to_date("start_time")), "noise")
+    for rows in (None, noise):
+        if rows is not None:
+            rows.write.mode("append").partitionBy("day").parquet(f"{base}/flows")
+        ST.discover_stream(spark, f"{base}/flows", log.schema, base, f"{base}/windows", OPTS).awaitTermination()
+    return ST.pipelines(spark, base)
+
+
+@query("stream_findings", "SELECT service_key, http_method, resource_path, managed_api_id, classification, confidence, status, "
+       "first_detected_at, last_confirmed_at, resolved_at FROM us2", ["us2"])
+def q_stream_findings(spark, sf_dir):
+    """A comparison after the days before the split and one at the end, each on the state of the stream and
+    let through by the managed sync's age; result = the findings of the stateful operator."""
+    base = _stream_folder(spark, sf_dir)
+    api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
+    ops, live = M.active_ops(op_state, api_state), api_state.where(F.col("deleted_at").isNull())
+    for until in (_SPLIT_AT, None):
+        end = ST.replay(spark, f"{base}/flows", base, f"{base}/replay", OPTS, until=until)
+        ST.govern(spark, base, f"{base}/govern", OPTS).awaitTermination()
+        ST.log_cycle(spark, base, ST.MANAGED, end, live.agg(F.count("*").alias("n")), f"sync-{end:%Y%m%d%H%M}")
+        ST.compare_cycle(spark, base, STATE.discovered(spark, f"{base}/govern"), ops, live, end, OPTS)
+        ST.govern(spark, base, f"{base}/govern", OPTS).awaitTermination()
+    return STATE.findings(spark, f"{base}/govern").select(*D.DISCOVERED_KEY, *STATE.VERDICT_COLS, "status", "first_detected_at",
+                                                          "last_confirmed_at", "resolved_at")
+
+
 @query("sync_metrics", "SELECT sync_class, count(*) AS apis FROM sync GROUP BY ALL", ["sync"])
 def q_sync_metrics(spark, sf_dir):
-    """C18 (managed sync): created / updated / unchanged counts of the second sync."""
-    return S.managed_two_syncs(spark, sf_dir, OPTS)["classified"].groupBy("sync_class") \
-        .agg(F.count(F.lit(1)).alias("apis"))
+    """C18 (managed sync): created / updated / unchanged counts of the second sync, observed while its classes are written."""
+    counters: dict[str, int] = {}
+    observed(S.managed_two_syncs(spark, sf_dir, OPTS)["classified"], "sync_classes", M.sync_counters(), counters)
+    return _counted(spark, counters).select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("sync_class"), F.col(k).alias("apis")) for k in counters])).alias("c")).select("c.*").where("apis > 0")
 
 
 @query("dismissed_cycle", f"SELECT {_U_SQL} FROM u2d", ["u2d"])
@@ -987,7 +1211,7 @@ def _quoted(text: str) -> str:
     return text.replace("'", "''")
 
 
-from ..operators.specs import ANY_STATUS_TEXT, DRIFT_TEXT, SAMPLE_TEXT, SEEN_TEXT, SHADOW_TEXT, STATUS_TEXT  # noqa: E402
+from .oracle import ANY_STATUS_TEXT, DRIFT_TEXT, SAMPLE_TEXT, SEEN_TEXT, SHADOW_TEXT, STATUS_TEXT  # noqa: E402
 
 
 @query("spec_document_texts", _document_texts_oracle(), ["sp_paths", "sp_head", "sp_good"])

@@ -21,16 +21,25 @@ AS_OF = fx.AS_OF
 _MEMO: dict = {}
 
 
+def _inputs(spark, sf_dir) -> tuple:
+    """Files of the folder's tables with size and time, so that a folder that changed is a new input."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        [f"{sf_dir}/{t}.parquet" for t in ("events", "nation")])
+    return tuple(sorted(map(tuple, files.select("path", "length", "modificationTime").collect())))
+
+
 def memo(fn):
-    """Build a scenario once per (session, input folder, options): its state tables are written
+    """Build a scenario once per (session, files of the input folder, options): its state tables are written
     once and later queries of the same run read them, as a deployment reads its state."""
     def run(spark, sf_dir, opts):
-        key = (fn.__name__, id(spark), spark.sparkContext.applicationId, sf_dir, opts)
+        key = (fn.__name__, id(spark), spark.sparkContext.applicationId, _inputs(spark, sf_dir), opts)
         if key not in _MEMO:
             _MEMO[key] = fn(spark, sf_dir, opts)
         return _MEMO[key]
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
+
+
 SPLIT = fx.STATE_SPLIT
 PREV_AS_OF = SPLIT
 

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 # Settings every job of the engine expects. AQE re-plans joins from runtime sizes (a side becomes a
 # broadcast only when its measured shuffle output is under the threshold) and splits skewed
@@ -85,6 +85,16 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+def observed(df, name: str, counters: dict, into: dict):
+    """``materialize`` that adds to ``into`` the values of aggregate columns over the rows, taken while they are written;
+    no second scan. Without rows they are 0."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *[c.alias(k) for k, c in counters.items()]), name)
+    got = seen.get
+    into.update({k: got.get(k) or 0 for k in counters})
+    return table
+
+
 def discard(table) -> None:
     """Delete the folder of a table made by ``materialize`` that no later step reads."""
     spark = table.sparkSession

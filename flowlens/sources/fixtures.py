@@ -150,6 +150,30 @@ SELECT concat('p-', CAST(p_partkey AS STRING)) AS id, concat('part api ', CAST(p
 FROM part
 """
 
+# Typed cells of result sets: booleans and times in every form, and wrong ones.
+TYPED_SRC_SQL = """
+SELECT event_id, concat('{"columns":["ok","t"],"values":[[',
+  CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN '0' ELSE '"yes"' END, ',',
+  CASE event_id % 6 WHEN 0 THEN '"2024-01-02 03:04:05"' WHEN 1 THEN CAST(1704067200 + event_id AS STRING)
+       WHEN 2 THEN '"2024-01-02T03:04:05Z"' WHEN 3 THEN '"2024-01-02T03:04:05+05:30"' WHEN 4 THEN '"bad"' ELSE 'null' END,
+  ']]}') AS body
+FROM events
+"""
+
+# Catalog whose entries bear the names that drift groups would get, half of them in the version of the push.
+CATALOG_EDGE_SQL = """
+SELECT concat('edge-', lpad(CAST(n_nationkey AS STRING), 3, '0')) AS id, concat(n_name, '-Drift') AS name,
+  CASE n_nationkey % 2 WHEN 0 THEN '2024.01.30' ELSE '2023.12.01' END AS version, 'entered by hand' AS description
+FROM nation
+"""
+
+# Flows with what the plain log lacks: paths that differ only in what an operation id drops, and blank URLs.
+TWIN_SQL = """
+SELECT * REPLACE (CASE WHEN (flow_id // 3) % 2 = 1 THEN replace(endpoint, '/carts/', '/carts-') ELSE endpoint END AS endpoint,
+  CASE WHEN (flow_id // 3) % 5 = 0 THEN '' WHEN (flow_id // 3) % 2 = 1 THEN replace(request_resource, '/carts/', '/carts-')
+       ELSE request_resource END AS request_resource)
+FROM flows"""
+
 # Flows with what the plain log lacks: host names wider than their column.
 EDGE_DOMAIN_WIDTH = 300
 
@@ -204,6 +228,25 @@ def edge_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).withColumn("request_domain", wide)
 
 
+def twin_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow log with cart paths of odd events in a twin form, and without URLs in every fifth event."""
+    from pyspark.sql import functions as F
+    event = F.floor(F.col("flow_id") / 3)
+    twin = lambda c: F.when(event % 2 == 1, F.replace(c, F.lit("/carts/"), F.lit("/carts-"))).otherwise(F.col(c))
+    return flows(spark, sf_dir).withColumns({"endpoint": twin("endpoint"), "request_resource": F.when(event % 5 == 0, F.lit(""))
+                                             .otherwise(twin("request_resource"))})
+
+
+def catalog_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_tables(spark, sf_dir, ("nation",))
+    return spark.sql(CATALOG_EDGE_SQL)
+
+
+def typed_src(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_tables(spark, sf_dir, ("events",))
+    return spark.sql(TYPED_SRC_SQL)
+
+
 def result_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_tables(spark, sf_dir, ("events",))
     return spark.sql(RESULT_SRC_SQL)

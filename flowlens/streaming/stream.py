@@ -1,27 +1,69 @@
-"""Incremental discovery (S1-S6) on Structured Streaming.
-
-The reference polls the flow store every 5 minutes for [last end, now - 2 min). Here the flow log is
-a streaming source; signatures are aggregated per 5-minute event-time window with a 2-minute
-watermark (bounded lateness: a row arriving after its window closed is dropped, as the reference
-never reads a window twice). Each micro-batch carries the windows that closed; ``foreachBatch``
-runs the rest of the cycle on them and merges into the discovered state table, idempotently by
-stream and batch id, and advances the pipeline watermark.
+"""Incremental discovery and governance (S1-S6) on Structured Streaming.
+
+The reference polls the flow store every 5 minutes for [last end, now - 2 min). Here three queries share a folder:
+
+* ``discover_stream`` reads the flow log as it grows. One stateful aggregate over 5-minute event-time windows with a 2-minute
+  watermark (bounded lateness: a row that arrives after its window closed is dropped, as the reference never reads a window
+  twice) holds the signatures and, by (url, method, second), the observations of each window. A micro-batch carries
+  both for the windows that closed, so a cycle's fusion (J1) reads the log no second time.
+* ``replay`` does the same for a log that is already there, in one query whose source hands out the log's days in event
+  order, so no row is late whatever the order and number of the files. Cycles never cross a day.
+* ``govern`` keeps the state: records of cycles and verdicts of comparisons go to one stateful operator (``state``).
+
+A cycle's records are written under a name made of stream and batch, and a repeated batch overwrites them; the state takes
+each cycle once, so a crash anywhere loses and doubles nothing.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..config import Options
+from ..operators import comparison as C
 from ..operators import discovery as D
 from ..session import discard, materialize
-from ..sources.state import StateTable, Watermark
+from . import state as ST
 
 DISCOVERY = "api_discovery"
 MANAGED = "managed_api_sync"
+EPOCH = datetime(1970, 1, 1)
+RECORDS = ", ".join(f"{c} {'timestamp_ntz' if c in ST.TIMES else ST.TYPES.get(c, 'string')}" for c in D.DISCOVERED_COLS) \
+    + ", cycle_end timestamp_ntz, batch string"
+VERDICTS = ", ".join(f"{k} string" for k in D.DISCOVERED_KEY) + ", kind int, as_of timestamp_ntz, unmanaged boolean, " \
+    + ", ".join(f"{c} string" for c in ST.VERDICT_COLS) + ", batch string"
+CYCLES = "pipeline string, cycle_end timestamp_ntz, n long"
+
+
+# --------------------------------------------------------------------------------- pipelines
+
+def advance_watermark(state: DataFrame | None, upd: DataFrame) -> DataFrame:
+    """E6 as a join: (pipeline, end, n) rows set the end and add n to the running count."""
+    if state is None:
+        return upd.select("pipeline", F.col("end").alias("last_watermark_end"), F.col("n").alias("records"))
+    j = state.join(upd, "pipeline", "full_outer")
+    return j.select("pipeline",
+                    F.coalesce(F.col("end"), F.col("last_watermark_end")).alias("last_watermark_end"),
+                    (F.coalesce(F.col("records"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0))).alias("records"))
+
+
+def log_cycle(spark: SparkSession, base: str, pipeline: str, end, n: int | DataFrame, name: str) -> None:
+    """E6 (+S5): one row a cycle, empty ones too; a repeated cycle writes the same row again."""
+    if isinstance(n, int):
+        n = spark.range(1).select(F.lit(n).alias("n"))
+    row = n.select(F.lit(pipeline).alias("pipeline"), F.lit(str(end)).cast("timestamp_ntz").alias("cycle_end"),
+                   F.col(n.columns[0]).cast("long").alias("n"))
+    row.coalesce(1).write.mode("overwrite").parquet(f"{base}/cycles/batch={name}")
+
+
+def pipelines(spark: SparkSession, base: str) -> DataFrame:
+    """End of the last cycle and running count of each pipeline (hits for discovery, APIs for managed)."""
+    return spark.read.schema(CYCLES).parquet(f"{base}/cycles").groupBy("pipeline").agg(
+        F.max("cycle_end").alias("last_watermark_end"), F.sum("n").alias("records"))
 
 
 def next_window(state: DataFrame, pipelines: DataFrame, as_of, opts: Options) -> DataFrame:
@@ -44,94 +86,151 @@ def is_fresh(state: DataFrame, as_of, opts: Options, pipeline: str = MANAGED) ->
     return s.select("pipeline", (F.col("last_watermark_end") > limit).alias("fresh"))
 
 
-def signature_stream(flows: DataFrame, opts: Options) -> DataFrame:
-    """S2 + S3: streaming signatures per tumbling window, closed by the event-time watermark."""
-    filtered = (D.traffic_filter(flows, opts)
-                .withColumn("event_time", F.col("start_time").cast("timestamp"))
-                .withWatermark("event_time", opts.safety_lag))
-    return D.signatures(filtered, opts.poll_interval)
+# --------------------------------------------------------------------------------- cycles
+
+def window_stream(flows: DataFrame, opts: Options) -> DataFrame:
+    """S2 + S3: signatures and observation evidence of each tumbling window, closed by the event-time watermark."""
+    rows = D.roles(flows, opts).withWatermark("role_time", opts.safety_lag)
+    traffic = F.col("kind") == "signature"
+    return rows.groupBy(F.window("role_time", opts.poll_interval).alias("win"), "kind", "http_method", "path", "key_port",
+                        "key_agent", "sec").agg(*D.signature_aggregates(traffic), *D.evidence_aggregates(~traffic))
 
 
-def closed_until(query, opts: Options):
-    """End of the last window that a running query's event-time watermark has closed, None before the first."""
-    progress = query.lastProgress if query is not None else None
-    mark = ((progress or {}).get("eventTime") or {}).get("watermark")
-    if not mark or mark.startswith("1970-01-01"):
+def closed_parts(closed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signatures, evidence) of closed windows, each with its cycle."""
+    closed = closed.select(*D.cycle_columns(), *[c for c in closed.columns if c != "win"])
+    sigs = closed.where("kind = 'signature'").withColumnsRenamed(
+        {"path": "endpoint", "key_port": "server_port", "key_agent": "agent_id"})
+    evidence = closed.where("kind = 'observation'").select(
+        "cycle", F.col("path").alias("url"), F.col("http_method").alias("method"), "sec", *D.evidence_names())
+    return D.signature_rows(sigs, "cycle", "cycle_end"), evidence
+
+
+def _step(opts: Options) -> int:
+    return ST._micros(opts.poll_interval) // 1_000_000
+
+
+def closed_before(time: datetime, opts: Options) -> datetime:
+    """End of the last window that a watermark has closed."""
+    return EPOCH + timedelta(seconds=int((time - EPOCH).total_seconds()) // _step(opts) * _step(opts))
+
+
+def _closed_by(query, opts: Options) -> datetime | None:
+    """End of the windows that the running batch of a query has closed: its watermark follows from what the batch before
+    it saw. None before the first."""
+    seen = ((query.lastProgress if query is not None else None) or {}).get("eventTime") or {}
+    times = [datetime.strptime(seen[k][:19], "%Y-%m-%dT%H:%M:%S") for k in ("watermark", "max") if seen.get(k)]
+    if not times:
         return None
-    at = datetime.strptime(mark[:19], "%Y-%m-%dT%H:%M:%S")
-    count, unit = opts.poll_interval.split()
-    step = int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-    whole = int((at - datetime(1970, 1, 1)).total_seconds()) // step * step
-    return datetime(1970, 1, 1) + timedelta(seconds=whole)
+    mark = max(times[0], times[-1] - timedelta(microseconds=ST._micros(opts.safety_lag)))
+    return None if mark <= EPOCH + timedelta(days=1) else closed_before(mark, opts)
 
 
-def cycle_batch(spark: SparkSession, sigs: DataFrame, batch_id: int, flow_path: str, state: StateTable,
-                watermark: Watermark, opts: Options, stream: str = "", closed=None) -> None:
-    """S4 + S5: one micro-batch of closed windows -> rest of the cycle -> idempotent merge.
+def write_cycle(spark: SparkSession, base: str, parts: dict[str, DataFrame], end, name: str) -> None:
+    """The records of a batch of cycles, and its row in the pipeline log. Both are named, so a repeat replaces them."""
+    at = F.lit(str(end)).cast("timestamp_ntz").alias("cycle_end")
+    columns = [F.col(c) if c in ST.TIMES else F.col(c).cast(ST.TYPES.get(c, "string")).alias(c) for c in D.DISCOVERED_COLS]
+    D.batch_records(parts["valid"]).select(*columns, at).write.mode("overwrite").parquet(f"{base}/records/batch={name}")
+    log_cycle(spark, base, DISCOVERY, end, D.total_hits(parts["deduped"]), name)
+    discard(parts["deduped"])
 
-    The batch's stateful plan runs once: the closed windows are written, and everything else reads that table. A batch
-    without signatures still moves the pipeline's watermark to ``closed``, the end of the windows known to be closed.
-    """
-    sigs = materialize(sigs, "closed_windows")
-    bounds = sigs.agg(F.min("cycle").alias("lo"), F.max("cycle_end").alias("hi")).first()
-    if bounds["lo"] is None:
-        last = watermark.end(DISCOVERY)
-        if closed is not None and (last is None or closed > last):
-            watermark.advance(DISCOVERY, closed, 0, str(batch_id), stream)
-        discard(sigs)
-        return
-    # the observation rows of exactly these windows: partition and row group pruning
-    obs = D.read_flows(spark, flow_path, bounds["lo"], bounds["hi"])
-    parts = D.after_signatures(sigs, obs, opts)
-    batch = materialize(D.batch_records(parts["valid"]), "cycle_records")
-    hi = bounds["hi"]
-    state.merge(batch, lambda cur, b: D.merge_discovered(cur, b, hi), str(batch_id), stream)
-    watermark.advance(DISCOVERY, hi, D.total_hits(parts["deduped"]), str(batch_id), stream)
-    for table in (sigs, parts["deduped"], batch):
-        discard(table)
-
-
-def discover_stream(spark: SparkSession, flow_path: str, flow_schema, state_path: str, checkpoint: str,
-                    opts: Options, trigger: dict | None = None, max_files: int | None = None, days=None):
-    """Start the incremental discovery; ``trigger`` defaults to availableNow (replay / backfill).
-
-    Production runs use ``{"processingTime": opts.poll_interval}`` on files that arrive in event order. A backfill
-    of files in any order goes through ``replay``. ``days`` limits the source to those day folders. Returns the
-    StreamingQuery.
-    """
+
+def _name(checkpoint: str, batch_id: int) -> str:
+    """Streams are told apart by their checkpoints' last folder."""
+    return f"{re.sub('[^A-Za-z0-9]+', '', checkpoint.rstrip('/').rsplit('/', 1)[-1])}-{batch_id}"
+
+
+def discover_stream(spark: SparkSession, flow_path: str, flow_schema, base: str, checkpoint: str, opts: Options,
+                    trigger: dict | None = None, max_files: int | None = None, start=None, sink=write_cycle):
+    """Start the incremental discovery on files that arrive in event order; ``trigger`` defaults to availableNow, in
+    production it is ``{"processingTime": opts.poll_interval}``. ``start`` skips what a replay has done; ``sink`` takes the
+    parts of a batch of cycles. Returns the StreamingQuery."""
     reader = spark.readStream.schema(flow_schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    source = flow_path
-    if days is not None:
-        reader, source = reader.option("basePath", flow_path), f"{flow_path}/day={{{','.join(map(str, days))}}}"
-    sigs = signature_stream(reader.parquet(source), opts)
-    state = StateTable(spark, f"{state_path}/discovered", D.DISCOVERED_KEY)
-    wm = Watermark(spark, f"{state_path}/watermark")
+    flows = D.time_window(reader.parquet(flow_path), start)
     started: dict = {}
-    query = (sigs.writeStream.outputMode("append")
-             .option("checkpointLocation", checkpoint)
-             .foreachBatch(lambda df, bid: cycle_batch(spark, df, bid, flow_path, state, wm, opts, checkpoint,
-                                                       closed_until(started.get("query"), opts)))
-             .trigger(**(trigger or {"availableNow": True}))
-             .start())
+
+    def cycle(closed: DataFrame, batch_id: int) -> None:
+        closed = materialize(closed, "closed_windows")
+        sigs, evidence = closed_parts(closed)
+        ends = [sigs.agg(F.max("cycle_end")).first()[0], _closed_by(started.get("query"), opts)]
+        end = max((e for e in ends if e is not None), default=None)  # S5: time passes also where nothing is found
+        if ends[0] is not None:
+            sink(spark, base, D.after_signatures(sigs, evidence, opts), end, _name(checkpoint, batch_id))
+        elif end is not None:
+            log_cycle(spark, base, DISCOVERY, end, 0, _name(checkpoint, batch_id))
+        discard(closed)
+
+    query = (window_stream(flows, opts).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+             .foreachBatch(cycle).trigger(**(trigger or {"availableNow": True})).start())
     started["query"] = query
     return query
 
 
-def replay(spark: SparkSession, flow_path: str, flow_schema, state_path: str, checkpoint: str, opts: Options,
-           days_per_run: int = 10) -> None:
-    """Backfill of a flow log in day folders, whatever the order and number of files they were written in.
+class FlowDays(DataSource):
+    """Streaming source of a log's days in event order, ``per_batch`` of them a micro-batch; its offset is the last day."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "flow_days"
+
+    def schema(self) -> str:
+        return "day string"
+
+    def simpleStreamReader(self, schema):
+        return _Days(self.options["days"].split(","), int(self.options["per_batch"]))
+
+
+class _Days(SimpleDataSourceStreamReader):
+    def __init__(self, days: list[str], per_batch: int):
+        self.days, self.per_batch = sorted(days), per_batch
+
+    def initialOffset(self) -> dict:
+        return {"after": ""}
+
+    def read(self, start: dict):
+        found = [d for d in self.days if d > start["after"]][:self.per_batch]
+        return iter([(d,) for d in found]), {"after": found[-1] if found else start["after"]}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([(d,) for d in self.days if start["after"] < d <= end["after"]])
 
-    A file source hands out files by modification time, and rows behind the watermark are dropped, so days are given
-    to the stream in event order: each run reads the next ``days_per_run`` folders in one trigger, and the checkpoint
-    carries windows and watermark from run to run. Within a trigger no row is late.
-    """
-    days = sorted(r["day"] for r in spark.read.schema(flow_schema).parquet(flow_path).select("day").distinct().collect()
-                  if r["day"] is not None)
-    for at in range(0, len(days), days_per_run):
-        discover_stream(spark, flow_path, flow_schema, state_path, checkpoint, opts,
-                        days=days[at:at + days_per_run]).awaitTermination()
+
+def replay(spark: SparkSession, flow_path: str, base: str, checkpoint: str, opts: Options, days_per_batch: int = 10,
+           until=None) -> datetime | None:
+    """Backfill of a flow log in day folders, whatever the order and number of files, in one query; it can be stopped and
+    started again. Returns the end of the closed windows: those before ``until``, by default the newest traffic less the
+    safety lag. What comes after is left to ``discover_stream``, or to a later replay where it is a whole number of days."""
+    log = spark.read.parquet(flow_path)
+    if until is None:
+        newest = D.traffic_filter(log, opts).agg(F.max("start_time")).first()[0]
+        until = None if newest is None else newest - timedelta(microseconds=ST._micros(opts.safety_lag))
+    if until is None:
+        return None
+    end = closed_before(until, opts)
+    days = [str(r["day"]) for r in log.where(F.col("day").cast("timestamp_ntz") < F.lit(str(end)).cast("timestamp_ntz"))
+            .select("day").distinct().collect()]  # one row a day of the log
+    if not days:
+        return end
+    spark.dataSource.register(FlowDays)
+
+    def cycle(batch: DataFrame, batch_id: int) -> None:
+        chosen = sorted(r["day"] for r in batch.collect())
+        last = min(end, datetime.fromisoformat(chosen[-1]) + timedelta(days=1))
+        flows = D.read_flows(spark, flow_path, f"{chosen[0]} 00:00:00", last)
+        parts = D.discover_batch(flows, opts, cycle=opts.poll_interval)
+        write_cycle(spark, base, parts, last, _name(checkpoint, batch_id))
+
+    calendar = (spark.readStream.format("flow_days").option("days", ",".join(sorted(days)))
+                .option("per_batch", days_per_batch).load())
+    query = (calendar.writeStream.option("checkpointLocation", checkpoint).foreachBatch(cycle)
+             .trigger(processingTime="0 seconds").start())
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return end
 
 
 def replay_batch(flows: DataFrame, opts: Options, until=None) -> DataFrame:
@@ -139,9 +238,43 @@ def replay_batch(flows: DataFrame, opts: Options, until=None) -> DataFrame:
 
     ``until`` keeps only cycles that end at or before it (the ones a stream has closed).
     """
-    parts = D.discover_batch(flows, opts, cycle=opts.poll_interval)
-    valid = parts["valid"]
-    if until is not None:
-        valid = valid.where(F.col("cycle") + F.expr(f"INTERVAL {opts.poll_interval}")
-                            <= F.lit(str(until)).cast("timestamp_ntz"))
-    return D.batch_records(valid)
+    return D.batch_records(D.discover_batch(flows, opts, end=until, cycle=opts.poll_interval)["valid"])
+
+
+# --------------------------------------------------------------------------------- state
+
+def govern(spark: SparkSession, base: str, checkpoint: str, opts: Options, trigger: dict | None = None):
+    """Start the query that keeps the state; the change feed goes to ``changes``. Returns the StreamingQuery."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
+    for name, schema in (("records", RECORDS), ("verdicts", VERDICTS)):  # a source folder has to exist
+        columns = schema.rpartition(", ")[0]
+        spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{base}/{name}/batch=none")
+    read = spark.readStream.option("ignoreMissingFiles", "true")  # a repeated batch replaces its files
+    events = ST.record_events(read.schema(RECORDS).parquet(f"{base}/records")).unionByName(
+        ST.verdict_events(read.schema(VERDICTS).parquet(f"{base}/verdicts")))
+    return (ST.governed(events, opts).writeStream.format("parquet").option("path", f"{base}/changes")
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
+
+
+def write_verdicts(spark: SparkSession, base: str, rows: DataFrame, as_of) -> None:
+    """(key, kind, unmanaged, ...) rows as the verdicts of a time."""
+    name = re.sub("[^0-9]", "", str(as_of))
+    rows.select(*D.DISCOVERED_KEY, "kind", F.lit(str(as_of)).cast("timestamp_ntz").alias("as_of"), "unmanaged",
+                *ST.VERDICT_COLS).write.mode("overwrite").parquet(f"{base}/verdicts/batch={name}")
+
+
+def compare_cycle(spark: SparkSession, base: str, discovered: DataFrame, ops: DataFrame, apis: DataFrame, as_of,
+                  opts: Options) -> bool:
+    """One comparison cycle of the discovered state against the active registered side, as verdicts for ``govern``. S6: it
+    is skipped, and False returned, while the last managed sync is too old, and when nothing is discovered (E8)."""
+    fresh = is_fresh(pipelines(spark, base), as_of, opts).first()
+    if fresh is None or not fresh["fresh"]:
+        return False
+    parts = C.compare(discovered, ops, apis)
+    if parts["candidates"].isEmpty():
+        return False
+    said = parts["classified"].select(*D.DISCOVERED_KEY, *ST.VERDICT_COLS, F.lit(True).alias("unmanaged"))
+    rows = parts["candidates"].select(*D.DISCOVERED_KEY).join(said, D.DISCOVERED_KEY, "left")
+    write_verdicts(spark, base, rows.withColumn("unmanaged", F.coalesce("unmanaged", F.lit(False)))
+                   .withColumn("kind", F.lit(ST.VERDICT)), as_of)
+    return True

@@ -12,7 +12,6 @@ from flowlens.operators import discovery as D
 from flowlens.operators import lifecycle as L
 from flowlens.plans import scenarios as S
 from flowlens.sources import fixtures as fx
-from flowlens.sources.state import StateTable
 
 KEY = ["service_key", "http_method", "resource_path"]
 
@@ -28,95 +27,6 @@ def _discovered(spark, rows):
     return df.withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp_ntz"))
 
 
-def _state(spark, name="t", **kw):
-    d = tempfile.mkdtemp(prefix="flowlens-test-", dir="/tmp")
-    return StateTable(spark, f"{d}/{name}", ["k"], "k string, v long", **kw)
-
-
-def _kv(spark, *rows):
-    return spark.createDataFrame(list(rows), "k string, v long")
-
-
-def _latest(old, new):
-    if old is None:
-        return new
-    return old.join(new.select("k"), "k", "left_anti").unionByName(new)
-
-
-def _rows(table):
-    return sorted((r["k"], r["v"]) for r in table.read().collect())
-
-
-def test_state_table_replay_is_noop(spark):
-    t = _state(spark)
-    b = _kv(spark, ("a", 1))
-    assert t.commit(b, batch_id="7") == 1
-    assert t.commit(b, batch_id="7") == 1          # same batch again: nothing changes
-    assert t.commit(b.withColumn("v", F.lit(2)), batch_id="8") == 2
-    assert [r["v"] for r in t.read().collect()] == [2]
-    assert t.merge(_kv(spark, ("a", 9)), _latest, batch_id="7") == 2 and _rows(t) == [("a", 2)]
-
-
-def test_state_table_streams_have_their_own_batch_ids(spark):
-    t = _state(spark)
-    t.merge(_kv(spark, ("a", 1)), _latest, "0", stream="one")
-    t.merge(_kv(spark, ("b", 2)), _latest, "0", stream="two")   # a second checkpoint starts at 0 again
-    t.merge(_kv(spark, ("b", 7)), _latest, "0", stream="two")   # and its replay changes nothing
-    assert _rows(t) == [("a", 1), ("b", 2)]
-
-
-def test_state_table_survives_a_crash_between_data_and_log(spark, monkeypatch):
-    t = _state(spark)
-    t.commit(_kv(spark, ("a", 1)), "0")
-    real = type(spark).createDataFrame
-
-    def dies(self, data, schema=None, *args, **kw):
-        if "folders" in str(schema):
-            raise RuntimeError("driver lost")
-        return real(self, data, schema, *args, **kw)
-
-    batch = _kv(spark, ("b", 2), ("c", 3))
-    monkeypatch.setattr(type(spark), "createDataFrame", dies)
-    try:
-        t.merge(batch, _latest, "1")
-        raise AssertionError("the commit must fail")
-    except RuntimeError:
-        pass
-    monkeypatch.undo()
-    assert _rows(t) == [("a", 1)]                    # nothing of the lost attempt is visible
-    t.merge(batch, _latest, "1")
-    assert _rows(t) == [("a", 1), ("b", 2), ("c", 3)]
-
-
-def test_state_table_raises_on_a_damaged_log(spark):
-    t = _state(spark)
-    t.commit(_kv(spark, ("a", 1)))
-    import glob
-    (part,) = glob.glob(f"{t.path}/log/version=1/part-*.parquet")
-    open(part, "wb").write(b"damaged")
-    try:
-        t.merge(_kv(spark, ("b", 2)), _latest)
-        raise AssertionError("a damaged log is not an empty one")
-    except AssertionError:
-        raise
-    except Exception as e:
-        assert "parquet" in str(e).lower()
-
-
-def test_state_table_merge_touches_its_buckets_only(spark):
-    t = _state(spark, buckets=16)
-    t.commit(_kv(spark, *[(f"k{i}", i) for i in range(200)]))
-    before = t.head()[1]
-    t.merge(_kv(spark, ("k5", 500), ("new", 1)), _latest)
-    after = t.head()[1]
-    assert 1 <= sum(before.get(b) != f for b, f in after.items()) <= 2
-    assert dict(_rows(t)) == {**{f"k{i}": i for i in range(200)}, "k5": 500, "new": 1}
-    t.merge(_kv(spark, ("k6", 600)), _latest)
-    assert t.vacuum(keep=1) == 0 and dict(_rows(t))["k6"] == 600
-    t.commit(_kv(spark, ("only", 1)))
-    assert t.vacuum(keep=1) >= 2 and _rows(t) == [("only", 1)]
-
-
 def test_lifecycle_sequence(spark):
     """DETECTED -> kept -> RESOLVED when not confirmed -> reopened on a classification change; STALE."""
     c1 = _classified(spark, [("s", "GET", "/a", None, "SHADOW", "HIGH"), ("s", "GET", "/b", None, "SHADOW", "HIGH")])
@@ -163,8 +73,18 @@ def test_fusion_first_signature_only(spark):
         "http_method string, resource_path string, server_port long, agent_id long, hit_count long, "
         "sample_path string, sample_url string, sample_second long, request_domain string, "
         "rank struct<neg_hits: long, m: string, e: string, p: long, a: long>")
-    out = {r["server_port"]: r["host_ip"] for r in D.fuse(sigs, obs, DEFAULT).collect()}
+    out = {r["server_port"]: r["host_ip"] for r in D.fuse(sigs, D.observation_evidence(obs, sigs, DEFAULT), DEFAULT).collect()}
     assert out == {80: "10.1.1.1", 81: ""}
+    # a signature without a time takes observations of any second, the first by rank again
+    untimed = sigs.withColumn("sample_second", F.lit(None).cast("long")).where("server_port = 80").unionByName(
+        sigs.where("server_port = 81").withColumn("rank", F.expr("named_struct('neg_hits', -9L, 'm', rank.m, 'e', rank.e, "
+                                                                 "'p', rank.p, 'a', rank.a)")))
+    late = obs.withColumn("start_time", F.expr("start_time + INTERVAL 3 hours"))
+    for rows, want in ((obs, {80: "", 81: "10.1.1.1"}), (late, {80: "10.1.1.1", 81: ""})):
+        known = D.sample_bounds(untimed)
+        assert known["untimed"] == 1
+        out = D.fuse(untimed, D.observation_evidence(rows, untimed, DEFAULT, known), DEFAULT, untimed=True)
+        assert {r["server_port"]: r["host_ip"] for r in out.collect()} == want
 
 
 def test_hits_conserved_and_partition_of_candidates(spark):
@@ -195,24 +115,6 @@ def test_oracle_subset_small(spark):
         assert ca == cb and ra == rb, name
 
 
-def test_stream_equals_batch(spark):
-    """availableNow over day files equals the batch replay of the windows the stream closed."""
-    from flowlens.session import materialize
-    from flowlens.sources.state import Watermark
-    from flowlens.streaming import stream as ST
-    d = tempfile.mkdtemp(prefix="flowlens-stream-", dir="/tmp")
-    fx.flows(spark, SF_SMALL).withColumn("day", F.to_date("start_time")).repartition("day") \
-        .write.partitionBy("day").parquet(f"{d}/flows")
-    src = spark.read.parquet(f"{d}/flows")
-    ST.replay(spark, f"{d}/flows", src.schema, f"{d}/state", f"{d}/ckpt", DEFAULT, days_per_run=11)
-    until = Watermark(spark, f"{d}/state/watermark").get().first()["last_watermark_end"]
-    stream = StateTable(spark, f"{d}/state/discovered", D.DISCOVERED_KEY).read().select(*D.DISCOVERED_COLS)
-    batch = materialize(ST.replay_batch(src.drop("day"), DEFAULT, until=until), "replay").select(*D.DISCOVERED_COLS)
-    norm = lambda df: sorted(tuple(str(x) for x in r) for r in df.collect())
-    assert norm(stream) == norm(batch)
-    assert len(norm(stream)) > 0
-
-
 def test_push_plan_sink(spark):
     """One JSON record per group, partitioned by action."""
     from flowlens.operators import catalog as CAT
@@ -232,24 +134,3 @@ def test_top_signatures_per_cycle(spark):
                                      "agent_id long, hit_count long")
     got = sorted((r["cycle"], r["endpoint"]) for r in D.top_signatures(df, 2).collect())
     assert got == [("2024-01-01 00:00:00", "/a"), ("2024-01-01 00:00:00", "/c"), ("2024-01-01 00:05:00", "/d")]
-
-
-def test_stream_drops_rows_behind_the_watermark(spark):
-    """S3: rows that arrive after their window closed are never read again (bounded lateness)."""
-    from flowlens.streaming import stream as ST
-    d = tempfile.mkdtemp(prefix="flowlens-late-", dir="/tmp")
-    flows = fx.flows(spark, SF_SMALL).withColumn("day", F.to_date("start_time"))
-    flows.repartition("day").write.partitionBy("day").parquet(f"{d}/flows")
-    schema = spark.read.parquet(f"{d}/flows").schema
-    run = lambda: ST.discover_stream(spark, f"{d}/flows", schema, f"{d}/state", f"{d}/ckpt", DEFAULT,
-                                     max_files=40).awaitTermination()
-    run()
-    late = (flows.where((F.col("observation_point") == "s-p") & (F.col("day") == F.to_date(F.lit("2024-01-02"))))
-            .withColumn("endpoint", F.lit("/late/1")).withColumn("request_resource", F.lit("/late/1"))
-            .withColumn("flow_id", F.col("flow_id") + F.lit(10 ** 9)))
-    assert late.count() > 0
-    late.write.mode("append").partitionBy("day").parquet(f"{d}/flows")
-    run()
-    state = StateTable(spark, f"{d}/state/discovered", D.DISCOVERED_KEY).read()
-    assert state.where(F.col("resource_path").startswith("/late/")).count() == 0
-    assert state.count() > 0
