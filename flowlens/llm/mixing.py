@@ -13,7 +13,8 @@ of finish times (map-side combined) finds the one cell in which the budget ends,
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, ranked
 last; a null doc_id takes part like any other; rows that are equal in doc_id, source and text are interchangeable in
-``allot``, and keep their other columns in ``mix``; an empty table gives an empty mix. Extra columns of ``docs`` are kept by ``mix`` whatever their names.
+``allot``, and keep their other columns in ``mix``; an empty table gives an empty mix. Extra columns of ``docs`` are
+kept by ``mix`` whatever their names.
 """
 
 from __future__ import annotations

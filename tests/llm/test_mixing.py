@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from flowlens.llm import mixing as M
 
