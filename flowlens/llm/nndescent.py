@@ -271,8 +271,8 @@ def _pairs_in(rows: DataFrame, group: str) -> DataFrame:
 
 
 def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame | None:
-    """(a, b): at least one link for any two linked components of (node, component) rows; None where more than ``WIDE``
-    pairs a component are close enough for one."""
+    """(a, b): at least one link for any two linked components of (node, component) rows; None where in some pair of
+    blocks more than ``WIDE`` pairs a component are close enough for one."""
     rows = nodes.select("node", "label", "vec").join(crowded, "node")
     tips = rows.where("node = component").select("component", F.col("vec").alias("tip"))
 
@@ -295,17 +295,16 @@ def bridges(nodes: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame
         far = a["reach"].to_numpy()[:, None] + b["reach"].to_numpy()[None, :] + angle + 1e-6
         i, j = np.nonzero(np.arccos(np.clip(s, -1, 1)) <= far)
         out = pa.table({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]}).to_pandas()
-        return out[out["a"] != out["b"]]
+        out = out[out["a"] != out["b"]]
+        if len(out) > WIDE * (len(a) + len(b)):  # too many to be told one by one
+            return pa.table({"a": [-1], "b": [-1]}).to_pandas()
+        return out
 
-    def how_many(a, b, s):
-        return pa.table({"n": [len(near(a, b, s))]}).to_pandas()
-
-    blocks = materialize(_pairs_in(tips, "kind"), "tip_blocks")
-    many = _met(tips, blocks, how_many, "n long").agg(F.sum("n")).first()[0] or 0  # a row for each pair of blocks
-    if many > 2 * WIDE * tips.count():
-        return None
-    close = _met(tips, blocks, near, "a long, b long").select(
+    close = _met(tips, _pairs_in(tips, "kind"), near, "a long, b long").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = materialize(close, "close_tips")
+    if not close.where("a < 0").isEmpty():
+        return None
     pairs = close.join(keys.toDF("a", "x"), "a").join(keys.toDF("b", "y"), "b").select("x", "y")
 
     def link(a, b, s):
@@ -349,7 +348,9 @@ def audit(nodes: DataFrame, counted: DataFrame, likely: DataFrame, threshold: fl
     while 4 * size <= total:
         share = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(n, 1)))
         asked = nodes.select("node").where(share(total)).union(likely.select("node").where(share(hopes))).distinct()
-        found = _recalled(nodes, counted, materialize(asked, "asked"), threshold).groupBy("links", "real").agg(F.count("*").alias("n"))
+        asked = materialize(asked, "asked")
+        bins = -(-total // max(asked.count(), BLOCK))
+        found = _recalled(nodes, counted, asked, threshold, bins).groupBy("links", "real").agg(F.count("*").alias("n"))
         pairs = [(r["links"], r["real"], r["n"]) for r in found.collect()]  # one row for each pair of counts
         if sum(n for *_, n in pairs) >= FEW_LINKED:
             strata = [[(f / t, n) for f, t, n in pairs if lo <= t < hi]
@@ -361,17 +362,15 @@ def audit(nodes: DataFrame, counted: DataFrame, likely: DataFrame, threshold: fl
     return None
 
 
-def _recalled(nodes: DataFrame, counted: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+def _recalled(nodes: DataFrame, counted: DataFrame, asked: DataFrame, threshold: float, bins: int) -> DataFrame:
     """(links found, links by comparison with all vectors) of those asked nodes that have links.
 
-    The vectors fall into parts of as many as are asked, and the asked ones go to each part: about as many rows again."""
+    The vectors fall into ``bins`` parts of about as many as are asked, and the asked ones go to each part: about as many
+    rows again."""
     rows = _same_kind(nodes).select("kind", "node", "vec", "copies")
-    few = rows.join(asked, "node")
-    sizes = rows.groupBy("kind").agg(F.count("*").alias("size")).join(few.groupBy("kind").agg(F.count("*").alias("few")), "kind")
-    sizes = sizes.withColumn("bins", F.ceil(F.col("size") / F.greatest(F.col("few"), F.lit(BLOCK))).cast("long"))
-    left = rows.join(sizes, "kind").withColumn("bin", F.pmod(F.xxhash64("node"), F.col("bins"))).select("kind", "bin", "node", "vec", "copies")
-    right = few.join(sizes, "kind").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1))).select(
-        "kind", "bin", "node", "vec").toDF("asked_kind", "asked_bin", "node", "vec")
+    left = rows.withColumn("bin", F.pmod(F.xxhash64("node"), F.lit(bins)))
+    right = rows.join(asked, "node").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    right = right.select("kind", "bin", "node", "vec").toDF("asked_kind", "asked_bin", "node", "vec")
 
     def compare(those: pa.Table, these: pa.Table) -> pa.Table:
         y, known, copies = _matrix(those), those.column("node").to_numpy(), those.column("copies").to_numpy()
