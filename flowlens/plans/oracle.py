@@ -465,6 +465,7 @@ WHERE c.reg_api_id IS NULL OR c.lost""", ["cands", "losers"])
         self.cycle("u1", "u0", "classified_w1", "discovered_w1", fx.STATE_SPLIT)
         self.cycle("u2", "u1", "classified_m", "discovered_m", fx.AS_OF)
         self.clone(self.COMPARISON_CHAIN, "ms", {"discovered": "discovered_ms"})
+        self.clone(self.COMPARISON_CHAIN, "ws", {"discovered": "discovered_ws"})
         self.cycle("us2", "u1", "classified_ms", "discovered_ms", "(SELECT t FROM stream_end)")
         self.cycle("ut", "u0", "classified_tw", "discovered_tw", fx.AS_OF)
         self.cycle("uh1", "u0", "classified_h1", "discovered_w1", fx.STATE_SPLIT)

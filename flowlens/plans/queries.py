@@ -1094,6 +1094,29 @@ def q_stream_findings(spark, sf_dir):
                                                           "last_confirmed_at", "resolved_at")
 
 
+QUIET_UNTIL = datetime(2024, 2, 20)
+
+
+@query("stream_expired", "SELECT d.service_key, d.http_method, d.resource_path, d.last_seen_at, CASE WHEN c.classification IS NOT NULL "
+       "THEN 'STALE' END AS status FROM discovered_ws d LEFT JOIN classified_ws c ON d.service_key = c.service_key "
+       "AND d.http_method = c.http_method AND d.resource_path = c.resource_path "
+       f"WHERE d.last_seen_at >= TIMESTAMP '{QUIET_UNTIL}' - INTERVAL '{OPTS.retention_discovered}'", ["discovered_ws", "classified_ws"])
+def q_stream_expired(spark, sf_dir):
+    """E9 + E14 by timers: after the log's end and one comparison, cycles without traffic let three weeks pass; findings go
+    stale, and rows that were not seen for the retention go with no scan; result = what is left, with its finding's status."""
+    base = _stream_folder(spark, sf_dir)
+    api_state, op_state = S.managed_state(spark, sf_dir, OPTS)
+    live = api_state.where(F.col("deleted_at").isNull())
+    end = ST.replay(spark, f"{base}/flows", base, f"{base}/replay", OPTS)
+    ST.govern(spark, base, f"{base}/govern", OPTS).awaitTermination()
+    ST.log_cycle(spark, base, ST.MANAGED, end, 1, "sync")
+    ST.compare_cycle(spark, base, STATE.discovered(spark, f"{base}/govern"), M.active_ops(op_state, api_state), live, end, OPTS)
+    ST.log_cycle(spark, base, ST.DISCOVERY, QUIET_UNTIL, 0, "quiet")
+    ST.govern(spark, base, f"{base}/govern", OPTS).awaitTermination()
+    left = STATE.discovered(spark, f"{base}/govern").select(*D.DISCOVERED_KEY, "last_seen_at")
+    return left.join(STATE.findings(spark, f"{base}/govern").select(*D.DISCOVERED_KEY, "status"), D.DISCOVERED_KEY, "left")
+
+
 @query("sync_metrics", "SELECT sync_class, count(*) AS apis FROM sync GROUP BY ALL", ["sync"])
 def q_sync_metrics(spark, sf_dir):
     """C18 (managed sync): created / updated / unchanged counts of the second sync, observed while its classes are written."""

@@ -29,7 +29,7 @@ TYPES = {"is_tls": "boolean", "is_external": "boolean", "server_port": "long", "
 ROW_COLS = [c for c in DISCOVERED_COLS if c not in DISCOVERED_KEY]
 VERDICT_COLS = ["managed_api_id", "classification", "confidence"]
 FINDING_COLS = [*VERDICT_COLS, "status", "first_detected_at", "last_confirmed_at", "resolved_at", "created_at", "updated_at"]
-CYCLE, VERDICT, DISMISS = 0, 1, 2  # kinds of events; at one time a cycle comes before what was made of it
+CYCLE, VERDICT, DISMISS, CLOCK = 0, 1, 2, 3  # kinds of events; at one time a cycle comes before what was made of it
 
 
 def _schema(columns) -> str:
@@ -44,7 +44,7 @@ EVENTS = (", ".join(f"{k} string" for k in DISCOVERED_KEY) + ", kind int, at lon
 CHANGES = ", ".join(f"{k} string" for k in DISCOVERED_KEY) + ", at timestamp_ntz, change string"
 
 
-def _micros(interval: str) -> int:
+def micros(interval: str) -> int:
     count, unit = interval.split()
     return int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
 
@@ -54,7 +54,7 @@ class Governance(StatefulProcessor):
 
     def __init__(self, opts: Options):
         self.stale, self.keep_row, self.keep_finding = map(
-            _micros, (opts.stale_after, opts.retention_discovered, opts.retention_unmanaged))
+            micros, (opts.stale_after, opts.retention_discovered, opts.retention_unmanaged))
         self.row_names = [c.split()[0] for c in DISCOVERED_STATE.split(", ")]
         self.finding_names = [c.split()[0] for c in FINDING_STATE.split(", ")]
 
@@ -141,6 +141,9 @@ class Governance(StatefulProcessor):
         self._expire(at)
         self._told(at)
 
+    def _clock(self, event: Row) -> None:
+        """Time has passed; nothing else."""
+
     def _dismiss(self, event: Row) -> None:
         if self.finding is not None and event.at >= self.finding["verdict"]:
             self.finding["status"] = "DISMISSED"
@@ -171,7 +174,7 @@ class Governance(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         self._load()
-        work = {CYCLE: self._cycle, VERDICT: self._verdict, DISMISS: self._dismiss}
+        work = {CYCLE: self._cycle, VERDICT: self._verdict, DISMISS: self._dismiss, CLOCK: self._clock}
         for event in sorted(rows, key=lambda r: (r.at, r.kind)):
             work[event.kind](event)
         self._save()
@@ -213,6 +216,15 @@ def verdict_events(verdicts: DataFrame) -> DataFrame:
                            F.lit(None).cast("timestamp").alias("event_time"))
 
 
+def clock_events(cycles: DataFrame) -> DataFrame:
+    """Ends of cycles (cycle_end), also of those without a record, as events of no API: they move the watermark, so timers run
+    while nothing is discovered."""
+    blank = [F.lit("").alias(k) for k in DISCOVERED_KEY]
+    nothing = [F.lit(None).cast("long" if c in TIMES else TYPES.get(c, "string")).alias(c) for c in (*ROW_COLS, *VERDICT_COLS)]
+    return cycles.select(*blank, F.lit(CLOCK).alias("kind"), _us("cycle_end").alias("at"), F.lit(None).cast("boolean").alias("unmanaged"),
+                         *nothing, F.col("cycle_end").cast("timestamp").alias("event_time"))
+
+
 def governed(events: DataFrame, opts: Options) -> DataFrame:
     """The change feed of the stateful operator over a stream of events."""
     return (events.withWatermark("event_time", "0 seconds").groupBy(*DISCOVERED_KEY)

@@ -107,7 +107,7 @@ def closed_parts(closed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _step(opts: Options) -> int:
-    return ST._micros(opts.poll_interval) // 1_000_000
+    return ST.micros(opts.poll_interval) // 1_000_000
 
 
 def closed_before(time: datetime, opts: Options) -> datetime:
@@ -122,7 +122,7 @@ def _closed_by(query, opts: Options) -> datetime | None:
     times = [datetime.strptime(seen[k][:19], "%Y-%m-%dT%H:%M:%S") for k in ("watermark", "max") if seen.get(k)]
     if not times:
         return None
-    mark = max(times[0], times[-1] - timedelta(microseconds=ST._micros(opts.safety_lag)))
+    mark = max(times[0], times[-1] - timedelta(microseconds=ST.micros(opts.safety_lag)))
     return None if mark <= EPOCH + timedelta(days=1) else closed_before(mark, opts)
 
 
@@ -205,7 +205,7 @@ def replay(spark: SparkSession, flow_path: str, base: str, checkpoint: str, opts
     log = spark.read.parquet(flow_path)
     if until is None:
         newest = D.traffic_filter(log, opts).agg(F.max("start_time")).first()[0]
-        until = None if newest is None else newest - timedelta(microseconds=ST._micros(opts.safety_lag))
+        until = None if newest is None else newest - timedelta(microseconds=ST.micros(opts.safety_lag))
     if until is None:
         return None
     end = closed_before(until, opts)
@@ -246,12 +246,13 @@ def replay_batch(flows: DataFrame, opts: Options, until=None) -> DataFrame:
 def govern(spark: SparkSession, base: str, checkpoint: str, opts: Options, trigger: dict | None = None):
     """Start the query that keeps the state; the change feed goes to ``changes``. Returns the StreamingQuery."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.ROCKSDB)
-    for name, schema in (("records", RECORDS), ("verdicts", VERDICTS)):  # a source folder has to exist
-        columns = schema.rpartition(", ")[0]
+    for name, schema in (("records", RECORDS), ("verdicts", VERDICTS), ("cycles", CYCLES)):  # a source folder has to exist
+        columns = schema.removesuffix(", batch string")
         spark.createDataFrame([], columns).write.mode("ignore").parquet(f"{base}/{name}/batch=none")
     read = spark.readStream.option("ignoreMissingFiles", "true")  # a repeated batch replaces its files
     events = ST.record_events(read.schema(RECORDS).parquet(f"{base}/records")).unionByName(
-        ST.verdict_events(read.schema(VERDICTS).parquet(f"{base}/verdicts")))
+        ST.verdict_events(read.schema(VERDICTS).parquet(f"{base}/verdicts"))).unionByName(
+        ST.clock_events(read.schema(f"{CYCLES}, batch string").parquet(f"{base}/cycles").where(F.col("pipeline") == DISCOVERY)))
     return (ST.governed(events, opts).writeStream.format("parquet").option("path", f"{base}/changes")
             .option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
 
