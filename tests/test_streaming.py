@@ -118,13 +118,34 @@ def test_rows_behind_the_watermark_are_dropped(spark):
     after = norm(govern(spark, base))
     key = D.DISCOVERED_COLS.index("resource_path")
     assert len(before) > 0 and not [r for r in after if r[key].startswith("/late/")]
-    # noise alone, a day later: windows close without a signature
+    # noise alone, a day later: windows close without a signature, and time passes for the state as well
     quiet = late.limit(1).withColumn("endpoint", F.lit("/healthz"))
-    for day in ("2024-03-01 00:00:00", "2024-03-01 01:00:00"):
+    for day in ("2024-02-01 00:00:00", "2024-02-01 01:00:00"):
         quiet.withColumn("start_time", F.lit(day).cast("timestamp_ntz")).write.mode("append").partitionBy("day").parquet(f"{base}/flows")
         run()
     assert ST.pipelines(spark, base).first()["last_watermark_end"] > end
-    assert {r[key] for r in norm(govern(spark, base))} == {r[key] for r in after}
+    seen = D.DISCOVERED_COLS.index("last_seen_at")
+    final = norm(govern(spark, base))
+    assert {r[key] for r in after if r[seen] >= "2024-01-03"} <= {r[key] for r in final}
+    assert min(r[seen] for r in final) >= "2024-01-01 12"  # what is older than the retention has gone by then
+
+
+def test_comparison_waits_for_a_fresh_sync(spark):
+    """Without a managed sync, and after one that is too old, no verdicts are written; E8: nor without traffic."""
+    base = folder("gate")
+    ops = spark.createDataFrame([], "reg_api_id string, http_method string, raw_target string, match_path string")
+    apis = spark.createDataFrame([], "reg_api_id string, endpoint_hostname string")
+    seen = spark.createDataFrame([("s", "GET", "/x", "", "", 80, 1)], "service_key string, http_method string, resource_path string, "
+                                 "request_domain string, host_ip string, server_port long, hit_count long")
+    run = lambda at, rows=seen: ST.compare_cycle(spark, base, rows, ops, apis, at, DEFAULT)
+    ST.log_cycle(spark, base, ST.DISCOVERY, "2024-01-01 00:00:00", 1, "d")
+    assert not run("2024-01-01 00:10:00")
+    ST.log_cycle(spark, base, ST.MANAGED, "2024-01-01 00:00:00", 1, "m")
+    assert not run("2024-01-01 00:30:00") and not run("2024-01-01 00:10:00", seen.limit(0))
+    assert run("2024-01-01 00:29:59")
+    got = spark.read.parquet(f"{base}/verdicts").collect()
+    assert [(r["service_key"], r["unmanaged"], r["classification"], str(r["as_of"])) for r in got] == [
+        ("s", True, "SHADOW", "2024-01-01 00:29:59")]
 
 
 # ------------------------------------------------------------------------------------------- state machine
