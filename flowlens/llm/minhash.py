@@ -271,12 +271,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                                                            ["bucket", "node"], "left_anti")
         leaders *= 4
     # rows of one doc_id with unlike texts make their texts' documents reachable from one another
-    spread = known.join(classes, ["d1", "d2"]).select("doc_id", "node")
-    spread = spread.join(spread.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-                         .where("low <> high").select("doc_id", "low"), "doc_id")
-    tied = materialize(spread.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")), "tied")
-    if not tied.isEmpty():
-        joined = components(links.select("src", "dst").union(tied))
+    text = F.xxhash64("d1", "d2")
+    many = known.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi").select("doc_id")
+    if not many.isEmpty():
+        spread = known.join(many, "doc_id").join(classes, ["d1", "d2"]).select("doc_id", "node")
+        low = spread.groupBy("doc_id").agg(F.min("node").alias("low"))
+        tied = spread.join(low, "doc_id").where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst"))
+        joined = components(links.select("src", "dst").union(materialize(tied, "tied")))
     per_row = (made.join(classes, ["d1", "d2"], "left").join(joined, "node", "left")
                .withColumn("component", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node"))))
     lowest = per_row.groupBy("doc_id").agg(F.min("component").alias("component_id"))
