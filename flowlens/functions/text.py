@@ -189,10 +189,20 @@ def parse_endpoint(c) -> Column:
             .otherwise(F.struct(host.alias("host"), port.alias("port"), path.alias("path"))))
 
 
+def api_time_shape(pattern: str) -> str:
+    """Regex that every text read by a datetime pattern of ``API_TIME_FORMATS`` matches: its dot, if there is one, and end."""
+    ends = {"XXX": r"(?:[Zz]|[+-][0-9]{2}:[0-9]{2})", "'Z'": "[Zz]", "Z": "[+-][0-9]{4}"}
+    end = next((e for mark, e in ends.items() if pattern.endswith(mark)), "[0-9]")
+    body = ".*" if "[." in pattern else r"[^.]*[.][^.]*" if "." in pattern else "[^.]*"
+    return rf"(?s)\A{body}{end}\z"
+
+
 def parse_api_time(c) -> Column:
-    """First of the accepted formats that parses, as a UTC wall-clock timestamp_ntz."""
+    """First of the accepted formats that parses, as a UTC wall-clock timestamp_ntz. A text is tried only with formats
+    whose shape it has, as each failing try costs an exception."""
     x = nz(c)
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in API_TIME_FORMATS]).cast("timestamp_ntz")
+    return F.coalesce(*[F.when(x.rlike(api_time_shape(f)), F.try_to_timestamp(x, F.lit(f))) for f in API_TIME_FORMATS]) \
+        .cast("timestamp_ntz")
 
 
 def oas_path(c) -> Column:

@@ -85,6 +85,24 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+_DEALT: dict = {}
+
+
+def dealt(spark, path: str):
+    """A parquet table whose rows are dealt out to tasks evenly. A file is split by its row groups of up to a million rows, so
+    a table of few files is written once a session into three files a core at least, and read from there; what Spark pushes
+    to the scan then runs on all cores as well."""
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    if len(table.inputFiles()) >= cores:
+        return table
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    key = (spark.sparkContext.applicationId, tuple(sorted(map(tuple, files.select("path", "length", "modificationTime").collect()))))
+    if key not in _DEALT:
+        tasks = max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _DEALT[key] = materialize(table.repartition(tasks), "dealt")
+    return _DEALT[key]
+
+
 def observed(df, name: str, counters: dict, into: dict):
     """``materialize`` that adds to ``into`` the values of aggregate columns over the rows, taken while they are written;
     no second scan. Without rows they are 0."""

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import dealt
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -209,7 +211,7 @@ def catalog_src(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_details_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in input: WIDE_SRC_SQL as one detail document (JSON text) per API."""
     from pyspark.sql import functions as F
-    register_tables(spark, sf_dir, ("part",))
+    dealt(spark, f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
     src = spark.sql(WIDE_SRC_SQL)
     op = lambda verb, target: F.struct(F.lit(target).alias("target"), F.lit(verb).alias("verb"))
     plain = F.array(op("get", "/orders/{orderId}"), op("POST", "//orders"), op("head", "/orders"), op("", "/x"))
