@@ -828,7 +828,7 @@ def q_wide_ops_context(spark, sf_dir):
 
 
 def _wide_synced(spark, sf_dir):
-    apis, ops = _wide(spark, sf_dir)
+    apis, ops = (materialize(t, f"wide_{n}") for t, n in zip(_wide(spark, sf_dir), ("apis", "ops"), strict=True))
     return M.merge_managed(None, None, M.classify_sync(apis, None), ops, fx.AS_OF)
 
 
