@@ -194,7 +194,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=("events", "nation")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_tables(spark, sf_dir, ("events",))
+    dealt(spark, f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     return spark.sql(FLOWS_SQL_SPARK)
 
 
