@@ -1011,12 +1011,16 @@ def q_is_fresh(spark, sf_dir):
 
 
 def _stream_folder(spark, sf_dir):
-    """A folder of its own in the shared one, with the flow log in day folders written by eight tasks."""
+    """A folder of its own in the shared one, with the flow log in day folders. A day is written in parts by the number of
+    rows, as a task sorts what it writes and a stream sorts what it reads of a file: neither grows with the log."""
     import uuid
     from ..session import ensure_checkpoint_dir
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/flowlens-stream/{uuid.uuid4().hex}"
     src = flows(spark, sf_dir).withColumn("day", F.to_date("start_time"))
-    src.repartition(8, "day").write.partitionBy("day").parquet(f"{base}/flows")
+    log = src.agg(F.count("*").alias("n"), F.count_distinct("day").alias("days")).first()
+    parts = max(1, log["n"] // (max(1, log["days"]) * ST.FILE_ROWS))
+    src.repartition(max(8, parts * log["days"]), "day", F.pmod(F.xxhash64("flow_id"), F.lit(parts))) \
+        .write.option("maxRecordsPerFile", ST.FILE_ROWS).partitionBy("day").parquet(f"{base}/flows")
     return base
 
 
