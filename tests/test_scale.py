@@ -61,3 +61,9 @@ def test_a_stream_has_more_and_no_larger_tasks_for_a_larger_log(spark, monkeypat
     with ST.bounded_tasks(spark, f"{base}/flows"):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) > int(before["spark.sql.shuffle.partitions"])
     assert before == {k: spark.conf.get(k, None) for k in before}
+
+
+def test_a_sync_reads_documents_once(spark):
+    apis, ops, _ = Q._wide_synced(spark, folder(spark, 300))
+    for state in (apis, ops):
+        assert all("/flowlens-tables/wide_" in f for f in state.inputFiles())
