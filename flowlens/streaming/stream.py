@@ -147,12 +147,13 @@ def _name(checkpoint: str, batch_id: int) -> str:
 def bounded_tasks(spark: SparkSession, flow_path: str):
     """Settings under which a stream over a log starts, so that what one task sorts and holds has a bound whatever the log:
     its tasks read few bytes, its state has a partition for so many bytes of the log and lies on disk. A query keeps the
-    settings it starts with, and a checkpoint the partitions and the store of its first start."""
+    settings it starts with, and a checkpoint the partitions and the store of its first start; only the bytes of a task are
+    looked up in the session at each batch, so that setting stays."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(flow_path)
     size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     store = "spark.sql.streaming.stateStore"
-    conf = {"spark.sql.files.maxPartitionBytes": str(READ_BYTES), f"{store}.providerClass": ST.ROCKSDB,
-            f"{store}.rocksdb.boundedMemoryUsage": "true",
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(READ_BYTES))
+    conf = {f"{store}.providerClass": ST.ROCKSDB, f"{store}.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.shuffle.partitions": str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // STATE_BYTES))}
     held = {k: spark.conf.get(k, None) for k in conf}
     try:

@@ -57,9 +57,10 @@ def test_a_stream_has_more_and_no_larger_tasks_for_a_larger_log(spark, monkeypat
     log = spark.read.parquet(f"{base}/flows")
     assert log.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 100
     assert log.select("flow_id").distinct().count() == log.count() == fx.flows(spark, folder(spark, 4000)).count()
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")}
     with ST.bounded_tasks(spark, f"{base}/flows"):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) > int(before["spark.sql.shuffle.partitions"])
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(ST.READ_BYTES)  # batches look it up as they run
     assert before == {k: spark.conf.get(k, None) for k in before}
 
 
