@@ -19,6 +19,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once for each row, however often the body names it; an expression is else put
+    in place of each mention, and nested ones multiply."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nz(c) -> Column:
     """Go string view of a nullable column: NULL reads as ''."""
     return F.coalesce(col(c), F.lit(""))
@@ -110,10 +116,10 @@ def normalize_path(c, opts: Options) -> Column:
                    .otherwise(rlike_any(s, ids)))
         return F.struct(F.when(replace, F.lit("{id}")).otherwise(s).alias("v"), replace.alias("r"))
 
-    ruled = F.transform(segs, seg_rule)
-    changed = F.exists(ruled, lambda x: x["r"])
-    joined = F.concat(F.lit("/"), F.array_join(F.transform(ruled, lambda x: x["v"]), "/"))
-    return F.when(p.isin("", "/"), p).when(changed, joined).otherwise(p)
+    def joined(ruled: Column) -> Column:
+        path = F.concat(F.lit("/"), F.array_join(F.transform(ruled, lambda x: x["v"]), "/"))
+        return F.when(F.exists(ruled, lambda x: x["r"]), path).otherwise(p)
+    return F.when(p.isin("", "/"), p).otherwise(once(F.transform(segs, seg_rule), joined))
 
 
 def normalize_target(c) -> Column:
@@ -124,7 +130,7 @@ def normalize_target(c) -> Column:
     changed = F.exists(segs, is_param)
     joined = F.concat(F.lit("/"), F.array_join(
         F.transform(segs, lambda s: F.when(is_param(s), F.lit("{id}")).otherwise(s)), "/"))
-    return F.when(t == "", t).when(changed, joined).otherwise(t)
+    return F.when(t.contains("{") & changed, joined).otherwise(t)
 
 
 def normalize_context(c) -> Column:
@@ -142,16 +148,20 @@ def match_path(basepath, context, target, pass_through: bool) -> Column:
         ctx = normalize_context(context)
         parts.append(F.when(ctx != "", trim_one_suffix(ctx)).otherwise(F.lit("")))
     parts.append(nz(target))
-    r = F.concat(*parts)
-    r = F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r))
-    r = F.when(F.length(r) > 1, trim_one_suffix(r)).otherwise(r)
-    return F.regexp_replace(r, "/{2,}", "/")
+    def cleaned(r: Column) -> Column:
+        r = F.when(r.startswith("/"), r).otherwise(F.concat(F.lit("/"), r))
+        r = F.when(F.length(r) > 1, trim_one_suffix(r)).otherwise(r)
+        return F.regexp_replace(r, "/{2,}", "/")
+    return once(F.concat(*parts), cleaned)
 
 
 def endpoint_of(c) -> Column:
     """Endpoint config JSON -> struct(endpoint_type, endpoint_url); invalid JSON -> blanks."""
-    raw = nz(c)
-    valid = F.get_json_object(raw, "$").isNotNull() & F.ltrim(raw).startswith("{")
+    return once(nz(c), _endpoint_config)
+
+
+def _endpoint_config(raw: Column) -> Column:
+    valid = F.ltrim(raw).startswith("{") & F.get_json_object(raw, "$").isNotNull()
     etype = F.coalesce(nullif_blank(F.get_json_object(raw, "$.endpoint_type")), F.lit("http"))
     url = F.coalesce(nullif_blank(F.get_json_object(raw, "$.production_endpoints.url")),
                      F.get_json_object(raw, "$.production_endpoints[0].url"), F.lit(""))
@@ -165,28 +175,34 @@ _URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)"
 def parse_endpoint(c) -> Column:
     """URL -> struct(host, port, path). Host without brackets and port; port explicit, else 443
     for https, else 80; path percent-decoded with one trailing '/' removed; invalid -> ('', 0, '')."""
-    u = nz(c)
-    scheme = F.lower(F.regexp_extract(u, _URL_RE, 1))
-    has_auth = F.regexp_extract(u, _URL_RE, 2) != ""
-    auth = F.regexp_extract(u, _URL_RE, 3)
-    raw_path = F.regexp_extract(u, _URL_RE, 4)
-    hostport = F.regexp_replace(auth, r"^.*@", "")
-    bracket = hostport.startswith("[")
-    host = F.when(bracket, F.regexp_extract(hostport, r"^\[([^\]]*)\]", 1)).otherwise(
-        F.regexp_replace(hostport, r":[^:]*\z", ""))
-    port_txt = F.when(bracket, F.regexp_extract(hostport, r"^\[[^\]]*\](?::([0-9]*))?\z", 1)).otherwise(
-        F.regexp_extract(hostport, r":([^:]*)\z", 1))
-    port_ok = port_txt.rlike(r"^[0-9]*\z")
-    # opaque form (scheme:rest without //): no host and no path
-    opaque = (scheme != "") & ~has_auth & ~raw_path.startswith("/") & (raw_path != "")
-    decoded = F.try_url_decode(F.replace(raw_path, F.lit("+"), F.lit("%2B")))
-    ok = port_ok & decoded.isNotNull() & ~u.rlike(r"[\x00-\x1f\x7f]")
-    port = F.when(port_txt != "", port_txt.cast("int")).when(scheme == "https", F.lit(443)).otherwise(F.lit(80))
-    path = F.when(opaque, F.lit("")).otherwise(trim_one_suffix(decoded))
-    host = F.when(has_auth, host).otherwise(F.lit(""))
-    return (F.when(u == "", F.struct(F.lit("").alias("host"), F.lit(0).alias("port"), F.lit("").alias("path")))
-            .when(~ok, F.struct(F.lit("").alias("host"), F.lit(0).alias("port"), F.lit("").alias("path")))
-            .otherwise(F.struct(host.alias("host"), port.alias("port"), path.alias("path"))))
+    return once(nz(c), _endpoint_parts)
+
+
+def _endpoint_parts(u: Column) -> Column:
+    none = F.struct(F.lit("").alias("host"), F.lit(0).alias("port"), F.lit("").alias("path"))
+    parts = F.struct(F.lower(F.regexp_extract(u, _URL_RE, 1)).alias("scheme"),
+                     (F.regexp_extract(u, _URL_RE, 2) != "").alias("has_auth"),
+                     F.regexp_replace(F.regexp_extract(u, _URL_RE, 3), r"^.*@", "").alias("hostport"),
+                     F.regexp_extract(u, _URL_RE, 4).alias("path"))
+
+    def read(p: Column) -> Column:
+        bracket = p["hostport"].startswith("[")
+        port_txt = F.when(bracket, F.regexp_extract(p["hostport"], r"^\[[^\]]*\](?::([0-9]*))?\z", 1)).otherwise(
+            F.regexp_extract(p["hostport"], r":([^:]*)\z", 1))
+        decoded = F.try_url_decode(F.replace(p["path"], F.lit("+"), F.lit("%2B")))
+        return once(F.struct(port_txt.alias("port"), decoded.alias("path")), lambda q: checked(p, q))
+
+    def checked(p: Column, q: Column) -> Column:
+        ok = q["port"].rlike(r"^[0-9]*\z") & q["path"].isNotNull() & ~u.rlike(r"[\x00-\x1f\x7f]")
+        host = F.when(p["hostport"].startswith("["), F.regexp_extract(p["hostport"], r"^\[([^\]]*)\]", 1)).otherwise(
+            F.regexp_replace(p["hostport"], r":[^:]*\z", ""))
+        port = F.when(q["port"] != "", q["port"].cast("int")).when(p["scheme"] == "https", F.lit(443)).otherwise(F.lit(80))
+        # opaque form (scheme:rest without //): no host and no path
+        opaque = (p["scheme"] != "") & ~p["has_auth"] & ~p["path"].startswith("/") & (p["path"] != "")
+        path = F.when(opaque, F.lit("")).otherwise(trim_one_suffix(q["path"]))
+        return F.when(~ok, none).otherwise(F.struct(F.when(p["has_auth"], host).otherwise(F.lit("")).alias("host"),
+                                                    port.alias("port"), path.alias("path")))
+    return F.when(u == "", none).otherwise(once(parts, read))
 
 
 def api_time_shape(pattern: str) -> str:

@@ -26,12 +26,13 @@ def op_index(ops: DataFrame) -> DataFrame:
                     F.col("op.reg_api_id").alias("reg_api_id")))
 
 
-def match(discovered: DataFrame, ops: DataFrame) -> DataFrame:
-    """Discovered LEFT JOIN registered operations on (method, path); reg_api_id NULL = unmatched."""
+def match(discovered: DataFrame, ops: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Discovered LEFT JOIN registered operations on (method, path); reg_api_id NULL = unmatched. ``index`` is their
+    ``op_index`` where it is at hand."""
     d = discovered.select("service_key", "http_method", "resource_path",
                           T.nz(F.col("request_domain")).alias("request_domain"),
                           T.nz(F.col("host_ip")).alias("host_ip"), "server_port", "hit_count")
-    return d.join(op_index(ops), ["http_method", "resource_path"], "left").select(*CAND_COLS)
+    return d.join(op_index(ops) if index is None else index, ["http_method", "resource_path"], "left").select(*CAND_COLS)
 
 
 def collisions(cands: DataFrame) -> DataFrame:

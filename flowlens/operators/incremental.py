@@ -54,13 +54,13 @@ def compare_changes(before: dict[str, DataFrame], fresh: DataFrame, ops_before:
     old = before["candidates"]
     removed = fresh.select(*KEY) if gone is None else fresh.select(*KEY).union(gone.select(*KEY))
     removed = materialize(removed.distinct(), "removed_keys")
-    index = C.op_index(ops)
+    index = materialize(C.op_index(ops), "op_index")
     moved = materialize(_differs(C.op_index(ops_before), index, PATH, "reg_api_id"), "moved_paths")
     paths = materialize(moved.union(removed.select(*PATH)).distinct(), "changed_paths")
 
     # 1. candidates
     stay = old.join(removed, KEY, "left_anti")
-    again = stay.join(moved, PATH, "left_semi").drop("reg_api_id").unionByName(C.match(fresh, ops).drop("reg_api_id"))
+    again = stay.join(moved, PATH, "left_semi").drop("reg_api_id").unionByName(C.match(fresh, ops, index).drop("reg_api_id"))
     again = materialize(again.join(index, PATH, "left").select(*C.CAND_COLS), "rematched")
     cands = materialize(stay.join(moved, PATH, "left_anti").select(*C.CAND_COLS).unionByName(again), "candidates")
 

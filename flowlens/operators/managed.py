@@ -21,9 +21,17 @@ API_KEEP_FIRST = ["provider", "api_type", "reg_created_at"]
 
 def managed_from_json(details: DataFrame, pass_through: bool = False) -> tuple[DataFrame, DataFrame]:
     """A5 + B9-B15: typed detail rows -> (API rows, operation rows)."""
-    ep = T.endpoint_of("endpointConfig")
-    d = details.select("*", ep.alias("ep"))
-    d = d.select("*", T.parse_endpoint("ep.endpoint_url").alias("u"))
+    return managed_rows(with_endpoints(details), pass_through)
+
+
+def with_endpoints(details: DataFrame) -> DataFrame:
+    """B12 + B13: detail rows with their endpoint config (ep) and its URL (u) read, which APIs and operations both need."""
+    d = details.select("*", T.endpoint_of("endpointConfig").alias("ep"))
+    return d.select("*", T.parse_endpoint("ep.endpoint_url").alias("u"))
+
+
+def managed_rows(d: DataFrame, pass_through: bool = False) -> tuple[DataFrame, DataFrame]:
+    """B9-B11 + B14 + B15 on rows of ``with_endpoints``: (API rows, operation rows)."""
     apis = d.select(
         F.col("id").alias("reg_api_id"), T.nz(F.col("name")).alias("api_name"),
         T.nz(F.col("version")).alias("api_version"), T.nz(F.col("context")).alias("context"),

@@ -797,9 +797,12 @@ SELECT id AS reg_api_id, type AS api_type, context,
 FROM wide WHERE {_WIDE_OK}""", ["wide"])
 
 
+def _wide_published(spark, sf_dir):
+    return A.published(A.parse_details(fx.wide_details_json(spark, sf_dir)), OPTS.include_api_types)
+
+
 def _wide(spark, sf_dir, pass_through=False):
-    pub = A.published(A.parse_details(fx.wide_details_json(spark, sf_dir)), OPTS.include_api_types)
-    return M.managed_from_json(pub, pass_through)
+    return M.managed_from_json(_wide_published(spark, sf_dir), pass_through)
 
 
 @query("wide_apis", "SELECT * FROM wide_apis", ["wide_apis"])
@@ -828,7 +831,8 @@ def q_wide_ops_context(spark, sf_dir):
 
 
 def _wide_synced(spark, sf_dir):
-    apis, ops = (materialize(t, f"wide_{n}") for t, n in zip(_wide(spark, sf_dir), ("apis", "ops"), strict=True))
+    read = materialize(M.with_endpoints(_wide_published(spark, sf_dir)), "wide_documents")
+    apis, ops = (materialize(t, f"wide_{n}") for t, n in zip(M.managed_rows(read), ("apis", "ops"), strict=True))
     return M.merge_managed(None, None, M.classify_sync(apis, None), ops, fx.AS_OF)
 
 

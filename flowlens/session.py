@@ -85,22 +85,23 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
-_DEALT: dict = {}
+_WRITTEN: dict = {}
 
 
-def dealt(spark, path: str):
-    """A parquet table whose rows are dealt out to tasks evenly. A file is split by its row groups of up to a million rows, so
-    a table of few files is written once a session into three files a core at least, and read from there; what Spark pushes
-    to the scan then runs on all cores as well."""
-    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    if len(table.inputFiles()) >= cores:
-        return table
+def written_once(spark, path: str, name: str, make):
+    """The table that ``make`` gives of the parquet table at ``path``, written once a session and state of its files. The rows
+    are dealt out to tasks evenly before: a file is split by its row groups of up to a million rows, so few files leave cores
+    without work. What Spark pushes to the scan of the written table runs on all cores as well, and on its columns as they
+    are: expressions that made them are not put into the filter again."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    key = (spark.sparkContext.applicationId, tuple(sorted(map(tuple, files.select("path", "length", "modificationTime").collect()))))
-    if key not in _DEALT:
-        tasks = max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        _DEALT[key] = materialize(table.repartition(tasks), "dealt")
-    return _DEALT[key]
+    key = (name, spark.sparkContext.applicationId,
+           tuple(sorted(map(tuple, files.select("path", "length", "modificationTime").collect()))))
+    if key not in _WRITTEN:
+        table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+        if len(table.inputFiles()) < cores:
+            table = table.repartition(max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        _WRITTEN[key] = materialize(make(table), name)
+    return _WRITTEN[key]
 
 
 def observed(df, name: str, counters: dict, into: dict):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import dealt
+from ..session import written_once
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -77,7 +77,9 @@ _FLOWS_TAIL = """SELECT event_id * 3 + CASE point WHEN 's-p' THEN 0 WHEN 's' THE
 FROM o"""
 
 FLOWS_SQL_DUCK = _FLOWS_HEAD + _FLOWS_FANOUT_DUCK + _FLOWS_TAIL
-FLOWS_SQL_SPARK = _FLOWS_HEAD + _FLOWS_FANOUT_SPARK + _FLOWS_TAIL
+# In Spark the body b is written once, as each filter on a column made of ``k`` would look for the number in ``props`` again.
+FLOW_BODY_SQL_SPARK = _FLOWS_HEAD.rstrip().removesuffix(",") + "\nSELECT * FROM b"
+FLOWS_SQL_SPARK = "WITH b AS (SELECT * FROM flow_body),\n" + _FLOWS_FANOUT_SPARK + _FLOWS_TAIL
 
 MANAGED_SRC_SQL_DUCK = """
 WITH t AS (
@@ -194,7 +196,10 @@ def register_tables(spark: SparkSession, sf_dir: str, names=("events", "nation")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt(spark, f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    def body(events: DataFrame) -> DataFrame:
+        events.createOrReplaceTempView("events")
+        return spark.sql(FLOW_BODY_SQL_SPARK)
+    written_once(spark, f"{sf_dir}/events.parquet", "flow_body", body).createOrReplaceTempView("flow_body")
     return spark.sql(FLOWS_SQL_SPARK)
 
 
@@ -209,9 +214,13 @@ def catalog_src(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_details_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in input: WIDE_SRC_SQL as one detail document (JSON text) per API."""
+    """Stand-in input: WIDE_SRC_SQL as one detail document (JSON text) per API, written once."""
+    return written_once(spark, f"{sf_dir}/part.parquet", "wide_details", lambda part: _wide_details(spark, part))
+
+
+def _wide_details(spark: SparkSession, part: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
-    dealt(spark, f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    part.createOrReplaceTempView("part")
     src = spark.sql(WIDE_SRC_SQL)
     op = lambda verb, target: F.struct(F.lit(target).alias("target"), F.lit(verb).alias("verb"))
     plain = F.array(op("get", "/orders/{orderId}"), op("POST", "//orders"), op("head", "/orders"), op("", "/x"))

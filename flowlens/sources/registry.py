@@ -27,8 +27,8 @@ CATALOG_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructFiel
 
 
 def parse_details(raw: DataFrame, column: str = "json") -> DataFrame:
-    """JSON text per API -> typed detail rows."""
-    return raw.select(F.from_json(F.col(column), API_DETAIL_SCHEMA).alias("d")).select("d.*")
+    """JSON text per API -> typed detail rows. A text is parsed once: filters on the rows stay above the generator."""
+    return raw.select(F.inline(F.array(F.from_json(F.col(column), API_DETAIL_SCHEMA))))
 
 
 def read_details(spark: SparkSession, path: str) -> DataFrame:

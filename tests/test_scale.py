@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from flowlens.config import API_TIME_FORMATS
 from flowlens.functions import text as T
+from flowlens.operators import discovery as D
+from flowlens.operators import managed as M
 from flowlens.plans import queries as Q
 from flowlens.sources import fixtures as fx
 from flowlens.streaming import stream as ST
@@ -64,6 +66,32 @@ def test_a_stream_has_more_and_no_larger_tasks_for_a_larger_log(spark, monkeypat
     assert before == {k: spark.conf.get(k, None) for k in before}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_of_the_flow_log_are_on_written_columns(spark):
+    d = folder(spark, 400)
+    flows = fx.flows(spark, d)
+    assert "regexp_extract" not in plan_of(D.traffic_filter(flows, Q.OPTS, end="2024-01-01 03:00:00"))
+    rows = {(r["event_id"], p) for r in spark.read.parquet(f"{d}/events.parquet").collect()
+            for p in ("s-p", *(["s"] if r["event_id"] % 4 else []), *([] if r["event_id"] % 3 else ["c-p"]))}
+    got = flows.select(F.floor(F.col("flow_id") / 3), "observation_point").collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == rows
+
+
+def test_documents_and_urls_are_read_once_for_each_row(spark):
+    plan = plan_of(M.with_endpoints(Q._wide_published(spark, folder(spark, 300))))
+    assert plan.count("from_json(") == 1 and "to_json" not in plan
+    assert plan.count("get_json_object(") <= 8  # with the copies that Spark prints of a lambda's body
+    texts = ["http://u@h:81/a%20b/", "http://[::1]/x", "http://h:bad/", "mailto:x", "//h/%zz", "/p/", "", None, "HTTPS://H?q"]
+    urls = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert plan_of(urls.select(T.parse_endpoint("t").alias("u")).select("u.*")).count("try_url_decode") <= 1
+    want = [("h", 81, "/a b"), ("::1", 80, "/x"), ("", 0, ""), ("", 80, ""), ("", 0, ""), ("", 80, "/p"), ("", 0, ""), ("", 0, ""),
+            ("H", 443, "")]
+    assert [tuple(r[0]) for r in urls.select(T.parse_endpoint("t")).collect()] == want
+
+
 def test_a_sync_reads_documents_once(spark):
     apis, ops, _ = Q._wide_synced(spark, folder(spark, 300))
     for state in (apis, ops):
