@@ -76,6 +76,24 @@ def test_equals_plain_search(spark, monkeypatch, length, hot):
     assert [got[i] for i in range(len(texts))] == plain(texts, length)
 
 
+def test_planted_passages_of_over_50_words(spark):
+    rng = random.Random(8)
+
+    def words(n, low, high):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.randint(low, high))) for _ in range(n))
+
+    long, short = words(60, 7, 9), words(60, 3, 5)
+    assert len(long.encode()) > 400 > len(short.encode())
+    texts = [f"{words(80, 3, 9)} {p}{end} {words(70, 3, 9)}" for p in (long, short) for end in (".", "!")]
+    texts.append(words(150, 3, 9))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.digests(df).collect()}
+    got = [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) for i in range(5)]
+    assert got == plain(texts, 400)
+    assert all(rows[i].n_removed >= len(long.encode()) for i in (0, 1))
+    assert [rows[i].n_removed for i in (2, 3, 4)] == [0, 0, 0]
+
+
 def test_pieces_of_a_long_text(monkeypatch, spark):
     monkeypatch.setattr(S, "PIECE", 64)
     rng = random.Random(5)
