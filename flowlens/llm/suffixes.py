@@ -28,6 +28,11 @@ the same search runs on the codes. A window that starts inside a code shares nea
 ends, so what it finds is found by whole words too, and spans are cut back to whole words. White space between words does
 not matter. A character of a script written without spaces is a word, and a run of ``LENGTH`` bytes or more without white
 space is a word for every eight bytes.
+
+``digests`` also counts the words in such runs of ``PASSAGE`` words, most of which have less than 400 bytes, without removing
+them. Steps 1 and 2 take these windows of words along as segments of a second unit, and the documents that hold undecided
+segments of either unit are shuffled once. The windows of the undecided ones are compared by hash under their anchor, those
+of an anchor with more than ``HOT`` segments under both hashes.
 """
 
 from __future__ import annotations
@@ -46,9 +51,11 @@ from flowlens.llm import textbytes as tb
 from flowlens.session import materialize
 
 LENGTH = 400
+PASSAGE = 51  # words
 CODE = 6  # bytes of a word's code
 LONG_STEP = 8  # bytes of a word inside a run that is too long for one
 GRAM = 32
+WORD_GRAM = 12
 HOT = 256
 BLOCKS = (64, 8, 1)
 PIECE = 1 << 22  # longer documents are cut into pieces that overlap by length - 1 bytes
@@ -76,18 +83,17 @@ def segments_of(texts: tb.Texts, length: int) -> tuple[np.ndarray, ...]:
     """(doc, start, n, times, anchor hash, content hash) of the segments of documents or pieces.
 
     A segment is ``n`` consecutive windows from ``start``; ``times`` counts equal segments that follow each other
-    directly, as in runs of one character.
+    directly, as in runs of one character. ``texts`` holds bytes, or hashes of words as ``_in_words`` gives them.
     """
-    size, gram = len(texts.data), min(GRAM, length)
-    at = np.arange(max(size - length + 1, 0))
-    piece = texts.doc_of(at)
-    at = at[at + length <= texts.ends[piece]] if len(at) else at
+    in_bytes = texts.data.dtype == np.uint8
+    size, gram = len(texts.data), min(GRAM if in_bytes else WORD_GRAM, length)
+    windows = np.maximum(texts.ends - texts.starts - length + 1, 0)
+    at = np.repeat(texts.starts - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
     if not len(at):
         return (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),) * 2
-    sums = tb.prefix_hash(tb.BYTE_CODE[texts.data])
-    place = np.arange(size - gram + 1)
-    hashes = tb.span_hash(sums, place, place + gram)
-    least = (hashes & _U(((1 << 40) - 1) << _PLACE_BITS)) | place.astype(np.uint64)
+    sums = tb.prefix_hash(tb.BYTE_CODE[texts.data] if in_bytes else texts.data)
+    hashes = tb.window_hash(sums, gram)
+    least = (hashes & _U(((1 << 40) - 1) << _PLACE_BITS)) | np.arange(size - gram + 1, dtype=np.uint64)
     width, reach = length - gram + 1, 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -190,47 +196,81 @@ def repeated_windows(text: np.ndarray, valid: np.ndarray, length: int) -> np.nda
 
 # ---- Spark stages ----------------------------------------------------------------------------------------
 
-def _segments(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, k, h, g, n, start, times) of every document's segments."""
-    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in
-                                                    ("k", "h", "g", "n", "start", "times")]])
+def _segments(rows: DataFrame, length: int, passage: int = 0) -> DataFrame:
+    """(doc_id, k, h, g, n, start, times) of every document's segments; with ``passage``, those of so many words too, and
+    unit (0 for bytes, 1 for words)."""
+    names = ["k", "h", "g", "n", "start", "times", *(["unit"] if passage else [])]
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, texts in tb.chunks(batch.column(2)):
-                for docs, bases, part in _pieces(texts, length):
-                    doc, start, n, times, key, content = segments_of(part, length)
-                    if len(doc):
-                        row = pa.array(docs[doc] + lo)
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(row), batch.column(1).take(row), pa.array(key.view(np.int64)),
-                             pa.array(content.view(np.int64)), pa.array(n), pa.array(start + bases[doc]),
-                             pa.array(times)], names=schema.names)
+                for unit, size in enumerate([length, passage] if passage else [length]):
+                    for docs, bases, part in _pieces(_in_words(texts) if unit else texts, size):
+                        doc, start, n, times, key, content = segments_of(part, size)
+                        if len(doc):
+                            row = pa.array(docs[doc] + lo)
+                            last = [pa.array(np.full(len(doc), unit))] if passage else []
+                            yield pa.RecordBatch.from_arrays(
+                                [batch.column(0).take(row), batch.column(1).take(row), pa.array(key.view(np.int64)),
+                                 pa.array(content.view(np.int64)), pa.array(n), pa.array(start + bases[doc]),
+                                 pa.array(times), *last], names=schema.names)
 
     return tb.in_arrow(rows.select("doc_id", "k", "text"), run, schema)
 
 
-def _cut_out(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted segments (doc_id, k, h, start, n, seen), cut from their documents."""
-    lists = (wanted.groupBy("doc_id", "k").agg(F.collect_list(F.struct("h", "start", "n", "seen")).alias("segs"))
+def _cut_out(rows: DataFrame, wanted: DataFrame, length: int, passage: int = 0) -> DataFrame:
+    """The bytes of wanted segments (doc_id, k, h, start, n, seen), cut from their documents; with ``passage``, those of
+    unit 1 have no bytes but the hashes of their windows of words."""
+    fields = ["h", "start", "n", "seen", *(["unit", "crowd"] if passage else [])]
+    lists = (wanted.groupBy("doc_id", "k").agg(F.collect_set(F.struct(*fields)).alias("segs"))
              .withColumnsRenamed({"doc_id": "id", "k": "key"}))
     joined = (rows.select("doc_id", "k", "text").join(lists, F.expr("doc_id <=> id and k = key"))
               .select("doc_id", "k", "text", "segs"))
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in
                                                     ("k", "h", "start", "n", "seen")],
-                           T.StructField("bytes", T.BinaryType())])
+                           T.StructField("bytes", T.BinaryType()),
+                           *([T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("crowd", T.LongType())]
+                             if passage else [])])
+    kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, segs = batch.column(2).cast(pa.binary()), batch.column(3)
             for row in range(batch.num_rows):
                 data, found = texts[row].as_py(), segs[row].values
+                if passage:
+                    found = found.take(pa.array(np.flatnonzero(found.field("unit").to_numpy() == 0)))
                 start, n = (found.field(c).to_numpy() for c in ("start", "n"))
                 same = pa.array(np.full(len(start), row))
                 cut = [data[s:s + m + length - 1] for s, m in zip(start.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(same), batch.column(1).take(same), found.field("h"), found.field("start"),
-                     found.field("n"), found.field("seen"), pa.array(cut, pa.binary())], names=schema.names)
+                none = [pa.nulls(len(start), kind), found.field("crowd")] if passage else []
+                if len(start):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(same), batch.column(1).take(same), found.field("h"), found.field("start"),
+                         found.field("n"), found.field("seen"), pa.array(cut, pa.binary()), *none], names=schema.names)
+            if passage:
+                yield from windows(batch, texts, segs)
+
+    def windows(batch: pa.RecordBatch, texts: pa.Array, segs: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        found, row = segs.flatten(), np.repeat(np.arange(batch.num_rows), segs.value_lengths().to_numpy())
+        words = np.flatnonzero(found.field("unit").to_numpy() == 1)
+        found, row = found.take(pa.array(words)), row[words]
+        held = np.unique(row)
+        start, n = (found.field(c).to_numpy() for c in ("start", "n"))
+        for lo, hi, part in tb.chunks(texts.take(pa.array(held))):
+            a, b = np.searchsorted(row, [held[lo], held[hi - 1] + 1])
+            part, m = _in_words(part), n[a:b]
+            ends = np.cumsum(m)
+            first = part.starts[np.searchsorted(held, row[a:b]) - lo] + start[a:b]
+            at = np.repeat(first - ends + m, m) + np.arange(int(ends[-1]))
+            hashes = tb.span_hash(tb.prefix_hash(part.data), at, at + passage)
+            made = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(hashes.view(np.int64)))
+            same, seg = pa.array(row[a:b]), found.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(same), batch.column(1).take(same),
+                 *[seg.field(c) for c in ("h", "start", "n", "seen")], pa.nulls(b - a, pa.binary()), made, seg.field("crowd")],
+                names=schema.names)
 
     return tb.in_arrow(joined, _merged(run), schema)
 
@@ -250,21 +290,40 @@ def _merged(run, rows: int = 2000):
     return wrapped
 
 
-def _sorted_repeats(segs: DataFrame, length: int) -> DataFrame:
+def _byte_hits(table: pa.Table, n: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of the segments occur twice, by the suffix array of their bytes."""
+    text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8)
+    begin = np.concatenate([[0], np.cumsum(n + length - 1)])[:-1]
+    window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(begin, n) + window
+    valid = np.zeros(len(text), dtype=bool)
+    valid[starts] = True
+    return repeated_windows(text, valid, length)[starts]
+
+
+def _word_hits(table: pa.Table, n: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of the segments occur twice, by the hashes of anchor and words."""
+    anchor = np.repeat(table.column("h").to_numpy(), n)
+    window = table.column("windows").combine_chunks().flatten().to_numpy()
+    order = np.lexsort((window, anchor))
+    twin = np.flatnonzero((window[order[1:]] == window[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]]))
+    out = np.zeros(len(window), dtype=bool)
+    out[order[twin]] = True
+    out[order[twin + 1]] = True
+    return out
+
+
+def _sorted_repeats(segs: DataFrame, length: int, words: bool = False) -> DataFrame:
     """(doc_id, k, lo, hi) of windows that repeat among the segments of one anchor; only segments seen once report,
     as the others are removed entirely."""
+    what, hits = ("windows", _word_hits) if words else ("bytes", _byte_hits)
     schema = T.StructType([segs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("k", "lo", "hi")]])
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         n = table.column("n").to_numpy()
-        text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8)
-        begin = np.concatenate([[0], np.cumsum(n + length - 1)])[:-1]
         window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(begin, n) + window
-        valid = np.zeros(len(text), dtype=bool)
-        valid[starts] = True
-        hit = repeated_windows(text, valid, length)[starts]
+        hit = hits(table, n, length)
         owner = np.repeat(np.arange(len(n)), n)
         hit &= (table.column("seen").to_numpy() == 1)[owner]
         owner, window = owner[hit], window[hit]
@@ -297,7 +356,7 @@ def _sorted_repeats(segs: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    grouped = segs.select("doc_id", "k", "h", "start", "n", "seen", "bytes").repartition("h").sortWithinPartitions("h")
+    grouped = segs.select("doc_id", "k", "h", "start", "n", "seen", what).repartition("h").sortWithinPartitions("h")
     return tb.in_arrow(grouped, run, schema)
 
 
@@ -372,29 +431,48 @@ def _with_anchor(segs: DataFrame, length: int) -> DataFrame:
     return tb.in_arrow(segs, run, schema)
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, k, spans) of documents with something to remove; spans are unmerged (lo, hi) byte ranges.
+def _repeated_words(segs: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, k, lo, hi) in words: as ``_sorted_repeats``, for hot anchors, whose windows are dealt out one by one."""
+    windows = segs.select("doc_id", "k", "h", "start", "seen", F.posexplode("windows").alias("nth", "window"))
+    twice = windows.groupBy("h", "window").agg(F.count("*").alias("found")).where("found > 1").select("h", "window")
+    lo = F.col("start") + F.col("nth")
+    return windows.where("seen = 1").join(twice, ["h", "window"]).select(
+        "doc_id", "k", lo.alias("lo"), (lo + passage).alias("hi"))
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, passage: int = 0) -> DataFrame:
+    """(doc_id, k, spans) of documents with something to remove; spans are unmerged (lo, hi) byte ranges. With ``passage``,
+    also ``passages``: (lo, hi) ranges of words in runs of so many words that occur twice.
 
     ``rows`` has doc_id, text and k, a hash of the text, so that rows of one doc_id with other texts stay apart.
     """
-    segs = materialize(_segments(rows, length), "segments")
+    unit = ["unit"] if passage else []
+    key = [*unit, "h", "g", "n"]
+    segs = materialize(_segments(rows, length, passage), "segments")
     rank = F.xxhash64("doc_id", "k", "start")
-    kinds = materialize(segs.groupBy("h", "g", "n").agg(
-        F.sum("times").alias("seen"), F.min_by("doc_id", rank).alias("doc_id"), F.min_by("k", rank).alias("k"),
-        F.min_by("start", rank).alias("start")), "segment_kinds")
-    twice = kinds.where("seen > 1").select("h", "g", "n")
-    found = [segs.join(twice, ["h", "g", "n"]).select(
-        "doc_id", "k", F.col("start").alias("lo"), (F.col("start") + F.col("n") * F.col("times") + (length - 1)).alias("hi"))]
-
-    def grouped(table: DataFrame) -> DataFrame:
-        """Adds the number of distinct segments of the anchor; anchors with one are decided already."""
-        crowd = table.groupBy("h").agg(F.count("*").alias("crowd")).where("crowd > 1")
-        return table.join(crowd, "h")
-
-    open_segs = _cut_out(rows, grouped(kinds).drop("g"), length)
+    kinds = materialize(segs.groupBy(*key).agg(F.sum("times").alias("seen"), F.min(rank).alias("rank")), "segment_kinds")
+
+    def crowds(table: DataFrame, *by: str) -> DataFrame:
+        """The number of distinct segments of an anchor; anchors with one are decided already."""
+        return table.groupBy(*by, "h").agg(F.count("*").alias("crowd")).where("crowd > 1")
+
+    wanted = kinds.join(crowds(kinds, *unit), [*unit, "h"], "left").where("seen > 1 or crowd is not null")
+    marked = materialize(segs.join(wanted, key).withColumn("one", rank == F.col("rank")).drop("g", "rank"), "marked_segments")
+    size = F.when(F.col("unit") == 1, passage).otherwise(length) if passage else F.lit(length)
+    whole = marked.where("seen > 1").select(
+        "doc_id", "k", *unit, F.col("start").alias("lo"),
+        (F.col("start") + F.col("n") * F.col("times") + (size - 1)).alias("hi"))
+    found = [whole.where("unit = 0").drop("unit") if passage else whole]
+    open_segs = _cut_out(rows, marked.where("one and crowd is not null"), length, passage)
     open_segs = materialize(open_segs, "open_segments")
+    if passage:
+        in_words = open_segs.where("windows is not null")
+        passages = whole.where("unit = 1").drop("unit").union(
+            _sorted_repeats(in_words.where(F.col("crowd") <= HOT), passage, words=True)).union(
+            _repeated_words(in_words.where(F.col("crowd") > HOT), passage))
+        open_segs = open_segs.where("windows is null").drop("windows", "crowd")
     for block in BLOCKS:
-        crowded = grouped(open_segs)
+        crowded = open_segs.join(crowds(open_segs), "h")
         found.append(materialize(_sorted_repeats(crowded.where(F.col("crowd") <= HOT), length), "repeats"))
         hot = crowded.where(F.col("crowd") > HOT).drop("crowd")
         if hot.isEmpty():
@@ -411,11 +489,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                                 .withColumn("seen", F.col("total")).drop("total", "rank", "g"), "open_segments")
     else:
         # blocks of one window: an anchor's segments can differ only if two windows' hashes agree
-        found.append(_sorted_repeats(grouped(open_segs), length))
+        found.append(_sorted_repeats(open_segs.join(crowds(open_segs), "h"), length))
     spans = found[0]
     for more in found[1:]:
         spans = spans.union(more)
-    return spans.groupBy("doc_id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    place = F.struct("lo", "hi")
+    if not passage:
+        return spans.groupBy("doc_id", "k").agg(F.collect_set(place).alias("spans"))
+    both = spans.withColumn("unit", F.lit(0)).union(passages.withColumn("unit", F.lit(1)))
+    return both.groupBy("doc_id", "k").agg(F.collect_set(F.when(F.col("unit") == 0, place)).alias("spans"),
+                                           F.collect_list(F.when(F.col("unit") == 1, place)).alias("passages"))
 
 
 def word_spans(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -440,6 +523,13 @@ def word_spans(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
 
 
+def _in_words(texts: tb.Texts) -> tb.Texts:
+    """The documents with a hash for each word in place of its bytes."""
+    starts, ends = word_spans(texts)
+    n = np.searchsorted(starts, np.append(texts.starts, len(texts.data)))
+    return tb.Texts(tb.word_hashes(texts, starts, ends), n[:-1], n[1:])
+
+
 def _coded(rows: DataFrame) -> DataFrame:
     """The rows with ``CODE`` bytes for each word of the text."""
     schema = T.StructType([rows.schema["doc_id"], T.StructField("k", T.LongType()), T.StructField("text", T.BinaryType())])
@@ -459,16 +549,18 @@ def _coded(rows: DataFrame) -> DataFrame:
     return tb.in_arrow(rows.select("doc_id", "k", "text"), run, schema)
 
 
-def _joined(docs: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """(row, spans): every document as a struct, beside the ranges to remove, of bytes or of codes."""
+def _joined(docs: DataFrame, length: int, words: bool = False, passage: int = 0) -> DataFrame:
+    """(row, spans): every document as a struct, beside the ranges to remove, of bytes or of codes; with ``passage``, the
+    ranges of words of ``passages`` too."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.xxhash64("text"))
     if words:
         rows, length = _coded(rows), length * CODE
-    spans = repeated_spans(rows, length).withColumnsRenamed({"doc_id": "span_id", "k": "span_k"})
+    spans = repeated_spans(rows, length, passage).withColumnsRenamed({"doc_id": "span_id", "k": "span_k"})
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
                         F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("k"))
-    return keyed.join(spans, F.expr("row.doc_id <=> span_id and k = span_k"), "left").select("row", "spans")
+    return keyed.join(spans, F.expr("row.doc_id <=> span_id and k = span_k"), "left").select(
+        "row", "spans", *(["passages"] if passage else []))
 
 
 def _runs(spans: pa.StructArray | None, data: bytes | None = None) -> list[tuple[int, int]]:
@@ -495,8 +587,9 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], make, words: bool = False) -> DataFrame:
-    joined = _joined(docs.select(*tb.without(docs, [n for n, _ in fields])), length, words)
+def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], make, words: bool = False,
+           passage: int = 0) -> DataFrame:
+    joined = _joined(docs.select(*tb.without(docs, [n for n, _ in fields])), length, words, passage)
     place = joined.schema["row"].dataType.names.index("text")
     made = T.StructType([T.StructField("row", joined.schema["row"].dataType), *[T.StructField(n, t) for n, t in fields]])
     kinds = [to_arrow_type(t) for _, t in fields]
@@ -507,7 +600,8 @@ def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], m
             rows = []
             for i in range(batch.num_rows):
                 data = texts[i].as_py() or b""
-                rows.append(make(data, _runs(lists[i].values if lists[i].is_valid else None, data if words else None)))
+                more = [_runs(batch.column(2)[i].values if lists[i].is_valid else None)] if passage else []
+                rows.append(make(data, _runs(lists[i].values if lists[i].is_valid else None, data if words else None), *more))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
             columns = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=made.names)
@@ -515,12 +609,15 @@ def _apply(docs: DataFrame, length: int, fields: list[tuple[str, T.DataType]], m
     return tb.in_arrow(joined, run, made).select("row.*", *[n for n, _ in fields])
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes)."""
+def digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """The documents with n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes), and n_passage_words, the words
+    in runs of ``passage`` words that also start anywhere else; these are counted, not removed."""
     long = T.LongType()
-    fields = [("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", T.StringType())]
-    return _apply(docs, length, fields, lambda data, runs: (
-        len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(data, runs)).hexdigest()))
+    fields = [("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", T.StringType()),
+              ("n_passage_words", long)]
+    return _apply(docs, length, fields, lambda data, runs, passages: (
+        len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(data, runs)).hexdigest(),
+        sum(b - a for a, b in passages)), passage=passage)
 
 
 def strip_passages(docs: DataFrame, words: int) -> DataFrame:

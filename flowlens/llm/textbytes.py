@@ -67,6 +67,13 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(raw ^ mix((ends - starts).astype(np.uint64) + _U(1)))
 
 
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of all spans of one width, in order."""
+    n = max(len(sums) - width, 0)
+    raw = (sums[width:] - sums[:n]) * _power("down", _BASE_INV, len(sums))[:n]
+    return mix(raw ^ mix(np.array([width + 1], dtype=np.uint64)))
+
+
 class Texts:
     """Documents of one chunk: ``data`` (uint8, concatenated) and int64 ``starts`` and ``ends`` into it."""
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -94,6 +95,51 @@ def test_planted_passages_of_over_50_words(spark):
     assert [rows[i].n_removed for i in (2, 3, 4)] == [0, 0, 0]
 
 
+def passage_words(texts, size):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i:i + size]) for w in split for i in range(len(w) - size + 1))
+    return [len({j for i in range(len(w) - size + 1) if seen[tuple(w[i:i + size])] > 1 for j in range(i, i + size)})
+            for w in split]
+
+
+@pytest.mark.parametrize(("size", "hot", "piece"), [(51, 256, 1 << 22), (14, 2, 1 << 22), (5, 1, 64)])
+def test_words_of_passages(spark, monkeypatch, size, hot, piece):
+    monkeypatch.setattr(S, "PIECE", piece)
+    monkeypatch.setattr(S, "HOT", hot)
+    rng = random.Random(size)
+
+    def words(n, low=1, high=6):
+        return " ".join("".join(rng.choices("abcdefghijké", k=rng.randint(low, high))) for _ in range(n))
+
+    shared = [words(2 * size) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            s = rng.choice(shared).split()
+            cut = s[rng.randint(0, 4):rng.randint(size - 1, 2 * size)]
+            parts.append(rng.choice([" ", "\n"]).join(cut) if rng.random() < 0.5 else words(rng.randint(0, 60)))
+        texts.append(rng.choice([" ", "\t", "  "]).join(parts))
+    texts += [None, "", " ", texts[0], texts[1] + " end", "a " * (3 * size), f"{shared[0]} x {shared[0]}", "é" * 150]
+    df = spark.createDataFrame([(None if i == 3 else i // 2, t, i, 7) for i, t in enumerate(texts)],
+                               "doc_id long, text string, k int, n_passage_words int")
+    got = {r.k: r for r in S.digests(df, passage=size).collect()}
+    assert [got[i].n_passage_words for i in range(len(texts))] == passage_words(texts, size)
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256)
+            for i in range(len(texts))] == plain(texts, 400)
+
+
+def test_passages_shorter_than_400_bytes_are_told(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(600)]
+    long, short = " ".join(words[:51]), " ".join(words[51:101])
+    texts = [f"{' '.join(words[110 + 60 * i:170 + 60 * i])} {p}{end}" for i, (p, end) in enumerate(
+        [(long, " x"), (long, " y"), (short, " x"), (short, " y"), ("", "")])]
+    rows = {r.doc_id: r for r in S.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i].n_passage_words for i in range(5)] == [51, 51, 0, 0, 0]
+    assert [rows[i].n_removed for i in range(5)] == [0] * 5
+
+
 def test_pieces_of_a_long_text(monkeypatch, spark):
     monkeypatch.setattr(S, "PIECE", 64)
     rng = random.Random(5)
